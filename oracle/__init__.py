@@ -1,0 +1,5 @@
+"""Expected results as SQL over the landing tables."""
+
+from oracle import intake, reports
+
+ORACLES = {**reports.ORACLES, **intake.ORACLES}
