@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.listing import lookup
 from tallyloom.operators.validate import outcome
-from tallyloom.plans import bi, crm, finance, hr, intake, inventory, sales, scm
+from tallyloom.plans import bi, crm, edits, finance, hr, intake, inventory, sales, scm
 from tallyloom.session import scratch_path
 from tallyloom.sources import sinks
 
@@ -212,4 +212,64 @@ INTAKE: dict[str, tuple[str, Callable]] = {
     "intake_movements": ("W-7 V-20", _judged(intake.movements, NOW)),
 }
 
-QUERIES = {**REPORTS, **INTAKE}
+
+def _status_change(entity: str, part: str) -> Callable:
+    def run(t) -> DataFrame:
+        changes = edits.status_changes()[entity](t, NOW)
+        return edits.enriched(entity, changes.changed, t) if part == "changed" else getattr(
+            changes, part)
+
+    return run
+
+
+def _change(job: Callable, part: str, entity: str = "") -> Callable:
+    def run(t) -> DataFrame:
+        changes = job(t, NOW)
+        return edits.enriched(entity, changes.changed, t) if part == "changed" else getattr(
+            changes, part)
+
+    return run
+
+
+STATUS_IDS = {
+    "opportunity": "U-1a", "quotation": "U-1b", "account": "U-1c", "asset": "U-1d",
+    "leave": "U-1f", "payroll": "U-1g", "job": "U-1h", "applicant": "U-1i", "training": "U-1j",
+    "sales_order": "U-1k", "vendor": "U-1l", "purchase_order": "U-1m", "shipment": "U-1n",
+}
+REPLACE_IDS = dict(zip(edits.REPLACEMENTS, ("U-2a", "U-2b", "U-2c", "U-2d", "U-2e", "U-2f", "U-2g")))
+PATCH_IDS = dict(zip(edits.PATCHES, ("U-3a", "U-3b", "U-3c", "U-3d")))
+DELETE_IDS = dict(zip(edits.DELETIONS, ("U-4a", "U-4b", "U-4c", "U-4d")))
+
+EDITS: dict[str, tuple[str, Callable]] = {}
+for _entity, _id in STATUS_IDS.items():
+    EDITS[f"status_{_entity}"] = (f"{_id} U-8", _status_change(_entity, "changed"))
+    EDITS[f"status_{_entity}_rejected"] = (_id, _status_change(_entity, "rejected"))
+EDITS["status_sales_order_table"] = ("U-1k", _status_change("sales_order", "table"))
+EDITS["status_employee"] = ("U-1e J-23 U-8", _change(edits.employee_status, "changed"))
+EDITS["status_employee_rejected"] = ("U-1e", _change(edits.employee_status, "rejected"))
+EDITS["status_employee_users"] = ("U-1e J-23", _change(edits.employee_status, "table"))
+for _entity, _job in edits.REPLACEMENTS.items():
+    _id = REPLACE_IDS[_entity]
+    EDITS[f"replace_{_entity}"] = (f"{_id} U-8", _change(_job, "changed", _entity))
+    EDITS[f"replace_{_entity}_rejected"] = (_id, _change(_job, "rejected"))
+EDITS["replace_customer_table"] = ("U-2a", _change(edits.customer, "table"))
+for _entity, _job in edits.PATCHES.items():
+    EDITS[f"patch_{_entity}"] = (PATCH_IDS[_entity], _change(_job, "changed"))
+    EDITS[f"patch_{_entity}_rejected"] = (PATCH_IDS[_entity], _change(_job, "rejected"))
+EDITS["patch_product_table"] = ("U-3b", _change(edits.product_patch, "table"))
+for _entity, _job in edits.DELETIONS.items():
+    EDITS[f"delete_{_entity}"] = (DELETE_IDS[_entity], _change(_job, "changed"))
+    EDITS[f"delete_{_entity}_table"] = (DELETE_IDS[_entity], _change(_job, "table"))
+    EDITS[f"delete_{_entity}_rejected"] = (DELETE_IDS[_entity], _change(_job, "rejected"))
+EDITS["product_changes_table"] = ("U-3b U-4b", _change(edits.product_changes, "table"))
+EDITS["product_changes_rejected"] = ("U-3b U-4b", _change(edits.product_changes, "rejected"))
+EDITS["receive_stock"] = ("U-5 W-6", _change(edits.receive_stock, "changed"))
+EDITS["receive_stock_table"] = ("U-5 W-6", _change(edits.receive_stock, "table"))
+EDITS["receive_stock_rejected"] = ("U-5 W-6", _change(edits.receive_stock, "rejected"))
+EDITS["invoices_paid"] = ("U-6", _change(edits.invoices_paid, "changed"))
+EDITS["invoices_paid_rejected"] = ("U-6", _change(edits.invoices_paid, "rejected"))
+EDITS["bills_paid"] = ("U-7", _change(edits.bills_paid, "changed"))
+EDITS["bills_paid_rejected"] = ("U-7", _change(edits.bills_paid, "rejected"))
+EDITS["upsert_products"] = ("U-9", edits.upsert_products)
+
+QUERIES = {**REPORTS, **INTAKE, **EDITS}

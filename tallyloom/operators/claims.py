@@ -57,16 +57,36 @@ def _holders_of_many(rows: DataFrame, columns: Sequence[str], order: str) -> Dat
     return reduce(DataFrame.unionByName, won) if won else open_rows
 
 
+def _mark_one(
+    df: DataFrame, column: str, table: DataFrame, eligible: Column, order: str
+) -> DataFrame:
+    """One key: stored values and claims share one aggregate, then one join."""
+    stored = table.select(F.col(column).alias("__held"), F.lit(True).alias("__stored"),
+                          F.lit(None).cast(df.schema[order].dataType).alias("__claim"))
+    claims = df.filter(eligible & F.col(column).isNotNull()).select(
+        F.col(column).alias("__held"), F.lit(False).alias("__stored"),
+        F.col(order).alias("__claim"),
+    )
+    holders = stored.unionByName(claims).groupBy("__held").agg(
+        F.max("__stored").alias("__stored"), F.min("__claim").alias("__holder")
+    )
+    late = F.col("__stored") | (F.col("__holder") < F.col(order))
+    joined = df.join(holders, F.col(column) == F.col("__held"), "left")
+    return joined.withColumn("duplicate", F.coalesce(late, F.lit(False))).drop(
+        "__held", "__stored", "__holder"
+    )
+
+
 def mark_duplicates(
     df: DataFrame, columns: Sequence[str], table: DataFrame, eligible: Column, order: str
 ) -> DataFrame:
     """Add ``duplicate``: some key is stored already or held by an earlier valid row."""
+    if len(columns) == 1:
+        return _mark_one(df, columns[0], table, eligible, order)
     for column in columns:
         df = _flag_taken(df, column, table)
     taken = reduce(lambda a, b: a | b, [F.col(f"__taken_{c}") for c in columns])
-    contenders = df.filter(eligible & ~taken)
-    if len(columns) > 1:
-        contenders = _holders_of_many(contenders, columns, order)
+    contenders = _holders_of_many(df.filter(eligible & ~taken), columns, order)
     late = taken
     for i, column in enumerate(columns):
         holders = _holders_of_one(contenders, column, order).withColumnRenamed(

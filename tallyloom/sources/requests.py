@@ -466,10 +466,10 @@ def _deletions(entity: str, id_expr: str) -> None:
         FROM {{events}} WHERE event_type = 'error'"""
 
 
-_deletions("category", NARROW)
+_deletions("category", "event_id % 11 + 1")
 _deletions("product", WIDE)
 _deletions("warehouse", "event_id % 11 + 1")
-_deletions("storage_bin", PER_USER)
+_deletions("storage_bin", "user_id % 60 + 1")
 _deletions("invoice", WIDE)
 _deletions("bill", WIDE)
 FEEDS["invoice_paid_feed"] = FEEDS.pop("invoice_delete_feed")
