@@ -1,5 +1,5 @@
 """Expected results as SQL over the landing tables."""
 
-from oracle import edits, intake, reports
+from oracle import edits, intake, posting, reports
 
-ORACLES = {**reports.ORACLES, **intake.ORACLES, **edits.ORACLES}
+ORACLES = {**reports.ORACLES, **intake.ORACLES, **edits.ORACLES, **posting.ORACLES}

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.listing import lookup
 from tallyloom.operators.validate import outcome
-from tallyloom.plans import bi, crm, edits, finance, hr, intake, inventory, sales, scm
+from tallyloom.plans import (
+    access, bi, crm, edits, finance, hr, intake, inventory, posting, sales, scm,
+)
 from tallyloom.session import scratch_path
 from tallyloom.sources import sinks
 
@@ -272,4 +274,30 @@ EDITS["bills_paid"] = ("U-7", _change(edits.bills_paid, "changed"))
 EDITS["bills_paid_rejected"] = ("U-7", _change(edits.bills_paid, "rejected"))
 EDITS["upsert_products"] = ("U-9", edits.upsert_products)
 
-QUERIES = {**REPORTS, **INTAKE, **EDITS}
+POSTING: dict[str, tuple[str, Callable]] = {
+    "post_sales_orders": ("W-1 A-13", lambda t: outcome(posting.sales_orders(t, NOW).headers)),
+    "post_sales_order_lines": ("W-1 A-13", lambda t: posting.sales_orders(t, NOW).lines),
+    "post_purchase_orders": ("W-2 A-14", lambda t: outcome(posting.purchase_orders(t).headers)),
+    "post_purchase_order_lines": ("W-2 A-14", lambda t: posting.purchase_orders(t).lines),
+    "post_journal_entries": (
+        "W-3", lambda t: outcome(posting.journal_headers(posting.journal_entries(t)))
+    ),
+    "post_journal_lines": ("W-3", lambda t: posting.journal_lines(posting.journal_entries(t))),
+    "journal_balance": ("A-12", lambda t: posting.journal_balance(t.journal_line_feed)),
+    "reverse_requests": ("W-4 J-22", lambda t: posting.reversals(t, AS_OF).requests),
+    "reverse_entries": ("W-4 F-15", lambda t: posting.reversals(t, AS_OF).entries),
+    "reverse_lines": ("W-4", lambda t: posting.reversals(t, AS_OF).lines),
+    "payment_requests": ("W-5 P-7", lambda t: posting.payments(t, NOW).requests),
+    "payment_rows": ("W-5 F-10", lambda t: posting.payments(t, NOW).payments),
+    "payment_entries": ("W-5 F-15", lambda t: posting.payments(t, NOW).entries),
+    "payment_lines": ("W-5", lambda t: posting.payments(t, NOW).lines),
+    "payment_accounts": ("P-7", lambda t: posting.known_accounts(t, t.payment_feed)),
+}
+
+ACCESS: dict[str, tuple[str, Callable]] = {
+    "user_permissions": ("R-1 S-3", access.user_permissions),
+    "access_audit": ("R-2", access.access_audit),
+    "resolve_roles": ("R-3 F-7", lambda t: access.resolve_roles(t.role_feed)),
+}
+
+QUERIES = {**REPORTS, **INTAKE, **EDITS, **POSTING, **ACCESS}

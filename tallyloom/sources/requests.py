@@ -485,3 +485,9 @@ FEEDS["product_op_feed"] = f"""
            {_by_type("'name'", "'unit_price'", "'name,unit_price'", "''", "''")} AS present,
            'Name ' || {_E} AS name, {_by_type("'1'", "'2.50'", "'-3'", "'4'", "'5'")} AS unit_price
     FROM {{events}}"""
+FEEDS["role_feed"] = f"""
+    SELECT CAST(event_id AS BIGINT) AS request_id,
+           CASE event_id % 9 WHEN 0 THEN ' ADMIN ' WHEN 1 THEN 'Finance Controller' WHEN 2 THEN '119'
+                WHEN 3 THEN 'junior sales' WHEN 4 THEN 'Pilot' WHEN 5 THEN '' WHEN 6 THEN '-3'
+                WHEN 7 THEN 'HR Director' ELSE NULL END AS role
+    FROM {{events}}"""
