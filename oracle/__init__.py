@@ -3,3 +3,16 @@
 from oracle import edits, intake, posting, reports
 
 ORACLES = {**reports.ORACLES, **intake.ORACLES, **edits.ORACLES, **posting.ORACLES}
+
+# A stream must end where the batch job over the same input ends.
+_MOVEMENTS = ORACLES["intake_movements"]
+ORACLES["stream_movements"] = (
+    f"SELECT * EXCLUDE (reject_reason) FROM ({_MOVEMENTS}) x WHERE reject_reason IS NULL"
+)
+ORACLES["stream_movements_rejected"] = (
+    f"SELECT request_id, reject_reason FROM ({_MOVEMENTS}) x WHERE reject_reason IS NOT NULL"
+)
+ORACLES["stream_receipts"] = ORACLES["receive_stock_table"]
+ORACLES["stream_receipts_rejected"] = ORACLES["receive_stock_rejected"]
+ORACLES["stream_order_status"] = ORACLES["status_sales_order_table"]
+ORACLES["stream_order_status_rejected"] = ORACLES["status_sales_order_rejected"]

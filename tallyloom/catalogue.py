@@ -15,6 +15,9 @@ from tallyloom.plans import (
 )
 from tallyloom.session import scratch_path
 from tallyloom.sources import sinks
+from tallyloom.sources.tables import StreamTables
+from tallyloom.streaming import edits as edit_stream
+from tallyloom.streaming import movements as movement_stream
 
 AS_OF = datetime.date(1998, 6, 30)
 
@@ -300,4 +303,41 @@ ACCESS: dict[str, tuple[str, Callable]] = {
     "resolve_roles": ("R-3 F-7", lambda t: access.resolve_roles(t.role_feed)),
 }
 
-QUERIES = {**REPORTS, **INTAKE, **EDITS, **POSTING, **ACCESS}
+
+
+def _moved(read: Callable) -> Callable:
+    def run(t) -> DataFrame:
+        arriving, path = StreamTables(t.spark, t.root), scratch_path(t.spark, "movements")
+        judged = movement_stream.ingest(t, arriving.movement_feed, path, NOW)
+        return read(t, path, judged)
+
+    return run
+
+
+def _received(read: Callable) -> Callable:
+    def run(t) -> DataFrame:
+        arriving, path = StreamTables(t.spark, t.root), scratch_path(t.spark, "receipts")
+        return read(t, path, edit_stream.log_receipts(t, arriving.receipt_feed, path))
+
+    return run
+
+
+def _order_status(read: Callable, *args) -> Callable:
+    def run(t) -> DataFrame:
+        arriving, path = StreamTables(t.spark, t.root), scratch_path(t.spark, "order-status")
+        judged = edit_stream.log_order_status(t, arriving.sales_order_status_feed, path)
+        return read(t, path, judged, *args)
+
+    return run
+
+
+STREAMS: dict[str, tuple[str, Callable]] = {
+    "stream_movements": ("X-1 K-2", _moved(movement_stream.accepted)),
+    "stream_movements_rejected": ("X-1", _moved(movement_stream.rejected)),
+    "stream_receipts": ("X-2 U-5", _received(edit_stream.stocked)),
+    "stream_receipts_rejected": ("X-2", _received(edit_stream.refused)),
+    "stream_order_status": ("X-2 U-1k", _order_status(edit_stream.current_orders, NOW)),
+    "stream_order_status_rejected": ("X-2", _order_status(edit_stream.refused)),
+}
+
+QUERIES = {**REPORTS, **INTAKE, **EDITS, **POSTING, **ACCESS, **STREAMS}

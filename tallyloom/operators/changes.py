@@ -26,10 +26,16 @@ class Changes:
     rejected: DataFrame
 
 
-def _rejects(checked: DataFrame, base: DataFrame, not_found: str) -> DataFrame:
-    flagged = flag_known(checked.select("seq", "id", REASON), "id", base, "__known")
+def judge_targets(checked: DataFrame, base: DataFrame, not_found: str) -> DataFrame:
+    """Complete ``reject_reason``: a change of an unknown id is not found."""
+    flagged = flag_known(checked, "id", base, "__known")
     reason = F.coalesce(F.col(REASON), F.when(~F.col("__known"), F.lit(not_found)))
-    return flagged.withColumn(REASON, reason).filter(F.col(REASON).isNotNull()).drop("__known")
+    return flagged.withColumn(REASON, reason).drop("__known")
+
+
+def _rejects(checked: DataFrame, base: DataFrame, not_found: str) -> DataFrame:
+    judged = judge_targets(checked.select("seq", "id", REASON), base, not_found)
+    return judged.filter(F.col(REASON).isNotNull())
 
 
 def _valid(checked: DataFrame) -> DataFrame:
@@ -61,14 +67,23 @@ def replace_fields(
 ) -> Changes:
     """The last valid change of an id sets all ``fields`` (one field: a status change)."""
     checked = clean(feed, fields, keep=("seq", "id"))
-    names = [each.name for each in fields]
-    folded = _valid(checked).groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new"))
+    done = apply_latest(base, _valid(checked), [each.name for each in fields], stamp)
+    return Changes(done.table, done.changed, _rejects(checked, base, not_found))
+
+
+def apply_latest(
+    base: DataFrame,
+    valid: DataFrame,
+    names: Sequence[str],
+    stamp: dict[str, Column] | None = None,
+) -> Changes:
+    """Set ``names`` to the values of the latest valid change of each id."""
+    folded = valid.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new"))
     new = {
         **{c: F.col(f"__new.{c}").cast(base.schema[c].dataType) for c in names},
         **(stamp or {}),
     }
-    done = _rewrite(base, folded, new, "__new")
-    return Changes(done.table, done.changed, _rejects(checked, base, not_found))
+    return _rewrite(base, folded, new, "__new")
 
 
 def given(field: str) -> Column:
@@ -181,12 +196,17 @@ def add_to(
     checked = clean(feed, [target, amount], keep=("request_id",)).select(
         F.col("request_id").alias("seq"), F.col(target.name).alias("id"), amount.name, REASON
     )
-    folded = _valid(checked).groupBy("id").agg(F.sum(amount.name).alias("__add"))
-    new = {column: (F.col(column) + F.col("__add")).cast(base.schema[column].dataType)}
-    done = _rewrite(base, folded, new, "__add")
+    done = apply_sums(base, _valid(checked), column, amount.name)
     return Changes(done.table, done.changed, _rejects(checked, base, not_found))
 
 
+def apply_sums(base: DataFrame, valid: DataFrame, column: str, amount: str) -> Changes:
+    """Add up the valid amounts of each id and add the sum to ``column``."""
+    folded = valid.groupBy("id").agg(F.sum(amount).alias("__add"))
+    new = {column: (F.col(column) + F.col("__add")).cast(base.schema[column].dataType)}
+    return _rewrite(base, folded, new, "__add")
+
+
 def stamp_keys(
     base: DataFrame, feed: DataFrame, new: dict[str, Column], *, not_found: str
 ) -> Changes:

@@ -56,3 +56,16 @@ class SampleTables(ParquetTables):
         text = DEFINITIONS[name].replace("{ntz}", "TIMESTAMP_NTZ")
         inputs = {used: self.table(used) for used in set(_PLACEHOLDER.findall(text))}
         return self.spark.sql(text, **inputs)
+
+
+class StreamTables(SampleTables):
+    """The same definitions with the events arriving as a file stream."""
+
+    def landing(self, name: str) -> DataFrame:
+        if name != "events":
+            return super().landing(name)
+        return (
+            self.spark.readStream.schema(schemas.LANDING[name])
+            .option("pathGlobFilter", "events*.parquet")
+            .parquet(self.root)
+        )
