@@ -16,3 +16,10 @@ ORACLES["stream_receipts"] = ORACLES["receive_stock_table"]
 ORACLES["stream_receipts_rejected"] = ORACLES["receive_stock_rejected"]
 ORACLES["stream_order_status"] = ORACLES["status_sales_order_table"]
 ORACLES["stream_order_status_rejected"] = ORACLES["status_sales_order_rejected"]
+# Through files and back nothing may change.
+ORACLES["json_customers"] = ORACLES["intake_customers"]
+ORACLES["json_order_documents"] = ORACLES["order_documents"]
+ORACLES["append_categories"] = (
+    "SELECT name, description FROM "
+    f"({ORACLES['intake_categories']}) x WHERE reject_reason IS NULL"
+)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.listing import lookup
-from tallyloom.operators.validate import outcome
+from tallyloom.operators.validate import accepted, outcome, validate
 from tallyloom.plans import (
     access, bi, crm, edits, finance, hr, intake, inventory, posting, sales, scm,
 )
 from tallyloom.session import scratch_path
-from tallyloom.sources import sinks
+from tallyloom.sources import bodies, sinks
 from tallyloom.sources.tables import StreamTables
 from tallyloom.streaming import edits as edit_stream
 from tallyloom.streaming import movements as movement_stream
@@ -36,20 +36,24 @@ def _customer_documents(t) -> DataFrame:
     )
 
 
-def _order_documents(t) -> DataFrame:
+def _flat_orders(documents: DataFrame) -> DataFrame:
     def item(x):
         return F.concat(
             x["product_sku"], F.lit(" x"), x["quantity"].cast("string"), F.lit(" @"),
             x["unit_price"].cast("string"),
         )
 
-    return sales.order_documents(t).select(
+    return documents.select(
         "id", "status", "total_amount", "customer_company_name", "primary_email",
         F.size("order_lines").cast("bigint").alias("line_count"),
         _joined("order_lines", item).alias("items"),
     )
 
 
+def _order_documents(t) -> DataFrame:
+    return _flat_orders(sales.order_documents(t))
+
+
 def _journal_documents(t) -> DataFrame:
     def item(x):
         return F.concat_ws(
@@ -297,6 +301,39 @@ POSTING: dict[str, tuple[str, Callable]] = {
     "payment_accounts": ("P-7", lambda t: posting.known_accounts(t, t.payment_feed)),
 }
 
+
+
+def _json_customers(t) -> DataFrame:
+    """Customer requests written and read as JSON bodies, then judged."""
+    path = scratch_path(t.spark, "bodies")
+    feed = t.customer_feed
+    sinks.write_documents(feed, path)
+    schema = bodies.body_schema([c for c in feed.columns if c != "request_id"])
+    return outcome(validate(bodies.read_bodies(t.spark, path, schema), intake.customer_fields()))
+
+
+def _json_documents(t) -> DataFrame:
+    """Order documents written as nested JSON and read back."""
+    path = scratch_path(t.spark, "documents")
+    documents = sales.order_documents(t)
+    sinks.write_documents(documents, path)
+    return _flat_orders(t.spark.read.schema(documents.schema).json(path))
+
+
+def _appended(t) -> DataFrame:
+    """Accepted categories appended to a table, whitelisted columns only."""
+    path = scratch_path(t.spark, "categories")
+    rows = accepted(intake.categories(t))
+    sinks.append_rows(rows, path, ["name", "description"])
+    return t.spark.read.schema("name STRING, description STRING").parquet(path)
+
+
+FILES: dict[str, tuple[str, Callable]] = {
+    "json_customers": ("S-2", _json_customers),
+    "json_order_documents": ("K-3 S-2", _json_documents),
+    "append_categories": ("K-2", _appended),
+}
+
 ACCESS: dict[str, tuple[str, Callable]] = {
     "user_permissions": ("R-1 S-3", access.user_permissions),
     "access_audit": ("R-2", access.access_audit),
@@ -340,4 +377,4 @@ STREAMS: dict[str, tuple[str, Callable]] = {
     "stream_order_status_rejected": ("X-2", _order_status(edit_stream.refused)),
 }
 
-QUERIES = {**REPORTS, **INTAKE, **EDITS, **POSTING, **ACCESS, **STREAMS}
+QUERIES = {**REPORTS, **INTAKE, **EDITS, **POSTING, **FILES, **ACCESS, **STREAMS}
