@@ -25,16 +25,20 @@ def nest(
     *,
     spread: Column | None = None,
     part_rows: int = PART_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (key, part) with the sorted array ``name``.
 
     ``sort`` lists orderable, NULL-free expressions in ascending order. ``spread`` is a
     column that differs between children (an id); rows without one are spread by position.
+    ``counted`` may be a cheaper frame with at least the children's rows (the children
+    before a join), read for its key column alone to find the over-full parents.
     Only over-full parents are joined back to the children, so that side is normally empty
     and AQE turns the join into a broadcast of measured size; otherwise it is a shuffle join.
     """
     children = children.filter(F.col(key).isNotNull())
-    sizes = children.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    source = children if counted is None else counted.filter(F.col(key).isNotNull())
+    sizes = source.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
     full = sizes.filter(F.col("__n") > part_rows).select(
         "__key", F.ceil(F.col("__n") / part_rows).alias("__parts")
     )

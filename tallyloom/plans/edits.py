@@ -12,10 +12,10 @@ from tallyloom.functions import business as b
 from tallyloom.functions import cleaning
 from tallyloom.functions import fields as f
 from tallyloom.operators.changes import (
-    Changes, add_to, delete_rows, patch_and_delete, patch_fields, replace_fields, stamp_keys,
-    upsert_rows,
+    Changes, add_to, apply_latest, delete_rows, judge_targets, patch_and_delete, patch_fields,
+    replace_fields, stamp_keys, upsert_rows,
 )
-from tallyloom.operators.validate import Field, Rule
+from tallyloom.operators.validate import REASON, Field, Rule, clean
 from tallyloom.plans import crm, hr, intake, scm
 
 
@@ -80,31 +80,28 @@ def status_changes() -> dict[str, Callable]:
 
 
 def employee_status(t, as_of: datetime.datetime) -> Changes:
-    """The change names an employee, the row that changes is the employee's user."""
-    feed, links = t.employee_is_active_feed, t.employees.select("id", "user_id")
-    users = t.users
-    # An employee without a user cannot be switched: "not found", as for an unknown id.
-    reachable = links.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    on_staff = replace_fields(
-        reachable.withColumn("is_active", F.lit(None).cast("boolean")), feed,
-        [_active("is_active must be true or false")], not_found="Employee not found",
-    )
-    chosen = on_staff.changed.select(
-        F.col("user_id").alias("__user"), F.col("is_active").alias("__active")
+    """The change names an employee, the row that changes is the employee's user.
+
+    Changes are folded per employee, then per user (two employees may share one), so the
+    users meet at most one change each.
+    """
+    checked = clean(
+        t.employee_is_active_feed, [_active("is_active must be true or false")],
+        keep=("seq", "id"),
     )
-    hit = F.col("__user").isNotNull()
-    joined = users.join(chosen, F.col("id") == F.col("__user"), "left")
-    new_users = joined.select(*[
-        F.when(hit, F.col("__active")).otherwise(F.col("is_active")).alias("is_active")
-        if c == "is_active"
-        else F.when(hit, cleaning.instant(as_of)).otherwise(F.col(c)).alias(c)
-        if c == "updated_at" else F.col(c)
-        for c in users.columns
-    ])
-    touched = t.employees.join(on_staff.changed.select("id"), "id", "left_semi")
-    return Changes(
-        new_users, hr.employee_profiles(touched, t, new_users), on_staff.rejected
+    users, links = t.users, t.employees.select("id", "user_id")
+    latest = checked.filter(F.col(REASON).isNull()).groupBy("id").agg(
+        F.max("seq").alias("seq"), F.max_by("is_active", "seq").alias("is_active")
     )
+    per_user = latest.join(links, "id").select(F.col("user_id").alias("id"), "seq", "is_active")
+    done = apply_latest(users, per_user, ["is_active"], stamped(as_of))
+    # An employee without a user cannot be switched: "not found", as for an unknown id.
+    reachable = links.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    touched = t.employees.join(latest.select("id"), "id", "left_semi")
+    profiles = hr.employee_profiles(touched, t, done.changed).filter(F.col("username").isNotNull())
+    return Changes(done.table, profiles, judge_targets(
+        checked, reachable, "Employee not found"
+    ).filter(F.col(REASON).isNotNull()).select("seq", "id", REASON))
 
 
 def customer(t, as_of) -> Changes:

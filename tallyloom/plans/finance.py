@@ -98,7 +98,7 @@ def journal_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
     lines = nest(
         journal_lines(t), "journal_entry_id", "lines", [F.col(c) for c in order],
         ["account_id", "debit", "credit", "account_code", "account_name", "account_type"],
-        part_rows=part_rows,
+        part_rows=part_rows, counted=t.journal_entry_lines.select("journal_entry_id"),
     )
     heads = t.journal_entries
     joined = heads.join(lines, F.col("id") == F.col("journal_entry_id"), "left")

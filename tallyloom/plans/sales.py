@@ -52,7 +52,7 @@ def nested_lines(t, part_rows: int = PART_ROWS) -> DataFrame:
         lines_with_product(t), "order_id", "order_lines", [F.col(c) for c in order],
         ["line_number", "product_id", "quantity", "unit_price", "subtotal", "created_at",
          "product_sku", "product_name"],
-        part_rows=part_rows,
+        part_rows=part_rows, counted=t.order_lines.select("order_id"),
     )
 
 
@@ -73,11 +73,12 @@ def line_total():
 
 def invoice_totals(t) -> DataFrame:
     """Grand total and line count per order; lines of unknown products do not count."""
-    known = t.order_lines.groupBy("order_id", "product_id").agg(
-        F.sum(line_total()).alias("amount"), F.count(F.lit(1)).alias("n")
-    ).join(t.products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    known = t.order_lines.join(
+        t.products.select(F.col("id").alias("product_id")), "product_id", "left_semi"
+    )
     return known.groupBy("order_id").agg(
-        F.sum("amount").cast(MONEY).alias("grand_total"), F.sum("n").alias("line_count")
+        F.sum(line_total()).cast(MONEY).alias("grand_total"),
+        F.count(F.lit(1)).alias("line_count"),
     )
 
 
