@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions import business, cleaning
-from tallyloom.operators.validate import Field, Rule
+from tallyloom.operators.validate import Field, Rule, cleaned, parsed
 
 
-def required_text(name: str, *, default: str | None = None, reason: str | None = None) -> Field:
+def required_text(name: str, *, default: str | None = None) -> Field:
     raw = cleaning.or_default(F.col(name), default) if default else F.col(name)
-    value = cleaning.text_or_null(raw)
-    return Field(name, value, (Rule(value.isNull(), reason or f"{name} is required"),))
+    return Field(
+        name, cleaning.text_or_null(raw), (Rule(cleaned(name).isNull(), f"{name} is required"),)
+    )
 
 
 def optional_text(name: str) -> Field:
@@ -27,13 +28,15 @@ def choice(name: str, members: list[str], *, default: str | None = None) -> Fiel
     """Trimmed, case-sensitive member of a vocabulary."""
     raw = cleaning.or_default(F.col(name), default) if default else F.col(name)
     value = F.coalesce(cleaning.trimmed(raw), F.lit(""))
-    return Field(name, value, (Rule(~value.isin(members), business.one_of(name, members)),))
+    return Field(
+        name, value, (Rule(~cleaned(name).isin(members), business.one_of(name, members)),)
+    )
 
 
 def exact_choice(name: str, members: list[str], *, default: str | None = None) -> Field:
     """Member of a vocabulary without trimming; absent takes the default when there is one."""
     value = F.coalesce(F.col(name), F.lit(default)) if default else F.col(name)
-    bad = ~F.coalesce(value, F.lit("")).isin(members)
+    bad = ~F.coalesce(cleaned(name), F.lit("")).isin(members)
     return Field(name, value, (Rule(bad, business.one_of(name, members)),))
 
 
@@ -52,16 +55,17 @@ def amount(
     """Money with two places. The sign is judged before rounding, the maximum after."""
     text = F.col(source or name)
     raw = cleaning.number_or_zero(text) if zero_if_blank else cleaning.number(text)
-    value = cleaning.cents(raw)
-    bad = value.isNull() & text.isNotNull() if optional else value.isNull()
+    bad = cleaned(name).isNull()
+    if optional:
+        bad = bad & text.isNotNull()
     if not negative:
-        bad = bad | (raw < 0)
+        bad = bad | (parsed(name) < 0)
     if positive:
-        bad = bad | (raw <= 0)
+        bad = bad | (parsed(name) <= 0)
     rules = [Rule(bad, reason)]
     if at_most is not None:
-        rules.append(Rule(value > at_most, too_big))
-    return Field(name, value, tuple(rules))
+        rules.append(Rule(cleaned(name) > at_most, too_big))
+    return Field(name, cleaning.cents(parsed(name)), tuple(rules), parse=raw)
 
 
 def whole_number(
@@ -73,15 +77,15 @@ def whole_number(
     optional: bool = False,
     default: int | None = None,
 ) -> Field:
-    value = cleaning.whole(cleaning.number(F.col(name)))
+    value = cleaning.whole(parsed(name))
     if default is not None:
         value = F.when(F.col(name).isNull(), F.lit(default).cast("bigint")).otherwise(value)
-    bad = value.isNull() | (value < low)
+    bad = cleaned(name).isNull() | (cleaned(name) < low)
     if high is not None:
-        bad = bad | (value > high)
+        bad = bad | (cleaned(name) > high)
     if optional:
         bad = F.col(name).isNotNull() & bad
-    return Field(name, value, (Rule(bad, reason),))
+    return Field(name, value, (Rule(bad, reason),), parse=cleaning.number(F.col(name)))
 
 
 def date(
@@ -94,33 +98,39 @@ def date(
     """ISO date. A missing date is caught first, an unreadable one when the row is stored;
     ``strict`` checks both up front."""
     text = F.nullif(F.col(name), F.lit(""))
-    value = cleaning.iso_date(text)
-    unreadable = Rule(text.isNotNull() & value.isNull(), f"{name} must be a valid date")
+    unreadable = Rule(text.isNotNull() & parsed(name).isNull(), f"{name} must be a valid date")
     missing = (Rule(text.isNull(), f"{name} is required"),) if required else ()
     if strict:
-        bad = Rule(value.isNull(), unreadable.reason) if required else unreadable
+        bad = Rule(parsed(name).isNull(), unreadable.reason) if required else unreadable
         first, late = (bad,), ()
     else:
         first, late = missing, (unreadable,)
+    value = parsed(name)
     if default is not None:
         value = F.when(text.isNull(), default).otherwise(value)
-    return Field(name, value, first, late)
+    return Field(name, value, first, late, parse=cleaning.iso_date(text))
 
 
 def moment(name: str, *, default: Column | None = None) -> Field:
     """Optional UTC date-time."""
-    value = cleaning.iso_datetime(F.col(name))
-    bad = F.col(name).isNotNull() & value.isNull()
+    value = parsed(name)
     if default is not None:
         value = F.when(F.col(name).isNull(), default).otherwise(value)
-    return Field(name, value, (Rule(bad, f"{name} must be a valid datetime"),))
+    bad = F.col(name).isNotNull() & parsed(name).isNull()
+    return Field(
+        name, value, (Rule(bad, f"{name} must be a valid datetime"),),
+        parse=cleaning.iso_datetime(F.col(name)),
+    )
 
 
 def flag(
     name: str, *, default: bool | None = None, required: bool = False, reason: str | None = None
 ) -> Field:
-    value = cleaning.boolean(F.col(name))
+    value = parsed(name)
     bad = value.isNull() if required else F.col(name).isNotNull() & value.isNull()
     if default is not None:
         value = F.when(F.col(name).isNull(), F.lit(default)).otherwise(value)
-    return Field(name, value, (Rule(bad, reason or f"{name} must be true or false"),))
+    return Field(
+        name, value, (Rule(bad, reason or f"{name} must be true or false"),),
+        parse=cleaning.boolean(F.col(name)),
+    )

@@ -8,12 +8,12 @@ joined, so an id that a third of the feed talks about is no heavier than any oth
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.validate import REASON, Field, Rule, clean, flag_known
+from tallyloom.operators.validate import REASON, Field, Rule, clean, cleaned, flag_known
 
 
 @dataclass(frozen=True)
@@ -97,19 +97,16 @@ def _checked_patches(feed: DataFrame, fields: Sequence[Field], empty: str) -> Da
         F.split("present", ","), F.array(*[F.lit(each.name) for each in fields])
     )
     guarded = [
-        Field(
-            each.name,
-            each.value,
-            tuple(Rule(given(each.name) & rule.bad, rule.reason) for rule in each.rules),
-            tuple(Rule(given(each.name) & rule.bad, rule.reason) for rule in each.late),
+        replace(
+            each,
+            rules=tuple(Rule(cleaned(f"__has_{each.name}") & r.bad, r.reason) for r in each.rules),
+            late=tuple(Rule(cleaned(f"__has_{each.name}") & r.bad, r.reason) for r in each.late),
         )
         for each in fields
     ]
     flags = [Field(f"__has_{each.name}", given(each.name)) for each in fields]
-    return clean(
-        feed, [Field("__empty", nothing, (Rule(nothing, empty),)), *guarded, *flags],
-        keep=("seq", "id"),
-    )
+    none = Field("__empty", nothing, (Rule(cleaned("__empty"), empty),))
+    return clean(feed, [none, *guarded, *flags], keep=("seq", "id"))
 
 
 def _fold_patches(valid: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -25,14 +25,30 @@ class Rule:
     reason: str
 
 
+def parsed(name: str) -> Column:
+    """The field's ``parse`` result, to be used in its value and rules."""
+    return F.col(f"__p_{name}")
+
+
+def cleaned(name: str) -> Column:
+    """The field's value, to be used in rules."""
+    return F.col(f"__v_{name}")
+
+
 @dataclass(frozen=True)
 class Field:
-    """A cleaned output column with its rules; ``late`` rules run after all others."""
+    """A cleaned output column with its rules; ``late`` rules run after all others.
+
+    Columns are computed in three steps: ``parse`` from the raw row, ``value`` from that,
+    rules from both. Referring to a step (``parsed``, ``cleaned``) instead of repeating its
+    expression keeps text from being parsed once per rule.
+    """
 
     name: str
     value: Column
     rules: tuple[Rule, ...] = ()
     late: tuple[Rule, ...] = ()
+    parse: Column | None = None
 
 
 @dataclass(frozen=True)
@@ -62,8 +78,14 @@ def clean(feed: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ("requ
     """Cleaned columns plus the first failing field rule; narrow, no shuffle."""
     rules = [rule for each in fields for rule in each.rules]
     rules += [rule for each in fields for rule in each.late]
-    return feed.select(
-        *keep, *[each.value.alias(each.name) for each in fields], first_reason(rules).alias(REASON)
+    parsing = [each.parse.alias(f"__p_{each.name}") for each in fields if each.parse is not None]
+    valued = feed.select("*", *parsing).select(
+        "*", *[each.value.alias(f"__v_{each.name}") for each in fields]
+    )
+    return valued.select(
+        *keep,
+        *[cleaned(each.name).alias(each.name) for each in fields],
+        first_reason(rules).alias(REASON),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from tallyloom.functions import business as b
 from tallyloom.functions import cleaning
 from tallyloom.functions import fields as f
-from tallyloom.operators.validate import Field, Reference, Rule, Unique, validate
+from tallyloom.operators.validate import (
+    Field, Reference, Rule, Unique, cleaned, parsed, validate,
+)
 from tallyloom.sources import roles
 
 FINANCE_KEY = "Invalid foreign key reference in finance request"
@@ -102,17 +105,16 @@ def accounts(t) -> DataFrame:
 
 
 def asset_category() -> Field:
-    value = b.asset_category(F.col("category"))
-    return Field("category", value, (
+    value = cleaned("category")
+    return Field("category", b.asset_category(F.col("category")), (
         Rule(value.isNull(), "category is required"),
         Rule(~value.isin(b.ASSET_CATEGORIES), b.one_of("category", b.ASSET_CATEGORIES)),
     ))
 
 
 def asset_status() -> Field:
-    value = b.asset_status(F.col("status"))
-    return Field("status", value, (
-        Rule(~value.isin(b.ASSET_STATUSES), b.one_of("status", b.ASSET_STATUSES)),
+    return Field("status", b.asset_status(F.col("status")), (
+        Rule(~cleaned("status").isin(b.ASSET_STATUSES), b.one_of("status", b.ASSET_STATUSES)),
     ))
 
 
@@ -230,18 +232,16 @@ def vendors(t) -> DataFrame:
     return validate(t.vendor_feed, [*vendor_fields(), Field("status", F.lit("Active"))])
 
 
-def whitelist(entity: str, fields: list[Field], feed: DataFrame) -> list[Field]:
+def whitelist(entity: str, fields: list[Field]) -> list[Field]:
     """Prefix the rule that at least one allowed field must be given."""
     nothing = F.coalesce(*[F.col(each.name) for each in fields]).isNull()
     empty = Rule(nothing, f"No valid fields provided for {entity}.")
-    return [Field(fields[0].name, fields[0].value, (empty, *fields[0].rules), fields[0].late),
-            *fields[1:]]
+    return [replace(fields[0], rules=(empty, *fields[0].rules)), *fields[1:]]
 
 
 def categories(t) -> DataFrame:
-    feed = t.category_feed
-    return validate(feed, whitelist(
-        "categories", [f.plain_text("name"), f.plain_text("description")], feed
+    return validate(t.category_feed, whitelist(
+        "categories", [f.plain_text("name"), f.plain_text("description")]
     ))
 
 
@@ -259,10 +259,9 @@ def warehouses(t) -> DataFrame:
 
 def stored_number(name: str, kind: str) -> Field:
     """No rule of its own, but the column it is stored in only takes numbers."""
-    raw = cleaning.number(F.col(name))
-    value = cleaning.whole(raw) if kind == "bigint" else raw.try_cast(kind)
-    return Field(name, value, (), (Rule(F.col(name).isNotNull() & value.isNull(),
-                                        f"{name} must be a number"),))
+    value = cleaning.whole(parsed(name)) if kind == "bigint" else parsed(name).try_cast(kind)
+    bad = Rule(F.col(name).isNotNull() & cleaned(name).isNull(), f"{name} must be a number")
+    return Field(name, value, (), (bad,), parse=cleaning.number(F.col(name)))
 
 
 def storage_bin_fields() -> list[Field]:
@@ -273,19 +272,17 @@ def storage_bin_fields() -> list[Field]:
 
 
 def storage_bins(t) -> DataFrame:
-    feed = t.storage_bin_feed
-    return validate(feed, whitelist("storage_bins", storage_bin_fields(), feed))
+    return validate(t.storage_bin_feed, whitelist("storage_bins", storage_bin_fields()))
 
 
 def products(t) -> DataFrame:
-    feed = t.product_feed
     rules = [
         stored_number("category_id", "bigint"), f.plain_text("sku"), f.plain_text("name"),
         f.plain_text("description"), stored_number("unit_price", "decimal(18,2)"),
         stored_number("cost_price", "decimal(18,2)"), stored_number("stock_quantity", "bigint"),
     ]
     return validate(
-        feed, whitelist("products", rules, feed),
+        t.product_feed, whitelist("products", rules),
         unique=Unique(("sku",), t.products, INVENTORY_TWIN),
     )
 
@@ -297,7 +294,8 @@ def new_products(t) -> DataFrame:
     return validate(t.new_product_feed, [
         f.required_text("name"),
         price,
-        Field("cost_price", price.value),
+        replace(price, name="cost_price", value=cleaning.cents(parsed("unit_price")), rules=(),
+                parse=None),
         f.whole_number(
             "stock_quantity", "stock_quantity must be 0 or greater", low=0, default=0
         ),
@@ -306,34 +304,36 @@ def new_products(t) -> DataFrame:
 
 
 def employee_fields() -> list[Field]:
-    username = cleaning.text_or_null(F.col("username"))
-    email = cleaning.trimmed(F.col("email"))
-    role, role_id = F.col("role"), cleaning.whole(cleaning.number(F.col("role_id")))
+    role, role_id = F.col("role"), parsed("role_id")
     salary = f.amount("base_salary", "base_salary must be 0 or greater", optional=True)
-    resolved = F.when(role.isNotNull(), b.preferred_role_id(b.canonical_role(role))).otherwise(
-        role_id
-    )
+    named = b.preferred_role_id(b.canonical_role(role))
     return [
-        Field("username", username, (
-            Rule(F.coalesce(F.length(username), F.lit(0)) < 3, "username is required"),)),
+        Field("username", cleaning.text_or_null(F.col("username")), (
+            Rule(F.coalesce(F.length(cleaned("username")), F.lit(0)) < 3,
+                 "username is required"),)),
         Field("__password", F.lit(None).cast("string"), (
             Rule(F.coalesce(F.length("password"), F.lit(0)) < 8,
                  "password must be at least 8 characters"),)),
-        Field("email", email, (
-            Rule(~F.coalesce(cleaning.is_email(email), F.lit(False)), "email must be valid"),)),
+        Field("email", cleaning.trimmed(F.col("email")), (
+            Rule(~F.coalesce(cleaning.is_email(cleaned("email")), F.lit(False)),
+                 "email must be valid"),)),
         f.required_text("first_name"),
         f.required_text("last_name"),
         f.date("hire_date", required=True, strict=True),
-        Field("role_id", resolved, (
+        Field("role_id", F.when(role.isNotNull(), named).otherwise(role_id), (
             Rule(role.isNotNull() & ~role.isin(roles.CANONICAL_ROLES),
                  b.one_of("role", roles.CANONICAL_ROLES)),
             Rule(F.col("role_id").isNotNull() & (role_id.isNull() | (role_id < 1)),
-                 "role_id must be a positive integer"),)),
+                 "role_id must be a positive integer"),),
+            parse=cleaning.whole(cleaning.number(F.col("role_id")))),
         f.whole_number("department_id", "department_id must be a positive integer",
                        optional=True),
         f.optional_text("job_title"),
         # A salary of zero is stored as unknown.
-        Field("base_salary", F.nullif(salary.value, F.lit(0)), salary.rules),
+        replace(salary, value=F.nullif(salary.value, F.lit(0)), rules=(
+            Rule(F.col("base_salary").isNotNull()
+                 & (parsed("base_salary").isNull() | (parsed("base_salary") < 0)),
+                 "base_salary must be 0 or greater"),)),
         f.flag("is_active", default=True),
         Field("__role", role, (Rule(role.isNull() & role_id.isNull(), "role is required"),)),
     ]
@@ -382,7 +382,7 @@ def movement_fields(as_of: datetime.datetime) -> list[Field]:
             ~F.coalesce(F.col("movement_type"), F.lit("")).isin(b.MOVEMENT_TYPES),
             "movement_type must be a supported warehouse movement"),)),
         optional_id("moved_by"), f.optional_text("reference_type"), optional_id("reference_id"),
-        Field(when.name, when.value, (*when.rules, nowhere)),
+        replace(when, rules=(*when.rules, nowhere)),
     ]
 
 

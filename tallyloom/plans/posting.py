@@ -12,7 +12,9 @@ from tallyloom.functions import business as b
 from tallyloom.functions import cleaning
 from tallyloom.functions import fields as f
 from tallyloom.operators.posting import Documents, post_documents
-from tallyloom.operators.validate import REASON, Field, Rule, clean, first_reason, flag_known
+from tallyloom.operators.validate import (
+    REASON, Field, Rule, clean, cleaned, first_reason, flag_known, parsed,
+)
 from tallyloom.plans.intake import FINANCE_KEY, SALES_KEY
 
 MONEY = "decimal(18,2)"
@@ -20,12 +22,12 @@ MONEY = "decimal(18,2)"
 
 def sales_orders(t, as_of: datetime.datetime, headers=None, lines=None) -> Documents:
     """Orders with their lines; prices and totals are not rounded."""
-    price = cleaning.number(F.col("unit_price"))
+    price = parsed("unit_price")
     exact_price = Field(
         "unit_price", price.try_cast("decimal(20,6)"),
         (Rule(price.isNull() | (price < 0), "unit_price must be 0 or greater"),),
+        parse=cleaning.number(F.col("unit_price")),
     )
-    status = cleaning.trimmed(F.col("status"))
     subtotal = F.col("quantity").cast("decimal(10,0)") * F.col("unit_price")
     return post_documents(
         t.sales_order_feed if headers is None else headers,
@@ -33,8 +35,8 @@ def sales_orders(t, as_of: datetime.datetime, headers=None, lines=None) -> Docum
         [
             f.whole_number("customer_id", "customer_id is required"),
             f.moment("order_date", default=cleaning.instant(as_of)),
-            Field("status", F.coalesce(status, F.lit("Draft")),
-                  (Rule(status == "", "status must not be blank"),)),
+            Field("status", F.coalesce(cleaning.trimmed(F.col("status")), F.lit("Draft")),
+                  (Rule(cleaned("status") == "", "status must not be blank"),)),
         ],
         [
             f.whole_number("product_id", "product_id is required"),
@@ -80,17 +82,11 @@ def _balance_side(name: str) -> Field:
 
 def journal_entries(t, headers=None, lines=None) -> Documents:
     """Double entry: debits equal credits, as given and after rounding each line."""
-    feed = t.journal_line_feed if lines is None else lines
-    raw = feed.select(
-        "*",
-        cleaning.number_or_zero(F.col("debit")).alias("raw_debit"),
-        cleaning.number_or_zero(F.col("credit")).alias("raw_credit"),
-    )
     differs = F.round("__raw_debit", 2) != F.round("__raw_credit", 2)
     empty_line = (F.col("debit") <= 0) & (F.col("credit") <= 0)
     return post_documents(
         t.journal_feed if headers is None else headers,
-        raw,
+        t.journal_line_feed if lines is None else lines,
         [
             f.required_text("description"),
             f.date("entry_date", required=True, strict=True),
@@ -99,7 +95,7 @@ def journal_entries(t, headers=None, lines=None) -> Documents:
         [
             f.whole_number("account_id", "account_id is required"),
             _balance_side("debit"), _balance_side("credit"),
-            Field("__rd", F.col("raw_debit")), Field("__rc", F.col("raw_credit")),
+            Field("__rd", parsed("debit")), Field("__rc", parsed("credit")),
         ],
         line_values={"__void": empty_line},
         totals={
