@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.listing import lookup
-from tallyloom.operators.validate import accepted, outcome, validate
+from tallyloom.operators.validate import outcome, split, validate
 from tallyloom.plans import (
     access, bi, crm, edits, finance, hr, intake, inventory, posting, sales, scm,
 )
@@ -323,7 +323,7 @@ def _json_documents(t) -> DataFrame:
 def _appended(t) -> DataFrame:
     """Accepted categories appended to a table, whitelisted columns only."""
     path = scratch_path(t.spark, "categories")
-    rows = accepted(intake.categories(t))
+    rows, _ = split(intake.categories(t))
     sinks.append_rows(rows, path, ["name", "description"])
     return t.spark.read.schema("name STRING, description STRING").parquet(path)
 

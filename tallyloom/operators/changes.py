@@ -38,12 +38,16 @@ def _rejects(checked: DataFrame, base: DataFrame, not_found: str) -> DataFrame:
     return judged.filter(F.col(REASON).isNotNull())
 
 
-def _valid(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.col(REASON).isNull())
+# Invalid changes are left out inside the folding aggregates, not by a filter below them:
+# a filter on the reason would be pushed down to the scan, rules and parsing spelled out
+# again, and every field would be read twice.
+def _valid() -> Column:
+    return F.col(REASON).isNull()
 
 
 def _rewrite(base: DataFrame, folded: DataFrame, new: dict[str, Column], hit: str) -> Changes:
     """Join folded changes to the base and swap in the ``new`` columns where ``hit`` is set."""
+    folded = folded.filter(F.col(hit).isNotNull())
     touched = F.col(hit).isNotNull()
     swapped = [
         F.when(touched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
@@ -67,18 +71,19 @@ def replace_fields(
 ) -> Changes:
     """The last valid change of an id sets all ``fields`` (one field: a status change)."""
     checked = clean(feed, fields, keep=("seq", "id"))
-    done = apply_latest(base, _valid(checked), [each.name for each in fields], stamp)
+    done = apply_latest(base, checked, [each.name for each in fields], stamp)
     return Changes(done.table, done.changed, _rejects(checked, base, not_found))
 
 
 def apply_latest(
     base: DataFrame,
-    valid: DataFrame,
+    judged: DataFrame,
     names: Sequence[str],
     stamp: dict[str, Column] | None = None,
 ) -> Changes:
     """Set ``names`` to the values of the latest valid change of each id."""
-    folded = valid.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new"))
+    latest = F.max_by(F.struct(*names), F.when(_valid(), F.col("seq")))
+    folded = judged.groupBy("id").agg(latest.alias("__new"))
     new = {
         **{c: F.col(f"__new.{c}").cast(base.schema[c].dataType) for c in names},
         **(stamp or {}),
@@ -109,15 +114,17 @@ def _checked_patches(feed: DataFrame, fields: Sequence[Field], empty: str) -> Da
     return clean(feed, [none, *guarded, *flags], keep=("seq", "id"))
 
 
-def _fold_patches(valid: DataFrame, names: Sequence[str]) -> DataFrame:
+def _fold_patches(judged: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per id and field the last given value, wrapped so that a given NULL still counts."""
-    return valid.groupBy("id").agg(
+    return judged.groupBy("id").agg(
         *[
-            F.max_by(F.struct(F.col(c).alias("value")), F.when(F.col(f"__has_{c}"), F.col("seq")))
-            .alias(f"__new_{c}")
+            F.max_by(
+                F.struct(F.col(c).alias("value")),
+                F.when(_valid() & F.col(f"__has_{c}"), F.col("seq")),
+            ).alias(f"__new_{c}")
             for c in names
         ],
-        F.lit(True).alias("__hit"),
+        F.max(F.when(_valid(), F.lit(True))).alias("__hit"),
     )
 
 
@@ -137,7 +144,7 @@ def patch_fields(
     """Set only the fields a body carried; an absent field keeps its value."""
     checked = _checked_patches(feed, fields, empty)
     names = [each.name for each in fields]
-    done = _rewrite(base, _fold_patches(_valid(checked), names), _patched(base, names), "__hit")
+    done = _rewrite(base, _fold_patches(checked, names), _patched(base, names), "__hit")
     return Changes(done.table, done.changed, _rejects(checked, base, not_found))
 
 
@@ -167,7 +174,7 @@ def patch_and_delete(
         REASON, F.coalesce(F.col(REASON), F.lit(not_found))
     )
     names = [each.name for each in fields]
-    done = _rewrite(base, _fold_patches(_valid(on_time), names), _patched(base, names), "__hit")
+    done = _rewrite(base, _fold_patches(on_time, names), _patched(base, names), "__hit")
     columns = ("seq", "id", REASON)
     rejected = (
         _rejects(on_time, base, not_found).select(*columns)
@@ -193,13 +200,13 @@ def add_to(
     checked = clean(feed, [target, amount], keep=("request_id",)).select(
         F.col("request_id").alias("seq"), F.col(target.name).alias("id"), amount.name, REASON
     )
-    done = apply_sums(base, _valid(checked), column, amount.name)
+    done = apply_sums(base, checked, column, amount.name)
     return Changes(done.table, done.changed, _rejects(checked, base, not_found))
 
 
-def apply_sums(base: DataFrame, valid: DataFrame, column: str, amount: str) -> Changes:
+def apply_sums(base: DataFrame, judged: DataFrame, column: str, amount: str) -> Changes:
     """Add up the valid amounts of each id and add the sum to ``column``."""
-    folded = valid.groupBy("id").agg(F.sum(amount).alias("__add"))
+    folded = judged.groupBy("id").agg(F.sum(F.when(_valid(), F.col(amount))).alias("__add"))
     new = {column: (F.col(column) + F.col("__add")).cast(base.schema[column].dataType)}
     return _rewrite(base, folded, new, "__add")
 

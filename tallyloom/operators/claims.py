@@ -60,12 +60,16 @@ def _holders_of_many(rows: DataFrame, columns: Sequence[str], order: str) -> Dat
 def _mark_one(
     df: DataFrame, column: str, table: DataFrame, eligible: Column, order: str
 ) -> DataFrame:
-    """One key: stored values and claims share one aggregate, then one join."""
+    """One key: stored values and claims share one aggregate, then one join.
+
+    Rows that are not eligible claim nothing (NULL) but stay in the aggregate: filtering
+    them out would push the whole rule set down to the scan a second time.
+    """
     stored = table.select(F.col(column).alias("__held"), F.lit(True).alias("__stored"),
                           F.lit(None).cast(df.schema[order].dataType).alias("__claim"))
-    claims = df.filter(eligible & F.col(column).isNotNull()).select(
+    claims = df.select(
         F.col(column).alias("__held"), F.lit(False).alias("__stored"),
-        F.col(order).alias("__claim"),
+        F.when(eligible, F.col(order)).alias("__claim"),
     )
     holders = stored.unionByName(claims).groupBy("__held").agg(
         F.max("__stored").alias("__stored"), F.min("__claim").alias("__holder")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.claims import mark_duplicates
+from tallyloom.session import materialise
 
 REASON = "reject_reason"
 
@@ -122,12 +123,12 @@ def validate(
     return checked.select(*keep, *[each.name for each in fields], REASON)
 
 
-def accepted(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.col(REASON).isNull()).drop(REASON)
-
-
-def rejected(validated: DataFrame, key: str = "request_id") -> DataFrame:
-    return validated.filter(F.col(REASON).isNotNull()).select(key, REASON)
+def split(validated: DataFrame, key: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Accepted rows and rejections (key, reason), judged once: the verdicts are written to
+    the shared folder and both sides read from there, each skipping the other's row groups."""
+    settled = materialise(validated, "verdicts")
+    bad = F.col(REASON).isNotNull()
+    return settled.filter(~bad).drop(REASON), settled.filter(bad).select(key, REASON)
 
 
 def outcome(validated: DataFrame, keep: Sequence[str] = ("request_id",)) -> DataFrame:

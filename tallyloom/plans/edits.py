@@ -90,10 +90,13 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
         keep=("seq", "id"),
     )
     users, links = t.users, t.employees.select("id", "user_id")
-    latest = checked.filter(F.col(REASON).isNull()).groupBy("id").agg(
-        F.max("seq").alias("seq"), F.max_by("is_active", "seq").alias("is_active")
+    valid_seq = F.when(F.col(REASON).isNull(), F.col("seq"))
+    latest = checked.groupBy("id").agg(
+        F.max_by("is_active", valid_seq).alias("is_active"), F.max(valid_seq).alias("seq")
+    ).filter(F.col("seq").isNotNull())
+    per_user = latest.join(links, "id").select(
+        F.col("user_id").alias("id"), "seq", "is_active", F.lit(None).cast("string").alias(REASON)
     )
-    per_user = latest.join(links, "id").select(F.col("user_id").alias("id"), "seq", "is_active")
     done = apply_latest(users, per_user, ["is_active"], stamped(as_of))
     # An employee without a user cannot be switched: "not found", as for an unknown id.
     reachable = links.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
