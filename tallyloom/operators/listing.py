@@ -33,8 +33,9 @@ def listing(df: DataFrame, order: Sequence[Column], columns: Sequence | None = N
 
 
 def lookup(df: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
-    """Rows of ``df`` whose ``column`` is one of ``keys.id``."""
-    return df.join(keys.select(F.col("id").alias(column)), column, "left_semi")
+    """Rows of ``df`` whose ``column`` is one of ``keys.id``; repeated keys are folded first."""
+    wanted = keys.select(F.col("id").alias(column)).distinct()
+    return df.join(wanted, column, "left_semi")
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

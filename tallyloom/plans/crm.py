@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.documents import PART_ROWS, date_up, nest, or_empty, time_down
+from tallyloom.operators.documents import (
+    PART_ROWS, attach, crowded, date_up, in_parts, nest, time_down,
+)
 from tallyloom.operators.listing import down, listing, up
 
 
@@ -44,24 +46,17 @@ def customer_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
     Both children are nested on their own and meet on (customer, part), so opportunities
     never multiply with quotations.
     """
+    dealers = crowded(t.opportunities, "customer_id", part_rows)
+    askers = crowded(t.quotations, "customer_id", part_rows)
     deals = nest(
         t.opportunities, "customer_id", "opportunities",
         [*date_up("expected_close_date"), F.col("id")],
         ["id", "title", "stage", "estimated_value", "expected_close_date"],
-        spread=F.col("id"), part_rows=part_rows,
+        spread="id", crowd=dealers,
     )
     quotes = nest(
         t.quotations, "customer_id", "quotations", [*time_down("created_at"), F.col("id")],
         ["id", "quote_number", "valid_until", "status", "total_amount", "created_at"],
-        spread=F.col("id"), part_rows=part_rows,
-    )
-    pieces = deals.join(quotes, ["customer_id", "part"], "full_outer")
-    joined = t.customers.join(
-        pieces.withColumnRenamed("customer_id", "__owner"), F.col("id") == F.col("__owner"), "left"
-    )
-    return joined.select(
-        *t.customers.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        or_empty(joined, "opportunities"),
-        or_empty(joined, "quotations"),
+        spread="id", crowd=askers,
     )
+    return attach(attach(in_parts(t.customers, dealers, askers), deals), quotes)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.business import yearly_depreciation
-from tallyloom.operators.documents import PART_ROWS, nest, or_empty
+from tallyloom.operators.documents import (
+    PART_ROWS, attach, crowded, in_parts, nest, numbered,
+)
 from tallyloom.operators.listing import down, listing, one_row, up
 
 MONEY = "decimal(18,2)"
@@ -60,12 +62,12 @@ def payables(t) -> DataFrame:
     return listing(joined.drop("vendor_id"), [up("due_date"), up("id")])
 
 
-def journal_lines(t) -> DataFrame:
+def journal_lines(t, lines: DataFrame | None = None) -> DataFrame:
     chart = t.accounts.select(
         F.col("id").alias("account_id"), "account_code", F.col("name").alias("account_name"),
         F.col("type").alias("account_type"),
     )
-    return t.journal_entry_lines.join(chart, "account_id", "left")
+    return (t.journal_entry_lines if lines is None else lines).join(chart, "account_id", "left")
 
 
 def journal_totals(t) -> DataFrame:
@@ -87,24 +89,21 @@ def unreversed_entries(t) -> DataFrame:
     """Entries nobody has reversed yet."""
     reversals = t.journal_entries.filter(
         (F.col("reference_type") == "JournalReversal") & F.col("reference_id").isNotNull()
-    ).select(F.col("reference_id").alias("id"))
+    ).select(F.col("reference_id").alias("id")).distinct()
     return t.journal_entries.join(reversals, "id", "left_anti").select(
         "id", "entry_date", "description"
     )
 
 
 def journal_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
-    order = ["account_id", "debit", "credit"]
+    crowd = crowded(t.journal_entry_lines, "journal_entry_id", part_rows)
     lines = nest(
-        journal_lines(t), "journal_entry_id", "lines", [F.col(c) for c in order],
+        journal_lines(t, numbered(t.journal_entry_lines)), "journal_entry_id", "lines",
+        [F.col(c) for c in ("account_id", "debit", "credit")],
         ["account_id", "debit", "credit", "account_code", "account_name", "account_type"],
-        part_rows=part_rows, counted=t.journal_entry_lines.select("journal_entry_id"),
-    )
-    heads = t.journal_entries
-    joined = heads.join(lines, F.col("id") == F.col("journal_entry_id"), "left")
-    return joined.select(
-        *heads.columns, F.coalesce("part", F.lit(0)).alias("part"), or_empty(joined, "lines")
+        spread="position", crowd=crowd,
     )
+    return attach(in_parts(t.journal_entries, crowd), lines)
 
 
 def tax_summary(t) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.documents import PART_ROWS, nest, or_empty
+from tallyloom.operators.documents import (
+    PART_ROWS, attach, crowded, in_parts, nest, numbered,
+)
 from tallyloom.operators.listing import down, listing, lookup, up
 
 MONEY = "decimal(18,2)"
@@ -37,33 +39,27 @@ def sales_orders(t) -> DataFrame:
     return listing(orders_with_customer(t), [down("created_at"), down("id")])
 
 
-def lines_with_product(t) -> DataFrame:
+def lines_with_product(t, lines: DataFrame | None = None) -> DataFrame:
     names = t.products.select(
         F.col("id").alias("product_id"), F.col("sku").alias("product_sku"),
         F.col("name").alias("product_name"),
     )
-    return t.order_lines.join(names, "product_id")
-
-
-def nested_lines(t, part_rows: int = PART_ROWS) -> DataFrame:
-    # No id on the sample lines: the whole line is the sort key after its number.
-    order = ["line_number", "product_id", "quantity", "unit_price"]
-    return nest(
-        lines_with_product(t), "order_id", "order_lines", [F.col(c) for c in order],
-        ["line_number", "product_id", "quantity", "unit_price", "subtotal", "created_at",
-         "product_sku", "product_name"],
-        part_rows=part_rows, counted=t.order_lines.select("order_id"),
-    )
+    return (t.order_lines if lines is None else lines).join(names, "product_id")
 
 
 def order_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
     """Each order of a known customer with its customer's contact and its lines."""
-    headers = orders_with_customer(t, "primary_contact_name", "primary_email")
-    joined = headers.join(nested_lines(t, part_rows), F.col("id") == F.col("order_id"), "left")
-    return joined.select(
-        *headers.columns, F.coalesce("part", F.lit(0)).alias("part"),
-        or_empty(joined, "order_lines"),
+    crowd = crowded(t.order_lines, "order_id", part_rows)
+    # The lines have no id: a line's place is its number, then the line itself.
+    lines = nest(
+        lines_with_product(t, numbered(t.order_lines)), "order_id", "order_lines",
+        [F.col(c) for c in ("line_number", "product_id", "quantity", "unit_price")],
+        ["line_number", "product_id", "quantity", "unit_price", "subtotal", "created_at",
+         "product_sku", "product_name"],
+        spread="position", crowd=crowd,
     )
+    heads = orders_with_customer(t, "primary_contact_name", "primary_email")
+    return attach(in_parts(heads, crowd), lines)
 
 
 def line_total():

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators.documents import nest
+from tallyloom.operators.documents import crowded, in_parts, nest, numbered
 from tallyloom.plans import crm, finance, sales
 
 
@@ -33,9 +33,11 @@ def test_children_are_sorted_with_nulls_where_they_belong(make, bundle):
 
 def test_a_hot_parent_comes_in_parts_and_whole(make):
     rows = [(1, i) for i in range(1000)] + [(2, i) for i in range(5)]
-    children = make(rows, "owner BIGINT, n INT")
-    parts = nest(children, "owner", "items", [F.col("n")], ["n"], spread=F.col("n"),
-                 part_rows=50).collect()
+    children = make(rows, "parent BIGINT, n INT")
+    crowd = crowded(children, "parent", 50)
+    assert crowd.collect() == [(1, 20)]
+    parts = nest(children, "parent", "items", [F.col("n")], ["n"], spread="n",
+                 crowd=crowd).collect()
     hot = [[x["n"] for x in r["items"]] for r in parts if r["owner"] == 1]
     assert len(hot) == 20
     assert all(each == sorted(each) for each in hot)
@@ -45,11 +47,19 @@ def test_a_hot_parent_comes_in_parts_and_whole(make):
 
 
 def test_identical_children_are_split_too(make):
-    copies = make([(1, 7)] * 300, "owner BIGINT, n INT").repartition(4)
-    parts = nest(copies, "owner", "items", [F.col("n")], ["n"], part_rows=30).collect()
+    copies = numbered(make([(1, 7)] * 300, "parent BIGINT, n INT"))
+    parts = nest(copies, "parent", "items", [F.col("n")], ["n"], spread="position",
+                 crowd=crowded(copies, "parent", 30)).collect()
     assert len(parts) > 5 and sum(len(r["items"]) for r in parts) == 300
 
 
+def test_parents_take_as_many_parts_as_their_largest_children(make):
+    parents = make([(1,), (2,), (3,)], "id BIGINT")
+    few, many = [make(rows, "owner BIGINT, parts INT") for rows in ([(1, 2)], [(1, 4), (3, 2)])]
+    got = sorted(tuple(r) for r in in_parts(parents, few, many).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (3, 0), (3, 1)]
+
+
 def test_parts_add_up_for_every_document(tables):
     whole = sales.order_documents(tables)
     parts = sales.order_documents(tables, part_rows=2)
