@@ -26,10 +26,11 @@ def documents(headers, lines, columns, rules, line_columns, line_rules, totals,
         missing.append(("d.stray", line_key[2]))
     steps = {
         "judged_lines": f"SELECT f.request_id, f.line_no, {line_typed}, {i.reasons(line_rules)} "
-                        f"AS l0 FROM {lines} f WHERE f.request_id IS NOT NULL",
+                        f"AS l0, {i.reasons([(c, str(n)) for n, (c, _) in enumerate(line_rules)])}"
+                        f" AS rule FROM {lines} f WHERE f.request_id IS NOT NULL",
         "all_lines": f"SELECT l.*{more}, ({stray}) AS stray FROM judged_lines l",
         "worst": "SELECT request_id, reason FROM (SELECT request_id, l0" + suffix + " AS reason, "
-                 "row_number() OVER (PARTITION BY request_id ORDER BY line_no, l0) AS rn "
+                 "row_number() OVER (PARTITION BY request_id ORDER BY line_no, rule) AS rn "
                  "FROM all_lines WHERE l0 IS NOT NULL) x WHERE rn = 1",
         "sums": "SELECT request_id, count(*) AS n, bool_or(stray) AS stray, "
                 + ", ".join(f"{v} AS {k}" for k, v in totals.items())

@@ -33,13 +33,18 @@ def or_default(text: Column, default: str) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
 
 
+NUMBER = "decimal(38,10)"
+
+
 def number(text: Column) -> Column:
-    return trimmed(text).try_cast("decimal(38,10)")
+    """Clean text is read as it is; only what does not read is trimmed and tried again."""
+    return F.coalesce(text.try_cast(NUMBER), trimmed(text).try_cast(NUMBER))
 
 
 def number_or_zero(text: Column) -> Column:
     """Number where a missing or blank field counts as zero."""
-    return F.coalesce(text_or_null(text), F.lit("0")).try_cast("decimal(38,10)")
+    blank = F.coalesce(text_or_null(text), F.lit("0")).try_cast(NUMBER)
+    return F.coalesce(text.try_cast(NUMBER), blank)
 
 
 def cents(value: Column) -> Column:
@@ -52,6 +57,11 @@ def whole(value: Column) -> Column:
     return F.when(value == F.floor(value), value.try_cast("bigint"))
 
 
+def integer(text: Column) -> Column:
+    """Whole number in text: plain digits first, then spellings like ``12.0`` or ``1e2``."""
+    return F.coalesce(text.try_cast("bigint"), whole(number(text)))
+
+
 def iso_date(text: Column) -> Column:
     """Strict ``YYYY-MM-DD`` calendar date."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))

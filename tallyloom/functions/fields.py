@@ -77,7 +77,7 @@ def whole_number(
     optional: bool = False,
     default: int | None = None,
 ) -> Field:
-    value = cleaning.whole(parsed(name))
+    value = parsed(name)
     if default is not None:
         value = F.when(F.col(name).isNull(), F.lit(default).cast("bigint")).otherwise(value)
     bad = cleaned(name).isNull() | (cleaned(name) < low)
@@ -85,7 +85,7 @@ def whole_number(
         bad = bad | (cleaned(name) > high)
     if optional:
         bad = F.col(name).isNotNull() & bad
-    return Field(name, value, (Rule(bad, reason),), parse=cleaning.number(F.col(name)))
+    return Field(name, value, (Rule(bad, reason),), parse=cleaning.integer(F.col(name)))
 
 
 def date(

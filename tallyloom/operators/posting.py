@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.validate import REASON, Field, Rule, clean, first_reason, flag_known
+from tallyloom.operators.validate import (
+    REASON, Field, Rule, clean, first_reason, first_rule, flag_known, rules_of,
+)
 
 KEY = "request_id"
 
@@ -48,17 +50,23 @@ def post_documents(
     ``line_values`` are derived per line, ``totals`` are aggregates over them. With
     ``numbered`` a line's reason ends in its number.
     """
-    checked = clean(lines.filter(F.col(KEY).isNotNull()), line_fields, keep=(KEY, "line_no"))
+    line_rules = rules_of(line_fields)
+    checked = clean(
+        lines.filter(F.col(KEY).isNotNull()), line_fields, keep=(KEY, "line_no"),
+        verdict=("__rule", first_rule(line_rules)),
+    )
     checked = checked.select("*", *[value.alias(name) for name, value in line_values.items()])
     known = F.lit(True)
     if line_key is not None:
         checked = flag_known(checked, line_key[0], line_key[1], "__known")
         known = F.col("__known") | F.col(line_key[0]).isNull()
-    # Smallest (line number, reason) of the bad lines: one value per document and task.
-    first_bad = F.min(F.when(F.col(REASON).isNotNull(), F.struct("line_no", REASON)))
+    # The first failing rule of the first bad line as one number: fixed-width buffers keep
+    # this a hash aggregate, where a struct or a text would have all lines sorted first.
+    step = len(line_rules)
+    place = F.col("line_no").cast("bigint") * step + F.col("__rule")
     per_document = checked.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("__n"),
-        first_bad.alias("__bad"),
+        F.min(place).alias("__bad"),
         F.max(~known).alias("__stray"),
         *[value.alias(name) for name, value in totals.items()],
     )
@@ -69,9 +77,11 @@ def post_documents(
         column, table, reason = header_key
         judged = flag_known(judged, column, table, "__owner")
         missing.insert(0, Rule(F.col(column).isNotNull() & ~F.col("__owner"), reason))
-    bad = F.col(f"__bad.{REASON}")
+    texts = F.array(*[F.lit(rule.reason) for rule in line_rules])
+    bad = F.get(texts, F.pmod("__bad", F.lit(step)).cast("int"))
     if numbered:
-        bad = F.concat(bad, F.lit(" for line "), F.col("__bad.line_no").cast("string"))
+        line = F.floor(F.col("__bad").cast("decimal(20,0)") / step).cast("string")
+        bad = F.concat(bad, F.lit(" for line "), line)
     reason = F.coalesce(
         F.col("__header"),
         F.when(F.coalesce("__n", F.lit(0)) < least, F.lit(no_lines)),

@@ -75,10 +75,29 @@ def first_reason(rules: Sequence[Rule]) -> Column:
     return F.coalesce(*arms) if arms else F.lit(None).cast("string")
 
 
-def clean(feed: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ("request_id",)):
-    """Cleaned columns plus the first failing field rule; narrow, no shuffle."""
+def rules_of(fields: Sequence[Field]) -> list[Rule]:
+    """All rules in the order they are judged."""
     rules = [rule for each in fields for rule in each.rules]
-    rules += [rule for each in fields for rule in each.late]
+    return rules + [rule for each in fields for rule in each.late]
+
+
+def first_rule(rules: Sequence[Rule]) -> Column:
+    """Position of the first failing rule, NULL when all hold."""
+    return F.coalesce(*[F.when(rule.bad, F.lit(i)) for i, rule in enumerate(rules)])
+
+
+def clean(
+    feed: DataFrame,
+    fields: Sequence[Field],
+    keep: Sequence[str] = ("request_id",),
+    *,
+    verdict: tuple[str, Column] | None = None,
+) -> DataFrame:
+    """Cleaned columns plus the first failing field rule; narrow, no shuffle.
+
+    ``verdict`` replaces the ``reject_reason`` column by another one over the rules.
+    """
+    name, judged = verdict or (REASON, first_reason(rules_of(fields)))
     parsing = [each.parse.alias(f"__p_{each.name}") for each in fields if each.parse is not None]
     valued = feed.select("*", *parsing).select(
         "*", *[each.value.alias(f"__v_{each.name}") for each in fields]
@@ -86,7 +105,7 @@ def clean(feed: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ("requ
     return valued.select(
         *keep,
         *[cleaned(each.name).alias(each.name) for each in fields],
-        first_reason(rules).alias(REASON),
+        judged.alias(name),
     )
 
 

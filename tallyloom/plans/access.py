@@ -38,7 +38,7 @@ def access_audit(t) -> DataFrame:
 def resolve_roles(feed: DataFrame) -> DataFrame:
     """A role given as an id or as any spelling of its name, turned into a role id."""
     given = F.col("role")
-    by_id = cleaning.whole(cleaning.number(given))
+    by_id = cleaning.integer(given)
     by_id = F.when(by_id > 0, by_id)
     by_name = business.preferred_role_id(business.canonical_role(given))
     role_id = F.coalesce(by_id, by_name)

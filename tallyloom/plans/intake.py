@@ -259,9 +259,9 @@ def warehouses(t) -> DataFrame:
 
 def stored_number(name: str, kind: str) -> Field:
     """No rule of its own, but the column it is stored in only takes numbers."""
-    value = cleaning.whole(parsed(name)) if kind == "bigint" else parsed(name).try_cast(kind)
+    read = cleaning.integer if kind == "bigint" else cleaning.number
     bad = Rule(F.col(name).isNotNull() & cleaned(name).isNull(), f"{name} must be a number")
-    return Field(name, value, (), (bad,), parse=cleaning.number(F.col(name)))
+    return Field(name, parsed(name).try_cast(kind), (), (bad,), parse=read(F.col(name)))
 
 
 def storage_bin_fields() -> list[Field]:
@@ -325,7 +325,7 @@ def employee_fields() -> list[Field]:
                  b.one_of("role", roles.CANONICAL_ROLES)),
             Rule(F.col("role_id").isNotNull() & (role_id.isNull() | (role_id < 1)),
                  "role_id must be a positive integer"),),
-            parse=cleaning.whole(cleaning.number(F.col("role_id")))),
+            parse=cleaning.integer(F.col("role_id"))),
         f.whole_number("department_id", "department_id must be a positive integer",
                        optional=True),
         f.optional_text("job_title"),

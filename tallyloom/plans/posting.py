@@ -90,7 +90,7 @@ def journal_entries(t, headers=None, lines=None) -> Documents:
         [
             f.required_text("description"),
             f.date("entry_date", required=True, strict=True),
-            Field("created_by", cleaning.whole(cleaning.number(F.col("created_by")))),
+            Field("created_by", cleaning.integer(F.col("created_by"))),
         ],
         [
             f.whole_number("account_id", "account_id is required"),
@@ -265,7 +265,7 @@ def known_accounts(t, feed: DataFrame) -> DataFrame:
     """Per payment request: are both accounts there, distinct and active?"""
     ids = feed.select(
         "request_id",
-        *[cleaning.whole(cleaning.number(F.col(c))).alias(c)
+        *[cleaning.integer(F.col(c)).alias(c)
           for c in ("debit_account_id", "credit_account_id")],
     )
     live = t.accounts.filter("is_active").select("id")

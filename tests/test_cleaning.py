@@ -33,7 +33,7 @@ def test_blank_counts_as_zero_only_on_request(make):
 
 
 def test_whole_numbers(make):
-    got = apply(make, lambda c: cleaning.whole(cleaning.number(c)), "12.0", "1e2", "1.5", "x", "-3")
+    got = apply(make, lambda c: cleaning.integer(c), "12.0", "1e2", "1.5", "x", "-3")
     assert got == [12, 100, None, None, -3]
 
 
