@@ -283,9 +283,9 @@ EDITS["upsert_products"] = ("U-9", edits.upsert_products)
 
 POSTING: dict[str, tuple[str, Callable]] = {
     "post_sales_orders": ("W-1 A-13", lambda t: outcome(posting.sales_orders(t, NOW).headers)),
-    "post_sales_order_lines": ("W-1 A-13", lambda t: posting.sales_orders(t, NOW).lines),
+    "post_sales_order_lines": ("W-1 A-13", lambda t: posting.sales_orders(t, NOW).lines()),
     "post_purchase_orders": ("W-2 A-14", lambda t: outcome(posting.purchase_orders(t).headers)),
-    "post_purchase_order_lines": ("W-2 A-14", lambda t: posting.purchase_orders(t).lines),
+    "post_purchase_order_lines": ("W-2 A-14", lambda t: posting.purchase_orders(t).lines()),
     "post_journal_entries": (
         "W-3", lambda t: outcome(posting.journal_headers(posting.journal_entries(t)))
     ),
@@ -293,7 +293,7 @@ POSTING: dict[str, tuple[str, Callable]] = {
     "journal_balance": ("A-12", lambda t: posting.journal_balance(t.journal_line_feed)),
     "reverse_requests": ("W-4 J-22", lambda t: posting.reversals(t, AS_OF).requests),
     "reverse_entries": ("W-4 F-15", lambda t: posting.reversals(t, AS_OF).entries),
-    "reverse_lines": ("W-4", lambda t: posting.reversals(t, AS_OF).lines),
+    "reverse_lines": ("W-4", lambda t: posting.reversals(t, AS_OF).lines()),
     "payment_requests": ("W-5 P-7", lambda t: posting.payments(t, NOW).requests),
     "payment_rows": ("W-5 F-10", lambda t: posting.payments(t, NOW).payments),
     "payment_entries": ("W-5 F-15", lambda t: posting.payments(t, NOW).entries),

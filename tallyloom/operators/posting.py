@@ -16,17 +16,24 @@ from pyspark.sql import functions as F
 from tallyloom.operators.validate import (
     REASON, Field, Rule, clean, first_reason, first_rule, flag_known, rules_of,
 )
+from tallyloom.session import materialise
 
 KEY = "request_id"
 
 
 @dataclass(frozen=True)
 class Documents:
-    """``headers``: every request with its totals and ``reject_reason``; ``lines``: the lines
-    of accepted documents."""
+    """``headers``: every request with its totals and ``reject_reason``; ``lines()``: the
+    lines of accepted documents."""
 
     headers: DataFrame
-    lines: DataFrame
+    checked_lines: DataFrame
+
+    def lines(self) -> DataFrame:
+        """The accepted keys are written to the shared folder first. The line join then has
+        two plain sides of known size: a small one is broadcast, a hot document is split."""
+        good = self.headers.filter(F.col(REASON).isNull()).select(KEY)
+        return self.checked_lines.join(materialise(good, "accepted"), KEY, "left_semi")
 
 
 def post_documents(
@@ -91,8 +98,5 @@ def post_documents(
     result = judged.withColumn(REASON, reason).select(
         KEY, *[each.name for each in header_fields], *totals, REASON
     )
-    good = result.filter(F.col(REASON).isNull()).select(KEY)
-    kept = checked.join(good, KEY, "left_semi").select(
-        KEY, "line_no", *[each.name for each in line_fields], *line_values
-    )
+    kept = checked.select(KEY, "line_no", *[each.name for each in line_fields], *line_values)
     return Documents(result, kept)

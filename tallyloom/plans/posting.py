@@ -16,6 +16,7 @@ from tallyloom.operators.validate import (
     REASON, Field, Rule, clean, cleaned, first_reason, flag_known, parsed,
 )
 from tallyloom.plans.intake import FINANCE_KEY, SALES_KEY
+from tallyloom.session import materialise
 
 MONEY = "decimal(18,2)"
 
@@ -121,7 +122,7 @@ def journal_headers(documents: Documents) -> DataFrame:
 
 
 def journal_lines(documents: Documents) -> DataFrame:
-    return documents.lines.select("request_id", "line_no", "account_id", "debit", "credit")
+    return documents.lines().select("request_id", "line_no", "account_id", "debit", "credit")
 
 
 def journal_balance(lines: DataFrame) -> DataFrame:
@@ -137,9 +138,22 @@ def journal_balance(lines: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Reversals:
+    """Judged requests, the new entries, and ``lines()``: the swapped lines."""
+
     requests: DataFrame
     entries: DataFrame
-    lines: DataFrame
+    stored_lines: DataFrame
+
+    def lines(self) -> DataFrame:
+        """Debit and credit change sides. What is to be reversed is written to the shared
+        folder first, so that an entry with very many lines is split in the join."""
+        wanted = materialise(
+            self.entries.select(F.col("reference_id").alias("journal_entry_id"), "id"), "reversed"
+        )
+        return self.stored_lines.join(wanted, "journal_entry_id").select(
+            F.col("id").alias("journal_entry_id"), "account_id",
+            F.col("credit").alias("debit"), F.col("debit").alias("credit"),
+        )
 
 
 def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversals:
@@ -180,14 +194,9 @@ def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversa
         F.lit("JournalReversal").alias("reference_type"),
         F.col("journal_entry_id").alias("reference_id"), "created_by",
     )
-    new_lines = t.journal_entry_lines.join(
-        accepted.select("journal_entry_id", "request_id"), "journal_entry_id"
-    ).select(
-        F.col("request_id").alias("journal_entry_id"), "account_id",
-        F.col("credit").alias("debit"), F.col("debit").alias("credit"),
-    )
     return Reversals(
-        requests.select("request_id", "journal_entry_id", REASON), new_entries, new_lines
+        requests.select("request_id", "journal_entry_id", REASON), new_entries,
+        t.journal_entry_lines,
     )
 
 
@@ -213,8 +222,14 @@ def payment_fields(as_of: datetime.datetime) -> list[Field]:
     ]
 
 
-def payments(t, as_of: datetime.datetime, feed: DataFrame | None = None) -> Payments:
-    """Payments with their journal entry: one debit and one credit line each."""
+def payments(
+    t, as_of: datetime.datetime, feed: DataFrame | None = None, *, settle: bool = False
+) -> Payments:
+    """Payments with their journal entry: one debit and one credit line each.
+
+    With ``settle`` the verdicts are written to the shared folder once and all four results
+    read them; without it each result is a plan of its own.
+    """
     feed = t.payment_feed if feed is None else feed
     checked = clean(feed, payment_fields(as_of)).withColumnRenamed(REASON, "__field")
     bills = t.invoices.select(F.col("id").alias("invoice_id"), "invoice_number",
@@ -238,6 +253,8 @@ def payments(t, as_of: datetime.datetime, feed: DataFrame | None = None) -> Paym
         ]),
     )
     judged = judged.withColumn(REASON, reason)
+    if settle:
+        judged = materialise(judged, "payments")
     good = judged.filter(F.col(REASON).isNull())
     amount, nothing = F.col("amount_paid"), F.lit(0).cast(MONEY)
     sides = F.array(

@@ -71,7 +71,7 @@ def test_nested_order_bodies(spark, tables, tmp_path):
     assert {r["request_id"]: r["reject_reason"] for r in done.headers.collect()} == {
         1: None, 2: "order_lines must contain at least one item",
         3: "order_lines must contain at least one item", 4: "quantity must be at least 1"}
-    assert sorted((r["line_no"], str(r["subtotal"])) for r in done.lines.collect()) == [
+    assert sorted((r["line_no"], str(r["subtotal"])) for r in done.lines().collect()) == [
         (1, "3.000000"), (2, "0.000000")]
 
 

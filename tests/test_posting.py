@@ -40,7 +40,7 @@ def test_sales_orders_are_all_or_nothing(make, bundle):
     first = done.headers.filter("request_id = 0").first()
     assert first["total_amount"] == Decimal("1.250000")
     assert (first["status"], first["order_date"]) == ("Draft", NOW)
-    assert done.lines.groupBy("request_id").count().orderBy("request_id").collect() == [(0, 2),
+    assert done.lines().groupBy("request_id").count().orderBy("request_id").collect() == [(0, 2),
                                                                                         (7, 1)]
 
 
@@ -110,7 +110,7 @@ def test_reversals(make, bundle):
     assert heads[9]["description"] == "Reversal of JE #1 - one" and heads[9]["created_by"] == 8
     assert (heads[9]["entry_date"], heads[9]["reference_id"]) == (DAY, 1)
     swapped = sorted((r["account_id"], r["debit"], r["credit"])
-                     for r in done.lines.filter("journal_entry_id = 9").collect())
+                     for r in done.lines().filter("journal_entry_id = 9").collect())
     assert swapped == [(5, Decimal("0.00"), Decimal("3.00")), (6, Decimal("3.00"), Decimal("0.00"))]
 
 
@@ -146,6 +146,13 @@ def test_payment(make, bundle, change, reason):
             (5, 1, Decimal("10.01"), Decimal("0.00")), (5, 2, Decimal("0.00"), Decimal("10.01"))]
 
 
+def test_settled_payments_are_the_same(tables):
+    plain, settled = [posting.payments(tables, NOW, settle=s) for s in (False, True)]
+    for name in ("requests", "payments", "entries", "lines"):
+        left, right = getattr(plain, name), getattr(settled, name)
+        assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
 def test_access(spark, make, bundle):
     t = bundle(
         roles=role_table(spark),
