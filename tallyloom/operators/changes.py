@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.validate import REASON, Field, Rule, clean, cleaned, flag_known
+from tallyloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -149,14 +150,18 @@ def patch_fields(
 
 
 def delete_rows(base: DataFrame, feed: DataFrame, *, not_found: str) -> Changes:
-    """Delete by id; a second deletion of the same id finds nothing."""
-    first = feed.groupBy("id").agg(F.min("seq").alias("__first"))
-    flagged = flag_known(feed.select("seq", "id"), "id", base, "__known").join(first, "id")
-    lost = ~F.col("__known") | (F.col("seq") > F.col("__first"))
+    """Delete by id; a second deletion of the same id finds nothing.
+
+    All requests are rejected but the first of each stored id. They are told apart by
+    (id, seq), so the requests of one busy id are spread over all tasks.
+    """
+    first = feed.groupBy("id").agg(F.min("seq").alias("seq"))
+    served = first.join(base.select("id"), "id", "left_semi")
+    refused = feed.select("seq", "id").join(served, ["id", "seq"], "left_anti")
     return Changes(
         table=base.join(first, "id", "left_anti"),
         changed=base.join(first, "id", "left_semi"),
-        rejected=flagged.filter(lost).select("seq", "id", F.lit(not_found).alias(REASON)),
+        rejected=refused.select("seq", "id", F.lit(not_found).alias(REASON)),
     )
 
 
@@ -166,7 +171,8 @@ def patch_and_delete(
     """One feed of ``op`` update and delete: whatever follows the first deletion of an id
     finds nothing. ``changed`` holds the rows that were updated and still exist."""
     deletes = feed.filter(F.col("op") == "delete")
-    gone = deletes.groupBy("id").agg(F.min("seq").alias("__gone"))
+    # Written first: the feed then joins a plain table of known size, and a busy id is split.
+    gone = materialise(deletes.groupBy("id").agg(F.min("seq").alias("__gone")), "gone")
     late = F.coalesce(F.col("seq") > F.col("__gone"), F.lit(False))
     updates = feed.filter(F.col("op") == "update").join(gone, "id", "left")
     on_time = _checked_patches(updates.filter(~late), fields, empty)

@@ -2,7 +2,9 @@
 
 A row that fails any other rule does not occupy its keys. Aggregates find the holders, so
 a key asked for by a third of the feed costs one partial row per task, never a window
-over the whole group.
+over the whole group. What the feed is joined back to is written to the shared folder
+first: it is small as a rule and then broadcast by its known size; if it is not, both
+sides of the join are plain and a hot key is split.
 """
 
 from __future__ import annotations
@@ -16,20 +18,23 @@ from pyspark.sql import functions as F
 from tallyloom.session import materialise
 
 
+def _holders(rows: DataFrame, column: str, order: str) -> DataFrame:
+    return rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__held")).agg(
+        F.min(order).alias("__holder")
+    )
+
+
 def _flag_taken(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     """Add ``__taken_<column>``: is the value already stored?"""
     flag = f"__taken_{column}"
-    stored = table.select(F.col(column).alias("__stored")).distinct()
-    stored = stored.withColumn(flag, F.lit(True))
-    joined = df.join(stored, F.col(column) == F.col("__stored"), "left").drop("__stored")
+    asked = df.select(F.col(column).alias("__stored")).distinct()
+    stored = table.select(F.col(column).alias("__stored")).join(asked, "__stored", "left_semi")
+    known = materialise(stored.distinct(), "taken").withColumn(flag, F.lit(True))
+    joined = df.join(known, F.col(column) == F.col("__stored"), "left").drop("__stored")
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _holders_of_one(rows: DataFrame, column: str, order: str) -> DataFrame:
-    return rows.groupBy(F.col(column).alias("__held")).agg(F.min(order).alias("__holder"))
-
-
-def _holders_of_many(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+def _winners(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """Rows that end up holding all their keys, in feed order.
 
     A row wins when it is the earliest open row for every one of its keys; rows sharing a
@@ -40,19 +45,22 @@ def _holders_of_many(rows: DataFrame, columns: Sequence[str], order: str) -> Dat
     open_rows = materialise(rows.select(order, *names), "claims-open")
     won = []
     while not open_rows.isEmpty():
-        ranked = open_rows
+        ranked, first = open_rows, []
         for i, column in enumerate(names):
-            first = _holders_of_one(open_rows, column, order).withColumnRenamed(
-                "__holder", f"__first_{i}"
-            )
-            ranked = ranked.join(first, F.col(column) == F.col("__held")).drop("__held")
-        wins = reduce(
-            lambda a, b: a & b, [F.col(f"__first_{i}") == F.col(order) for i in range(len(names))]
-        )
+            holders = materialise(_holders(open_rows, column, order), "claims-first")
+            ranked = ranked.join(
+                holders.withColumnRenamed("__holder", f"__first_{i}"),
+                F.col(column) == F.col("__held"), "left",
+            ).drop("__held")
+            # A missing key is nobody's: it cannot keep its row from winning.
+            first.append(F.coalesce(F.col(f"__first_{i}"), F.col(order)) == F.col(order))
+        wins = reduce(lambda a, b: a & b, first)
         winners = materialise(ranked.filter(wins).select(order, *names), "claims-won")
         won.append(winners)
+        open_rows = open_rows.join(winners.select(order), order, "left_anti")
         for column in names:
-            open_rows = open_rows.join(winners.select(column), column, "left_anti")
+            held = winners.select(column).filter(F.col(column).isNotNull())
+            open_rows = open_rows.join(held, column, "left_anti")
         open_rows = materialise(open_rows.select(order, *names), "claims-open")
     return reduce(DataFrame.unionByName, won) if won else open_rows
 
@@ -60,22 +68,33 @@ def _holders_of_many(rows: DataFrame, columns: Sequence[str], order: str) -> Dat
 def _mark_one(
     df: DataFrame, column: str, table: DataFrame, eligible: Column, order: str
 ) -> DataFrame:
-    """One key: stored values and claims share one aggregate, then one join.
+    """One key: stored values and claims share one aggregate.
 
     Rows that are not eligible claim nothing (NULL) but stay in the aggregate: filtering
-    them out would push the whole rule set down to the scan a second time.
+    them out would push the whole rule set down to the scan a second time. Only keys that
+    can make a row late, those stored or asked for more than once, are joined back.
     """
-    stored = table.select(F.col(column).alias("__held"), F.lit(True).alias("__stored"),
-                          F.lit(None).cast(df.schema[order].dataType).alias("__claim"))
+    stored = table.select(
+        F.col(column).alias("__held"), F.lit(1).alias("__stored"), F.lit(0).alias("__asked"),
+        F.lit(None).cast(df.schema[order].dataType).alias("__claim"),
+    )
     claims = df.select(
-        F.col(column).alias("__held"), F.lit(False).alias("__stored"),
+        F.col(column).alias("__held"), F.lit(0).alias("__stored"), F.lit(1).alias("__asked"),
         F.when(eligible, F.col(order)).alias("__claim"),
     )
-    holders = stored.unionByName(claims).groupBy("__held").agg(
-        F.max("__stored").alias("__stored"), F.min("__claim").alias("__holder")
+    keys = stored.unionByName(claims).groupBy("__held").agg(
+        F.max("__stored").alias("__stored"), F.sum("__asked").alias("__asked"),
+        F.min("__claim").alias("__holder"),
+    )
+    contested = materialise(
+        keys.filter(
+            F.col("__held").isNotNull()
+            & (((F.col("__stored") == 1) & (F.col("__asked") > 0)) | (F.col("__asked") > 1))
+        ).drop("__asked"),
+        "contested",
     )
-    late = F.col("__stored") | (F.col("__holder") < F.col(order))
-    joined = df.join(holders, F.col(column) == F.col("__held"), "left")
+    late = (F.col("__stored") == 1) | (F.col("__holder") < F.col(order))
+    joined = df.join(contested, F.col(column) == F.col("__held"), "left")
     return joined.withColumn("duplicate", F.coalesce(late, F.lit(False))).drop(
         "__held", "__stored", "__holder"
     )
@@ -90,10 +109,10 @@ def mark_duplicates(
     for column in columns:
         df = _flag_taken(df, column, table)
     taken = reduce(lambda a, b: a | b, [F.col(f"__taken_{c}") for c in columns])
-    contenders = _holders_of_many(df.filter(eligible & ~taken), columns, order)
+    winners = _winners(df.filter(eligible & ~taken), columns, order)
     late = taken
     for i, column in enumerate(columns):
-        holders = _holders_of_one(contenders, column, order).withColumnRenamed(
+        holders = materialise(_holders(winners, column, order), "claims-held").withColumnRenamed(
             "__holder", f"__holder_{i}"
         )
         df = df.join(holders, F.col(column) == F.col("__held"), "left").drop("__held")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import materialise
+
 
 def up(column: str) -> Column:
     """Ascending, NULLs last."""
@@ -33,8 +35,12 @@ def listing(df: DataFrame, order: Sequence[Column], columns: Sequence | None = N
 
 
 def lookup(df: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
-    """Rows of ``df`` whose ``column`` is one of ``keys.id``; repeated keys are folded first."""
-    wanted = keys.select(F.col("id").alias(column)).distinct()
+    """Rows of ``df`` whose ``column`` is one of ``keys.id``.
+
+    The key set is folded and written first, so its size is known: small sets are broadcast
+    and the table is not shuffled at all.
+    """
+    wanted = materialise(keys.select(F.col("id").alias(column)).distinct(), "keys")
     return df.join(wanted, column, "left_semi")
 
 

@@ -136,6 +136,9 @@ def journal_balance(lines: DataFrame) -> DataFrame:
     return sums.withColumn("balanced", F.col("total_debit") == F.col("total_credit"))
 
 
+ALREADY = "This journal entry has already been reversed"
+
+
 @dataclass(frozen=True)
 class Reversals:
     """Judged requests, the new entries, and ``lines()``: the swapped lines."""
@@ -174,18 +177,24 @@ def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversa
     ).select(F.col("reference_id").alias("journal_entry_id")).distinct().withColumn(
         "__done", F.lit(True)
     )
-    verdict = (
-        wanted.join(heads, "journal_entry_id", "left")
-        .join(lined, "journal_entry_id", "left")
-        .join(done, "journal_entry_id", "left")
-    )
     rules = [
         Rule(F.col("__found").isNull(), "Journal entry not found"),
         Rule(F.col("__lined").isNull(), "Journal entry has no lines to reverse"),
-        Rule(F.col("__done").isNotNull() | (F.col("request_id") > F.col("__first")),
-             "This journal entry has already been reversed"),
+        Rule(F.col("__done").isNotNull(), ALREADY),
     ]
-    requests = feed.join(verdict, "journal_entry_id").withColumn(REASON, first_reason(rules))
+    # One row per entry, written first: an entry that very many requests name is then split
+    # in the join, and all three results share the verdict.
+    verdict = materialise(
+        wanted.join(heads, "journal_entry_id", "left")
+        .join(lined, "journal_entry_id", "left")
+        .join(done, "journal_entry_id", "left")
+        .select("journal_entry_id", "__first", "__text", first_reason(rules).alias("__verdict")),
+        "reversals",
+    )
+    late = F.when(F.col("request_id") > F.col("__first"), F.lit(ALREADY))
+    requests = feed.join(verdict, "journal_entry_id").withColumn(
+        REASON, F.coalesce("__verdict", late)
+    )
     accepted = requests.filter(F.col(REASON).isNull())
     number = F.col("journal_entry_id").cast("string")
     new_entries = accepted.select(

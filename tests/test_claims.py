@@ -46,6 +46,17 @@ def test_one_key_with_a_hot_value(make, seed):
         rows, [["k1", "k2"]])
 
 
+def test_missing_keys_clash_with_nobody(make):
+    rows = [(0, None, "e1", True), (1, None, "e2", True), (2, "u1", None, True),
+            (3, "u1", "e3", True), (4, None, "e1", True), (5, None, None, True)]
+    df = make(rows, "request_id BIGINT, username STRING, email STRING, ok BOOLEAN")
+    table = make([], "username STRING, email STRING")
+    got = mark_duplicates(df, ("username", "email"), table, F.col("ok"), "request_id")
+    assert {r["request_id"]: r["duplicate"] for r in got.collect()} == replay(rows, [[], []])
+    one = mark_duplicates(df, ("username",), table, F.col("ok"), "request_id")
+    assert {r["request_id"] for r in one.filter("duplicate").collect()} == {3}
+
+
 def test_a_long_chain_is_settled_exactly(make):
     """Each row shares one key with the next: every second row wins."""
     rows = [(i, f"u{(i + 1) // 2}", f"e{i // 2}", True) for i in range(9)]
