@@ -20,28 +20,29 @@ def shipments(t) -> DataFrame:
     return listing(t.shipments, [up("estimated_arrival"), up("id")])
 
 
-def with_supplier(orders: DataFrame, t) -> DataFrame:
-    """The supplier's name, else the vendor's name under the same id."""
+def _names_by_id(orders: DataFrame, t) -> DataFrame:
+    """Orders with both possible names; the orders are joined directly to one plain table
+    after the other, so that a supplier with very many orders can be split."""
     suppliers = t.suppliers.select(
-        F.col("id").alias("supplier_id"), F.col("company_name").alias("__supplier")
+        F.col("id").alias("supplier_id"), F.col("company_name").alias("__supplier"),
+        F.lit(True).alias("__known"),
     )
     vendor_names = t.vendors.select(
         F.col("id").alias("supplier_id"), F.col("name").alias("__vendor")
     )
-    joined = orders.join(suppliers, "supplier_id", "left").join(vendor_names, "supplier_id", "left")
-    return joined.withColumn("supplier_name", F.coalesce("__supplier", "__vendor")).drop(
-        "__supplier", "__vendor"
-    )
+    return orders.join(suppliers, "supplier_id", "left").join(vendor_names, "supplier_id", "left")
+
+
+def with_supplier(orders: DataFrame, t) -> DataFrame:
+    """The supplier's name, else the vendor's name under the same id."""
+    name = F.coalesce("__supplier", "__vendor")
+    return _names_by_id(orders, t).select(*orders.columns, name.alias("supplier_name"))
 
 
 def with_supplier_only(orders: DataFrame, t) -> DataFrame:
-    """The supplier's name; an id that is only a vendor has none here."""
-    suppliers = t.suppliers.select(F.col("id").alias("supplier_id"), "company_name")
-    vendor_names = t.vendors.select(F.col("id").alias("supplier_id"), "name")
-    names = suppliers.join(vendor_names, "supplier_id", "left").select(
-        "supplier_id", F.coalesce("company_name", "name").alias("supplier_name")
-    )
-    return orders.join(names, "supplier_id", "left")
+    """The same name for suppliers; an id that is only a vendor has none here."""
+    name = F.when(F.col("__known"), F.coalesce("__supplier", "__vendor"))
+    return _names_by_id(orders, t).select(*orders.columns, name.alias("supplier_name"))
 
 
 def purchase_orders(t) -> DataFrame:

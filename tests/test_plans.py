@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tallyloom.catalogue import ACCESS, EDITS, INTAKE, POSTING, REPORTS
-from tallyloom.plans import bi, finance, inventory
+from tallyloom.operators.claims import mark_duplicates
+from tallyloom.operators.validate import flag_known
+from tallyloom.plans import bi, crm, finance, inventory, scm
 from tallyloom.session import materialise, work_dir
 from tallyloom.sources.tables import SampleTables
 
@@ -61,8 +63,44 @@ def test_lines_are_summed_before_they_are_joined(large):
     assert valuation.count("Exchange hashpartitioning") == 2
 
 
-def test_a_hot_key_is_split(large, make):
-    """A third of all orders belong to one customer: AQE splits that join partition."""
+def hot(spark, key, rows=60000, keys=5000):
+    """A third of all rows share one key."""
+    share = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % keys)
+    return spark.range(0, rows, 1, 8).select("id", share.alias(key))
+
+
+def named(spark, name):
+    return spark.range(5000).select("id", F.concat(F.lit("n"), F.col("id")).alias(name))
+
+
+def opportunities(spark, bundle):
+    t = bundle(customers=named(spark, "company_name"))
+    return crm.with_customer(hot(spark, "customer_id"), t)
+
+
+def purchases(spark, bundle):
+    t = bundle(suppliers=named(spark, "company_name"), vendors=named(spark, "name"))
+    return scm.with_supplier(hot(spark, "supplier_id"), t)
+
+
+def purchases_of_suppliers(spark, bundle):
+    t = bundle(suppliers=named(spark, "company_name"), vendors=named(spark, "name"))
+    return scm.with_supplier_only(hot(spark, "supplier_id"), t)
+
+
+def references(spark, bundle):
+    return flag_known(hot(spark, "product_id"), "product_id", spark.range(5000), "known")
+
+
+def claims(spark, bundle):
+    feed = hot(spark, "code")
+    return mark_duplicates(
+        feed, ("code",), spark.range(10).toDF("code"), F.col("id") % 2 == 0, "id")
+
+
+@pytest.mark.parametrize(
+    "job", [opportunities, purchases, purchases_of_suppliers, references, claims])
+def test_a_hot_key_is_split(large, bundle, job):
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -71,19 +109,9 @@ def test_a_hot_key_is_split(large, make):
     for key, value in settings.items():
         large.conf.set(key, value)
     try:
-        orders = large.range(0, 60000, 1, 8).select(
-            F.col("id"),
-            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("customer_id"),
-        )
-        customers = large.range(5000).select(F.col("id").alias("customer_id"))
-        joined = orders.join(customers, "customer_id", "left")
-        assert joined.groupBy("customer_id").count().count() == 5000
-        rows = joined.select("id", "customer_id")
-        rows.write.format("noop").mode("overwrite").save()
-        assert rows.count() == 60000
-        final = rows.filter(F.col("id") >= 0)
-        final.collect()
-        assert "skew=true" in plan(final)
+        joined = job(large, bundle)
+        assert len(joined.collect()) == 60000
+        assert "skew=true" in plan(joined)
     finally:
         for key in settings:
             large.conf.unset(key)
