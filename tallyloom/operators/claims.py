@@ -106,10 +106,12 @@ def mark_duplicates(
     """Add ``duplicate``: some key is stored already or held by an earlier valid row."""
     if len(columns) == 1:
         return _mark_one(df, columns[0], table, eligible, order)
+    # Several passes follow: judge the feed once and go on from files.
+    df = materialise(df.withColumn("__eligible", eligible), "claims")
     for column in columns:
         df = _flag_taken(df, column, table)
     taken = reduce(lambda a, b: a | b, [F.col(f"__taken_{c}") for c in columns])
-    winners = _winners(df.filter(eligible & ~taken), columns, order)
+    winners = _winners(df.filter(F.col("__eligible") & ~taken), columns, order)
     late = taken
     for i, column in enumerate(columns):
         holders = materialise(_holders(winners, column, order), "claims-held").withColumnRenamed(
@@ -117,4 +119,4 @@ def mark_duplicates(
         )
         df = df.join(holders, F.col(column) == F.col("__held"), "left").drop("__held")
         late = late | F.coalesce(F.col(f"__holder_{i}") < F.col(order), F.lit(False))
-    return df.withColumn("duplicate", late)
+    return df.withColumn("duplicate", late).drop("__eligible")
