@@ -95,10 +95,3 @@ def month_start(day: Column) -> Column:
 
 def month_label(day: Column) -> Column:
     return F.date_format(day, "MMM yyyy")
-
-
-def one_of(column: str, members: list[str]) -> str:
-    """The message for a value outside a vocabulary."""
-    return f"{column} must be one of: {', '.join(members)}"
-
-

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions import business, cleaning
+from tallyloom.functions import business, cleaning, reasons
 from tallyloom.operators.validate import Field, Rule, cleaned, parsed
 
 
 def required_text(name: str, *, default: str | None = None) -> Field:
     raw = cleaning.or_default(F.col(name), default) if default else F.col(name)
     return Field(
-        name, cleaning.text_or_null(raw), (Rule(cleaned(name).isNull(), f"{name} is required"),)
+        name, cleaning.text_or_null(raw), (Rule(cleaned(name).isNull(), reasons.required(name)),)
     )
 
 
@@ -29,7 +29,7 @@ def choice(name: str, members: list[str], *, default: str | None = None) -> Fiel
     raw = cleaning.or_default(F.col(name), default) if default else F.col(name)
     value = F.coalesce(cleaning.trimmed(raw), F.lit(""))
     return Field(
-        name, value, (Rule(~cleaned(name).isin(members), business.one_of(name, members)),)
+        name, value, (Rule(~cleaned(name).isin(members), reasons.one_of(name, members)),)
     )
 
 
@@ -37,7 +37,7 @@ def exact_choice(name: str, members: list[str], *, default: str | None = None) -
     """Member of a vocabulary without trimming; absent takes the default when there is one."""
     value = F.coalesce(F.col(name), F.lit(default)) if default else F.col(name)
     bad = ~F.coalesce(cleaned(name), F.lit("")).isin(members)
-    return Field(name, value, (Rule(bad, business.one_of(name, members)),))
+    return Field(name, value, (Rule(bad, reasons.one_of(name, members)),))
 
 
 def amount(
@@ -98,8 +98,8 @@ def date(
     """ISO date. A missing date is caught first, an unreadable one when the row is stored;
     ``strict`` checks both up front."""
     text = F.nullif(F.col(name), F.lit(""))
-    unreadable = Rule(text.isNotNull() & parsed(name).isNull(), f"{name} must be a valid date")
-    missing = (Rule(text.isNull(), f"{name} is required"),) if required else ()
+    unreadable = Rule(text.isNotNull() & parsed(name).isNull(), reasons.valid_date(name))
+    missing = (Rule(text.isNull(), reasons.required(name)),) if required else ()
     if strict:
         bad = Rule(parsed(name).isNull(), unreadable.reason) if required else unreadable
         first, late = (bad,), ()
@@ -118,7 +118,7 @@ def moment(name: str, *, default: Column | None = None) -> Field:
         value = F.when(F.col(name).isNull(), default).otherwise(value)
     bad = F.col(name).isNotNull() & parsed(name).isNull()
     return Field(
-        name, value, (Rule(bad, f"{name} must be a valid datetime"),),
+        name, value, (Rule(bad, reasons.valid_datetime(name)),),
         parse=cleaning.iso_datetime(F.col(name)),
     )
 
@@ -131,6 +131,6 @@ def flag(
     if default is not None:
         value = F.when(F.col(name).isNull(), F.lit(default)).otherwise(value)
     return Field(
-        name, value, (Rule(bad, reason or f"{name} must be true or false"),),
+        name, value, (Rule(bad, reason or reasons.true_or_false(name)),),
         parse=cleaning.boolean(F.col(name)),
     )

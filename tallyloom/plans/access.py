@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions import business, cleaning
+from tallyloom.functions import business, cleaning, reasons
 
 
 def user_permissions(t) -> DataFrame:
@@ -25,10 +25,10 @@ def access_audit(t) -> DataFrame:
         F.col("permissions"), F.col("action")
     )
     verdict = (
-        F.when(F.col("role_id").isNull(), "User role is missing")
-        .when(F.col("permissions").isNull(), "Role not found")
-        .when(granted, "allowed")
-        .otherwise("Forbidden: insufficient permissions")
+        F.when(F.col("role_id").isNull(), reasons.NO_ROLE)
+        .when(F.col("permissions").isNull(), reasons.not_found("Role"))
+        .when(granted, reasons.ALLOWED)
+        .otherwise(reasons.FORBIDDEN)
     )
     return t.access_log.join(people, "user_id", "left").join(
         F.broadcast(grants), "role_id", "left"
@@ -45,5 +45,5 @@ def resolve_roles(feed: DataFrame) -> DataFrame:
     absent = given.isNull() | (given == "")
     return feed.select(
         "request_id", "role", F.when(~absent, role_id).alias("role_id"),
-        F.when(~absent & role_id.isNull(), F.lit("Unsupported role")).alias("reject_reason"),
+        F.when(~absent & role_id.isNull(), F.lit(reasons.UNSUPPORTED_ROLE)).alias("reject_reason"),
     )

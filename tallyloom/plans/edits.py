@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import business as b
 from tallyloom.functions import cleaning
 from tallyloom.functions import fields as f
+from tallyloom.functions import reasons
 from tallyloom.operators.changes import (
     Changes, add_to, apply_latest, delete_rows, judge_targets, patch_and_delete, patch_fields,
     replace_fields, stamp_keys, upsert_rows,
@@ -48,34 +49,34 @@ def status_changes() -> dict[str, Callable]:
     """One status-like field per entity, keyed by the entity's name."""
     return {
         "opportunity": _status("opportunities", "opportunity_stage_feed",
-                               f.choice("stage", b.OPPORTUNITY_STAGES), "Opportunity not found"),
+                               f.choice("stage", b.OPPORTUNITY_STAGES), reasons.not_found("Opportunity")),
         "quotation": _status("quotations", "quotation_status_feed",
-                             f.choice("status", b.QUOTATION_STATUSES), "Quotation not found"),
+                             f.choice("status", b.QUOTATION_STATUSES), reasons.not_found("Quotation")),
         "account": _status("accounts", "account_is_active_feed",
-                           _active("is_active must be a boolean value"), "Account not found"),
-        "asset": _status("assets", "asset_status_feed", intake.asset_status(), "Asset not found",
+                           _active(reasons.BOOLEAN_VALUE), reasons.not_found("Account")),
+        "asset": _status("assets", "asset_status_feed", intake.asset_status(), reasons.not_found("Asset"),
                          stamps=True),
         "leave": _status("leave_requests", "leave_status_feed",
-                         f.choice("status", b.LEAVE_STATUSES), "Leave request not found"),
+                         f.choice("status", b.LEAVE_STATUSES), reasons.not_found("Leave request")),
         "payroll": _status("payroll_runs", "payroll_status_feed",
-                           f.choice("status", b.PAYROLL_STATUSES), "Payroll run not found"),
+                           f.choice("status", b.PAYROLL_STATUSES), reasons.not_found("Payroll run")),
         "job": _status("job_postings", "job_status_feed", f.choice("status", b.JOB_STATUSES),
-                       "Job posting not found"),
+                       reasons.not_found("Job posting")),
         "applicant": _status("applicants", "applicant_pipeline_stage_feed",
                              f.choice("pipeline_stage", b.APPLICANT_STAGES),
-                             "Applicant not found"),
+                             reasons.not_found("Applicant")),
         "training": _status("training_programs", "training_status_feed",
-                            f.choice("status", b.TRAINING_STATUSES), "Training program not found"),
+                            f.choice("status", b.TRAINING_STATUSES), reasons.not_found("Training program")),
         "sales_order": _status("sales_orders", "sales_order_status_feed",
                                f.choice("status", b.SALES_ORDER_STATUSES),
-                               "Sales order not found", stamps=True),
+                               reasons.not_found("Sales order"), stamps=True),
         "vendor": _status("suppliers", "vendor_status_feed",
-                          f.choice("status", b.VENDOR_STATUSES), "Vendor not found", stamps=True),
+                          f.choice("status", b.VENDOR_STATUSES), reasons.not_found("Vendor"), stamps=True),
         "purchase_order": _status("purchase_orders", "purchase_order_status_feed",
                                   f.choice("status", b.PURCHASE_ORDER_STATUSES),
-                                  "Purchase order not found", stamps=True),
+                                  reasons.not_found("Purchase order"), stamps=True),
         "shipment": _status("shipments", "shipment_status_feed", _shipment_status(),
-                            "Shipment not found", stamps=True),
+                            reasons.not_found("Shipment"), stamps=True),
     }
 
 
@@ -86,7 +87,7 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
     users meet at most one change each.
     """
     checked = clean(
-        t.employee_is_active_feed, [_active("is_active must be true or false")],
+        t.employee_is_active_feed, [_active(reasons.true_or_false("is_active"))],
         keep=("seq", "id"),
     )
     users, links = t.users, t.employees.select("id", "user_id")
@@ -103,14 +104,14 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
     touched = t.employees.join(latest.select("id"), "id", "left_semi")
     profiles = hr.employee_profiles(touched, t, done.changed).filter(F.col("username").isNotNull())
     return Changes(done.table, profiles, judge_targets(
-        checked, reachable, "Employee not found"
+        checked, reachable, reasons.not_found("Employee")
     ).filter(F.col(REASON).isNotNull()).select("seq", "id", REASON))
 
 
 def customer(t, as_of) -> Changes:
     return replace_fields(
         t.customers, t.customer_replace_feed, intake.customer_fields(),
-        not_found="Customer not found", stamp=stamped(as_of),
+        not_found=reasons.not_found("Customer"), stamp=stamped(as_of),
     )
 
 
@@ -118,27 +119,27 @@ def pricing_rule(t, as_of) -> Changes:
     """A missing ``is_active`` means false here (a new rule defaults to true)."""
     return replace_fields(
         t.pricing_rules, t.pricing_rule_replace_feed,
-        intake.pricing_rule_fields(active_by_default=False), not_found="Pricing rule not found",
+        intake.pricing_rule_fields(active_by_default=False), not_found=reasons.not_found("Pricing rule"),
     )
 
 
 def account(t, as_of) -> Changes:
     return replace_fields(
         t.accounts, t.account_replace_feed, intake.account_fields(),
-        not_found="Account not found", stamp=stamped(as_of),
+        not_found=reasons.not_found("Account"), stamp=stamped(as_of),
     )
 
 
 def asset(t, as_of) -> Changes:
     return replace_fields(
-        t.assets, t.asset_replace_feed, intake.asset_fields(), not_found="Asset not found",
+        t.assets, t.asset_replace_feed, intake.asset_fields(), not_found=reasons.not_found("Asset"),
         stamp=stamped(as_of),
     )
 
 
 def budget(t, as_of) -> Changes:
     return replace_fields(
-        t.budgets, t.budget_replace_feed, intake.budget_fields(), not_found="Budget not found"
+        t.budgets, t.budget_replace_feed, intake.budget_fields(), not_found=reasons.not_found("Budget")
     )
 
 
@@ -147,14 +148,14 @@ def review(t, as_of) -> Changes:
              f.optional_text("comments")]
     return replace_fields(
         t.performance_reviews, t.review_replace_feed, rules,
-        not_found="Performance review not found",
+        not_found=reasons.not_found("Performance review"),
     )
 
 
 def vendor(t, as_of) -> Changes:
     return replace_fields(
         t.suppliers, t.vendor_replace_feed, intake.vendor_fields(),
-        not_found="Vendor not found", stamp=stamped(as_of),
+        not_found=reasons.not_found("Vendor"), stamp=stamped(as_of),
     )
 
 
@@ -165,49 +166,49 @@ REPLACEMENTS = {
 
 
 def _money(name: str) -> Field:
-    return f.amount(name, f"{name} must be 0 or greater")
+    return f.amount(name, reasons.zero_or_greater(name))
 
 
 def category_patch(t, as_of) -> Changes:
     return patch_fields(
         t.categories, t.category_patch_feed, [f.plain_text("name"), f.plain_text("description")],
-        not_found="Category not found", empty="No valid fields provided for categories update.",
+        not_found=reasons.not_found("Category"), empty=reasons.no_valid_update("categories"),
     )
 
 
 def product_patch(t, as_of) -> Changes:
     description = Field("description", cleaning.trimmed(F.col("description")), (
-        Rule(F.col("description").isNull(), "description must be text"),))
+        Rule(F.col("description").isNull(), reasons.DESCRIPTION),))
     rules = [
         f.required_text("sku"), f.required_text("name"), _money("unit_price"),
         _money("cost_price"),
-        f.whole_number("category_id", "category_id must be a positive integer"),
+        f.whole_number("category_id", reasons.positive_integer("category_id")),
         description,
-        f.whole_number("stock_quantity", "stock_quantity must be 0 or greater", low=0),
+        f.whole_number("stock_quantity", reasons.zero_or_greater("stock_quantity"), low=0),
     ]
     return patch_fields(
-        t.products, t.product_patch_feed, rules, not_found="Product not found",
-        empty="At least one product field is required for update",
+        t.products, t.product_patch_feed, rules, not_found=reasons.not_found("Product"),
+        empty=reasons.nothing_to_update("product"),
     )
 
 
 def warehouse_patch(t, as_of) -> Changes:
     rules = [
         f.required_text("name"), f.required_text("location_address"),
-        f.whole_number("manager_id", "manager_id must be a positive integer"),
-        _active("is_active must be true or false"),
+        f.whole_number("manager_id", reasons.positive_integer("manager_id")),
+        _active(reasons.true_or_false("is_active")),
     ]
     return patch_fields(
-        t.warehouses, t.warehouse_patch_feed, rules, not_found="Warehouse not found",
-        empty="At least one warehouse field is required for update",
+        t.warehouses, t.warehouse_patch_feed, rules, not_found=reasons.not_found("Warehouse"),
+        empty=reasons.nothing_to_update("warehouse"),
     )
 
 
 def storage_bin_patch(t, as_of) -> Changes:
     return patch_fields(
         t.storage_bins, t.storage_bin_patch_feed, intake.storage_bin_fields(),
-        not_found="Storage bin not found",
-        empty="No valid fields provided for storage_bins update.",
+        not_found=reasons.not_found("Storage bin"),
+        empty=reasons.no_valid_update("storage_bins"),
     )
 
 
@@ -224,10 +225,10 @@ def _deletion(table: str, entity: str, not_found: str) -> Callable:
 
 
 DELETIONS = {
-    "category": _deletion("categories", "category", "Category not found"),
-    "product": _deletion("products", "product", "Product not found"),
-    "warehouse": _deletion("warehouses", "warehouse", "Warehouse not found"),
-    "storage_bin": _deletion("storage_bins", "storage_bin", "Storage bin not found"),
+    "category": _deletion("categories", "category", reasons.not_found("Category")),
+    "product": _deletion("products", "product", reasons.not_found("Product")),
+    "warehouse": _deletion("warehouses", "warehouse", reasons.not_found("Warehouse")),
+    "storage_bin": _deletion("storage_bins", "storage_bin", reasons.not_found("Storage bin")),
 }
 
 
@@ -235,27 +236,27 @@ def product_changes(t, as_of) -> Changes:
     """Updates and deletions of products in one feed, in ``seq`` order."""
     return patch_and_delete(
         t.products, t.product_op_feed, [f.required_text("name"), _money("unit_price")],
-        not_found="Product not found", empty="At least one product field is required for update",
+        not_found=reasons.not_found("Product"), empty=reasons.nothing_to_update("product"),
     )
 
 
 def receive_stock(t, as_of=None, feed: DataFrame | None = None) -> Changes:
-    product = f.whole_number("product_id", "Invalid product id.")
-    quantity = f.whole_number("quantity", "Invalid quantity.")
+    product = f.whole_number("product_id", reasons.RECEIVED_PRODUCT)
+    quantity = f.whole_number("quantity", reasons.RECEIVED_QUANTITY)
     return add_to(
         t.products, t.receipt_feed if feed is None else feed, "stock_quantity", product, quantity,
-        not_found="Product not found",
+        not_found=reasons.not_found("Product"),
     )
 
 
 def invoices_paid(t, as_of) -> Changes:
     new = {"status": F.lit("Paid"), "amount_paid": F.col("total_amount"), **stamped(as_of)}
-    return stamp_keys(t.invoices, t.invoice_paid_feed, new, not_found="Invoice not found")
+    return stamp_keys(t.invoices, t.invoice_paid_feed, new, not_found=reasons.not_found("Invoice"))
 
 
 def bills_paid(t, as_of) -> Changes:
     new = {"status": F.lit("Paid"), "amount_paid": F.col("total_amount")}
-    return stamp_keys(t.bills, t.bill_paid_feed, new, not_found="Bill not found")
+    return stamp_keys(t.bills, t.bill_paid_feed, new, not_found=reasons.not_found("Bill"))
 
 
 def upsert_products(t) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tallyloom.functions import business as b
 from tallyloom.functions import cleaning
 from tallyloom.functions import fields as f
+from tallyloom.functions import reasons
 from tallyloom.operators.posting import Documents, post_documents
 from tallyloom.operators.validate import (
     REASON, Field, Rule, clean, cleaned, first_reason, flag_known, parsed,
 )
-from tallyloom.plans.intake import FINANCE_KEY, SALES_KEY
 from tallyloom.session import materialise
 
 MONEY = "decimal(18,2)"
@@ -26,7 +26,7 @@ def sales_orders(t, as_of: datetime.datetime, headers=None, lines=None) -> Docum
     price = parsed("unit_price")
     exact_price = Field(
         "unit_price", price.try_cast("decimal(20,6)"),
-        (Rule(price.isNull() | (price < 0), "unit_price must be 0 or greater"),),
+        (Rule(price.isNull() | (price < 0), reasons.zero_or_greater("unit_price")),),
         parse=cleaning.number(F.col("unit_price")),
     )
     subtotal = F.col("quantity").cast("decimal(10,0)") * F.col("unit_price")
@@ -34,21 +34,21 @@ def sales_orders(t, as_of: datetime.datetime, headers=None, lines=None) -> Docum
         t.sales_order_feed if headers is None else headers,
         t.sales_order_line_feed if lines is None else lines,
         [
-            f.whole_number("customer_id", "customer_id is required"),
+            f.whole_number("customer_id", reasons.required("customer_id")),
             f.moment("order_date", default=cleaning.instant(as_of)),
             Field("status", F.coalesce(cleaning.trimmed(F.col("status")), F.lit("Draft")),
-                  (Rule(cleaned("status") == "", "status must not be blank"),)),
+                  (Rule(cleaned("status") == "", reasons.ORDER_STATUS),)),
         ],
         [
-            f.whole_number("product_id", "product_id is required"),
-            f.whole_number("quantity", "quantity must be at least 1"),
+            f.whole_number("product_id", reasons.required("product_id")),
+            f.whole_number("quantity", reasons.ORDER_QUANTITY),
             exact_price,
         ],
         line_values={"subtotal": subtotal.cast("decimal(28,6)")},
         totals={"total_amount": F.sum("subtotal").cast("decimal(28,6)")},
-        no_lines="order_lines must contain at least one item",
-        line_key=("product_id", t.products, SALES_KEY),
-        header_key=("customer_id", t.customers, SALES_KEY),
+        no_lines=reasons.NO_ORDER_LINES,
+        line_key=("product_id", t.products, reasons.SALES_KEY),
+        header_key=("customer_id", t.customers, reasons.SALES_KEY),
     )
 
 
@@ -60,25 +60,25 @@ def purchase_orders(t, headers=None, lines=None) -> Documents:
         t.purchase_order_line_feed if lines is None else lines,
         [
             f.required_text("po_number"),
-            f.whole_number("supplier_id", "supplier_id must be a valid vendor id"),
+            f.whole_number("supplier_id", reasons.SUPPLIER_ID),
             f.date("expected_delivery_date"),
             Field("status", F.lit("Submitted")),
         ],
         [
-            f.amount("unit_cost", "Invalid unit_cost"),
-            f.whole_number("product_id", "product_id is invalid"),
-            f.whole_number("quantity_ordered", "quantity_ordered must be a positive integer"),
+            f.amount("unit_cost", reasons.PURCHASE_COST),
+            f.whole_number("product_id", reasons.PURCHASE_PRODUCT),
+            f.whole_number("quantity_ordered", reasons.positive_integer("quantity_ordered")),
             Field("quantity_received", F.lit(0)),
         ],
         line_values={"subtotal": subtotal},
         totals={"total_amount": F.sum("subtotal").cast(MONEY)},
-        no_lines="At least one line item is required",
+        no_lines=reasons.NO_PURCHASE_LINES,
         numbered=True,
     )
 
 
 def _balance_side(name: str) -> Field:
-    return f.amount(name, f"{name} must be 0 or greater", zero_if_blank=True)
+    return f.amount(name, reasons.zero_or_greater(name), zero_if_blank=True)
 
 
 def journal_entries(t, headers=None, lines=None) -> Documents:
@@ -94,7 +94,7 @@ def journal_entries(t, headers=None, lines=None) -> Documents:
             Field("created_by", cleaning.integer(F.col("created_by"))),
         ],
         [
-            f.whole_number("account_id", "account_id is required"),
+            f.whole_number("account_id", reasons.required("account_id")),
             _balance_side("debit"), _balance_side("credit"),
             Field("__rd", parsed("debit")), Field("__rc", parsed("credit")),
         ],
@@ -105,15 +105,15 @@ def journal_entries(t, headers=None, lines=None) -> Documents:
             "__raw_debit": F.sum("__rd"), "__raw_credit": F.sum("__rc"),
             "__any_void": F.max("__void"),
         },
-        no_lines="At least two journal lines are required",
+        no_lines=reasons.TWO_JOURNAL_LINES,
         least=2,
         document_rules=[
             Rule(differs | (F.col("total_debit") != F.col("total_credit")),
-                 "Debits must equal Credits"),
-            Rule(F.col("total_debit") <= 0, "Journal entry total must be greater than 0"),
-            Rule(F.col("__any_void"), "Each journal line must include a debit or credit amount"),
+                 reasons.UNBALANCED),
+            Rule(F.col("total_debit") <= 0, reasons.JOURNAL_TOTAL),
+            Rule(F.col("__any_void"), reasons.EMPTY_JOURNAL_LINE),
         ],
-        line_key=("account_id", t.accounts, FINANCE_KEY),
+        line_key=("account_id", t.accounts, reasons.FINANCE_KEY),
     )
 
 
@@ -136,9 +136,6 @@ def journal_balance(lines: DataFrame) -> DataFrame:
     return sums.withColumn("balanced", F.col("total_debit") == F.col("total_credit"))
 
 
-ALREADY = "This journal entry has already been reversed"
-
-
 @dataclass(frozen=True)
 class Reversals:
     """Judged requests, the new entries, and ``lines()``: the swapped lines."""
@@ -178,9 +175,9 @@ def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversa
         "__done", F.lit(True)
     )
     rules = [
-        Rule(F.col("__found").isNull(), "Journal entry not found"),
-        Rule(F.col("__lined").isNull(), "Journal entry has no lines to reverse"),
-        Rule(F.col("__done").isNotNull(), ALREADY),
+        Rule(F.col("__found").isNull(), reasons.not_found("Journal entry")),
+        Rule(F.col("__lined").isNull(), reasons.NOTHING_TO_REVERSE),
+        Rule(F.col("__done").isNotNull(), reasons.ALREADY_REVERSED),
     ]
     # One row per entry, written first: an entry that very many requests name is then split
     # in the join, and all three results share the verdict.
@@ -191,7 +188,7 @@ def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversa
         .select("journal_entry_id", "__first", "__text", first_reason(rules).alias("__verdict")),
         "reversals",
     )
-    late = F.when(F.col("request_id") > F.col("__first"), F.lit(ALREADY))
+    late = F.when(F.col("request_id") > F.col("__first"), F.lit(reasons.ALREADY_REVERSED))
     requests = feed.join(verdict, "journal_entry_id").withColumn(
         REASON, F.coalesce("__verdict", late)
     )
@@ -219,13 +216,13 @@ class Payments:
 
 def payment_fields(as_of: datetime.datetime) -> list[Field]:
     return [
-        f.whole_number("invoice_id", "invoice_id is required"),
-        f.amount("amount_paid", "amount_paid must be greater than 0", positive=True),
+        f.whole_number("invoice_id", reasons.required("invoice_id")),
+        f.amount("amount_paid", reasons.greater_than_zero("amount_paid"), positive=True),
         Field("payment_method", b.payment_method(F.col("payment_method")), (Rule(
             ~F.coalesce(F.col("payment_method"), F.lit("")).isin(b.PAYMENT_METHODS),
-            "payment_method must be a supported payment type"),)),
-        f.whole_number("debit_account_id", "debit_account_id is required"),
-        f.whole_number("credit_account_id", "credit_account_id is required"),
+            reasons.PAYMENT_METHOD),)),
+        f.whole_number("debit_account_id", reasons.required("debit_account_id")),
+        f.whole_number("credit_account_id", reasons.required("credit_account_id")),
         f.optional_text("payment_reference"),
         f.moment("payment_date", default=cleaning.instant(as_of)),
     ]
@@ -256,9 +253,9 @@ def payments(
     reason = F.coalesce(
         F.col("__field"),
         first_reason([
-            Rule(F.col("__billed").isNull(), "Invoice not found"),
-            Rule(~(both & distinct), "Invalid debit_account_id or credit_account_id"),
-            Rule(~active, "All journal accounts must be active"),
+            Rule(F.col("__billed").isNull(), reasons.not_found("Invoice")),
+            Rule(~(both & distinct), reasons.PAYMENT_ACCOUNTS),
+            Rule(~active, reasons.INACTIVE_ACCOUNT),
         ]),
     )
     judged = judged.withColumn(REASON, reason)

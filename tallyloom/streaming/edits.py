@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import business as b
 from tallyloom.functions import fields as f
+from tallyloom.functions import reasons
 from tallyloom.operators.changes import apply_latest, apply_sums, judge_targets
 from tallyloom.operators.validate import REASON, clean
 from tallyloom.plans.edits import stamped
@@ -24,10 +25,10 @@ def log_receipts(t, feed: DataFrame, path: str) -> DataFrame:
     """Stock receipts: product, quantity."""
     checked = clean(
         feed,
-        [f.whole_number("product_id", "Invalid product id."),
-         f.whole_number("quantity", "Invalid quantity.")],
+        [f.whole_number("product_id", reasons.RECEIVED_PRODUCT),
+         f.whole_number("quantity", reasons.RECEIVED_QUANTITY)],
     ).select(F.col("request_id").alias("seq"), F.col("product_id").alias("id"), "quantity", REASON)
-    judged = judge_targets(checked, t.products, "Product not found")
+    judged = judge_targets(checked, t.products, reasons.not_found("Product"))
     drain(judged, path)
     return judged
 
@@ -40,7 +41,7 @@ def stocked(t, path: str, judged: DataFrame) -> DataFrame:
 
 def log_order_status(t, feed: DataFrame, path: str) -> DataFrame:
     checked = clean(feed, [f.choice("status", b.SALES_ORDER_STATUSES)], keep=("seq", "id"))
-    judged = judge_targets(checked, t.sales_orders, "Sales order not found")
+    judged = judge_targets(checked, t.sales_orders, reasons.not_found("Sales order"))
     drain(judged, path)
     return judged
 
