@@ -237,6 +237,15 @@ MOVEMENT_RULES = [
 ]
 _WMS = "Invalid product, bin, or employee reference"
 
+def viewed(name: str, table: str, key: str, column: str, alias: str, kind: str) -> str:
+    """Accepted rows shown with a name from another table."""
+    return (
+        f"SELECT x.* EXCLUDE (reject_reason), r.{column} AS {alias} FROM ({ORACLES[name]}) x "
+        f"{kind} JOIN ({statement(f'SELECT * FROM {table}')}) r ON r.id = x.{key} "
+        "WHERE x.reject_reason IS NULL"
+    )
+
+
 ORACLES = {
     "intake_customers": intake("customer_feed", CUSTOMER_COLUMNS, CUSTOMER_RULES),
     "intake_opportunities": intake(
@@ -427,3 +436,7 @@ ORACLES = {
               ("to_bin_id", "storage_bins", _WMS), ("moved_by", "employees", _WMS)],
     ),
 }
+ORACLES["new_quotations"] = viewed(
+    "intake_quotations", "customers", "customer_id", "company_name", "customer_name", "LEFT")
+ORACLES["new_applicants"] = viewed(
+    "intake_applicants", "job_postings", "job_posting_id", "title", "job_title", "INNER")

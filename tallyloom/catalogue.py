@@ -195,6 +195,16 @@ def _judged(job: Callable, *args) -> Callable:
     return lambda t: outcome(job(t, *args))
 
 
+def _new_quotations(t) -> DataFrame:
+    good, _ = split(intake.quotations(t))
+    return crm.with_customer(good, t)
+
+
+def _new_applicants(t) -> DataFrame:
+    good, _ = split(intake.applicants(t, AS_OF))
+    return hr.with_posting(good, t)
+
+
 INTAKE: dict[str, tuple[str, Callable]] = {
     "intake_customers": ("V-1 F-1 F-2 F-5", _judged(intake.customers)),
     "intake_opportunities": ("V-2 F-3 F-6", _judged(intake.opportunities)),
@@ -219,6 +229,8 @@ INTAKE: dict[str, tuple[str, Callable]] = {
     "intake_new_products": ("V-18 F-11", _judged(intake.new_products)),
     "intake_employees": ("V-19 V-20 R-3 F-7 F-14", _judged(intake.employees)),
     "intake_movements": ("W-7 V-20", _judged(intake.movements, NOW)),
+    "new_quotations": ("V-3 J-2", _new_quotations),
+    "new_applicants": ("V-14 J-11", _new_applicants),
 }
 
 

@@ -25,7 +25,7 @@ def access_audit(t) -> DataFrame:
         F.col("permissions"), F.col("action")
     )
     verdict = (
-        F.when(F.col("role_id").isNull(), reasons.NO_ROLE)
+        F.when(F.coalesce("role_id", F.lit(0)) == 0, reasons.NO_ROLE)
         .when(F.col("permissions").isNull(), reasons.not_found("Role"))
         .when(granted, reasons.ALLOWED)
         .otherwise(reasons.FORBIDDEN)

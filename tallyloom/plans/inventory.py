@@ -70,8 +70,8 @@ def inventory_value(t) -> DataFrame:
 def forecast(t) -> DataFrame:
     """Lifetime units sold per product and the stock left at that pace.
 
-    The ratio is rounded in whole numbers, half up, so it cannot drift; the sort uses the
-    exact ratio.
+    The ratio is rounded in whole numbers, halves away from zero, so it cannot drift; the
+    sort uses the unrounded ratio.
     """
     sold = t.order_lines.groupBy("product_id").agg(F.sum("quantity").alias("units"))
     joined = t.products.select("id", F.col("name").alias("product_name"), "stock_quantity").join(
@@ -79,8 +79,9 @@ def forecast(t) -> DataFrame:
     ).withColumn("velocity", F.coalesce("units", F.lit(0)).cast("bigint"))
     stock, pace = F.col("stock_quantity").cast("decimal(20,0)"), F.col("velocity")
     ratio = F.when(pace > 0, F.try_divide(stock, pace.cast("decimal(20,0)")))
-    tenths = F.floor(F.try_divide(stock * 20 + pace, (pace * 2).cast("decimal(20,0)")))
-    days = F.when(pace > 0, (tenths.cast("decimal(17,0)") / 10).cast("decimal(18,1)"))
+    tenths = F.floor(F.try_divide(F.abs(stock) * 20 + pace, (pace * 2).cast("decimal(20,0)")))
+    signed = (F.signum(stock).cast("int") * tenths.cast("decimal(17,0)")) / 10
+    days = F.when(pace > 0, signed.cast("decimal(18,1)"))
     ranked = joined.withColumn("__ratio", ratio).select(
         "id", "product_name", "stock_quantity", "velocity",
         days.alias("days_until_stockout"), "__ratio",
