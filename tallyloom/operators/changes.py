@@ -7,8 +7,9 @@ joined, so an id that a third of the feed talks about is no heavier than any oth
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,32 @@ from tallyloom.operators.validate import REASON, Field, Rule, clean, cleaned, fl
 from tallyloom.session import materialise
 
 
+Frame = Callable[[], DataFrame]
+
+
 @dataclass(frozen=True)
 class Changes:
-    """``table``: the whole new table. ``changed``: its changed rows (or the deleted ones).
-    ``rejected``: ``seq``, ``id`` and reason of the changes that were not applied."""
+    """Results of a change job, each built when it is asked for.
+
+    ``table``: the whole new table. ``changed``: its changed rows (or the deleted ones).
+    ``rejected``: ``seq``, ``id`` and reason of the changes that were not applied.
+    """
+
+    make_table: Frame
+    make_changed: Frame
+    make_rejected: Frame
 
-    table: DataFrame
-    changed: DataFrame
-    rejected: DataFrame
+    @property
+    def table(self) -> DataFrame:
+        return self.make_table()
+
+    @property
+    def changed(self) -> DataFrame:
+        return self.make_changed()
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.make_rejected()
 
 
 def judge_targets(checked: DataFrame, base: DataFrame, not_found: str) -> DataFrame:
@@ -46,19 +65,30 @@ def _valid() -> Column:
     return F.col(REASON).isNull()
 
 
-def _rewrite(base: DataFrame, folded: DataFrame, new: dict[str, Column], hit: str) -> Changes:
-    """Join folded changes to the base and swap in the ``new`` columns where ``hit`` is set."""
-    folded = folded.filter(F.col(hit).isNotNull())
+def _rewrite(
+    base: DataFrame,
+    folded: DataFrame,
+    new: dict[str, Column],
+    hit: str,
+    rejected: Frame | None = None,
+) -> Changes:
+    """Join folded changes to the base and swap in the ``new`` columns where ``hit`` is set.
+
+    The folded changes are written to the shared folder first. Their size is then known
+    when the join is planned: a small batch is broadcast and the base table, which may be
+    huge, is not shuffled; a large batch is an ordinary shuffle join.
+    """
     touched = F.col(hit).isNotNull()
+    written = cache(lambda: materialise(folded.filter(touched), "changes"))
     swapped = [
         F.when(touched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
         for c in base.columns
     ]
     replaced = [new[c].alias(c) if c in new else F.col(c) for c in base.columns]
     return Changes(
-        table=base.join(folded, "id", "left").select(*swapped),
-        changed=base.join(folded, "id").select(*replaced),
-        rejected=None,
+        lambda: base.join(written(), "id", "left").select(*swapped),
+        lambda: base.join(written(), "id").select(*replaced),
+        rejected,
     )
 
 
@@ -73,7 +103,7 @@ def replace_fields(
     """The last valid change of an id sets all ``fields`` (one field: a status change)."""
     checked = clean(feed, fields, keep=("seq", "id"))
     done = apply_latest(base, checked, [each.name for each in fields], stamp)
-    return Changes(done.table, done.changed, _rejects(checked, base, not_found))
+    return replace(done, make_rejected=lambda: _rejects(checked, base, not_found))
 
 
 def apply_latest(
@@ -145,8 +175,10 @@ def patch_fields(
     """Set only the fields a body carried; an absent field keeps its value."""
     checked = _checked_patches(feed, fields, empty)
     names = [each.name for each in fields]
-    done = _rewrite(base, _fold_patches(checked, names), _patched(base, names), "__hit")
-    return Changes(done.table, done.changed, _rejects(checked, base, not_found))
+    return _rewrite(
+        base, _fold_patches(checked, names), _patched(base, names), "__hit",
+        lambda: _rejects(checked, base, not_found),
+    )
 
 
 def delete_rows(base: DataFrame, feed: DataFrame, *, not_found: str) -> Changes:
@@ -156,12 +188,17 @@ def delete_rows(base: DataFrame, feed: DataFrame, *, not_found: str) -> Changes:
     (id, seq), so the requests of one busy id are spread over all tasks.
     """
     first = feed.groupBy("id").agg(F.min("seq").alias("seq"))
-    served = first.join(base.select("id"), "id", "left_semi")
-    refused = feed.select("seq", "id").join(served, ["id", "seq"], "left_anti")
+    written = cache(lambda: materialise(first, "deletions"))
+
+    def refused() -> DataFrame:
+        served = written().join(base.select("id"), "id", "left_semi")
+        late = feed.select("seq", "id").join(served, ["id", "seq"], "left_anti")
+        return late.select("seq", "id", F.lit(not_found).alias(REASON))
+
     return Changes(
-        table=base.join(first, "id", "left_anti"),
-        changed=base.join(first, "id", "left_semi"),
-        rejected=refused.select("seq", "id", F.lit(not_found).alias(REASON)),
+        lambda: base.join(written(), "id", "left_anti"),
+        lambda: base.join(written(), "id", "left_semi"),
+        refused,
     )
 
 
@@ -182,14 +219,18 @@ def patch_and_delete(
     names = [each.name for each in fields]
     done = _rewrite(base, _fold_patches(on_time, names), _patched(base, names), "__hit")
     columns = ("seq", "id", REASON)
-    rejected = (
-        _rejects(on_time, base, not_found).select(*columns)
-        .unionByName(too_late.select(*columns))
-        .unionByName(delete_rows(base, deletes, not_found=not_found).rejected.select(*columns))
-    )
+
+    def refused() -> DataFrame:
+        return (
+            _rejects(on_time, base, not_found).select(*columns)
+            .unionByName(too_late.select(*columns))
+            .unionByName(delete_rows(base, deletes, not_found=not_found).rejected)
+        )
+
     return Changes(
-        done.table.join(gone, "id", "left_anti"), done.changed.join(gone, "id", "left_anti"),
-        rejected,
+        lambda: done.table.join(gone, "id", "left_anti"),
+        lambda: done.changed.join(gone, "id", "left_anti"),
+        refused,
     )
 
 
@@ -207,7 +248,7 @@ def add_to(
         F.col("request_id").alias("seq"), F.col(target.name).alias("id"), amount.name, REASON
     )
     done = apply_sums(base, checked, column, amount.name)
-    return Changes(done.table, done.changed, _rejects(checked, base, not_found))
+    return replace(done, make_rejected=lambda: _rejects(checked, base, not_found))
 
 
 def apply_sums(base: DataFrame, judged: DataFrame, column: str, amount: str) -> Changes:
@@ -223,8 +264,7 @@ def stamp_keys(
     """Apply fixed assignments to every id in the feed."""
     keys = feed.groupBy("id").agg(F.lit(True).alias("__hit"))
     checked = feed.select("seq", "id", F.lit(None).cast("string").alias(REASON))
-    done = _rewrite(base, keys, new, "__hit")
-    return Changes(done.table, done.changed, _rejects(checked, base, not_found))
+    return _rewrite(base, keys, new, "__hit", lambda: _rejects(checked, base, not_found))
 
 
 def upsert_rows(base: DataFrame, feed: DataFrame) -> DataFrame:

@@ -99,13 +99,20 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
         F.col("user_id").alias("id"), "seq", "is_active", F.lit(None).cast("string").alias(REASON)
     )
     done = apply_latest(users, per_user, ["is_active"], stamped(as_of))
-    # An employee without a user cannot be switched: "not found", as for an unknown id.
-    reachable = links.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    touched = t.employees.join(latest.select("id"), "id", "left_semi")
-    profiles = hr.employee_profiles(touched, t, done.changed).filter(F.col("username").isNotNull())
-    return Changes(done.table, profiles, judge_targets(
-        checked, reachable, reasons.not_found("Employee")
-    ).filter(F.col(REASON).isNotNull()).select("seq", "id", REASON))
+
+    def profiles() -> DataFrame:
+        touched = t.employees.join(latest.select("id"), "id", "left_semi")
+        shown = hr.employee_profiles(touched, t, done.changed)
+        return shown.filter(F.col("username").isNotNull())
+
+    def refused() -> DataFrame:
+        # An employee without a user cannot be switched: "not found", as for an unknown id.
+        known = users.select(F.col("id").alias("user_id"))
+        reachable = links.join(known, "user_id", "left_semi")
+        judged = judge_targets(checked, reachable, reasons.not_found("Employee"))
+        return judged.filter(F.col(REASON).isNotNull()).select("seq", "id", REASON)
+
+    return Changes(lambda: done.table, profiles, refused)
 
 
 def customer(t, as_of) -> Changes:
