@@ -268,13 +268,26 @@ def stamp_keys(
 
 
 def upsert_rows(base: DataFrame, feed: DataFrame) -> DataFrame:
-    """Insert or overwrite by id; the last row of an id wins, other columns keep their value."""
+    """Insert or overwrite by id; the last row of an id wins, other columns keep their value.
+
+    Two joins instead of one full outer join, which could never be a broadcast: a small
+    feed then leaves the base table where it is.
+    """
     names = [c for c in feed.columns if c not in ("seq", "id")]
-    folded = feed.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new"))
-    columns = [
-        F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}").cast(base.schema[c].dataType))
-        .otherwise(F.col(c)).alias(c)
-        if c in names else F.col(c)
+    kinds = {each.name: each.dataType for each in base.schema}
+    folded = materialise(
+        feed.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new")), "upserts"
+    )
+    new = {c: F.col(f"__new.{c}").cast(kinds[c]) for c in names}
+    updated = base.join(folded, "id", "left").select(*[
+        F.when(F.col("__new").isNotNull(), new[c]).otherwise(F.col(c)).alias(c)
+        if c in new else F.col(c)
         for c in base.columns
-    ]
-    return base.join(folded, "id", "full_outer").select(*columns)
+    ])
+    stored = base.select("id").join(folded.select("id"), "id", "left_semi")
+    inserted = folded.join(stored, "id", "left_anti").select(*[
+        new[c].alias(c) if c in new
+        else F.col("id") if c == "id" else F.lit(None).cast(kinds[c]).alias(c)
+        for c in base.columns
+    ])
+    return updated.unionByName(inserted)
