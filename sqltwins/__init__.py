@@ -1,6 +1,6 @@
 """Expected results as SQL over the landing tables."""
 
-from oracle import edits, intake, posting, reports
+from sqltwins import edits, intake, posting, reports
 
 ORACLES = {**reports.ORACLES, **intake.ORACLES, **edits.ORACLES, **posting.ORACLES}
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle import intake as i
-from oracle.inputs import boolean, money, number, statement, text, trim, whole
+from sqltwins import intake as i
+from sqltwins.inputs import boolean, money, number, statement, text, trim, whole
 from tallyloom.sources.schemas import BUSINESS
 
 STAMP = {"updated_at": i.MOMENT}

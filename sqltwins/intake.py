@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.inputs import (
+from sqltwins.inputs import (
     boolean, cents, iso_date, iso_moment, members, money, money0, number, number0, one_of,
     statement, text, trim, whole,
 )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle import intake as i
-from oracle.inputs import (
+from sqltwins import intake as i
+from sqltwins.inputs import (
     cents, iso_moment, members, money, money0, number, number0, statement, text, trim, whole,
 )
 

@@ -37,8 +37,13 @@ def read_bodies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def stream_bodies(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).json(path)
+def stream_bodies(
+    spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000
+) -> DataFrame:
+    """Bodies as they arrive; a micro-batch takes a bounded number of files."""
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+    )
 
 
 def split_documents(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
