@@ -257,9 +257,12 @@ STATUS_IDS = {
     "leave": "U-1f", "payroll": "U-1g", "job": "U-1h", "applicant": "U-1i", "training": "U-1j",
     "sales_order": "U-1k", "vendor": "U-1l", "purchase_order": "U-1m", "shipment": "U-1n",
 }
-REPLACE_IDS = dict(zip(edits.REPLACEMENTS, ("U-2a", "U-2b", "U-2c", "U-2d", "U-2e", "U-2f", "U-2g")))
-PATCH_IDS = dict(zip(edits.PATCHES, ("U-3a", "U-3b", "U-3c", "U-3d")))
-DELETE_IDS = dict(zip(edits.DELETIONS, ("U-4a", "U-4b", "U-4c", "U-4d")))
+REPLACE_IDS = {
+    "customer": "U-2a", "pricing_rule": "U-2b", "account": "U-2c", "asset": "U-2d",
+    "budget": "U-2e", "review": "U-2f", "vendor": "U-2g",
+}
+PATCH_IDS = {"category": "U-3a", "product": "U-3b", "warehouse": "U-3c", "storage_bin": "U-3d"}
+DELETE_IDS = {"category": "U-4a", "product": "U-4b", "warehouse": "U-4c", "storage_bin": "U-4d"}
 
 EDITS: dict[str, tuple[str, Callable]] = {}
 for _entity, _id in STATUS_IDS.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions import business, cleaning, reasons
+from tallyloom.functions import cleaning, reasons
 from tallyloom.operators.validate import Field, Rule, cleaned, parsed
 
 

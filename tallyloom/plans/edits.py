@@ -12,6 +12,7 @@ from tallyloom.functions import business as b
 from tallyloom.functions import cleaning
 from tallyloom.functions import fields as f
 from tallyloom.functions import reasons
+from tallyloom.functions.reasons import not_found as missing
 from tallyloom.operators.changes import (
     Changes, add_to, apply_latest, delete_rows, judge_targets, patch_and_delete, patch_fields,
     replace_fields, stamp_keys, upsert_rows,
@@ -49,34 +50,34 @@ def status_changes() -> dict[str, Callable]:
     """One status-like field per entity, keyed by the entity's name."""
     return {
         "opportunity": _status("opportunities", "opportunity_stage_feed",
-                               f.choice("stage", b.OPPORTUNITY_STAGES), reasons.not_found("Opportunity")),
+                               f.choice("stage", b.OPPORTUNITY_STAGES), missing("Opportunity")),
         "quotation": _status("quotations", "quotation_status_feed",
-                             f.choice("status", b.QUOTATION_STATUSES), reasons.not_found("Quotation")),
+                             f.choice("status", b.QUOTATION_STATUSES), missing("Quotation")),
         "account": _status("accounts", "account_is_active_feed",
-                           _active(reasons.BOOLEAN_VALUE), reasons.not_found("Account")),
-        "asset": _status("assets", "asset_status_feed", intake.asset_status(), reasons.not_found("Asset"),
+                           _active(reasons.BOOLEAN_VALUE), missing("Account")),
+        "asset": _status("assets", "asset_status_feed", intake.asset_status(), missing("Asset"),
                          stamps=True),
         "leave": _status("leave_requests", "leave_status_feed",
-                         f.choice("status", b.LEAVE_STATUSES), reasons.not_found("Leave request")),
+                         f.choice("status", b.LEAVE_STATUSES), missing("Leave request")),
         "payroll": _status("payroll_runs", "payroll_status_feed",
-                           f.choice("status", b.PAYROLL_STATUSES), reasons.not_found("Payroll run")),
+                           f.choice("status", b.PAYROLL_STATUSES), missing("Payroll run")),
         "job": _status("job_postings", "job_status_feed", f.choice("status", b.JOB_STATUSES),
-                       reasons.not_found("Job posting")),
+                       missing("Job posting")),
         "applicant": _status("applicants", "applicant_pipeline_stage_feed",
                              f.choice("pipeline_stage", b.APPLICANT_STAGES),
-                             reasons.not_found("Applicant")),
+                             missing("Applicant")),
         "training": _status("training_programs", "training_status_feed",
-                            f.choice("status", b.TRAINING_STATUSES), reasons.not_found("Training program")),
+                            f.choice("status", b.TRAINING_STATUSES), missing("Training program")),
         "sales_order": _status("sales_orders", "sales_order_status_feed",
                                f.choice("status", b.SALES_ORDER_STATUSES),
-                               reasons.not_found("Sales order"), stamps=True),
+                               missing("Sales order"), stamps=True),
         "vendor": _status("suppliers", "vendor_status_feed",
-                          f.choice("status", b.VENDOR_STATUSES), reasons.not_found("Vendor"), stamps=True),
+                          f.choice("status", b.VENDOR_STATUSES), missing("Vendor"), stamps=True),
         "purchase_order": _status("purchase_orders", "purchase_order_status_feed",
                                   f.choice("status", b.PURCHASE_ORDER_STATUSES),
-                                  reasons.not_found("Purchase order"), stamps=True),
+                                  missing("Purchase order"), stamps=True),
         "shipment": _status("shipments", "shipment_status_feed", _shipment_status(),
-                            reasons.not_found("Shipment"), stamps=True),
+                            missing("Shipment"), stamps=True),
     }
 
 
@@ -109,7 +110,7 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
         # An employee without a user cannot be switched: "not found", as for an unknown id.
         known = users.select(F.col("id").alias("user_id"))
         reachable = links.join(known, "user_id", "left_semi")
-        judged = judge_targets(checked, reachable, reasons.not_found("Employee"))
+        judged = judge_targets(checked, reachable, missing("Employee"))
         return judged.filter(F.col(REASON).isNotNull()).select("seq", "id", REASON)
 
     return Changes(lambda: done.table, profiles, refused)
@@ -118,7 +119,7 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
 def customer(t, as_of) -> Changes:
     return replace_fields(
         t.customers, t.customer_replace_feed, intake.customer_fields(),
-        not_found=reasons.not_found("Customer"), stamp=stamped(as_of),
+        not_found=missing("Customer"), stamp=stamped(as_of),
     )
 
 
@@ -126,27 +127,27 @@ def pricing_rule(t, as_of) -> Changes:
     """A missing ``is_active`` means false here (a new rule defaults to true)."""
     return replace_fields(
         t.pricing_rules, t.pricing_rule_replace_feed,
-        intake.pricing_rule_fields(active_by_default=False), not_found=reasons.not_found("Pricing rule"),
+        intake.pricing_rule_fields(active_by_default=False), not_found=missing("Pricing rule"),
     )
 
 
 def account(t, as_of) -> Changes:
     return replace_fields(
         t.accounts, t.account_replace_feed, intake.account_fields(),
-        not_found=reasons.not_found("Account"), stamp=stamped(as_of),
+        not_found=missing("Account"), stamp=stamped(as_of),
     )
 
 
 def asset(t, as_of) -> Changes:
     return replace_fields(
-        t.assets, t.asset_replace_feed, intake.asset_fields(), not_found=reasons.not_found("Asset"),
+        t.assets, t.asset_replace_feed, intake.asset_fields(), not_found=missing("Asset"),
         stamp=stamped(as_of),
     )
 
 
 def budget(t, as_of) -> Changes:
     return replace_fields(
-        t.budgets, t.budget_replace_feed, intake.budget_fields(), not_found=reasons.not_found("Budget")
+        t.budgets, t.budget_replace_feed, intake.budget_fields(), not_found=missing("Budget")
     )
 
 
@@ -155,14 +156,14 @@ def review(t, as_of) -> Changes:
              f.optional_text("comments")]
     return replace_fields(
         t.performance_reviews, t.review_replace_feed, rules,
-        not_found=reasons.not_found("Performance review"),
+        not_found=missing("Performance review"),
     )
 
 
 def vendor(t, as_of) -> Changes:
     return replace_fields(
         t.suppliers, t.vendor_replace_feed, intake.vendor_fields(),
-        not_found=reasons.not_found("Vendor"), stamp=stamped(as_of),
+        not_found=missing("Vendor"), stamp=stamped(as_of),
     )
 
 
@@ -179,7 +180,7 @@ def _money(name: str) -> Field:
 def category_patch(t, as_of) -> Changes:
     return patch_fields(
         t.categories, t.category_patch_feed, [f.plain_text("name"), f.plain_text("description")],
-        not_found=reasons.not_found("Category"), empty=reasons.no_valid_update("categories"),
+        not_found=missing("Category"), empty=reasons.no_valid_update("categories"),
     )
 
 
@@ -194,7 +195,7 @@ def product_patch(t, as_of) -> Changes:
         f.whole_number("stock_quantity", reasons.zero_or_greater("stock_quantity"), low=0),
     ]
     return patch_fields(
-        t.products, t.product_patch_feed, rules, not_found=reasons.not_found("Product"),
+        t.products, t.product_patch_feed, rules, not_found=missing("Product"),
         empty=reasons.nothing_to_update("product"),
     )
 
@@ -206,7 +207,7 @@ def warehouse_patch(t, as_of) -> Changes:
         _active(reasons.true_or_false("is_active")),
     ]
     return patch_fields(
-        t.warehouses, t.warehouse_patch_feed, rules, not_found=reasons.not_found("Warehouse"),
+        t.warehouses, t.warehouse_patch_feed, rules, not_found=missing("Warehouse"),
         empty=reasons.nothing_to_update("warehouse"),
     )
 
@@ -214,7 +215,7 @@ def warehouse_patch(t, as_of) -> Changes:
 def storage_bin_patch(t, as_of) -> Changes:
     return patch_fields(
         t.storage_bins, t.storage_bin_patch_feed, intake.storage_bin_fields(),
-        not_found=reasons.not_found("Storage bin"),
+        not_found=missing("Storage bin"),
         empty=reasons.no_valid_update("storage_bins"),
     )
 
@@ -232,10 +233,10 @@ def _deletion(table: str, entity: str, not_found: str) -> Callable:
 
 
 DELETIONS = {
-    "category": _deletion("categories", "category", reasons.not_found("Category")),
-    "product": _deletion("products", "product", reasons.not_found("Product")),
-    "warehouse": _deletion("warehouses", "warehouse", reasons.not_found("Warehouse")),
-    "storage_bin": _deletion("storage_bins", "storage_bin", reasons.not_found("Storage bin")),
+    "category": _deletion("categories", "category", missing("Category")),
+    "product": _deletion("products", "product", missing("Product")),
+    "warehouse": _deletion("warehouses", "warehouse", missing("Warehouse")),
+    "storage_bin": _deletion("storage_bins", "storage_bin", missing("Storage bin")),
 }
 
 
@@ -243,7 +244,7 @@ def product_changes(t, as_of) -> Changes:
     """Updates and deletions of products in one feed, in ``seq`` order."""
     return patch_and_delete(
         t.products, t.product_op_feed, [f.required_text("name"), _money("unit_price")],
-        not_found=reasons.not_found("Product"), empty=reasons.nothing_to_update("product"),
+        not_found=missing("Product"), empty=reasons.nothing_to_update("product"),
     )
 
 
@@ -252,18 +253,18 @@ def receive_stock(t, as_of=None, feed: DataFrame | None = None) -> Changes:
     quantity = f.whole_number("quantity", reasons.RECEIVED_QUANTITY)
     return add_to(
         t.products, t.receipt_feed if feed is None else feed, "stock_quantity", product, quantity,
-        not_found=reasons.not_found("Product"),
+        not_found=missing("Product"),
     )
 
 
 def invoices_paid(t, as_of) -> Changes:
     new = {"status": F.lit("Paid"), "amount_paid": F.col("total_amount"), **stamped(as_of)}
-    return stamp_keys(t.invoices, t.invoice_paid_feed, new, not_found=reasons.not_found("Invoice"))
+    return stamp_keys(t.invoices, t.invoice_paid_feed, new, not_found=missing("Invoice"))
 
 
 def bills_paid(t, as_of) -> Changes:
     new = {"status": F.lit("Paid"), "amount_paid": F.col("total_amount")}
-    return stamp_keys(t.bills, t.bill_paid_feed, new, not_found=reasons.not_found("Bill"))
+    return stamp_keys(t.bills, t.bill_paid_feed, new, not_found=missing("Bill"))
 
 
 def upsert_products(t) -> DataFrame:

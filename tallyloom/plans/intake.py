@@ -336,7 +336,8 @@ def employees(t) -> DataFrame:
     checked = validate(
         t.employee_feed, employee_fields(),
         references=[
-            Reference("role_id", t.roles, reasons.HR_KEY), Reference("department_id", t.departments, reasons.HR_KEY)
+            Reference("role_id", t.roles, reasons.HR_KEY),
+            Reference("department_id", t.departments, reasons.HR_KEY),
         ],
         unique=Unique(("username", "email"), t.users, reasons.HR_TWIN),
     )

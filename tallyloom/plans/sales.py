@@ -82,7 +82,8 @@ def invoice_documents(t) -> DataFrame:
     """What an order's invoice shows; orders without an e-mail address come out as skipped."""
     heads = orders_with_customer(t, "primary_email").select(
         "id", F.coalesce("order_date", "created_at").alias("date"),
-        F.col("customer_company_name").alias("customer_name"), F.col("primary_email").alias("email"),
+        F.col("customer_company_name").alias("customer_name"),
+        F.col("primary_email").alias("email"),
     )
     totals = invoice_totals(t)
     # An address of "" counts as missing, as does NULL.

@@ -408,7 +408,8 @@ _replacements("asset", WIDE, {
 _replacements("budget", PER_USER, {
     "department": _by_type("'Ops'", "' IT '", "''", "'HR'", "'Legal'"),
     "fiscal_year": _by_type("'2024'", "'2025'", "'2024'", "NULL", "'2026'"),
-    "allocated_amount": f"{_E} || '.555'", "spent_amount": _by_type("'1'", "''", "'2'", "'3'", "'x'"),
+    "allocated_amount": f"{_E} || '.555'",
+    "spent_amount": _by_type("'1'", "''", "'2'", "'3'", "'x'"),
 })
 _replacements("review", EVERY, {
     "rating": _by_type("'5'", "'1'", "'0'", "'3.5'", "'2'"),
@@ -417,7 +418,8 @@ _replacements("review", EVERY, {
 })
 _replacements("vendor", PER_USER, {
     "company_name": _by_type("'Vend'", "' V ' ", "''", "'Sup'", "'S'"),
-    "contact_name": f"'K ' || {_E}", "email": _by_type("'v@example.test'", "''", "''", "NULL", "'e'"),
+    "contact_name": f"'K ' || {_E}",
+    "email": _by_type("'v@example.test'", "''", "''", "NULL", "'e'"),
     "phone": "' '", "payment_terms": "'Net ' || CAST(event_id % 60 AS STRING)",
 })
 
