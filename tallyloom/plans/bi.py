@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.business import month_label, month_start
-from tallyloom.operators.listing import down, down_nulls_last, listing, one_row, up
+from tallyloom.operators.listing import (
+    down, down_nulls_last, listing, newest_matching, one_row, up,
+)
 from tallyloom.plans import hr, inventory, scm
 from tallyloom.plans.finance import total
 
@@ -52,8 +54,9 @@ def revenue_trend(t, as_of: datetime.date) -> DataFrame:
 def audit_trail(t, rows: int = 100) -> DataFrame:
     """The latest audit entries of known users."""
     people = t.users.select(F.col("id").alias("user_id"), "first_name", "last_name")
-    joined = t.audit_logs.filter(F.col("user_id").isNotNull()).join(people, "user_id")
-    return joined.orderBy(down("created_at"), down("id")).limit(rows)
+    return newest_matching(
+        t.audit_logs, people, "user_id", [down("created_at"), down("id")], rows
+    )
 
 
 def audit_joined(t) -> DataFrame:
@@ -79,12 +82,11 @@ def recent_sales(t, rows: int = 5) -> DataFrame:
     names = t.customers.select(
         F.col("id").alias("customer_id"), F.col("company_name").alias("customer_name")
     )
-    joined = t.sales_orders.select("id", "total_amount", "created_at", "customer_id").join(
-        names, "customer_id"
-    )
-    return joined.orderBy(down("created_at"), down("id")).limit(rows).select(
-        "total_amount", "created_at", "customer_name"
+    orders = t.sales_orders.select("id", "total_amount", "created_at", "customer_id")
+    newest = newest_matching(
+        orders, names, "customer_id", [down("created_at"), down("id")], rows
     )
+    return newest.select("total_amount", "created_at", "customer_name")
 
 
 def dashboard(t) -> DataFrame:
