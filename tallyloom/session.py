@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +25,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+def local_session(cores: int | str = "*", partitions: int = 8, *, work: str) -> SparkSession:
+    """A session for tests and the benchmark, with its work folder; clusters bring their own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyloom")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", work)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,19 +43,13 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without: it gets a folder of its own. On a cluster a
-    missing setting is an error, because executors cannot see the driver's disk.
+    A session that was built without one may name it later as ``tallyloom.work.dir``. A
+    missing folder is an error on any master: only the caller knows what executors can reach.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyloom.work.dir", None)
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    existing = spark.conf.get("tallyloom.work.dir", None)
-    if existing is None:
-        existing = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("tallyloom.work.dir", existing)
-    return existing
+    return shared.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ LANDING = ("region nation customer supplier part orders lineitem events document
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8)
+    return local_session(8, work=tempfile.mkdtemp(prefix="tallyloom-tests-"))
 
 
 @pytest.fixture(scope="session")

@@ -132,9 +132,11 @@ def test_work_goes_to_the_shared_folder():
     assert work_dir(FakeSession("local[8]", settings)) == "hdfs://shared/work"
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error():
+def test_a_missing_shared_folder_is_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         work_dir(FakeSession("yarn", {}))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(FakeSession("local[8]", {}))
 
 
 def test_materialised_rows_are_read_back_from_files(spark):

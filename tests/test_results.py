@@ -6,9 +6,11 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry_points
+from tallyloom.catalogue import QUERIES as REGISTERED
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+# the queries of the training-data operators have tests of their own
+QUERIES = {name: build for name, build in entry_points.queries().items() if name in REGISTERED}
+SQL = {name: sql for name, sql in entry_points.oracle_sql().items() if name in REGISTERED}
 
 
 def ordered(columns, rows):
@@ -30,7 +32,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) == set(REGISTERED)
 
 
 def test_entry(spark):
