@@ -42,19 +42,18 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``value`` is the word without its quotes and brackets, and without ``name=`` before it;
     ``name`` is that name, or the word before a lone ``=`` or ``:``, else the word before.
     """
-    base = boxed(docs, doc_id=number_id(doc_id), path=field(path).cast("string"),
-                 words=F.split(F.coalesce(field(text).cast("string"), F.lit("")), SPLIT)).drop("row")
-    at = F.filter(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (F.length(F.get("words", i)) >= MIN_LENGTH) & F.get("words", i).rlike("[0-9]"))
-    found = base.where(F.size(at) > 0).select(
-        "doc_id", "path", "words", F.explode(at).alias("word_no"))
-
-    def word(back: int) -> Column:
-        return F.coalesce(F.get("words", F.col("word_no") - back), F.lit(""))
-
-    found = found.select("doc_id", "path", "word_no", word(0).alias("word"), word(1).alias("one"),
-                         word(2).alias("two"), word(-1).alias("after"))
+    words = F.split(F.coalesce(field(text).cast("string"), F.lit("")), SPLIT)
+    none = F.array(F.lit(""))
+    # every word beside its neighbours; no lambda looks back into the array
+    near = F.arrays_zip(
+        words.alias("word"), F.concat(none, words).alias("one"),
+        F.concat(none, none, words).alias("two"), F.slice(words, 2, 2**30).alias("after"),
+        F.sequence(F.lit(0), F.size(words) - 1).alias("word_no"))
+    hits = F.filter(near, lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike("[0-9]"))
+    base = boxed(docs, doc_id=number_id(doc_id), path=field(path).cast("string"), hits=hits)
+    found = base.select("doc_id", "path", F.explode("hits").alias("hit")).select(
+        "doc_id", "path", *[F.coalesce(f"hit.{n}", F.lit("")).alias(n) for n in ("word", "one", "two", "after")],
+        "hit.word_no")
     bare = F.regexp_replace("word", EDGES, "")
     parted = F.regexp_extract(bare, NAMED, 1)
     lone = F.col("one").isin("=", ":", ":=")
