@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field as dataclass_field
 
 import numpy as np
@@ -15,12 +14,12 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import boxed, field, map_batches, number_id, strings
 
 TOKEN = re.compile(r"[^\W_]+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
 # Bounds of what the model is fitted on: documents of each label, and the longest of them.
-SAMPLE_TOXIC = 1500
-SAMPLE_CLEAN = 3000
+SAMPLE_TOXIC = 1000
+SAMPLE_CLEAN = 2000
 SAMPLE_CHARS = 50_000
 
 # A word's feature marks toxic tokens if its odds in toxic documents are surely (by this many
@@ -29,7 +28,7 @@ SURE = 1.64
 ODDS = 8.0
 
 STEPS = 40
-RATE = 0.25
+RATE = 0.3
 SHRINK = 0.002
 BLOCK = 128           # words of a block of the forward-backward scan
 CHUNK_CHARS = 1 << 21
@@ -37,16 +36,17 @@ CACHE_WORDS = 500_000
 LIMIT = 30.0          # largest emission, so that odds stay finite
 
 
-def features(word: str) -> list[str]:
-    """A lower-cased word and its beginnings."""
-    return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) >= n]]
+def features(word: str) -> list[int]:
+    """Hashes of a lower-cased word and its beginnings; 0 where it is too short for one."""
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(word), *[digest(f"{word[:n]}*") if len(word) >= n else 0 for n in PREFIXES]]
 
 
 @dataclass
 class Tagger:
     """Weights for the toxic state (the clean state's are zero), and the chain's factors."""
 
-    weights: dict[str, float] = dataclass_field(default_factory=dict)
+    weights: dict[int, float] = dataclass_field(default_factory=dict)
     bias: float = -LIMIT
     start: float = 1.0                    # odds of a toxic first word
     steps: tuple = ((1.0, 1.0), (1.0, 1.0))  # factor of each pair of neighbouring states
@@ -109,7 +109,7 @@ def fit(texts: list[tuple[str, int]]) -> Tagger:
     documents; the chain then learns from those token labels by gradient steps (Adam).
     Without documents of both kinds, or without such a feature, nothing is toxic.
     """
-    seen, docs = set(), []
+    seen, docs, known = set(), [], {}
     for text, toxic in texts:
         words = [w.lower() for w in TOKEN.findall(text)]
         if not words:
@@ -118,38 +118,28 @@ def fit(texts: list[tuple[str, int]]) -> Tagger:
                      for i in range(max(1, len(words) - 2)))
         if sketch not in seen:
             seen.add(sketch)
-            docs.append((words, int(toxic)))
-    known: dict[str, int] = {}
-    type_features: list[list[str]] = []
-    held = [Counter(), Counter()]
-    sizes = [0, 0]
-    tokens = []
-    for words, toxic in docs:
-        ids = []
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
-                type_features.append(features(w))
-            ids.append(known[w])
-        tokens.append(np.array(ids))
-        sizes[toxic] += 1
-        held[toxic].update({f for i in set(ids) for f in type_features[i]})
+            docs.append((np.array([known.setdefault(w, len(known)) for w in words]), int(toxic)))
+    sizes = [sum(t == kind for _, t in docs) for kind in (0, 1)]
     if not sizes[0] or not sizes[1]:
         return Tagger()
-
-    def surely_toxic(f: str) -> bool:
-        a, b = held[1][f] + 0.5, held[0][f] + 0.5
-        c, d = sizes[1] + 1 - a, sizes[0] + 1 - b
-        return np.log(a * d / (b * c)) - SURE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > np.log(ODDS)
-
-    lexicon = {f for f in held[1] if held[1][f] > 1 and surely_toxic(f)}
-    if not lexicon:
+    hashes, table = np.unique(np.array([features(w) for w in known], np.uint64), return_inverse=True)
+    table = table.reshape(-1, 1 + len(PREFIXES))
+    del known
+    held = np.zeros((2, len(hashes)))
+    for words, toxic in docs:
+        held[toxic, np.unique(table[np.unique(words)])] += 1
+    a, b = held[1] + 0.5, held[0] + 0.5
+    c, d = sizes[1] + 1 - a, sizes[0] + 1 - b
+    surely = np.log(a * d / (b * c)) - SURE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    lexicon = (surely > np.log(ODDS)) & (held[1] > 1) & (hashes > 0)
+    if not lexicon.any():
         return Tagger()
-    common = [f for f in set(held[0]) | set(held[1]) if held[0][f] + held[1][f] > 2 or f in lexicon]
-    number = {f: i for i, f in enumerate(common)}
-    none = len(common)
-    table = np.array([([number.get(f, none) for f in fs] + [none] * 5)[:5] for fs in type_features])
-    marked = np.array([any(f in lexicon for f in fs) for fs in type_features])
+    marked = lexicon[table].any(axis=1)
+    common = ((held.sum(axis=0) > 2) | lexicon) & (hashes > 0)
+    none = int(common.sum())
+    table = np.where(common, np.cumsum(common) - 1, none)[table]
+    hashes = hashes[common]
+    tokens = [t for t, _ in docs]
 
     word = np.concatenate(tokens)
     lengths = np.array([len(t) for t in tokens])
@@ -174,7 +164,7 @@ def fit(texts: list[tuple[str, int]]) -> Tagger:
         miss = label - p
         by_type = np.bincount(word, miss, minlength=len(table))
         slope = np.zeros_like(theta)
-        slope[:none] = np.bincount(table.ravel(), np.repeat(by_type, 5), minlength=none + 1)[:none]
+        slope[:none] = np.bincount(table.ravel(), np.repeat(by_type, table.shape[1]), minlength=none + 1)[:none]
         slope[none] = miss.sum()
         slope[none + 1] = miss[starts].sum()
         (a00, a01), (a10, a11) = tagger.steps
@@ -186,7 +176,7 @@ def fit(texts: list[tuple[str, int]]) -> Tagger:
         spread = 0.99 * spread + 0.01 * slope**2
         theta += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
         theta[none + 1:] = np.clip(theta[none + 1:], -6, 6)
-    weights = {f: float(theta[i]) for f, i in number.items() if abs(theta[i]) > 1e-3}
+    weights = {int(f): float(w) for f, w in zip(hashes, theta) if abs(w) > 1e-3}
     return Tagger(weights, float(theta[none]), float(np.exp(theta[none + 1])),
                   tuple(map(tuple, np.exp(theta[none + 2:none + 6]).reshape(2, 2).tolist())))
 
