@@ -60,6 +60,18 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Neighbouring batches as tables of about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8; NULL is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -9,11 +11,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import boxed, field, number_id, utf8
+from tallyloom.llm.common import boxed, chunks, field, number_id
 from tallyloom.session import materialise
 
 CAPACITY = 4096
@@ -23,8 +26,18 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # Pieces of one group, on average: what one task packs by itself.
 GROUP_PIECES = 8192
 
-# Words kept with their ids by one worker; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+# Words without the marks behind them, kept with their ids by one worker; a full cache starts
+# anew.
+CACHE_WORDS = 1_200_000
+MARKS = ".,;:!?|"
+
+# Text looked up at once: every distinct word of it meets the cache one time.
+CHUNK_BYTES = 8 << 20
+
+# Byte-level vocabularies write each byte as a character: printable ones as themselves, the
+# others as the next free characters from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 PIECES = "rid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -34,24 +47,67 @@ class WordIds(dict):
     """Ids of a blank-free word, little-endian 32-bit; unknown words go to the tokenizer.
 
     The tokenizer turns every run of blanks into one, drops it and never joins characters
-    across it, so a text's ids are the ids of its words one after another.
+    across it, so a text's ids are the ids of its words one after another. It drops letter
+    case, so A-Z can be lowered first; and letters never share a token with the marks behind
+    them. Both let a word be met again more often.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = list(set(words))
-            made = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in new], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made))
-        return b"".join([self[w] for w in words])
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a string array, in order."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten().dictionary_encode()
+        made = self._words(words.dictionary)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        pool, starts = np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes
+        codes = words.indices.to_numpy()
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        ids = pool[np.repeat(starts[codes] - ends + lengths, lengths)
+                   + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        control = pc.match_substring(texts, "<|").to_pylist()
+        for i, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            if control[i]:  # lowering could have made a control string of it
+                yield self._whole(texts[i].as_py())
+            else:
+                yield ids[low:high].tobytes()
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words: those of the letters, then those of the marks behind."""
+        bare = pc.utf8_rtrim(words, characters=MARKS)
+        # U+0130 lowers to a letter and a mark, which would join the marks behind it
+        parted = pc.and_not(pc.utf8_is_alpha(bare), pc.match_substring(bare, "\u0130"))
+        bare = pc.if_else(parted, bare, words).dictionary_encode()
+        made = list(map(self.__getitem__, bare.dictionary.to_pylist()))
+        cut = pc.not_equal(bare.cast(pa.string()), words).to_numpy(False)
+        made = [made[i] for i in bare.indices.to_pylist()]
+        for i, word in zip(np.flatnonzero(cut).tolist(), words.filter(pa.array(cut)).to_pylist()):
+            made[i] += self[word[len(word.rstrip(MARKS)):]]
+        return made
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        plain = unicodedata.normalize("NFC", word)
+        small = plain.lower()
+        if plain.isalpha() and small.isalpha() and "\u03a3" not in plain:  # sigma lowers by place
+            shown = small.encode().decode("latin-1").translate(_BYTE_CHARS)
+            made = _packed([token.id for token in self.tokenizer.model.tokenize(shown)])
+        else:
+            made = self._whole(word)
+        self[word] = made
+        return made
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -101,11 +157,12 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        for batch in batches:
+        for table in chunks(batches, CHUNK_BYTES):
             out: list[list] = [[] for _ in range(7)]
-            for rid, doc, content in zip(
-                    batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), utf8(batch)):
-                data = words.encode(content) + end
+            texts = table.column("text").combine_chunks().fill_null("")
+            for rid, doc, made in zip(table.column("rid").to_pylist(),
+                                      table.column("doc_id").to_pylist(), words.encode(texts)):
+                data = made + end
                 for at in range(0, len(data), size):
                     piece = data[at:at + size]
                     for column, value in zip(out, (
