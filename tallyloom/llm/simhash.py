@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import boxed, field, map_batches, number_id, shuffle_partitions, utf8
+from tallyloom.llm.common import (
+    NO_ID, boxed, field, map_batches, number_id, shuffle_partitions, utf8)
 from tallyloom.llm.graph import components
 from tallyloom.session import materialise
 
@@ -274,8 +275,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame
     at all; of rows with the same id one stays.
     """
     found = near_duplicates(docs, doc_id=doc_id, **options)
-    stay = materialise(found.where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("stay")).distinct(), "stay")
-    base = boxed(docs, id=number_id(doc_id))
-    kept = base.join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi")
-    return kept.dropDuplicates(["id"]).select("row.*")
+    # a key without NULLs: the join's partitioning then serves the choice of one row as well
+    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
+    stay = materialise(
+        found.where("doc_id <=> component_id").select(known).distinct(), "stay")
+    base = boxed(docs, id=F.coalesce(number_id(doc_id), F.lit(NO_ID)))
+    return base.join(stay, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
