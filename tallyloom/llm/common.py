@@ -60,6 +60,17 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def worker_cache(*key, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the cache of one operator at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Neighbouring batches as tables of about ``size`` bytes."""
     held: list[pa.RecordBatch] = []

@@ -6,7 +6,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import boxed, chunks, field, number_id
+from tallyloom.llm.common import boxed, chunks, field, number_id, worker_cache
 from tallyloom.session import materialise
 
 CAPACITY = 4096
@@ -28,7 +27,7 @@ GROUP_PIECES = 8192
 
 # Words without the marks behind them, kept with their ids by one worker; a full cache starts
 # anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 MARKS = ".,;:!?|"
 
 # Text looked up at once: every distinct word of it meets the cache one time.
@@ -110,11 +109,6 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """Bin and offset of each length; the leftmost bin with room takes the next longest.
 
@@ -156,7 +150,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = worker_cache("packing", tokenizer, make=lambda: WordIds(tokenizer))
         for table in chunks(batches, CHUNK_BYTES):
             out: list[list] = [[] for _ in range(7)]
             texts = table.column("text").combine_chunks().fill_null("")

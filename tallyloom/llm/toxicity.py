@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field
 
 import numpy as np
@@ -11,7 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import boxed, field, map_batches, number_id, strings
+from tallyloom.llm.common import (
+    boxed, field, map_batches, number_id, strings, worker_cache)
 
 TOKEN = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -32,7 +35,7 @@ RATE = 0.3
 SHRINK = 0.002
 BLOCK = 128           # words of a block of the forward-backward scan
 CHUNK_CHARS = 1 << 21
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 LIMIT = 30.0          # largest emission, so that odds stay finite
 
 
@@ -208,6 +211,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return fit([(r["text"], r["toxic"]) for r in sorted(chosen.collect(), key=lambda r: r["id"])])
 
 
+def runs_of(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Neighbouring texts, about ``chars`` characters together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
     """(row, doc_id, score, spans), one row per input row, from the whole text alone.
@@ -221,19 +237,15 @@ def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text",
     base = boxed(docs, doc_id=number_id(doc_id), text=field(text).cast("string"))
     shape = (f"row {base.schema['row'].dataType.simpleString()}, doc_id long, score double, "
              "spans array<struct<start:int,stop:int,score:double>>")
-    sent = docs.sparkSession.sparkContext.broadcast(tagger)
+    sent, mark = docs.sparkSession.sparkContext.broadcast(tagger), uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        emissions = worker_cache("toxicity", mark, make=lambda: Emissions(sent.value))
         scores, spans = [], []
-        chunk: list[str] = []
-        size = 0
-        for content in strings(batch):
-            chunk.append(content)
-            size += len(content)
-            if size >= CHUNK_CHARS:
-                _score_chunk(chunk, sent.value, scores, spans)
-                chunk, size = [], 0
-        _score_chunk(chunk, sent.value, scores, spans)
+        for texts in runs_of(strings(batch), CHUNK_CHARS):
+            found = score_texts(texts, emissions)
+            scores += found[0]
+            spans += found[1]
         kind = pa.list_(pa.struct(
             [("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         return pa.RecordBatch.from_arrays(
@@ -246,7 +258,9 @@ def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text",
 class Emissions(dict):
     """Emission of each spelling met so far."""
 
-    tagger: Tagger | None = None
+    def __init__(self, tagger: Tagger):
+        super().__init__()
+        self.tagger = tagger
 
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE_WORDS:
@@ -255,23 +269,16 @@ class Emissions(dict):
         return value
 
 
-_EMISSIONS = Emissions()
-
-
-def _score_chunk(texts: list[str], tagger: Tagger, scores: list, spans: list) -> None:
-    if not texts:
-        return
-    if _EMISSIONS.tagger is not tagger:
-        _EMISSIONS.clear()
-        _EMISSIONS.tagger = tagger
-    look = _EMISSIONS.__getitem__
+def score_texts(texts: list[str], emissions: Emissions) -> tuple[list[float], list[list[dict]]]:
+    """Scores and spans of some texts, each a chain of its own."""
+    scores: list[float] = []
+    spans: list[list[dict]] = []
+    tagger, look = emissions.tagger, emissions.__getitem__
     parts = [np.array([look(w) for w in TOKEN.findall(t)]) for t in texts]
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths)
-    if not ends[-1]:
-        scores += [0.0] * len(texts)
-        spans += [[] for _ in texts]
-        return
+    if not lengths.any():
+        return [0.0] * len(texts), [[] for _ in texts]
     p = marginals(np.concatenate(parts), (ends - lengths)[lengths > 0], tagger)[2]
     for text, end, length in zip(texts, ends.tolist(), lengths.tolist()):
         own = p[end - length:end]
@@ -286,6 +293,7 @@ def _score_chunk(texts: list[str], tagger: Tagger, scores: list, spans: list) ->
         scores.append(float(1 - np.prod([1 - x for x in peaks])))
         spans.append([{"start": places[r[0]][0], "stop": places[r[-1]][1], "score": x}
                       for r, x in zip(runs, peaks)])
+    return scores, spans
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
