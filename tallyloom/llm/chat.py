@@ -203,7 +203,7 @@ def _syntax(source: str) -> list[tuple]:
             parts.append(("tag", m["tag"].strip()))
         at = m.end()
     parts.append(("text", source[at:]))
-    todo = iter([p for p in parts if p[1]])
+    todo = iter([p for p in parts if p != ("text", "")])
 
     def block(*ends: str) -> tuple[list[tuple], str]:
         body: list[tuple] = []

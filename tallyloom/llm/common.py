@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.session import tune
 
@@ -43,12 +44,17 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(row, *[expr.alias(name) for name, expr in columns.items()])
 
 
+def with_row(df: DataFrame, columns: str) -> T.StructType:
+    """A schema of ``df``'s box and the named columns; its names need no quoting this way."""
+    return T.StructType([df.schema["row"], *T.StructType.fromDDL(columns).fields])
+
+
 def number_id(name: str = "doc_id") -> Column:
     return field(name).cast("long")
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-                schema: str) -> DataFrame:
+                schema: str | T.StructType) -> DataFrame:
     """Apply ``work`` to every Arrow batch; None leaves nothing of it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import BLANKS, NO_ID, boxed, field, map_batches, number_id, utf8
+from tallyloom.llm.common import (
+    BLANKS, NO_ID, boxed, field, map_batches, number_id, utf8, with_row)
 from tallyloom.llm.mixing import field_of
 from tallyloom.session import materialise
 
@@ -71,12 +72,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     drops = materialise(
         suspects.join(repeated, "key").where("id > first")
         .groupBy("id").agg(F.collect_set("key").alias("keys")), "drops")
-    shape = ", ".join([f"row {base.schema['row'].dataType.simpleString()}", "doc_id long",
-                       "text string", "n_lines long", "n_dropped long"])
-    keys = "row {}, id long, doc_id long, text string".format(
-        base.schema["row"].dataType.simpleString())
+    shape = with_row(base, "doc_id long, text string, n_lines long, n_dropped long")
+    whole = with_row(base, "id long, doc_id long, text string")
     clean = map_batches(base, _pass_clean(twice, filter_bits), shape)
-    dirty = map_batches(base, _only_suspect(twice, filter_bits), keys).join(drops, "id", "left")
+    dirty = map_batches(base, _only_suspect(twice, filter_bits), whole).join(drops, "id", "left")
     return clean.unionAll(map_batches(dirty, _drop, shape))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import (
-    boxed, field, map_batches, number_id, strings, worker_cache)
+    boxed, field, map_batches, number_id, strings, with_row, worker_cache)
 
 TOKEN = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -235,8 +235,8 @@ def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text",
     rows score alike; an empty table gives no rows. Columns of any name travel in ``row``.
     """
     base = boxed(docs, doc_id=number_id(doc_id), text=field(text).cast("string"))
-    shape = (f"row {base.schema['row'].dataType.simpleString()}, doc_id long, score double, "
-             "spans array<struct<start:int,stop:int,score:double>>")
+    shape = with_row(base, "doc_id long, score double, "
+                           "spans array<struct<start:int,stop:int,score:double>>")
     sent, mark = docs.sparkSession.sparkContext.broadcast(tagger), uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
