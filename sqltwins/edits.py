@@ -319,6 +319,7 @@ _OPS_STEPS = {
     "checked": f"""SELECT f.seq, f.id, {text('f.name')} AS name,
         {money('f.unit_price')} AS unit_price, {_OPS_HAS['name']} AS has_name,
         {_OPS_HAS['unit_price']} AS has_unit_price, CASE
+        WHEN coalesce(f.op, '') NOT IN ('update', 'delete') THEN 'op must be update or delete'
         WHEN f.op = 'delete' THEN CASE WHEN f.seq > g.gone THEN 'Product not found' END
         WHEN NOT ({_OPS_HAS['name']} OR {_OPS_HAS['unit_price']})
           THEN 'At least one product field is required for update'

@@ -61,6 +61,9 @@ def nothing_to_update(entity: str) -> str:
     return f"At least one {entity} field is required for update"
 
 
+OPERATION = "op must be update or delete"
+
+
 def not_found(entity: str) -> str:
     return f"{entity} not found"
 

@@ -14,6 +14,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import reasons
 from tallyloom.operators.validate import REASON, Field, Rule, clean, cleaned, flag_known
 from tallyloom.session import materialise
 
@@ -206,7 +207,7 @@ def patch_and_delete(
     base: DataFrame, feed: DataFrame, fields: Sequence[Field], *, not_found: str, empty: str
 ) -> Changes:
     """One feed of ``op`` update and delete: whatever follows the first deletion of an id
-    finds nothing. ``changed`` holds the rows that were updated and still exist."""
+    finds nothing; any other ``op`` is rejected. ``changed`` holds the rows that were updated and still exist."""
     deletes = feed.filter(F.col("op") == "delete")
     # Written first: the feed then joins a plain table of known size, and a busy id is split.
     gone = materialise(deletes.groupBy("id").agg(F.min("seq").alias("__gone")), "gone")
@@ -216,6 +217,7 @@ def patch_and_delete(
     too_late = _checked_patches(updates.filter(late), fields, empty).withColumn(
         REASON, F.coalesce(F.col(REASON), F.lit(not_found))
     )
+    unknown = feed.filter(~F.coalesce(F.col("op").isin("update", "delete"), F.lit(False)))
     names = [each.name for each in fields]
     done = _rewrite(base, _fold_patches(on_time, names), _patched(base, names), "__hit")
     columns = ("seq", "id", REASON)
@@ -225,6 +227,7 @@ def patch_and_delete(
             _rejects(on_time, base, not_found).select(*columns)
             .unionByName(too_late.select(*columns))
             .unionByName(delete_rows(base, deletes, not_found=not_found).rejected)
+            .unionByName(unknown.select("seq", "id", F.lit(reasons.OPERATION).alias(REASON)))
         )
 
     return Changes(

@@ -49,15 +49,8 @@ def newest_matching(
 ) -> DataFrame:
     """The first ``rows`` rows, in ``order``, of the inner join of a long log with a dimension.
 
-    The newest part of the log is taken before the join: a top-k that keeps a few rows per
-    task and shuffles nothing. If enough of them match, the answer is among them, as every
-    other row comes later in the order; if not, the whole log is joined.
+    The limit makes the sort a top-k: each task keeps ``rows`` rows, and only those meet.
     """
-    log = log.filter(F.col(key).isNotNull())
-    head = materialise(log.orderBy(*order).limit(rows * 50), "newest")
-    found = head.join(dimension, key).orderBy(*order).limit(rows)
-    if found.count() == rows:
-        return found
     return log.join(dimension, key).orderBy(*order).limit(rows)
 
 

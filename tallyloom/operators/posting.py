@@ -74,6 +74,7 @@ def post_documents(
     per_document = checked.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("__n"),
         F.min(place).alias("__bad"),
+        F.min(F.when(F.col("line_no").isNull(), F.col("__rule"))).alias("__unnumbered"),
         F.max(~known).alias("__stray"),
         *[value.alias(name) for name, value in totals.items()],
     )
@@ -93,6 +94,7 @@ def post_documents(
         F.col("__header"),
         F.when(F.coalesce("__n", F.lit(0)) < least, F.lit(no_lines)),
         F.when(F.col("__bad").isNotNull(), bad),
+        F.get(texts, F.col("__unnumbered").cast("int")),
         first_reason([*document_rules, *missing]),
     )
     result = judged.withColumn(REASON, reason).select(

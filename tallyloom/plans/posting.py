@@ -162,13 +162,15 @@ def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversa
     All is decided once per requested entry; only the earliest request of an entry can win.
     """
     feed = t.reversal_feed if feed is None else feed
-    wanted = feed.groupBy("journal_entry_id").agg(F.min("request_id").alias("__first"))
+    # Written first: the long line table is cut down to the wanted entries before its distinct.
+    wanted = materialise(feed.filter(F.col("journal_entry_id").isNotNull()).groupBy(
+        "journal_entry_id").agg(F.min("request_id").alias("__first")), "wanted")
     entries = t.journal_entries
     heads = entries.select(F.col("id").alias("journal_entry_id"),
                            F.col("description").alias("__text"), F.lit(True).alias("__found"))
-    lined = t.journal_entry_lines.select("journal_entry_id").distinct().withColumn(
-        "__lined", F.lit(True)
-    )
+    lined = t.journal_entry_lines.select("journal_entry_id").join(
+        wanted, "journal_entry_id", "left_semi"
+    ).distinct().withColumn("__lined", F.lit(True))
     done = entries.filter(
         (F.col("reference_type") == "JournalReversal") & F.col("reference_id").isNotNull()
     ).select(F.col("reference_id").alias("journal_entry_id")).distinct().withColumn(
@@ -189,8 +191,10 @@ def reversals(t, as_of: datetime.date, feed: DataFrame | None = None) -> Reversa
         "reversals",
     )
     late = F.when(F.col("request_id") > F.col("__first"), F.lit(reasons.ALREADY_REVERSED))
-    requests = feed.join(verdict, "journal_entry_id").withColumn(
-        REASON, F.coalesce("__verdict", late)
+    # A request without an entry id meets no verdict and is told so, not lost.
+    unknown = F.when(F.col("__first").isNull(), F.lit(reasons.not_found("Journal entry")))
+    requests = feed.join(verdict, "journal_entry_id", "left").withColumn(
+        REASON, F.coalesce("__verdict", unknown, late)
     )
     accepted = requests.filter(F.col(REASON).isNull())
     number = F.col("journal_entry_id").cast("string")

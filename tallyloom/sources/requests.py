@@ -275,7 +275,7 @@ FEEDS = {
         FROM {journal_entry_lines}""",
     "reversal_feed": """
         SELECT CAST(event_id AS BIGINT) AS request_id,
-               CASE WHEN event_id % 50 = 0 THEN CAST(-5 AS BIGINT)
+               CASE WHEN event_id % 50 = 0 THEN CAST(-5 AS BIGINT) WHEN event_id % 53 = 0 THEN NULL
                     ELSE CAST((event_id * 3) % 9000 + 1 AS BIGINT) END AS journal_entry_id,
                CAST(user_id + 1 AS BIGINT) AS created_by
         FROM {events}""",
@@ -463,9 +463,9 @@ _patches("storage_bin", PER_USER, {
 def _deletions(entity: str, id_expr: str) -> None:
     FEEDS[f"{entity}_delete_feed"] = f"""
         SELECT CAST(event_id AS BIGINT) AS seq,
-               CASE WHEN event_id % 19 = 0 THEN CAST(900000000 + event_id AS BIGINT)
-                    ELSE CAST({id_expr} AS BIGINT) END AS id
-        FROM {{events}} WHERE event_type = 'error'"""
+               CASE WHEN event_type = 'error' AND event_id % 19 <> 0 THEN CAST({id_expr} AS BIGINT)
+                    ELSE CAST(900000000 + event_id AS BIGINT) END AS id
+        FROM {{events}}"""
 
 
 _deletions("category", "event_id % 11 + 1")
@@ -483,7 +483,8 @@ FEEDS["product_upsert_feed"] = f"""
     FROM {{events}}"""
 FEEDS["product_op_feed"] = f"""
     SELECT CAST(event_id AS BIGINT) AS seq, CAST({WIDE} AS BIGINT) AS id,
-           CASE WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS op,
+           CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 103 = 0 THEN 'purge'
+                WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS op,
            {_by_type("'name'", "'unit_price'", "'name,unit_price'", "''", "''")} AS present,
            'Name ' || {_E} AS name, {_by_type("'1'", "'2.50'", "'-3'", "'4'", "'5'")} AS unit_price
     FROM {{events}}"""

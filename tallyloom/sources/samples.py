@@ -121,7 +121,7 @@ TABLES = {
                    AS DECIMAL(18,2)) AS amount_paid,
                CAST(o_orderdate AS DATE) AS payment_date,
                'TX-' || CAST(o_orderkey AS STRING) AS reference_number
-        FROM {orders} WHERE o_orderpriority = '1-URGENT'""",
+        FROM {orders}""",
     "accounts": """
         SELECT CAST(n_nationkey + 1 AS BIGINT) AS id,
                'AC-' || CAST(n_nationkey AS STRING) AS account_code, n_name AS name,
@@ -267,7 +267,7 @@ TABLES = {
         SELECT CAST(event_id + 1 AS BIGINT) AS id, CAST(user_id + 1 AS BIGINT) AS employee_id,
                CASE event_id % 3 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved'
                     ELSE 'Rejected' END AS status, ts AS created_at
-        FROM {events} WHERE event_type = 'view'""",
+        FROM {events}""",
     "performance_reviews": """
         SELECT CAST(event_id + 1 AS BIGINT) AS id, CAST(user_id + 1 AS BIGINT) AS employee_id,
                CASE WHEN event_id % 4 = 0 THEN NULL
@@ -275,7 +275,7 @@ TABLES = {
                CAST(ts AS DATE) AS review_date, CAST(event_id % 5 + 1 AS INT) AS rating,
                CASE WHEN event_id % 2 = 0 THEN NULL
                     ELSE 'Review ' || CAST(event_id AS STRING) END AS comments
-        FROM {events} WHERE event_type = 'click'""",
+        FROM {events}""",
     "payroll_runs": """
         SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS id,
                CAST(year(o_orderdate) AS STRING) || '-'
@@ -309,7 +309,7 @@ TABLES = {
                     WHEN 2 THEN 'Interviewing' WHEN 3 THEN 'Offered' WHEN 4 THEN 'Hired'
                     ELSE 'Rejected' END AS pipeline_stage,
                CAST(ts AS DATE) AS application_date
-        FROM {events} WHERE event_type = 'signup'""",
+        FROM {events}""",
     "training_programs": """
         SELECT CAST(page_id + 1 AS BIGINT) AS id, 'Training ' || CAST(page_id AS STRING) AS title,
                'See ' || url AS description,

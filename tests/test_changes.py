@@ -74,12 +74,14 @@ def test_deletion(make, items):
 def test_nothing_is_found_after_a_deletion(make, items):
     feed = make([(1, 1, "update", "name", "a1"), (2, 1, "delete", "", None),
                  (3, 1, "update", "name", "a3"), (4, 1, "delete", "", None),
-                 (5, 1, "update", "", None), (6, 2, "update", "name", "b6")],
+                 (5, 1, "update", "", None), (6, 2, "update", "name", "b6"),
+                 (7, 2, "purge", "name", "b7"), (8, 3, None, "name", "c8")],
                 "seq BIGINT, id BIGINT, op STRING, present STRING, name STRING")
     done = changes.patch_and_delete(items, feed, [f.required_text("name")], not_found="none",
                                     empty="empty")
     assert table(done.table) == {2: ("b6", None), 3: ("c", "z")}
-    assert refused(done.rejected) == {3: "none", 4: "none", 5: "empty"}
+    unknown = "op must be update or delete"
+    assert refused(done.rejected) == {3: "none", 4: "none", 5: "empty", 7: unknown, 8: unknown}
 
 
 def test_upsert_keeps_untouched_columns(make, items):

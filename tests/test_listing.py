@@ -10,7 +10,7 @@ from tallyloom.operators.listing import down, listing, lookup, newest_matching,
 
 @pytest.mark.parametrize("known", [1.0, 0.5, 0.01, 0.0])
 def test_newest_matching_is_exact(make, known):
-    """Whether the newest rows hold enough matches or the whole log has to be joined."""
+    """However few rows of the log match."""
     pick = random.Random(5)
     rows = [(i, pick.randint(0, 50), i if pick.random() < known else -1) for i in range(600)]
     log = make(rows, "id BIGINT, at INT, owner BIGINT")

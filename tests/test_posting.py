@@ -22,13 +22,14 @@ def ids(make, *values):
 
 
 def test_sales_orders_are_all_or_nothing(make, bundle):
-    heads = make([(i, "1", None, None) for i in range(8)],
+    heads = make([(i, "1", None, None) for i in range(9)],
                  "request_id BIGINT, customer_id STRING, order_date STRING, status STRING")
     lines = make(
         [(0, 1, "1", "2", "0.125"), (0, 2, "2", "1", "1"), (2, 1, "1", "0", "1"),
          (2, 2, "1", "1", "1"), (3, 1, "1", "1", "-1"), (4, 1, "9", "1", "1"),
          (4, 2, "1", "1", "1"), (5, 1, "x", "0", "1"), (6, 2, "1", "0", "1"),
-         (6, 1, "1", "1", "x"), (7, 1, "1", "1.0", "1e1"), (None, 1, "1", "1", "1")],
+         (6, 1, "1", "1", "x"), (7, 1, "1", "1.0", "1e1"), (8, 1, "1", "1", "1"),
+         (8, None, "1", "0", "-5"), (None, 1, "1", "1", "1")],
         "request_id BIGINT, line_no INT, product_id STRING, quantity STRING, unit_price STRING")
     t = bundle(customers=ids(make, 1), products=ids(make, 1, 2))
     done = posting.sales_orders(t, NOW, heads, lines)
@@ -36,7 +37,7 @@ def test_sales_orders_are_all_or_nothing(make, bundle):
         0: None, 1: "order_lines must contain at least one item",
         2: "quantity must be at least 1", 3: "unit_price must be 0 or greater",
         4: "Invalid customer_id or product_id reference", 5: "product_id is required",
-        6: "unit_price must be 0 or greater", 7: None}
+        6: "unit_price must be 0 or greater", 7: None, 8: "quantity must be at least 1"}
     first = done.headers.filter("request_id = 0").first()
     assert first["total_amount"] == Decimal("1.250000")
     assert (first["status"], first["order_date"]) == ("Draft", NOW)
