@@ -19,6 +19,7 @@ ORACLES["stream_order_status_rejected"] = ORACLES["status_sales_order_rejected"]
 # Through files and back nothing may change.
 ORACLES["json_customers"] = ORACLES["intake_customers"]
 ORACLES["json_order_documents"] = ORACLES["order_documents"]
+ORACLES["json_order_document_lines"] = ORACLES["order_document_lines"]
 ORACLES["append_categories"] = (
     "SELECT name, description FROM "
     f"({ORACLES['intake_categories']}) x WHERE reject_reason IS NULL"

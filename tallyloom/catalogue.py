@@ -22,49 +22,18 @@ from tallyloom.streaming import movements as movement_stream
 AS_OF = datetime.date(1998, 6, 30)
 
 
-def _joined(array: str, item: Callable) -> F.Column:
-    return F.concat_ws(",", F.transform(array, item))
-
-
 def _customer_documents(t) -> DataFrame:
     return crm.customer_documents(t).select(
-        "id", "company_name", "status",
-        F.size("opportunities").cast("bigint").alias("opportunity_count"),
-        _joined("opportunities", lambda x: x["id"].cast("string")).alias("opportunity_ids"),
-        F.size("quotations").cast("bigint").alias("quotation_count"),
-        _joined("quotations", lambda x: x["id"].cast("string")).alias("quotation_ids"),
-    )
-
-
-def _flat_orders(documents: DataFrame) -> DataFrame:
-    def item(x):
-        return F.concat(
-            x["product_sku"], F.lit(" x"), x["quantity"].cast("string"), F.lit(" @"),
-            x["unit_price"].cast("string"),
-        )
-
-    return documents.select(
-        "id", "status", "total_amount", "customer_company_name", "primary_email",
-        F.size("order_lines").cast("bigint").alias("line_count"),
-        _joined("order_lines", item).alias("items"),
-    )
+        "id", "company_name", "status", "opportunity_count", "quotation_count")
 
 
 def _order_documents(t) -> DataFrame:
-    return _flat_orders(sales.order_documents(t))
+    return sales.order_documents(t).select(
+        "id", "status", "total_amount", "customer_company_name", "primary_email", "line_count")
 
 
 def _journal_documents(t) -> DataFrame:
-    def item(x):
-        return F.concat_ws(
-            " ", F.coalesce(x["account_code"], F.lit("?")), x["debit"].cast("string"),
-            x["credit"].cast("string"),
-        )
-
-    return finance.journal_documents(t).select(
-        "id", "entry_date", "description", F.size("lines").cast("bigint").alias("line_count"),
-        _joined("lines", item).alias("items"),
-    )
+    return finance.journal_documents(t).select("id", "entry_date", "description", "line_count")
 
 
 def _csv(module: str) -> Callable:
@@ -174,8 +143,12 @@ REPORTS: dict[str, tuple[str, Callable]] = {
     "audit_trail": ("T-1", bi.audit_trail),
     "recent_sales": ("T-2", bi.recent_sales),
     "customer_documents": ("N-1", _customer_documents),
+    "customer_opportunities": ("N-1", crm.customer_opportunities),
+    "customer_quotations": ("N-1", crm.customer_quotations),
     "order_documents": ("N-2", _order_documents),
+    "order_document_lines": ("N-2", sales.order_document_lines),
     "journal_documents": ("N-3", _journal_documents),
+    "journal_document_lines": ("N-3", finance.journal_document_lines),
     "invoice_documents": ("N-4 A-15", sales.invoice_documents),
     "invoice_document_lines": ("N-4", sales.invoice_document_lines),
     "export_finance": ("K-1a", bi.export_finance),
@@ -327,12 +300,11 @@ def _json_customers(t) -> DataFrame:
     return outcome(validate(bodies.read_bodies(t.spark, path, schema), intake.customer_fields()))
 
 
-def _json_documents(t) -> DataFrame:
-    """Order documents written as nested JSON and read back."""
+def _json_round_trip(t, documents: DataFrame) -> DataFrame:
+    """Headers or lines of documents written as JSON and read back."""
     path = scratch_path(t.spark, "documents")
-    documents = sales.order_documents(t)
     sinks.write_documents(documents, path)
-    return _flat_orders(t.spark.read.schema(documents.schema).json(path))
+    return t.spark.read.schema(documents.schema).json(path)
 
 
 def _appended(t) -> DataFrame:
@@ -345,7 +317,9 @@ def _appended(t) -> DataFrame:
 
 FILES: dict[str, tuple[str, Callable]] = {
     "json_customers": ("S-2", _json_customers),
-    "json_order_documents": ("K-3 S-2", _json_documents),
+    "json_order_documents": ("K-3 S-2", lambda t: _json_round_trip(t, _order_documents(t))),
+    "json_order_document_lines": (
+        "K-3 S-2", lambda t: _json_round_trip(t, sales.order_document_lines(t))),
     "append_categories": ("K-2", _appended),
 }
 

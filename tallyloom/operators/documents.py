@@ -1,10 +1,9 @@
-"""Nested documents: a parent row with its children as sorted arrays.
+"""Documents: one header row per parent and one row per child, the same at every size.
 
-An array lives in one row, hence in one task. A parent with more than ``part_rows``
-children therefore gets several rows, numbered by ``part``; every other parent gets one
-row with ``part`` 0. Children are dealt to parts by a hash, so each part holds about
-``part_rows`` children, sorted; nothing is left out. Parents and children meet on
-(key, part), so the parts of one huge document end up in different tasks.
+A document is two frames. Headers carry the number of children, summed up by a partial
+aggregate before it meets the parents; children carry their parent's id and their own, sorted
+by (parent, place in the document, id). Nothing is gathered into an array, so a parent with
+very many children is cut by the range partitioner like any other rows.
 """
 
 from __future__ import annotations
@@ -14,101 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import materialise
+from tallyloom.operators.listing import listing, up
 
-PART_ROWS = 10_000
 
-
-def crowded(children: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """``owner`` and ``parts`` of the parents with more than ``part_rows`` children.
-
-    ``children`` may hold more rows than end up in the documents (the children before a
-    join); only the key column is read. The result, normally empty, is written to the shared
-    folder first: Spark then knows its size when it plans the joins with it, broadcasts it
-    while it is small and needs no shuffle of the children just to find out.
-    """
-    sizes = children.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("owner")).agg(
+def with_count(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """``parents`` with the number of their ``children``, zero without any."""
+    sizes = children.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    full = sizes.filter(F.col("__n") > part_rows).select(
-        "owner", F.ceil(F.col("__n") / part_rows).cast("int").alias("parts")
+    return parents.join(sizes, "id", "left").select(
+        *parents.columns, F.coalesce("__n", F.lit(0)).alias(name)
     )
-    return materialise(full, "crowded")
-
-
-def numbered(scanned: DataFrame) -> DataFrame:
-    """Give rows without an id a ``position`` to be dealt by, identical copies included.
-
-    Only to be put directly on a table scan: there a row keeps its position when a lost
-    task is run again, which it would not after a shuffle.
-    """
-    return scanned.withColumn("position", F.monotonically_increasing_id())
 
 
-def nest(
-    children: DataFrame,
-    key: str,
-    name: str,
-    sort: Sequence[Column],
-    fields: Sequence[str],
-    *,
-    spread: str,
-    crowd: DataFrame,
+def children_of(
+    parents: DataFrame, children: DataFrame, key: str, fields: Sequence[str],
+    order: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per (``owner``, ``part``) with the sorted array ``name``.
-
-    ``sort`` lists orderable, NULL-free expressions in ascending order; ``spread`` is the
-    column that tells children apart (an id or a position).
-    """
-    dealt = F.pmod(F.xxhash64(spread), F.col("parts")).cast("int")
-    item = F.struct(
-        *[expr.alias(f"__s{i}") for i, expr in enumerate(sort)],
-        F.struct(*fields).alias("__item"),
-    )
-    placed = children.filter(F.col(key).isNotNull()).join(
-        crowd.withColumnRenamed("owner", "__full"), F.col(key) == F.col("__full"), "left"
-    ).select(
-        F.col(key).alias("owner"), F.coalesce(dealt, F.lit(0)).alias("part"),
-        item.alias("__child"),
-    )
-    # Explicit repartition: an array aggregate must not reuse a partitioning by key alone,
-    # which would bring all parts of a crowded parent back to one task.
-    return (
-        placed.repartition(F.col("owner"), F.col("part"))
-        .groupBy("owner", "part")
-        .agg(F.array_sort(F.collect_list("__child")).alias("__sorted"))
-        .select("owner", "part", F.transform("__sorted", lambda x: x["__item"]).alias(name))
-    )
-
-
-def in_parts(parents: DataFrame, *crowds: DataFrame) -> DataFrame:
-    """Parents once per part: as many parts as their most crowded children need."""
-    out, needed = parents, [F.lit(1), F.lit(1)]
-    for i, crowd in enumerate(crowds):
-        sized = crowd.select(F.col("owner").alias("__full"), F.col("parts").alias(f"__parts_{i}"))
-        out = out.join(sized, F.col("id") == F.col("__full"), "left").drop("__full")
-        needed.append(F.coalesce(f"__parts_{i}", F.lit(1)))
-    last = F.greatest(*needed) - 1
-    return out.select(*parents.columns, F.explode(F.sequence(F.lit(0), last)).alias("part"))
-
-
-def attach(parents: DataFrame, nested: DataFrame) -> DataFrame:
-    """Add the array of each parent part, empty where there are no children."""
-    name = nested.columns[-1]
-    array = nested.select(
-        F.col("owner").alias("id"), "part", F.col(name).alias("__array")
-    )
-    none = F.array().cast(nested.schema[name].dataType)
-    joined = parents.join(array, ["id", "part"], "left")
-    return joined.select(*parents.columns, F.coalesce("__array", none).alias(name))
-
-
-def date_up(column: str) -> list[Column]:
-    """Sort keys for a date ascending with NULLs last."""
-    return [F.col(column).isNull(), F.coalesce(F.col(column), F.to_date(F.lit("9999-12-31")))]
-
-
-def time_down(column: str) -> list[Column]:
-    """Sort keys for a timestamp descending with NULLs first."""
-    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
-    return [F.col(column).isNotNull(), -F.coalesce(micros, F.lit(0))]
+    """The children of known parents, sorted by parent, ``order`` and their own id."""
+    known = children.join(parents.select(F.col("id").alias(key)), key, "left_semi")
+    return listing(known, [up(key), *order, up("id")], [key, *fields])

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.documents import (
-    PART_ROWS, attach, crowded, date_up, in_parts, nest, time_down,
-)
+from tallyloom.operators.documents import children_of, with_count
 from tallyloom.operators.listing import down, listing, up
 
 
@@ -40,23 +38,23 @@ def pricing_rules(t) -> DataFrame:
     return listing(with_product(t.pricing_rules, t), [up("rule_name"), up("id")])
 
 
-def customer_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
-    """Each customer with its opportunities and quotations.
+def customer_documents(t) -> DataFrame:
+    """Each customer with the number of its opportunities and of its quotations."""
+    counted = with_count(t.customers, t.opportunities, "customer_id", "opportunity_count")
+    return with_count(counted, t.quotations, "customer_id", "quotation_count")
 
-    Both children are nested on their own and meet on (customer, part), so opportunities
-    never multiply with quotations.
-    """
-    dealers = crowded(t.opportunities, "customer_id", part_rows)
-    askers = crowded(t.quotations, "customer_id", part_rows)
-    deals = nest(
-        t.opportunities, "customer_id", "opportunities",
-        [*date_up("expected_close_date"), F.col("id")],
+
+def customer_opportunities(t) -> DataFrame:
+    return children_of(
+        t.customers, t.opportunities, "customer_id",
         ["id", "title", "stage", "estimated_value", "expected_close_date"],
-        spread="id", crowd=dealers,
+        [up("expected_close_date")],
     )
-    quotes = nest(
-        t.quotations, "customer_id", "quotations", [*time_down("created_at"), F.col("id")],
+
+
+def customer_quotations(t) -> DataFrame:
+    return children_of(
+        t.customers, t.quotations, "customer_id",
         ["id", "quote_number", "valid_until", "status", "total_amount", "created_at"],
-        spread="id", crowd=askers,
+        [down("created_at")],
     )
-    return attach(attach(in_parts(t.customers, dealers, askers), deals), quotes)

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.business import yearly_depreciation
-from tallyloom.operators.documents import (
-    PART_ROWS, attach, crowded, in_parts, nest, numbered,
-)
+from tallyloom.operators.documents import children_of, with_count
 from tallyloom.operators.listing import down, listing, one_row, up
 
 MONEY = "decimal(18,2)"
@@ -62,12 +60,12 @@ def payables(t) -> DataFrame:
     return listing(joined.drop("vendor_id"), [up("due_date"), up("id")])
 
 
-def journal_lines(t, lines: DataFrame | None = None) -> DataFrame:
+def journal_lines(t) -> DataFrame:
     chart = t.accounts.select(
         F.col("id").alias("account_id"), "account_code", F.col("name").alias("account_name"),
         F.col("type").alias("account_type"),
     )
-    return (t.journal_entry_lines if lines is None else lines).join(chart, "account_id", "left")
+    return t.journal_entry_lines.join(chart, "account_id", "left")
 
 
 def journal_totals(t) -> DataFrame:
@@ -95,15 +93,17 @@ def unreversed_entries(t) -> DataFrame:
     )
 
 
-def journal_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
-    crowd = crowded(t.journal_entry_lines, "journal_entry_id", part_rows)
-    lines = nest(
-        journal_lines(t, numbered(t.journal_entry_lines)), "journal_entry_id", "lines",
-        [F.col(c) for c in ("account_id", "debit", "credit")],
-        ["account_id", "debit", "credit", "account_code", "account_name", "account_type"],
-        spread="position", crowd=crowd,
+def journal_documents(t) -> DataFrame:
+    """Each entry with its number of lines."""
+    return with_count(t.journal_entries, t.journal_entry_lines, "journal_entry_id", "line_count")
+
+
+def journal_document_lines(t) -> DataFrame:
+    """The lines of stored entries with their accounts, by line id."""
+    return children_of(
+        t.journal_entries, journal_lines(t), "journal_entry_id",
+        ["id", "account_id", "debit", "credit", "account_code", "account_name", "account_type"],
     )
-    return attach(in_parts(t.journal_entries, crowd), lines)
 
 
 def tax_summary(t) -> DataFrame:

@@ -148,10 +148,12 @@ class Reversals:
         """Debit and credit change sides. What is to be reversed is written to the shared
         folder first, so that an entry with very many lines is split in the join."""
         wanted = materialise(
-            self.entries.select(F.col("reference_id").alias("journal_entry_id"), "id"), "reversed"
+            self.entries.select(
+                F.col("reference_id").alias("journal_entry_id"), F.col("id").alias("new_id")),
+            "reversed",
         )
         return self.stored_lines.join(wanted, "journal_entry_id").select(
-            F.col("id").alias("journal_entry_id"), "account_id",
+            F.col("new_id").alias("journal_entry_id"), "account_id",
             F.col("credit").alias("debit"), F.col("debit").alias("credit"),
         )
 

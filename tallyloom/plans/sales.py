@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.documents import (
-    PART_ROWS, attach, crowded, in_parts, nest, numbered,
-)
+from tallyloom.operators.documents import children_of, with_count
 from tallyloom.operators.listing import down, listing, lookup, up
 
 MONEY = "decimal(18,2)"
@@ -39,27 +37,27 @@ def sales_orders(t) -> DataFrame:
     return listing(orders_with_customer(t), [down("created_at"), down("id")])
 
 
-def lines_with_product(t, lines: DataFrame | None = None) -> DataFrame:
+def lines_with_product(t) -> DataFrame:
     names = t.products.select(
         F.col("id").alias("product_id"), F.col("sku").alias("product_sku"),
         F.col("name").alias("product_name"),
     )
-    return (t.order_lines if lines is None else lines).join(names, "product_id")
+    return t.order_lines.join(names, "product_id")
 
 
-def order_documents(t, part_rows: int = PART_ROWS) -> DataFrame:
-    """Each order of a known customer with its customer's contact and its lines."""
-    crowd = crowded(t.order_lines, "order_id", part_rows)
-    # The lines have no id: a line's place is its number, then the line itself.
-    lines = nest(
-        lines_with_product(t, numbered(t.order_lines)), "order_id", "order_lines",
-        [F.col(c) for c in ("line_number", "product_id", "quantity", "unit_price")],
-        ["line_number", "product_id", "quantity", "unit_price", "subtotal", "created_at",
+def order_documents(t) -> DataFrame:
+    """Each order of a known customer with its customer's contact and its number of lines."""
+    heads = orders_with_customer(t, "primary_contact_name", "primary_email")
+    return with_count(heads, lines_with_product(t), "order_id", "line_count")
+
+
+def order_document_lines(t) -> DataFrame:
+    """The lines of those orders, by line id."""
+    return children_of(
+        orders_with_customer(t), lines_with_product(t), "order_id",
+        ["id", "line_number", "product_id", "quantity", "unit_price", "subtotal", "created_at",
          "product_sku", "product_name"],
-        spread="position", crowd=crowd,
     )
-    heads = orders_with_customer(t, "primary_contact_name", "primary_email")
-    return attach(in_parts(heads, crowd), lines)
 
 
 def line_total():

@@ -52,9 +52,26 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_HANDED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _HANDED.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what this process has written to the shared folder; returns how many paths.
+
+    To be called when the results of its jobs are written: frames that were read back from
+    those paths cannot be used any more.
+    """
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in _HANDED]
+    _HANDED.clear()
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(p.getFileSystem(settings).delete(p, True) for p in paths)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

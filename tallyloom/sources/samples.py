@@ -53,7 +53,8 @@ TABLES = {
                o_orderdate AS created_at, o_orderdate + INTERVAL '1' DAY AS updated_at
         FROM {orders}""",
     "order_lines": """
-        SELECT CAST(l_orderkey + 1 AS BIGINT) AS order_id,
+        SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id,
+               CAST(l_orderkey + 1 AS BIGINT) AS order_id,
                CAST(l_linenumber AS INT) AS line_number,
                CASE WHEN l_partkey % 19 = 0 THEN CAST(-1 AS BIGINT)
                     ELSE CAST(l_partkey + 1 AS BIGINT) END AS product_id,
@@ -138,12 +139,14 @@ TABLES = {
                o_orderdate AS created_at, CAST(o_custkey + 1 AS BIGINT) AS created_by
         FROM {orders}""",
     "journal_entry_lines": """
-        SELECT CAST(l_orderkey + 1 AS BIGINT) AS journal_entry_id,
+        SELECT CAST((l_orderkey * 8 + l_linenumber) * 2 AS BIGINT) AS id,
+               CAST(l_orderkey + 1 AS BIGINT) AS journal_entry_id,
                CAST((l_partkey % 30) + 1 AS BIGINT) AS account_id,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS debit, CAST(0 AS DECIMAL(18,2)) AS credit
         FROM {lineitem}
         UNION ALL
-        SELECT CAST(l_orderkey + 1 AS BIGINT), CAST((l_suppkey % 25) + 1 AS BIGINT),
+        SELECT CAST((l_orderkey * 8 + l_linenumber) * 2 + 1 AS BIGINT),
+               CAST(l_orderkey + 1 AS BIGINT), CAST((l_suppkey % 25) + 1 AS BIGINT),
                CAST(0 AS DECIMAL(18,2)), CAST(l_extendedprice AS DECIMAL(18,2))
         FROM {lineitem}""",
     "assets": """

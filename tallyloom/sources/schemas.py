@@ -56,7 +56,7 @@ BUSINESS = {
         f"total_amount {MONEY}, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
     ),
     "order_lines": (
-        "order_id BIGINT, line_number INT, product_id BIGINT, quantity INT, "
+        "id BIGINT, order_id BIGINT, line_number INT, product_id BIGINT, quantity INT, "
         f"unit_price {MONEY}, subtotal {MONEY}, created_at TIMESTAMP_NTZ"
     ),
     "products": (
@@ -119,7 +119,7 @@ BUSINESS = {
         "reference_id BIGINT, created_at TIMESTAMP_NTZ, created_by BIGINT"
     ),
     "journal_entry_lines": (
-        f"journal_entry_id BIGINT, account_id BIGINT, debit {MONEY}, credit {MONEY}"
+        f"id BIGINT, journal_entry_id BIGINT, account_id BIGINT, debit {MONEY}, credit {MONEY}"
     ),
     "tax_payments": (
         f"id BIGINT, tax_period STRING, amount_paid {MONEY}, payment_date DATE, "

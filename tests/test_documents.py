@@ -1,8 +1,8 @@
-"""Nested documents, whole and in parts."""
+"""Documents as headers and rows, the same for small and for very large parents."""
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators.documents import crowded, in_parts, nest, numbered
+from tallyloom.operators.documents import children_of, with_count
 from tallyloom.plans import crm, finance, sales
 
 
@@ -11,7 +11,8 @@ def test_children_are_sorted_with_nulls_where_they_belong(make, bundle):
         customers=make([(1, "c"), (2, "d")], "id BIGINT, company_name STRING"),
         opportunities=make(
             [(1, 1, "a", "Lead", None, None), (2, 1, "b", "Lead", None, "2024-02-01"),
-             (3, 1, "c", "Lead", None, "2024-01-01"), (4, 9, "x", "Lead", None, None)],
+             (3, 1, "c", "Lead", None, "2024-01-01"), (4, 9, "x", "Lead", None, None),
+             (5, None, "y", "Lead", None, None)],
             "id BIGINT, customer_id BIGINT, title STRING, stage STRING, "
             "estimated_value DECIMAL(18,2), expected_close_date STRING",
         ).withColumn("expected_close_date", F.col("expected_close_date").cast("date")),
@@ -24,66 +25,31 @@ def test_children_are_sorted_with_nulls_where_they_belong(make, bundle):
                  F.lit(1).cast("decimal(18,2)").alias("total_amount"),
                  F.col("created_at").cast("timestamp_ntz")),
     )
-    rows = {r["id"]: r for r in crm.customer_documents(t).collect()}
-    assert sorted(rows) == [1, 2]
-    assert [o["id"] for o in rows[1]["opportunities"]] == [3, 2, 1]
-    assert [q["id"] for q in rows[1]["quotations"]] == [2, 3, 1]
-    assert rows[2]["opportunities"] == [] and rows[2]["quotations"] == []
-
-
-def test_a_hot_parent_comes_in_parts_and_whole(make):
-    rows = [(1, i) for i in range(1000)] + [(2, i) for i in range(5)]
-    children = make(rows, "parent BIGINT, n INT")
-    crowd = crowded(children, "parent", 50)
-    assert crowd.collect() == [(1, 20)]
-    parts = nest(children, "parent", "items", [F.col("n")], ["n"], spread="n",
-                 crowd=crowd).collect()
-    hot = [[x["n"] for x in r["items"]] for r in parts if r["owner"] == 1]
-    assert len(hot) == 20
-    assert all(each == sorted(each) for each in hot)
-    assert max(len(each) for each in hot) < 100
-    assert sorted(n for each in hot for n in each) == list(range(1000))
-    assert [[x["n"] for x in r["items"]] for r in parts if r["owner"] == 2] == [list(range(5))]
-
-
-def test_identical_children_are_split_too(make):
-    copies = numbered(make([(1, 7)] * 300, "parent BIGINT, n INT"))
-    parts = nest(copies, "parent", "items", [F.col("n")], ["n"], spread="position",
-                 crowd=crowded(copies, "parent", 30)).collect()
-    assert len(parts) > 5 and sum(len(r["items"]) for r in parts) == 300
-
-
-def test_parents_take_as_many_parts_as_their_largest_children(make):
-    parents = make([(1,), (2,), (3,)], "id BIGINT")
-    few, many = [make(rows, "owner BIGINT, parts INT") for rows in ([(1, 2)], [(1, 4), (3, 2)])]
-    got = sorted(tuple(r) for r in in_parts(parents, few, many).collect())
-    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (3, 0), (3, 1)]
-
-
-def test_parts_add_up_for_every_document(tables):
-    whole = sales.order_documents(tables)
-    parts = sales.order_documents(tables, part_rows=2)
-
-    def lines(frame):
-        return frame.select("id", F.explode("order_lines").alias("l")).select("id", "l.*")
-
-    assert parts.filter("part > 0").count() > 0
-    assert lines(parts).exceptAll(lines(whole)).isEmpty()
-    assert lines(whole).exceptAll(lines(parts)).isEmpty()
-    assert parts.select("id").distinct().count() == whole.count()
-
-
-def test_customer_parts_meet_without_multiplying(tables):
-    parts = crm.customer_documents(tables, part_rows=3)
-    known = tables.customers.select(F.col("id").alias("customer_id"))
-    for name in ("opportunities", "quotations"):
-        seen = parts.select(F.explode(name)).count()
-        assert seen == tables.table(name).join(known, "customer_id", "left_semi").count()
-
-
-def test_entries_without_lines_keep_an_empty_array(tables):
-    documents = finance.journal_documents(tables)
-    empty = documents.filter(F.size("lines") == 0).count()
-    lined = tables.journal_entry_lines.select("journal_entry_id").distinct().count()
-    assert documents.count() == tables.journal_entries.count()
-    assert empty == tables.journal_entries.count() - lined
+    heads = {r["id"]: (r["opportunity_count"], r["quotation_count"])
+             for r in crm.customer_documents(t).collect()}
+    assert heads == {1: (3, 3), 2: (0, 0)}
+    assert [(r["customer_id"], r["id"]) for r in crm.customer_opportunities(t).collect()] == [
+        (1, 3), (1, 2), (1, 1)]
+    assert [r["id"] for r in crm.customer_quotations(t).collect()] == [2, 3, 1]
+
+
+def test_a_very_large_parent_has_the_same_shape(spark):
+    parents = spark.range(5)
+    children = spark.range(60_000).select(
+        "id", F.when(F.col("id") < 50_000, 1).otherwise(F.col("id") % 4).cast("long").alias("owner"))
+    heads = with_count(parents, children, "owner", "n")
+    assert {r["id"]: r["n"] for r in heads.collect()} == {
+        0: 2500, 1: 52_500, 2: 2500, 3: 2500, 4: 0}
+    rows = children_of(parents, children, "owner", ["id"]).collect()
+    assert [tuple(r) for r in rows] == sorted(tuple(r) for r in rows) and len(rows) == 60_000
+
+
+def test_headers_count_what_the_rows_hold(tables):
+    for heads, rows, key in (
+            (sales.order_documents(tables), sales.order_document_lines(tables), "order_id"),
+            (finance.journal_documents(tables), finance.journal_document_lines(tables),
+             "journal_entry_id")):
+        sizes = rows.groupBy(F.col(key).alias("id")).count()
+        assert heads.join(sizes, "id", "left").where(
+            "line_count <> coalesce(count, 0)").isEmpty()
+        assert heads.agg(F.sum("line_count")).first()[0] == rows.count()

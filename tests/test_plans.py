@@ -2,6 +2,8 @@
 
 import datetime
 
+import os
+
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from tallyloom.catalogue import ACCESS, EDITS, INTAKE, POSTING, REPORTS
 from tallyloom.operators.claims import mark_duplicates
 from tallyloom.operators.validate import flag_known
 from tallyloom.plans import bi, crm, finance, inventory, scm
-from tallyloom.session import materialise, work_dir
+from tallyloom import session
+from tallyloom.session import materialise, release, work_dir
 from tallyloom.sources.tables import SampleTables
 
 
@@ -142,3 +145,11 @@ def test_a_missing_shared_folder_is_an_error():
 def test_materialised_rows_are_read_back_from_files(spark):
     kept = materialise(spark.range(5).toDF("id"), "kept")
     assert kept.count() == 5 and kept.inputFiles()[0].startswith(f"file://{work_dir(spark)}")
+
+
+def test_a_job_removes_what_it_wrote(spark, monkeypatch):
+    monkeypatch.setattr(session, "_HANDED", [])
+    kept = materialise(spark.range(5).toDF("id"), "kept")
+    folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder) and release(spark) == 1
+    assert not os.path.exists(folder) and release(spark) == 0
