@@ -25,6 +25,8 @@ HASHES = 1 << 15     # shingle hashes turned into bits at once
 FRONTIER = 1 << 21   # (query, node) pairs held at once
 BUCKET_ROWS = 4096   # fingerprints expected in a bucket
 WINDOW_ROWS = 1 << 17
+BLOCK_ROWS = 1 << 15  # fingerprints expected in a block of a crowded bucket
+SEARCH = ["mask", "part", "i", "j"]  # one search: two blocks of a bucket, or one twice
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -192,22 +194,34 @@ def _signed(value: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS,
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints ``fp`` of every chain of links.
 
-    Fingerprints meet where a mask's bits agree. A task streams through its sorted buckets
-    and hands on one edge per linked row and bucket, never the pairs.
+    Fingerprints meet where a mask's bits agree. A bucket of n fingerprints is split into
+    ceil(n / block_rows) blocks by a hash, and every two blocks are searched together, so
+    that a family around one centre spreads over tasks of bounded size. A task streams
+    through its sorted buckets and hands on one edge per linked row and search, never the
+    pairs.
     """
     masks = pigeonholes(prints.count(), max_bits)
     holes = F.explode(F.array(*[
         F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("part"))
         for i, m in enumerate(masks)])).alias("hole")
-    dealt = prints.select("fp", holes).select("fp", "hole.mask", "hole.part").repartition(
-        shuffle_partitions(prints.sparkSession), "mask", "part").sortWithinPartitions("mask", "part")
+    held = prints.select("fp", holes).select("fp", "hole.mask", "hole.part")
+    crowds = materialise(
+        held.groupBy("mask", "part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        .where("blocks > 1"), "crowds")
+    placed = held.join(crowds, ["mask", "part"], "left").select(
+        "fp", "mask", "part", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn(
+        "block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "fp", "mask", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.repartition(shuffle_partitions(prints.sparkSession), *SEARCH).sortWithinPartitions(*SEARCH)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, mask, part in _windows(batches):
-            buckets = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])])
+        for fp, keys in _windows(batches):
+            buckets = np.cumsum(np.r_[False, (keys[1:] != keys[:-1]).any(axis=1)])
             roots = linked_roots(buckets, fp, max_bits)
             moved = np.flatnonzero(roots != np.arange(len(roots)))
             if len(moved):
@@ -218,22 +232,22 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """Runs of whole buckets, WINDOW_ROWS or more rows each."""
-    held: list[tuple] = []
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of whole searches (fingerprints, keys), WINDOW_ROWS or more rows each."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     rows, enough = 0, WINDOW_ROWS
     for batch in batches:
-        held.append((batch.column("fp").to_numpy().astype(np.uint64), batch.column("mask").to_numpy(),
-                     batch.column("part").to_numpy()))
+        held.append((batch.column("fp").to_numpy().astype(np.uint64),
+                     np.stack([batch.column(k).to_numpy().astype(np.int64) for k in SEARCH], axis=1)))
         rows += batch.num_rows
         if rows < enough:
             continue
-        fp, mask, part = (np.concatenate(x) for x in zip(*held))
-        others = np.flatnonzero((mask != mask[-1]) | (part != part[-1]))
+        fp, keys = (np.concatenate(x) for x in zip(*held))
+        others = np.flatnonzero((keys != keys[-1]).any(axis=1))
         cut = int(others[-1]) + 1 if len(others) else 0
         if cut:
-            yield fp[:cut], mask[:cut], part[:cut]
-        held, rows = [(fp[cut:], mask[cut:], part[cut:])], len(fp) - cut
+            yield fp[:cut], keys[:cut]
+        held, rows = [(fp[cut:], keys[cut:])], len(fp) - cut
         enough = max(WINDOW_ROWS, 2 * rows)
     if rows:
         yield tuple(np.concatenate(x) for x in zip(*held))

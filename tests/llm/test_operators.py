@@ -365,6 +365,34 @@ def test_some_pigeonhole_always_agrees(rows):
         assert any(not m & difference for m in masks)
 
 
+@pytest.mark.parametrize("block_rows", [7, 40, 10_000])
+def test_a_crowded_bucket_is_searched_in_blocks(spark, block_rows):
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    family = {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9)))
+                         for _ in range(150)}
+    values = sorted(family | {rng.getrandbits(64) for _ in range(150)})
+    frame = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    edges = [(r["a"] % 2**64, r["b"] % 2**64)
+             for r in simhash.fingerprint_links(frame, block_rows=block_rows).collect()]
+
+    def classes(pairs):
+        up = {v: v for v in values}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+        return {v: top(v) for v in values}
+
+    near = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4]
+    assert classes(edges) == classes(near)
+
+
 def test_simhash_on_odd_rows(odd, no_documents):
     rows = {}
     for r in simhash.near_duplicates(odd).collect():
