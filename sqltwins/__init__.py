@@ -16,6 +16,23 @@ ORACLES["stream_receipts"] = ORACLES["receive_stock_table"]
 ORACLES["stream_receipts_rejected"] = ORACLES["receive_stock_rejected"]
 ORACLES["stream_order_status"] = ORACLES["status_sales_order_table"]
 ORACLES["stream_order_status_rejected"] = ORACLES["status_sales_order_rejected"]
+ORACLES["stream_receipts_compacted"] = ORACLES["receive_stock_table"]
+ORACLES["stream_order_status_compacted"] = ORACLES["status_sales_order_table"]
+# What a caller gets back after a change or a new document.
+_STAFF = f"SELECT * FROM ({ORACLES['intake_employees']}) x WHERE reject_reason IS NULL"
+ORACLES["new_users"] = (
+    f"SELECT request_id AS id, username, email, role_id, is_active FROM ({_STAFF}) s")
+ORACLES["new_employees"] = f"""SELECT request_id AS id, request_id AS user_id, first_name, last_name,
+    department_id, job_title, hire_date, base_salary FROM ({_STAFF}) s"""
+ORACLES["new_purchase_orders"] = reports.statement(
+    f"""SELECT * EXCLUDE (reject_reason) FROM ({ORACLES['post_purchase_orders']}) x
+    NATURAL LEFT JOIN ({reports.SUPPLIER_NAMES}) names WHERE reject_reason IS NULL""")
+ORACLES["status_sales_order_documents"] = f"""
+    SELECT d.id, o.status, d.total_amount, d.customer_company_name, d.primary_email, d.line_count
+    FROM ({ORACLES['order_documents']}) d JOIN ({ORACLES['status_sales_order']}) o USING (id)"""
+ORACLES["status_sales_order_lines"] = f"""
+    SELECT * FROM ({ORACLES['order_document_lines']}) l
+    WHERE order_id IN (SELECT id FROM ({ORACLES['status_sales_order']}) o)"""
 # Through files and back nothing may change.
 ORACLES["json_customers"] = ORACLES["intake_customers"]
 ORACLES["json_order_documents"] = ORACLES["order_documents"]

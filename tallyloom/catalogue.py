@@ -27,8 +27,8 @@ def _customer_documents(t) -> DataFrame:
         "id", "company_name", "status", "opportunity_count", "quotation_count")
 
 
-def _order_documents(t) -> DataFrame:
-    return sales.order_documents(t).select(
+def _order_documents(t, orders: DataFrame | None = None) -> DataFrame:
+    return sales.order_documents(t, orders).select(
         "id", "status", "total_amount", "customer_company_name", "primary_email", "line_count")
 
 
@@ -178,6 +178,11 @@ def _new_applicants(t) -> DataFrame:
     return hr.with_posting(good, t)
 
 
+def _registered(part: int) -> Callable:
+    """Users (0) or employees (1) of the accepted registrations."""
+    return lambda t: intake.split_staff(split(intake.employees(t))[0])[part]
+
+
 INTAKE: dict[str, tuple[str, Callable]] = {
     "intake_customers": ("V-1 F-1 F-2 F-5", _judged(intake.customers)),
     "intake_opportunities": ("V-2 F-3 F-6", _judged(intake.opportunities)),
@@ -204,6 +209,8 @@ INTAKE: dict[str, tuple[str, Callable]] = {
     "intake_movements": ("W-7 V-20", _judged(intake.movements, NOW)),
     "new_quotations": ("V-3 J-2", _new_quotations),
     "new_applicants": ("V-14 J-11", _new_applicants),
+    "new_users": ("V-19", _registered(0)),
+    "new_employees": ("V-19", _registered(1)),
 }
 
 
@@ -242,6 +249,11 @@ for _entity, _id in STATUS_IDS.items():
     EDITS[f"status_{_entity}"] = (f"{_id} U-8", _status_change(_entity, "changed"))
     EDITS[f"status_{_entity}_rejected"] = (_id, _status_change(_entity, "rejected"))
 EDITS["status_sales_order_table"] = ("U-1k", _status_change("sales_order", "table"))
+EDITS["status_sales_order_documents"] = (
+    "U-1k N-2", lambda t: _order_documents(t, _status_change("sales_order", "changed")(t)))
+EDITS["status_sales_order_lines"] = (
+    "U-1k N-2",
+    lambda t: sales.order_document_lines(t, _status_change("sales_order", "changed")(t)))
 EDITS["status_employee"] = ("U-1e J-23 U-8", _change(edits.employee_status, "changed"))
 EDITS["status_employee_rejected"] = ("U-1e", _change(edits.employee_status, "rejected"))
 EDITS["status_employee_users"] = ("U-1e J-23", _change(edits.employee_status, "table"))
@@ -269,10 +281,16 @@ EDITS["bills_paid"] = ("U-7", _change(edits.bills_paid, "changed"))
 EDITS["bills_paid_rejected"] = ("U-7", _change(edits.bills_paid, "rejected"))
 EDITS["upsert_products"] = ("U-9", edits.upsert_products)
 
+def _new_purchase_orders(t) -> DataFrame:
+    good, _ = split(posting.purchase_orders(t).headers)
+    return scm.with_supplier(good, t)
+
+
 POSTING: dict[str, tuple[str, Callable]] = {
     "post_sales_orders": ("W-1 A-13", lambda t: outcome(posting.sales_orders(t, NOW).headers)),
     "post_sales_order_lines": ("W-1 A-13", lambda t: posting.sales_orders(t, NOW).lines()),
     "post_purchase_orders": ("W-2 A-14", lambda t: outcome(posting.purchase_orders(t).headers)),
+    "new_purchase_orders": ("W-2 J-14", _new_purchase_orders),
     "post_purchase_order_lines": ("W-2 A-14", lambda t: posting.purchase_orders(t).lines()),
     "post_journal_entries": (
         "W-3", lambda t: outcome(posting.journal_headers(posting.journal_entries(t)))
@@ -357,12 +375,38 @@ def _order_status(read: Callable, *args) -> Callable:
     return run
 
 
+def _with_a_compaction(table: str, feed: str, log: Callable, current: Callable, *args) -> Callable:
+    """Half of the events arrive and go into a new base, then the others arrive."""
+
+    def run(t) -> DataFrame:
+        arrived, path = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "log")
+        events = t.landing("events")
+        middle = events.agg(F.max("event_id")).first()[0] or 0
+        early = F.coalesce(F.col("event_id") <= middle // 2, F.lit(True))
+        events.filter(early).write.parquet(arrived)
+        arriving = StreamTables(t.spark, t.root, arrived)
+        judged = log(t, arriving.table(feed), path)
+        compacted = edit_stream.compact(
+            current(t, path, judged, *args), scratch_path(t.spark, f"{table}-base-1"))
+        events.filter(~early).write.mode("append").parquet(arrived)
+        later = t.replaced(**{table: compacted})
+        judged = log(later, arriving.table(feed), path, base=1)
+        return current(later, path, judged, *args, base=1)
+
+    return run
+
+
 STREAMS: dict[str, tuple[str, Callable]] = {
     "stream_movements": ("X-1 K-2", _moved(movement_stream.accepted)),
     "stream_movements_rejected": ("X-1", _moved(movement_stream.rejected)),
     "stream_receipts": ("X-2 U-5", _received(edit_stream.stocked)),
+    "stream_receipts_compacted": ("X-2 U-5", _with_a_compaction(
+        "products", "receipt_feed", edit_stream.log_receipts, edit_stream.stocked)),
     "stream_receipts_rejected": ("X-2", _received(edit_stream.refused)),
     "stream_order_status": ("X-2 U-1k", _order_status(edit_stream.current_orders, NOW)),
+    "stream_order_status_compacted": ("X-2 U-1k", _with_a_compaction(
+        "sales_orders", "sales_order_status_feed", edit_stream.log_order_status,
+        edit_stream.current_orders, NOW)),
     "stream_order_status_rejected": ("X-2", _order_status(edit_stream.refused)),
 }
 

@@ -9,12 +9,10 @@ from tallyloom.functions import business, cleaning, reasons
 
 
 def user_permissions(t) -> DataFrame:
-    """One row per user and permission. The role dimension has fourteen fixed rows."""
+    """One row per user and permission."""
     grants = t.roles.select(F.col("id").alias("role_id"), F.col("name").alias("role"),
                             F.explode("permissions").alias("permission"))
-    return t.users.select(F.col("id").alias("user_id"), "role_id").join(
-        F.broadcast(grants), "role_id"
-    ).select("user_id", "role", "permission")
+    return t.users.select(F.col("id").alias("user_id"), "role_id").join(grants, "role_id").select("user_id", "role", "permission")
 
 
 def access_audit(t) -> DataFrame:
@@ -30,9 +28,7 @@ def access_audit(t) -> DataFrame:
         .when(granted, reasons.ALLOWED)
         .otherwise(reasons.FORBIDDEN)
     )
-    return t.access_log.join(people, "user_id", "left").join(
-        F.broadcast(grants), "role_id", "left"
-    ).select("id", "user_id", "action", verdict.alias("verdict"))
+    return t.access_log.join(people, "user_id", "left").join(grants, "role_id", "left").select("id", "user_id", "action", verdict.alias("verdict"))
 
 
 def resolve_roles(feed: DataFrame) -> DataFrame:

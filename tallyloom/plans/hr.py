@@ -79,8 +79,7 @@ def applicants(t) -> DataFrame:
 
 def users_with_role(t) -> DataFrame:
     names = t.roles.select(F.col("id").alias("role_id"), F.col("name").alias("role_name"))
-    # Fourteen fixed rows: safe to broadcast at any scale.
-    joined = t.users.join(F.broadcast(names), "role_id", "left")
+    joined = t.users.join(names, "role_id", "left")
     return joined.select(
         "id", "username", "email", "role_id", "is_active", "role_name",
         F.coalesce(canonical_role(F.col("role_name")), F.col("role_name")).alias("role"),

@@ -23,14 +23,15 @@ def invoice_recipients(t, keys: DataFrame) -> DataFrame:
     )
 
 
-def orders_with_customer(t, *extra: str) -> DataFrame:
+def orders_with_customer(t, *extra: str, orders: DataFrame | None = None) -> DataFrame:
     owners = t.customers.select(
         F.col("id").alias("customer_id"), F.col("company_name").alias("customer_company_name"),
         *extra,
     )
     columns = ["id", "customer_id", "order_date", "status", "total_amount", "created_at",
                "updated_at"]
-    return t.sales_orders.select(*columns).join(owners, "customer_id")
+    orders = t.sales_orders if orders is None else orders
+    return orders.select(*columns).join(owners, "customer_id")
 
 
 def sales_orders(t) -> DataFrame:
@@ -45,16 +46,16 @@ def lines_with_product(t) -> DataFrame:
     return t.order_lines.join(names, "product_id")
 
 
-def order_documents(t) -> DataFrame:
+def order_documents(t, orders: DataFrame | None = None) -> DataFrame:
     """Each order of a known customer with its customer's contact and its number of lines."""
-    heads = orders_with_customer(t, "primary_contact_name", "primary_email")
+    heads = orders_with_customer(t, "primary_contact_name", "primary_email", orders=orders)
     return with_count(heads, lines_with_product(t), "order_id", "line_count")
 
 
-def order_document_lines(t) -> DataFrame:
+def order_document_lines(t, orders: DataFrame | None = None) -> DataFrame:
     """The lines of those orders, by line id."""
     return children_of(
-        orders_with_customer(t), lines_with_product(t), "order_id",
+        orders_with_customer(t, orders=orders), lines_with_product(t), "order_id",
         ["id", "line_number", "product_id", "quantity", "unit_price", "subtotal", "created_at",
          "product_sku", "product_name"],
     )

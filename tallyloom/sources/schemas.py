@@ -134,6 +134,7 @@ BUSINESS = {
         f"id BIGINT, department STRING, fiscal_year STRING, allocated_amount {MONEY}, "
         f"spent_amount {MONEY}"
     ),
+    "roles": "id BIGINT, name STRING, permissions ARRAY<STRING>",
     "users": (
         "id BIGINT, username STRING, email STRING, first_name STRING, last_name STRING, "
         "role_id BIGINT, is_active BOOLEAN, updated_at TIMESTAMP_NTZ"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from copy import copy
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.session import tune
@@ -21,9 +23,13 @@ class ParquetTables:
         self.root = root
 
     def table(self, name: str) -> DataFrame:
-        if name == "roles":
-            return roles.role_table(self.spark)
-        return self.spark.read.schema(schemas.BUSINESS[name]).parquet(f"{self.root}/{name}")
+        try:
+            return self.spark.read.schema(schemas.BUSINESS[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException as missing:
+            # roles that nobody has stored are those of the catalogue
+            if name != "roles" or missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return roles.role_table(self.spark).select("id", "name", "permissions")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -48,24 +54,35 @@ class SampleTables(ParquetTables):
             self._known[name] = self._build(name)
         return self._known[name]
 
+    def replaced(self, **frames: DataFrame) -> SampleTables:
+        """The same tables, but for the named ones."""
+        other = copy(self)
+        other._known = {**self._known, **frames}
+        return other
+
     def _build(self, name: str) -> DataFrame:
         if name in schemas.LANDING:
             return self.landing(name)
         if name == "roles":
-            return roles.role_table(self.spark)
+            return roles.role_table(self.spark).select("id", "name", "permissions")
         text = DEFINITIONS[name].replace("{ntz}", "TIMESTAMP_NTZ")
         inputs = {used: self.table(used) for used in set(_PLACEHOLDER.findall(text))}
         return self.spark.sql(text, **inputs)
 
 
 class StreamTables(SampleTables):
-    """The same definitions with the events arriving as a file stream."""
+    """The same definitions with the events arriving as a file stream, from a folder of their
+    own if one is named."""
+
+    def __init__(self, spark: SparkSession, root: str, arrivals: str | None = None):
+        super().__init__(spark, root)
+        self.arrivals = arrivals
 
     def landing(self, name: str) -> DataFrame:
         if name != "events":
             return super().landing(name)
         return (
             self.spark.readStream.schema(schemas.LANDING[name])
-            .option("pathGlobFilter", "events*.parquet")
-            .parquet(self.root)
+            .option("pathGlobFilter", "*.parquet" if self.arrivals else "events*.parquet")
+            .parquet(self.arrivals or self.root)
         )

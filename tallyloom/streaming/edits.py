@@ -1,8 +1,10 @@
 """Keyed changes as a stream: judged on arrival, kept as a log, folded when read.
 
 The base table is not rewritten per micro-batch. The current table is the base joined
-with the folded log; ``compact`` writes it out as a new base from time to time, after
-which a new log starts.
+with the folded log; ``compact`` writes it out as the next base from time to time, between
+two drains. Bases are numbered, and the log tells by that number which records a base holds
+already: source progress goes on, and every record is folded exactly once. A change that
+arrives after a compaction counts as later than those before it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from tallyloom.plans.edits import stamped
 from tallyloom.streaming.journal import drain, read_outcome
 
 
-def log_receipts(t, feed: DataFrame, path: str) -> DataFrame:
+def log_receipts(t, feed: DataFrame, path: str, base: int = 0) -> DataFrame:
     """Stock receipts: product, quantity."""
     checked = clean(
         feed,
@@ -29,26 +31,27 @@ def log_receipts(t, feed: DataFrame, path: str) -> DataFrame:
          f.whole_number("quantity", reasons.RECEIVED_QUANTITY)],
     ).select(F.col("request_id").alias("seq"), F.col("product_id").alias("id"), "quantity", REASON)
     judged = judge_targets(checked, t.products, reasons.not_found("Product"))
-    drain(judged, path)
+    drain(judged, path, base)
     return judged
 
 
-def stocked(t, path: str, judged: DataFrame) -> DataFrame:
-    """Products with all receipts logged so far."""
-    log = read_outcome(t.spark, path, judged, "accepted")
+def stocked(t, path: str, judged: DataFrame, base: int = 0) -> DataFrame:
+    """Products, base number ``base``, with the receipts logged since."""
+    log = read_outcome(t.spark, path, judged, "accepted", base)
     return apply_sums(t.products, log, "stock_quantity", "quantity").table
 
 
-def log_order_status(t, feed: DataFrame, path: str) -> DataFrame:
+def log_order_status(t, feed: DataFrame, path: str, base: int = 0) -> DataFrame:
     checked = clean(feed, [f.choice("status", b.SALES_ORDER_STATUSES)], keep=("seq", "id"))
     judged = judge_targets(checked, t.sales_orders, reasons.not_found("Sales order"))
-    drain(judged, path)
+    drain(judged, path, base)
     return judged
 
 
-def current_orders(t, path: str, judged: DataFrame, as_of: datetime.datetime) -> DataFrame:
-    """Sales orders with the latest status logged so far."""
-    log = read_outcome(t.spark, path, judged, "accepted")
+def current_orders(t, path: str, judged: DataFrame, as_of: datetime.datetime,
+                   base: int = 0) -> DataFrame:
+    """Sales orders, base number ``base``, with the latest status logged since."""
+    log = read_outcome(t.spark, path, judged, "accepted", base)
     return apply_latest(t.sales_orders, log, ["status"], stamped(as_of)).table
 
 

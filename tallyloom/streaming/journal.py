@@ -1,5 +1,8 @@
 """Judged streams: every record is validated on arrival and appended once.
 
+Every record carries the number of the base table that was current when it was drained, so
+that what has been written into a later base is never read from the log again.
+
 The parquet file sink commits each micro-batch through its own log, so a batch that is
 run again after a failure leaves no second copy. Accepted and rejected records go to two
 partitions of one table in a single pass.
@@ -14,15 +17,16 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyloom.operators.validate import REASON
 
 OUTCOME = "outcome"
+BASE = "base"
 
 
-def append_judged(judged: DataFrame, path: str) -> StreamingQuery:
+def append_judged(judged: DataFrame, path: str, base: int = 0) -> StreamingQuery:
     """Start a query that drains what has arrived and then stops."""
     verdict = F.when(F.col(REASON).isNull(), "accepted").otherwise("rejected")
     return (
-        judged.withColumn(OUTCOME, verdict)
+        judged.withColumns({BASE: F.lit(base), OUTCOME: verdict})
         .writeStream.format("parquet")
-        .partitionBy(OUTCOME)
+        .partitionBy(BASE, OUTCOME)
         .option("path", f"{path}/data")
         .option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True)
@@ -31,12 +35,14 @@ def append_judged(judged: DataFrame, path: str) -> StreamingQuery:
     )
 
 
-def drain(judged: DataFrame, path: str) -> None:
-    append_judged(judged, path).awaitTermination()
+def drain(judged: DataFrame, path: str, base: int = 0) -> None:
+    append_judged(judged, path, base).awaitTermination()
 
 
-def read_outcome(spark: SparkSession, path: str, like: DataFrame, outcome: str) -> DataFrame:
-    """Committed records with one outcome; only that partition is read."""
-    schema = like.withColumn(OUTCOME, F.lit("")).schema
+def read_outcome(spark: SparkSession, path: str, like: DataFrame, outcome: str,
+                 base: int = 0) -> DataFrame:
+    """Committed records with one outcome, drained on this base or a later one; only those
+    partitions are read."""
+    schema = like.withColumns({BASE: F.lit(base), OUTCOME: F.lit("")}).schema
     rows = spark.read.schema(schema).parquet(f"{path}/data")
-    return rows.filter(F.col(OUTCOME) == outcome).drop(OUTCOME)
+    return rows.filter((F.col(OUTCOME) == outcome) & (F.col(BASE) >= base)).drop(BASE, OUTCOME)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.catalogue import REPORTS
-from tallyloom.plans import bi, posting, sales
+from tallyloom.plans import access, bi, posting, sales
 from tallyloom.sources import bodies, schemas, sinks
 from tallyloom.sources.tables import ParquetTables
 
@@ -112,3 +112,16 @@ def test_reports_over_stored_tables(spark, tables, tmp_path):
         build = REPORTS[report][1]
         left, right = build(stored), build(tables)
         assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty(), report
+
+
+def test_stored_roles_come_before_the_catalogue(spark, tmp_path):
+    stored = ParquetTables(spark, str(tmp_path))
+    assert {r["name"] for r in stored.roles.collect()} >= {"Admin"}
+    spark.createDataFrame([(900, "Night shift", ["wms:read"])],
+                          "id long, name string, permissions array<string>").write.parquet(
+        str(tmp_path / "roles"))
+    assert [tuple(r) for r in stored.roles.collect()] == [(900, "Night shift", ["wms:read"])]
+    spark.createDataFrame([(1, 900), (2, 113)], "id long, role_id long").write.parquet(
+        str(tmp_path / "users"))
+    assert [tuple(r) for r in access.user_permissions(stored).collect()] == [
+        (1, "Night shift", "wms:read")]

@@ -38,9 +38,7 @@ def test_no_single_task_operators(large, name):
     text = plan(entry_points.queries()[name](large, DATA))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window", "EvalPython"):
         assert operator not in text
-    # Only the role catalogue, fourteen fixed rows, carries a broadcast hint.
-    if "Broadcast" in text:
-        assert name in {"users_with_role", "user_permissions", "access_audit"}
+    assert "Broadcast" not in text
 
 
 def test_filters_and_columns_reach_the_scan(large, tmp_path):

@@ -75,6 +75,22 @@ def test_order_status(tables, arriving, tmp_path):
     same(edit_stream.refused(tables, path, judged), batch.rejected)
 
 
+def test_a_log_goes_on_after_a_compaction(spark, tables, tmp_path):
+    source, path = str(tmp_path / "events"), str(tmp_path / "out")
+    parts = spark.read.parquet(f"{DATA}/events.parquet").repartition(3, "event_id")
+    parts = [parts.filter(f"event_id % 3 = {n}") for n in range(3)]
+    arriving, now = StreamTables(spark, DATA, source), tables
+    for base, part in enumerate(parts):
+        part.write.mode("append").parquet(source)
+        for _ in range(2):  # the second drain finds nothing new
+            judged = edit_stream.log_receipts(now, arriving.receipt_feed, path, base)
+        stock = edit_stream.stocked(now, path, judged, base)
+        now = now.replaced(products=edit_stream.compact(stock, str(tmp_path / f"base-{base}")))
+    batch = edits.receive_stock(tables)
+    same(now.products, batch.table)
+    same(edit_stream.refused(now, path, judged), batch.rejected)
+
+
 def test_json_bodies_as_a_stream(spark, tables, tmp_path):
     source, out = str(tmp_path / "bodies"), str(tmp_path / "out")
     feed = tables.movement_feed
