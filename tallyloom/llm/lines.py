@@ -58,24 +58,29 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     twice seen, as sparse blocks; merged, they leave the twice-seen filter, which is broadcast
     and of fixed size. Pass two: only lines it knows (suspects) shuffle, as 16-byte hashes,
     and are confirmed exactly. Pass three: documents without a suspect go straight through;
-    the others meet their own list of lines to drop.
+    the others meet their own list of lines to drop. Lists go by id and text, so that rows
+    without an id, however many, share none.
     """
     base = boxed(docs, id=F.coalesce(number_id(doc_id), F.lit(NO_ID)),
+                 version=F.xxhash64(field(text).cast("string")),
                  doc_id=number_id(doc_id), text=field(text).cast("string"))
+    # rows of one id drop the same keys, so equal versions of different texts do no harm
+    document = ["id", "version"]
     twice = _twice_seen(base, filter_bits)
     suspects = materialise(
-        map_batches(base.select("id", "text"), _suspects(twice, filter_bits), "id long, key binary"),
+        map_batches(base.select(*document, "text"), _suspects(twice, filter_bits),
+                    "id long, version long, key binary"),
         "suspects")
     repeated = materialise(
         suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where("first < last").select("key", "first"), "repeated")
     drops = materialise(
         suspects.join(repeated, "key").where("id > first")
-        .groupBy("id").agg(F.collect_set("key").alias("keys")), "drops")
+        .groupBy(*document).agg(F.collect_set("key").alias("keys")), "drops")
     shape = with_row(base, "doc_id long, text string, n_lines long, n_dropped long")
-    whole = with_row(base, "id long, doc_id long, text string")
+    whole = with_row(base, "id long, version long, doc_id long, text string")
     clean = map_batches(base, _pass_clean(twice, filter_bits), shape)
-    dirty = map_batches(base, _only_suspect(twice, filter_bits), whole).join(drops, "id", "left")
+    dirty = map_batches(base, _only_suspect(twice, filter_bits), whole).join(drops, document, "left")
     return clean.unionAll(map_batches(dirty, _drop, shape))
 
 
@@ -146,13 +151,15 @@ def _hits(text: bytes, twice: np.ndarray, bits: int) -> list[bytes]:
 
 def _suspects(twice: Broadcast, bits: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for i, text in zip(batch.column("id").to_pylist(), utf8(batch)):
+        rows, keys = [], []
+        for row, text in enumerate(utf8(batch)):
             found = _hits(text, twice.value, bits)
             keys += [xxhash.xxh3_128_digest(k) for k in found]
-            ids += [i] * len(found)
+            rows += [row] * len(found)
+        owner = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+            [batch.column("id").take(owner), batch.column("version").take(owner),
+             pa.array(keys, pa.binary())], ["id", "version", "key"])
 
     return work
 

@@ -573,6 +573,17 @@ def test_lines_match_brute_force(documents):
     assert all(r["n_lines"] == (dict(rows)[i] or "").count("\n") + 1 for i, r in got.items())
 
 
+def test_rows_without_an_id_are_one_document(documents):
+    rows = [(1, "a line of document one\nown line 1 of it")]
+    rows += [(None, f"a line of document one\nshared by the nameless\nnameless line {i % 4}") for i in range(12)]
+    rows += [(7, "a line of document one\nfirst text of seven"), (7, "second text\nshared by the nameless")]
+    got = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in lines.dedup_lines(documents(rows)).collect())
+    want = Counter({(1, rows[0][1], 0): 1, (7, "first text of seven", 1): 1,
+                    (7, "second text\nshared by the nameless", 0): 1})
+    want.update((None, f"nameless line {i % 4}", 2) for i in range(12))
+    assert got == want
+
+
 def test_lines_on_odd_rows(odd, no_documents):
     rows = lines.dedup_lines(odd).collect()
     assert len(rows) == 9 and sum(r["n_dropped"] for r in rows) == 1  # the long text of document 5
