@@ -8,7 +8,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import (
@@ -264,34 +264,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     then component_id is NULL. An empty table gives no rows. Other columns are not read.
     """
 
+    rows = _fingerprinted(docs, text, doc_id, width)
+    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits)
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    known = materialise(rooted.join(least, "root").select("fp", "component_id"), "known")
+    return rows.join(known, "fp").select("doc_id", "fp", "fingerprint", "component_id")
+
+
+def _fingerprinted(docs: DataFrame, text: str, doc_id: str, width: int, **marks: Column) -> DataFrame:
+    """(doc_id, marks, fp, fingerprint), one row per input row; the marks are longs."""
+    kept = ["doc_id", *marks]
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = fingerprints(utf8(batch), width)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(made.astype(np.int64)),
-             pa.array([f"{v:016x}" for v in made.tolist()])], ["doc_id", "fp", "fingerprint"])
+            [*[batch.column(k) for k in kept], pa.array(made.astype(np.int64)),
+             pa.array([f"{v:016x}" for v in made.tolist()])], [*kept, "fp", "fingerprint"])
 
-    rows = materialise(map_batches(
-        boxed(docs, doc_id=number_id(doc_id), text=field(text).cast("string")).drop("row"),
-        work, "doc_id long, fp long, fingerprint string"), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    base = boxed(docs, doc_id=number_id(doc_id), **marks, text=field(text).cast("string")).drop("row")
+    shape = "".join(f"{k} long, " for k in kept) + "fp long, fingerprint string"
+    return materialise(map_batches(base, work, shape), "fingerprints")
+
+
+def _rooted(classes: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints ``classes`` (fp, least)."""
+    classes = materialise(classes, "classes")
     roots = components(fingerprint_links(classes.select("fp"), max_bits))
-    rooted = materialise(classes.join(roots, classes.fp == roots.id, "left").select(
+    return materialise(classes.join(roots, classes.fp == roots.id, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    known = materialise(rooted.join(least, "root").select("fp", "component_id"), "known")
-    return rows.join(known, "fp").select("doc_id", "fp", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The columns of ``docs`` for the smallest doc_id of every component, one row each.
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The columns of ``docs`` for one row of every component: that of its smallest doc_id.
 
-    Rows without an id belong to the component of their text and stay only if it has no id
-    at all; of rows with the same id one stays.
+    A row without an id stays only if its component has no id at all. Of rows that share the
+    id, or have none, the text's hash decides, so the choice is the same in every run; of rows
+    equal in id and text any one stays. Rows of one id whose texts belong to different
+    components are judged each in its own.
     """
-    found = near_duplicates(docs, doc_id=doc_id, **options)
     # a key without NULLs: the join's partitioning then serves the choice of one row as well
-    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
-    stay = materialise(
-        found.where("doc_id <=> component_id").select(known).distinct(), "stay")
-    base = boxed(docs, id=F.coalesce(number_id(doc_id), F.lit(NO_ID)))
-    return base.join(stay, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+    words, none = field(text).cast("string"), number_id(doc_id).isNull()
+    key = {"id": F.coalesce(number_id(doc_id), F.lit(NO_ID)),
+           "h1": F.xxhash64(words), "h2": F.xxhash64(none, words)}
+    rows = _fingerprinted(docs, text, doc_id, width, **key)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), *key)
+    rooted = _rooted(rows.groupBy("fp").agg(F.min(first).alias("least")), max_bits)
+    stay = materialise(rooted.groupBy("root").agg(F.min("least").alias("least")).select(
+        *[f"least.{k}" for k in key]), "stay")
+    return boxed(docs, **key).join(stay, [*key], "left_semi").dropDuplicates([*key]).select("row.*")

@@ -405,6 +405,16 @@ def test_simhash_on_odd_rows(odd, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0 == simhash.one_of_each(no_documents).count()
 
 
+def test_one_row_of_each_component_stays(spark, documents):
+    """Rows without an id, or of one id, vanish only behind a copy of their own text."""
+    text = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["c"]), (3, text["c"]),
+            (7, text["d"]), (7, text["e"]), (2, text["e"]), (7, text["f"]), (2**63 - 1, text["g"]), (None, text["g"])]
+    want = [(None, "a"), (None, "b"), (3, "c"), (7, "d"), (2, "e"), (7, "f"), (2**63 - 1, "g")]
+    got = simhash.one_of_each(documents(rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, text[n]) for i, n in want)
+
+
 # ---------------------------------------------------------------- 6 chat
 
 
