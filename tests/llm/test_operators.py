@@ -113,6 +113,23 @@ def test_reviewed_findings_teach_the_forest(spark, documents):
     assert sum(r["is_secret"] == (r["doc_id"] % 3 == 1) for r in found) >= 0.9 * len(found)
 
 
+def test_short_and_digit_free_credentials_are_candidates(spark, documents):
+    texts = ["password = hunter2", "passwd: Tr0ub4dor&3", "x password=correcthorsebattery y",
+             'the "api_key": "abc", here', "DB_PASSWORD=ab token := qrs", "wJalrXUtnFEMIKMDENGbPxRfiCYEXAMPLEKEY",
+             "a plain sentence: with internationalization = nothing", "password: ", "secret ="]
+    found = secrets.candidates(documents(list(enumerate(texts)))).collect()
+    assert {(r["doc_id"], r["word_no"], r["value"], r["name"], r["named"]) for r in found} == {
+        (0, 2, "hunter2", "password", 1), (1, 1, "Tr0ub4dor&3", "passwd", 1),
+        (2, 1, "correcthorsebattery", "password", 1), (3, 2, "abc", "api_key", 1),
+        (4, 0, "ab", "db_password", 1), (4, 3, "qrs", "token", 1), (5, 0, texts[5], "", 0)}
+
+
+def test_reviewed_words_become_candidates(spark, documents):
+    reviewed = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (5, 0, 1), (0, 99, 1)], "doc_id long, word_no int, label int")
+    found = secrets.scan_secrets(documents([(0, "say sesame now"), (1, "say nothing now")]), reviewed).collect()
+    assert {(r["doc_id"], r["word_no"], r["length"]) for r in found} == {(0, 1, 6), (1, 1, 7)}
+
+
 def test_secrets_on_odd_rows(odd, no_documents):
     assert secrets.scan_secrets(no_documents).count() == 0
     assert secrets.scan_secrets(odd).where("score <> 0").count() == 0
