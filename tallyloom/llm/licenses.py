@@ -87,12 +87,25 @@ class Scanner:
         for n, own in regions.items():
             notice = self.notices[n]
             for low, high in own:
-                for match in notice.pattern.finditer(text, low, high):
+                for match in best_first(notice.pattern, text, low, high):
                     found.append((notice.label, match.start(), match.end(),
                                   sum(match.fuzzy_counts), len(notice.phrase)))
         return found
 
 
+def best_first(pattern: regex.Pattern, text: str, low: int, high: int) -> list[regex.Match]:
+    """The best match of the stretch, then those of what lies before and behind it, in order."""
+    found, todo = [], [(low, high)]
+    while todo:
+        low, high = todo.pop()
+        match = pattern.search(text, low, high) if low < high else None
+        if match:
+            found.append(match)
+            # the blank before a match stays out, so that the stretch ends with a word
+            todo += [(low, match.start() - 1), (match.end(), high)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def pigeonhole_pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     """``edits`` + 1 pieces with their places; that many edits leave one of them untouched."""
     cuts = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]

@@ -316,6 +316,16 @@ def test_damaged_notices_are_found_within_their_edits(which, rng):
         assert best <= e <= max(k for _, n, k in licenses.NOTICES if n == name)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("mit licens mit license", [(0, 10, 1), (11, 22, 0)]),
+    ("mit licens mit licens mit license", [(0, 10, 1), (11, 21, 1), (22, 33, 0)]),
+    ("mit license mit licens mit license mit licens", [(0, 11, 0), (12, 22, 1), (23, 34, 0), (35, 45, 1)]),
+    ("gnu generl public license foo gnu general public license", [(0, 25, 1), (30, 56, 0)]),
+])
+def test_a_damaged_notice_before_a_better_one_is_found(text, want):
+    assert [s[1:4] for s in licenses.scanner(licenses.NOTICES).spans(text)] == want
+
+
 def test_licences_on_odd_rows(odd, no_documents):
     rows = licenses.scan_licenses(odd).collect()
     assert len(rows) == 9 and all(r["labels"] == "" and r["score"] == 0 for r in rows)
