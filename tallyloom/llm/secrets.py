@@ -37,7 +37,7 @@ SURE_OTHER = (r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[
               r"|^(https?|ftp)://")
 NUMBERS = ["length", "digits", "uppers", "lowers", "others", "switches", "case_switches",
            "vowel_pairs", "repeats", "distinct_share", "coverage", "named", "quoted", "path_parts"]
-NAMES = ["name", "before"]
+NAMES = ["name", "before", "after", "path_top", "path_folder", "path_suffix"]
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -116,7 +116,7 @@ def dictionary(docs: DataFrame, text: str = "text", min_docs: int = MIN_WORD_DOC
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates with the forest's numbers; ``coverage`` is the share of dictionary letters."""
-    value = F.col("value")
+    value, path = F.col("value"), F.lower(F.coalesce("path", F.lit("")))
     pieces = F.explode(F.regexp_extract_all(F.lower(value), F.lit("[a-z]{3,}"), F.lit(0)))
     covered = materialise(
         found.select("value").distinct().select("value", pieces.alias("word")).join(words, "word")
@@ -136,7 +136,10 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "repeats": count(r"(.)(?=\1)") / length,
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))).cast("double") / length,
         "coverage": F.coalesce("covered", F.lit(0)).cast("double") / length,
-        "path_parts": F.size(F.split(F.coalesce("path", F.lit("")), "/")).cast("double"),
+        "path_parts": F.size(F.split(path, "/")).cast("double"),
+        "path_top": F.regexp_extract(path, "^/?([^/]*)", 1),
+        "path_folder": F.regexp_extract(path, "([^/]*)/[^/]*$", 1),
+        "path_suffix": F.regexp_extract(path, r"\.([^./]*)$", 1),
     }).drop("covered")
 
 

@@ -130,6 +130,18 @@ def test_reviewed_words_become_candidates(spark, documents):
     assert {(r["doc_id"], r["word_no"], r["length"]) for r in found} == {(0, 1, 6), (1, 1, 7)}
 
 
+@pytest.mark.parametrize("told_by", ["after", "path"])
+def test_the_word_after_and_the_path_teach_the_forest(spark, documents, told_by):
+    rng, rows = random.Random(3), []
+    for i in range(360):
+        value, hot = rng.randbytes(9).hex() + "7", i % 2
+        after = ("expires" if hot else "commit") if told_by == "after" else "end"
+        rows.append((i, f"see {value} {after}", ("vault" if hot else "docs") if told_by == "path" else "a"))
+    reviewed = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, word_no int, label int")
+    found = secrets.scan_secrets(documents(rows), reviewed).where("doc_id >= 300").collect()
+    assert sum(r["is_secret"] == (r["doc_id"] % 2 == 1) for r in found) >= 54
+
+
 def test_secrets_on_odd_rows(odd, no_documents):
     assert secrets.scan_secrets(no_documents).count() == 0
     assert secrets.scan_secrets(odd).where("score <> 0").count() == 0
