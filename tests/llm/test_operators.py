@@ -564,6 +564,27 @@ def test_vectors_match_brute_force(spark):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("partitions, block", [(8, 2048), (600, 300)])
+def test_links_of_vectors_with_a_common_direction(spark, partitions, block):
+    """Nearly equal hash codes, or a few rows in each partition, lose no link."""
+    rng = np.random.default_rng(4)
+    shift = rng.normal(size=32)
+    x = 2 * shift + rng.normal(size=(1200, 32)) * np.linalg.norm(shift) / np.sqrt(32) * 0.9
+    x[600:] = np.where(np.arange(600)[:, None] % 3 == 0, x[:600] + rng.normal(size=(600, 32)) * 0.45, x[600:])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 100
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in vectors.vector_links(frame, exact_block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [got[i] for i in range(1200)] == linked.sum(axis=1).tolist()
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.vector_links(empty).count() == 0
