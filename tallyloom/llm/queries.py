@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, exact, licenses, lines, mixing, packing, secrets, simhash, toxicity, vectors
+from tallyloom.llm import bpe, chat, exact, licenses, lines, mixing, packing, secrets, simhash, toxicity, vectors
 from tallyloom.llm.common import prepare
 
 
@@ -67,6 +67,10 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan,
     "op2_toxicity": toxic_documents,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_line_dedup": line_dedup,
     "op10_packing": packed_pieces,
+    "op13_bpe": bpe_round_trip,
 }
 
 ORACLES = {
