@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat, exact, licenses, lines, mixing, packing, secrets, simhash, toxicity, vectors
+from tallyloom.llm import (
+    bpe, chat, exact, licenses, lines, mixing, packing, phrases, secrets, simhash, toxicity, vectors)
 from tallyloom.llm.common import prepare
 
 
@@ -67,6 +68,10 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_collocations(_table(spark, sf_dir, "documents"))
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_line_dedup": line_dedup,
     "op10_packing": packed_pieces,
+    "op11_collocations": collocations,
     "op13_bpe": bpe_round_trip,
 }
 
@@ -152,4 +158,43 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op11_collocations": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), pieces AS (
+            SELECT d, lang, unnest(cut) AS piece, generate_subscripts(cut, 1) AS p
+            FROM (SELECT d, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS cut FROM docs)
+        ), words AS (
+            SELECT d, lang, p, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+            FROM (SELECT d, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces)
+        ), runs AS (
+            SELECT lang, word AS w1, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3
+            FROM words WINDOW w AS (PARTITION BY d, p ORDER BY pos)
+        ), n AS (SELECT lang, count(*) AS n FROM words GROUP BY lang
+        ), f AS MATERIALIZED (
+            SELECT lang, w1 AS phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 10
+            UNION ALL SELECT lang, w1 || ' ' || w2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+            UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+        ), candidates AS (
+            SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE contains(phrase, ' ')
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r,
+                   CAST(c.a AS HUGEINT) * c.a * 1000000 // (CAST(l.a AS HUGEINT) * r.a) AS score
+            FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM candidates) c
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
+        ), scored AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), longer AS (
+            SELECT lang, phrase, max(a) AS most FROM (
+                SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase
+                FROM candidates WHERE len(ws) = 3) GROUP BY ALL
+        )
+        SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank,
+               s.phrase, s.a, s.l, s.r, n.n, CAST(score AS BIGINT) AS score
+        FROM scored s JOIN n USING (lang) LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+        WHERE most IS NULL OR 100 * most < 50 * a
+        QUALIFY rank <= 2000""",
 }
