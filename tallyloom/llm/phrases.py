@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import boxed, chunks, field, shuffle_partitions
+from tallyloom.llm.cutting import Cut
 from tallyloom.session import materialise, scratch_path
 
 MAX_WORDS = 3
@@ -35,12 +36,10 @@ CHUNK_BYTES = 4 << 20
 # Parts a language's phrases are dealt to before its best are taken.
 TOP_PARTS = 64
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD, _BLANK, _BREAK = 0, 1, 2
-_KIND = np.zeros(256, np.uint8)
-_KIND[[0x20, 0x09]] = _BLANK
-_KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = _BREAK
+_INSIDE = np.ones(256, bool)
+_INSIDE[[0x20, 0x09]] = False
+_BREAK = np.zeros(256, bool)
+_BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,29 +47,14 @@ COUNTED = "k int, key long, n long"
 PHRASES = "lang string, phrase string, n long"
 
 
-class Words:
-    """The words of some texts of one language: distinct ones, and a code for each place."""
+class Words(Cut):
+    """The words of some texts of one language."""
 
     def __init__(self, lang: str, texts: pa.Array):
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-        begins = offsets - offsets[0]
-        kind = _KIND[data]
-        inside = kind == _WORD
-        edge = np.zeros(len(data) + 1, bool)  # no word runs over the border of two texts
-        edge[begins] = True
-        before = np.r_[False, inside[:-1]]
-        after = np.r_[inside[1:], False] if len(data) else before[:0]
-        starts = np.flatnonzero(inside & (~before[:len(data)] | edge[:-1]))
-        ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        bounds = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
-        words = pa.Array.from_buffers(
-            pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[inside]])])
-        coded = words.dictionary_encode()
-        self.lang, self.names = lang, coded.dictionary
-        self.codes = coded.indices.to_numpy().astype(np.int64)
-        breaks = np.flatnonzero((kind == _BREAK) | edge[:-1])
-        piece = np.searchsorted(breaks, starts, "right")
+        super().__init__(texts, _INSIDE & ~_BREAK)
+        self.lang = lang
+        breaks = np.flatnonzero(_BREAK[self.data] | self.edge[:-1])
+        piece = np.searchsorted(breaks, self.starts, "right")
         self.joined = piece[1:] == piece[:-1]  # does the next word stand in the same piece?
 
     def hashes(self) -> np.ndarray:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import (
-    bpe, chat, exact, licenses, lines, mixing, packing, phrases, secrets, simhash, toxicity, vectors)
+    bpe, chat, exact, licenses, lines, mixing, packing, phrases, search, secrets, simhash, toxicity,
+    vectors)
 from tallyloom.llm.common import prepare
 
 
@@ -72,6 +73,10 @@ def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_collocations(_table(spark, sf_dir, "documents"))
 
 
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup,
     "op10_packing": packed_pieces,
     "op11_collocations": collocations,
+    "op12_ranked_search": ranked_documents,
     "op13_bpe": bpe_round_trip,
 }
 
@@ -197,4 +203,30 @@ ORACLES = {
         FROM scored s JOIN n USING (lang) LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
         WHERE most IS NULL OR 100 * most < 50 * a
         QUALIFY rank <= 2000""",
+    "op12_ranked_search": r"""
+        WITH terms AS (
+            SELECT d, doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents)
+        ), held AS (SELECT d, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+        ), sizes AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY d
+        ), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM held, total GROUP BY term, docs
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+        ), scored AS (
+            SELECT item_id, d, doc_id, CAST(sum(times * w * ((1000000000 * tf)
+                       // (1000 * tf + 12 * (75 + ((25 * n * docs) // words))))) AS BIGINT) AS score
+            FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (d), total
+            GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+               doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }
