@@ -17,31 +17,38 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm.common import boxed, chunks, field, map_batches, number_id, with_row, worker_cache
 from tallyloom.llm.transducer import Transducer, compiled, spread
-from tallyloom.session import scratch_path
+from tallyloom.session import materialise, scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 # Most frequent words the lexicon holds: the bound of what the driver compiles and of the file
-# every executor gets (about 3 MB at this size).
-LEXICON_WORDS = 1 << 16
+# every executor gets (a few MB at this size).
+LEXICON_WORDS = 1 << 17
 
-# Words not in the lexicon, kept with their ids by one worker; a full cache starts anew.
-CACHE_WORDS = 500_000
+# Bins of the word counts for each doubling; 64 doublings bound the histogram.
+COUNT_BINS = 16
 
 # Text taken at once: every distinct word of it is looked up one time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
 
 # A blank can be cut off with the word behind it, as both stand in one piece: unless the blank
 # stands between white space and white space, where runs of it are told apart by their length.
 _SPACE = r"\t-\r \x{85}\p{Z}"
+_WS = r"\t-\r \x85\p{Z}"  # the same for the regex library
 _UNSAFE = rf"[{_SPACE}] (?:[{_SPACE}]|$)"
-_ASCII_WORDS = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
+# The cuts of the vocabulary for stretches joined by NUL. Which characters are letters or digits
+# depends on the Unicode version of a library, except in the old scripts before U+0530; stretches
+# with others, or with a NUL, are cut by the tokenizer itself.
+_JOIN = "\0"
+_WORDS = regex.compile(
+    rf"{_JOIN}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}{_JOIN}\p{{L}}\p{{N}}]+"
+    rf"|[{_WS}]+(?![^{_WS}{_JOIN}])|[{_WS}]+")
+_BEYOND = r"[\x{00}\x{530}-\x{10FFFF}]"
 
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _BYTE_OF = {chr(b): b for b in _SHOWN} | {
     chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
-_TO_SHOWN = {b: c for c, b in _BYTE_OF.items()}
 
 
 class Vocabulary:
@@ -57,7 +64,6 @@ class Vocabulary:
         self.cut_special = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
         ) if self.special else None
-        self.merged: dict[str, Ids] = {}
         pieces = {i: bytes(_BYTE_OF[c] for c in t) for t, i in
                   self.tokenizer.get_vocab(with_added_tokens=False).items()}
         pieces |= {ids[0]: t.encode() for t, ids in self.special.items()}
@@ -66,31 +72,38 @@ class Vocabulary:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
 
-    def words(self, text: str) -> list[str]:
-        """The pieces merging never crosses. Which letters are letters is the library's matter,
-        so texts beyond ASCII are cut by it."""
-        if text.isascii():
-            return _ASCII_WORDS.findall(text)
+    def _by_library(self, text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def words(self, stretches: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The pieces that merging never crosses, of all stretches, and how many each has."""
+        beyond = pc.match_substring_regex(stretches, _BEYOND).to_numpy(False)
+        plain = stretches.filter(pa.array(~beyond)).to_pylist()
+        found = _WORDS.findall(_JOIN.join(plain)) if plain else []
+        breaks = np.flatnonzero(np.fromiter((w == _JOIN for w in found), bool, len(found)))
+        others = [self._by_library(t) for t in stretches.filter(pa.array(beyond)).to_pylist()]
+        sizes = np.zeros(len(stretches), np.int64)
+        sizes[~beyond] = np.diff(np.r_[-1, breaks, len(found)])[:len(plain)] - 1
+        sizes[beyond] = [len(o) for o in others]
+        found = [w for w in found if w != _JOIN]
+        if others:  # put each in its place
+            pool = found + [w for o in others for w in o]
+            starts = np.zeros(len(stretches), np.int64)
+            starts[~beyond] = np.cumsum(sizes[~beyond]) - sizes[~beyond]
+            starts[beyond] = len(found) + np.cumsum(sizes[beyond]) - sizes[beyond]
+            found = list(map(pool.__getitem__, spread(starts, sizes).tolist()))
+        return found, sizes
+
     def words_and_specials(self, text: str) -> list[str]:
         parts = self.cut_special.split(text) if self.cut_special else [text]
         return [w for part in parts if part
-                for w in ([part] if part in self.special else self.words(part))]
-
-    def merge(self, word: str) -> Ids:
-        """The ids of one word by the merge rules themselves."""
-        ids = self.merged.get(word)
-        if ids is None:
-            if len(self.merged) >= CACHE_WORDS:
-                self.merged.clear()
-            ids = self.special.get(word)
-            if ids is None:
-                shown = "".join(map(_TO_SHOWN.__getitem__, word.encode()))
-                ids = tuple(t.id for t in self.tokenizer.model.tokenize(shown))
-            if len(word) <= 64:
-                self.merged[word] = ids
-        return ids
+                for w in ([part] if part in self.special else self._by_library(part))]
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): every word by the merge rules themselves, one word after another."""
+        made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        owner = np.fromiter(made.word_ids, np.int64, len(made.ids))
+        return np.array(made.ids, np.uint32), np.bincount(owner, minlength=len(words))
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """(words, word codes, bounds): distinct words, and the texts as runs of their codes.
@@ -106,15 +119,19 @@ class Vocabulary:
         begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         codes = 2 * stretches.indices.to_numpy().astype(np.int64) + 1
         codes[begins[:-1]] -= 1  # the first stretch of a text has no blank before it
-        used, codes = np.unique(codes, return_inverse=True)
-        names = stretches.dictionary.to_pylist()
-        pieces = [self.words(" " * (c & 1) + names[c >> 1]) for c in used.tolist()]
+        used = np.flatnonzero(np.bincount(codes))
+        place = np.empty(2 * len(stretches.dictionary) + 2, np.int64)
+        place[used] = np.arange(len(used))
+        codes = place[codes]
+        blank = pc.if_else(pa.array(used & 1 == 1), " ", "")
+        pieces, sizes = self.words(pc.binary_join_element_wise(
+            blank, stretches.dictionary.take(pa.array(used >> 1)), ""))
         # a text cut as a whole is one more stretch, in place of its empty one
-        for text in np.flatnonzero(odd).tolist():
-            codes[begins[text]] = len(pieces)
-            pieces.append(self.words_and_specials(texts[text].as_py()))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        encoded = pa.array([w for p in pieces for w in p], pa.string()).dictionary_encode()
+        whole = [self.words_and_specials(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        codes[begins[:-1][odd]] = len(sizes) + np.arange(len(whole))
+        sizes = np.r_[sizes, np.fromiter(map(len, whole), np.int64, len(whole))]
+        pieces += [w for each in whole for w in each]
+        encoded = pa.array(pieces, pa.string()).dictionary_encode()
         runs = spread((np.cumsum(sizes) - sizes)[codes], sizes[codes])
         bounds = np.r_[0, np.cumsum(sizes[codes])][begins]
         return encoded.dictionary, encoded.indices.to_numpy()[runs], bounds
@@ -126,30 +143,28 @@ class Vocabulary:
         offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
         known, ids, sizes = lexicon.find(data, offsets[:-1].astype(np.int64), np.diff(offsets))
-        unseen = [self.merge(w) for w in words.filter(pa.array(~known)).to_pylist()]
+        merged, merged_sizes = self.merge(words.filter(pa.array(~known)).to_pylist())
         places = np.cumsum(sizes) - sizes
-        sizes[~known] = np.fromiter(map(len, unseen), np.int64, len(unseen))
-        places[~known] = len(ids) + np.cumsum(sizes[~known]) - sizes[~known]
-        pool = np.concatenate([ids, np.fromiter((i for u in unseen for i in u), np.uint32)])
+        sizes[~known] = merged_sizes
+        places[~known] = len(ids) + np.cumsum(merged_sizes) - merged_sizes
+        pool = np.concatenate([ids, merged])
         return pool[spread(places[codes], sizes[codes])], np.r_[0, np.cumsum(sizes[codes])][bounds]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bytes[spread(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")
 
 
-Ids = tuple[int, ...]
-
-
 def _vocabulary(path: str) -> Vocabulary:
     return worker_cache("bpe", path, make=lambda: Vocabulary(path))
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, text: str = "text",
                    tokenizer: str = TOKENIZER) -> DataFrame:
-    """(word, n): the words that all texts hold most often, ties by word, at most ``words``.
+    """(word, n): the most frequent words of all texts, at most ``words`` of them.
 
     Every task sums up its own words chunk by chunk, so what shuffles is one row a distinct
-    word and task.
+    word and task. A histogram of the counts then says from which count on the words are few
+    enough; words of the last count bin are all in or all out.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +174,18 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, text: str = "tex
             yield pa.RecordBatch.from_arrays(
                 [found, pa.array(np.bincount(codes, minlength=len(found)), pa.int64())], ["word", "n"])
 
-    return (boxed(docs, text=field(text).cast("string")).select("text")
-            .mapInArrow(count, "word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(words))
+    counted = materialise(
+        boxed(docs, text=field(text).cast("string")).select("text")
+        .mapInArrow(count, "word string, n long")
+        .groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2("n") * COUNT_BINS).cast("int")
+    held, lowest = 0, None
+    for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += row["count"]
+        if held > words:
+            break
+        lowest = row["level"]
+    return counted.where(level >= lowest if lowest is not None else F.lit(False))
 
 
 def build_lexicon(docs: DataFrame, words: int = LEXICON_WORDS, text: str = "text",
@@ -174,10 +197,12 @@ def build_lexicon(docs: DataFrame, words: int = LEXICON_WORDS, text: str = "text
     to one that joins later, and the Python workers there map the same copy into memory.
     """
     spark = docs.sparkSession
-    vocabulary = Vocabulary(tokenizer)
     listed = [row["word"] for row in frequent_words(docs, words, text, tokenizer).collect()]
+    ids, sizes = Vocabulary(tokenizer).merge(listed)
+    ends = np.cumsum(sizes)
     path = scratch_path(spark, "lexicon")
-    _write(spark, path, compiled((w.encode(), vocabulary.merge(w)) for w in listed))
+    _write(spark, path, compiled(
+        (word.encode(), tuple(ids[end - size:end].tolist())) for word, size, end in zip(listed, sizes, ends)))
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
 
