@@ -2,9 +2,10 @@
 
 A row that fails any other rule does not occupy its keys. Aggregates find the holders, so
 a key asked for by a third of the feed costs one partial row per task, never a window
-over the whole group. What the feed is joined back to is written to the shared folder
-first: it is small as a rule and then broadcast by its known size; if it is not, both
-sides of the join are plain and a hot key is split.
+over the whole group. The feed is judged once and written; keys and verdicts are formed from
+the few columns they need, and what the feed is joined back to is written too: it is small as
+a rule and then broadcast by its known size; if it is not, both sides of the join are plain
+and a hot key is split.
 """
 
 from __future__ import annotations
@@ -18,50 +19,101 @@ from pyspark.sql import functions as F
 from tallyloom.session import materialise
 
 
-def _holders(rows: DataFrame, column: str, order: str) -> DataFrame:
-    return rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__held")).agg(
-        F.min(order).alias("__holder")
-    )
+def _either(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _stored(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """The asked values that are stored already."""
+    asked = df.select(F.col(column).alias("__held")).distinct()
+    stored = table.select(F.col(column).alias("__held")).join(asked, "__held", "left_semi")
+    return materialise(stored.distinct(), "taken")
+
+
+def _crowded(df: DataFrame, column: str) -> DataFrame:
+    """Values that more than one row asks for."""
+    return materialise(
+        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__held")).count()
+        .filter("count > 1").drop("count"), "claims-crowded")
 
 
-def _flag_taken(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
-    """Add ``__taken_<column>``: is the value already stored?"""
-    flag = f"__taken_{column}"
-    asked = df.select(F.col(column).alias("__stored")).distinct()
-    stored = table.select(F.col(column).alias("__stored")).join(asked, "__stored", "left_semi")
-    known = materialise(stored.distinct(), "taken").withColumn(flag, F.lit(True))
-    joined = df.join(known, F.col(column) == F.col("__stored"), "left").drop("__stored")
-    return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
+def _ranked(claims: DataFrame, names: Sequence[str], order: str) -> DataFrame:
+    """Add ``__first_i`` for each key: the first open claim of it (the row itself at NULL)."""
+    for i, column in enumerate(names):
+        first = claims.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__held")).agg(
+            F.min(order).alias(f"__first_{i}"))
+        claims = claims.join(first, F.col(column) == F.col("__held"), "left").drop("__held").withColumn(
+            f"__first_{i}", F.coalesce(f"__first_{i}", order))
+    return claims
 
 
-def _winners(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """Rows that end up holding all their keys, in feed order.
+def _follow(links: DataFrame) -> DataFrame:
+    """Contract chains: every link (row, to, flip) leads to the end of its chain.
 
-    A row wins when it is the earliest open row for every one of its keys; rows sharing a
-    key with a winner are out. The earliest open row always wins, so every round settles
-    rows, and rounds stop when none is open. Each round is written to the shared folder.
+    Each step replaces a link by two, so a chain of n rows takes log2(n) steps. ``flip`` says
+    whether the number of links passed is odd.
     """
-    names = list(columns)
-    open_rows = materialise(rows.select(order, *names), "claims-open")
-    won = []
+    while True:
+        onward = links.select(F.col("row").alias("to"), F.col("to").alias("__to"),
+                              F.col("flip").alias("__flip"))
+        links = materialise(
+            links.join(onward, "to", "left").select(
+                "row", F.coalesce("__to", "to").alias("to"),
+                (F.col("flip") != F.coalesce("__flip", F.lit(False))).alias("flip"),
+                F.col("__to").isNotNull().alias("moved")), "claims-links")
+        if links.filter("moved").isEmpty():
+            return links.drop("moved")
+
+
+def _winners(claims: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+    """The claims that end up holding all their keys.
+
+    A row that is the first claim of each of its keys wins. A row that is the second claim of
+    one key and the first of its others wins exactly if the first claim of that key loses: such
+    rows form chains, each link turning win into loss, and a chain of any length is contracted
+    by doubling. And whichever of the two wins, that key is then taken, so all its later claims
+    are out at once. Rows that share a key with a winner are out. What stays open are rows with
+    rivals still open at two or more of their keys; the earliest of a round is always settled.
+    """
+    names, won = list(columns), []
+    open_rows = materialise(claims.select(order, *names), "claims-open")
     while not open_rows.isEmpty():
-        ranked, first = open_rows, []
+        ranked = materialise(_ranked(open_rows, names, order), "claims-ranked")
+        firsts = [F.col(f"__first_{i}") for i in range(len(names))]
+        behind = sum(((first != F.col(order)).cast("int") for first in firsts), F.lit(0))
+        placed = ranked.withColumn("__behind", behind)
+        # The second claim of each key, and whether it is first everywhere else: both as least
+        # numbers, which a hash aggregate holds in place.
         for i, column in enumerate(names):
-            holders = materialise(_holders(open_rows, column, order), "claims-first")
-            ranked = ranked.join(
-                holders.withColumnRenamed("__holder", f"__first_{i}"),
-                F.col(column) == F.col("__held"), "left",
-            ).drop("__held")
-            # A missing key is nobody's: it cannot keep its row from winning.
-            first.append(F.coalesce(F.col(f"__first_{i}"), F.col(order)) == F.col(order))
-        wins = reduce(lambda a, b: a & b, first)
-        winners = materialise(ranked.filter(wins).select(order, *names), "claims-won")
+            second = ranked.withColumn("__behind", behind).filter(firsts[i] != F.col(order)).groupBy(
+                F.col(column).alias("__key")).agg(
+                F.min(order).alias(f"__second_{i}"),
+                F.min(F.when(F.col("__behind") == 1, F.col(order))).alias(f"__sure_{i}"))
+            placed = placed.join(second, F.col(column) == F.col("__key"), "left").drop("__key")
+        placed = materialise(placed, "claims-placed")
+        seconds = [F.col(f"__second_{i}") for i in range(len(names))]
+        is_second = [F.coalesce(second == F.col(order), F.lit(False)) for second in seconds]
+        too_late = _either([
+            F.coalesce((second < F.col(order)) & (second == F.col(f"__sure_{i}")), F.lit(False))
+            for i, second in enumerate(seconds)])
+        rival = F.coalesce(*[F.when(mine, first) for mine, first in zip(is_second, firsts)])
+        links = _follow(placed.filter((F.col("__behind") == 1) & _either(is_second)).select(
+            F.col(order).alias("row"), rival.alias("to"), F.lit(True).alias("flip")))
+        free = placed.filter("__behind = 0").select(F.col(order).alias("to"))
+        # A chain that ends at a free row, which wins, is settled: even turns are a win too.
+        even = links.filter(~F.col("flip")).join(free, "to", "left_semi").select(
+            F.col("row").alias(order), F.lit(True).alias("__even"))
+        settled = materialise(placed.join(even, order, "left").select(
+            order, *names, too_late.alias("__late"),
+            (F.col("__behind").eqNullSafe(0) | F.coalesce("__even", F.lit(False))).alias("__wins")),
+            "claims-settled")
+        winners = settled.filter("__wins").select(order, *names)
         won.append(winners)
-        open_rows = open_rows.join(winners.select(order), order, "left_anti")
+        left = settled.filter("not __wins and not __late").select(order, *names)
         for column in names:
             held = winners.select(column).filter(F.col(column).isNotNull())
-            open_rows = open_rows.join(held, column, "left_anti")
-        open_rows = materialise(open_rows.select(order, *names), "claims-open")
+            left = left.join(held, column, "left_anti")
+        open_rows = materialise(left.select(order, *names), "claims-open")
     return reduce(DataFrame.unionByName, won) if won else open_rows
 
 
@@ -70,9 +122,8 @@ def _mark_one(
 ) -> DataFrame:
     """One key: stored values and claims share one aggregate.
 
-    Rows that are not eligible claim nothing (NULL) but stay in the aggregate: filtering
-    them out would push the whole rule set down to the scan a second time. Only keys that
-    can make a row late, those stored or asked for more than once, are joined back.
+    Only keys that can make a row late, those stored or asked for more than once, are joined
+    back.
     """
     stored = table.select(
         F.col(column).alias("__held"), F.lit(1).alias("__stored"), F.lit(0).alias("__asked"),
@@ -104,19 +155,29 @@ def mark_duplicates(
     df: DataFrame, columns: Sequence[str], table: DataFrame, eligible: Column, order: str
 ) -> DataFrame:
     """Add ``duplicate``: some key is stored already or held by an earlier valid row."""
-    if len(columns) == 1:
-        return _mark_one(df, columns[0], table, eligible, order)
-    # Several passes follow: judge the feed once and go on from files.
     df = materialise(df.withColumn("__eligible", eligible), "claims")
-    for column in columns:
-        df = _flag_taken(df, column, table)
-    taken = reduce(lambda a, b: a | b, [F.col(f"__taken_{c}") for c in columns])
-    winners = _winners(df.filter(F.col("__eligible") & ~taken), columns, order)
-    late = taken
+    if len(columns) == 1:
+        return _mark_one(df, columns[0], table, F.col("__eligible"), order).drop("__eligible")
+    stored = [_stored(df, column, table) for column in columns]
+    crowded = [_crowded(df, column) for column in columns]
+    claims = df.filter("__eligible").select(order, *columns)
+    for i, column in enumerate(columns):
+        claims = claims.join(stored[i], F.col(column) == F.col("__held"), "left_anti")
+    # Only rows that ask for a value somebody else asks for can be late or make others late.
+    for i, column in enumerate(columns):
+        rivals = crowded[i].withColumn(f"__crowded_{i}", F.lit(True))
+        claims = claims.join(rivals, F.col(column) == F.col("__held"), "left").drop("__held")
+    crowd = _either([F.col(f"__crowded_{i}").isNotNull() for i in range(len(columns))])
+    winners = _winners(claims.filter(crowd), columns, order)
+    late = []
     for i, column in enumerate(columns):
-        holders = materialise(_holders(winners, column, order), "claims-held").withColumnRenamed(
-            "__holder", f"__holder_{i}"
-        )
-        df = df.join(holders, F.col(column) == F.col("__held"), "left").drop("__held")
-        late = late | F.coalesce(F.col(f"__holder_{i}") < F.col(order), F.lit(False))
-    return df.withColumn("duplicate", late).drop("__eligible")
+        taken = stored[i].select("__held", F.lit(True).alias("__stored"),
+                                 F.lit(None).cast(df.schema[order].dataType).alias("__holder"))
+        held = winners.filter(F.col(column).isNotNull()).select(
+            F.col(column).alias("__held"), F.lit(False).alias("__stored"), F.col(order).alias("__holder"))
+        keys = materialise(taken.unionByName(held), "claims-held").withColumnsRenamed(
+            {"__stored": f"__stored_{i}", "__holder": f"__holder_{i}"})
+        df = df.join(keys, F.col(column) == F.col("__held"), "left").drop("__held")
+        late.append(F.coalesce(F.col(f"__stored_{i}") | (F.col(f"__holder_{i}") < F.col(order)), F.lit(False)))
+    gone = [f"{kind}_{i}" for i in range(len(columns)) for kind in ("__stored", "__holder")]
+    return df.withColumn("duplicate", _either(late)).drop("__eligible", *gone)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import claims
 from tallyloom.operators.claims import mark_duplicates
 
 
@@ -57,10 +58,50 @@ def test_missing_keys_clash_with_nobody(make):
     assert {r["request_id"] for r in one.filter("duplicate").collect()} == {3}
 
 
-def test_a_long_chain_is_settled_exactly(make):
-    """Each row shares one key with the next: every second row wins."""
-    rows = [(i, f"u{(i + 1) // 2}", f"e{i // 2}", True) for i in range(9)]
+def counted(monkeypatch):
+    """The number of frames written, which is that of the rounds and their steps."""
+    calls = []
+    plain = claims.materialise
+    monkeypatch.setattr(claims, "materialise", lambda df, label: calls.append(label) or plain(df, label))
+    return calls
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_long_chain_is_contracted(make, monkeypatch, turned):
+    """Each row shares one key with the next: every second row wins, in few rounds. Turned, the
+    rows come in the order that makes every second one free."""
+    n = 10_000
+    rows = [(i * 7919 % n if turned else i, f"u{(i + 1) // 2}", f"e{i // 2}", True) for i in range(n)]
+    df = make(rows, "request_id BIGINT, username STRING, email STRING, ok BOOLEAN").repartition(4)
+    table = make([], "username STRING, email STRING")
+    calls = counted(monkeypatch)
+    got = mark_duplicates(df, ("username", "email"), table, F.col("ok"), "request_id")
+    assert {r["request_id"]: r["duplicate"] for r in got.collect()} == replay(rows, [[], []])
+    assert calls.count("claims-open") + calls.count("claims-links") < 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_three_keys_with_missing_ones(make, seed):
+    pick = random.Random(100 + seed)
+
+    def key(mark):
+        return None if pick.random() < 0.2 else f"{mark}{pick.randint(0, 40)}"
+
+    rows = [(i * 37 % 300, key("a"), key("b"), key("c"), pick.random() < 0.9) for i in range(300)]
+    df = make(rows, "request_id BIGINT, a STRING, b STRING, c STRING, ok BOOLEAN")
+    table = make([("a1", "b2", "c3")], "a STRING, b STRING, c STRING")
+    got = mark_duplicates(df, ("a", "b", "c"), table, F.col("ok"), "request_id")
+    assert {r["request_id"]: r["duplicate"] for r in got.collect()} == replay(
+        rows, [["a1"], ["b2"], ["c3"]])
+
+
+def test_a_crowded_key_in_a_chain(make, monkeypatch):
+    """A third of all rows ask for one name, whose first claims hang on a chain."""
+    rows = [(i, f"u{(i + 1) // 2}", f"e{i // 2}", True) for i in range(400)]
+    rows += [(400 + i, "u200", f"x{i % 90}", True) for i in range(200)]
     df = make(rows, "request_id BIGINT, username STRING, email STRING, ok BOOLEAN")
     table = make([], "username STRING, email STRING")
+    calls = counted(monkeypatch)
     got = mark_duplicates(df, ("username", "email"), table, F.col("ok"), "request_id")
     assert {r["request_id"]: r["duplicate"] for r in got.collect()} == replay(rows, [[], []])
+    assert calls.count("claims-open") <= 4
