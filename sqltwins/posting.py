@@ -11,7 +11,8 @@ M = "DECIMAL(18,2)"
 
 
 def documents(headers, lines, columns, rules, line_columns, line_rules, totals, no_lines, least=1,
-              late=(), line_key=None, header_key=None, numbered=False, hidden=(), derived=None):
+              late=(), line_key=None, header_key=None, numbered=False, hidden=(), derived=None,
+              unknown=None):
     typed = ", ".join(f"{v} AS {n}" for n, v in columns.items())
     line_typed = ", ".join(f"{v} AS {n}" for n, v in line_columns.items())
     more = "".join(f", {v} AS {n}" for n, v in (derived or {}).items())
@@ -51,6 +52,9 @@ def documents(headers, lines, columns, rules, line_columns, line_rules, totals,
         statement(f"SELECT request_id, {shown}, reject_reason FROM verdict", steps),
         statement(f"SELECT request_id, line_no, {kept} FROM all_lines WHERE request_id IN "
                   "(SELECT request_id FROM verdict WHERE reject_reason IS NULL)", steps),
+        statement(f"SELECT f.request_id, f.line_no, coalesce(v.reject_reason, {i.quoted(unknown)}) "
+                  f"AS reject_reason FROM {lines} f LEFT JOIN verdict v ON v.request_id = f.request_id "
+                  "WHERE v.request_id IS NULL OR v.reject_reason IS NOT NULL", steps),
     )
 
 
@@ -72,7 +76,7 @@ SALES = documents(
      i.not_positive("quantity", "quantity must be at least 1"),
      (f"{_PRICE} IS NULL OR {_PRICE} < 0", "unit_price must be 0 or greater")],
     {"total_amount": "CAST(sum(subtotal) AS DECIMAL(28,6))"},
-    "order_lines must contain at least one item",
+    "order_lines must contain at least one item", unknown="Sales order not found",
     line_key=("product_id", "products", _SALES_KEY),
     header_key=("customer_id", "customers", _SALES_KEY),
     derived={"subtotal": "CAST(CAST(quantity AS DECIMAL(10,0)) * unit_price AS DECIMAL(28,6))"},
@@ -91,7 +95,7 @@ PURCHASE = documents(
      i.not_positive("product_id", "product_id is invalid"),
      i.not_positive("quantity_ordered", "quantity_ordered must be a positive integer")],
     {"total_amount": f"CAST(sum(subtotal) AS {M})"},
-    "At least one line item is required", numbered=True,
+    "At least one line item is required", numbered=True, unknown="Purchase order not found",
     derived={"subtotal": f"CAST(CAST(quantity_ordered AS DECIMAL(10,0)) * unit_cost AS {M})"},
 )
 
@@ -111,7 +115,7 @@ JOURNAL = documents(
     {"total_debit": f"CAST(sum(debit) AS {M})", "total_credit": f"CAST(sum(credit) AS {M})",
      "rd": "round(sum(raw_debit), 2)", "rc": "round(sum(raw_credit), 2)",
      "void": "bool_or(debit <= 0 AND credit <= 0)"},
-    "At least two journal lines are required", least=2,
+    "At least two journal lines are required", least=2, unknown="Journal entry not found",
     late=[("d.rd <> d.rc OR d.total_debit <> d.total_credit", "Debits must equal Credits"),
           ("d.total_debit <= 0", "Journal entry total must be greater than 0"),
           ("d.void", "Each journal line must include a debit or credit amount")],
@@ -171,6 +175,9 @@ ORACLES = {
     "post_sales_orders": SALES[0], "post_sales_order_lines": SALES[1],
     "post_purchase_orders": PURCHASE[0], "post_purchase_order_lines": PURCHASE[1],
     "post_journal_entries": JOURNAL[0], "post_journal_lines": JOURNAL[1],
+    "post_sales_order_lines_rejected": SALES[2],
+    "post_purchase_order_lines_rejected": PURCHASE[2],
+    "post_journal_lines_rejected": JOURNAL[2],
     "journal_balance": statement(
         f"""SELECT request_id, total_debit, total_credit, has_empty_line,
         total_debit = total_credit AS balanced FROM (SELECT request_id,

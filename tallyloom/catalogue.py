@@ -289,13 +289,19 @@ def _new_purchase_orders(t) -> DataFrame:
 POSTING: dict[str, tuple[str, Callable]] = {
     "post_sales_orders": ("W-1 A-13", lambda t: outcome(posting.sales_orders(t, NOW).headers)),
     "post_sales_order_lines": ("W-1 A-13", lambda t: posting.sales_orders(t, NOW).lines()),
+    "post_sales_order_lines_rejected": (
+        "W-1", lambda t: posting.sales_orders(t, NOW).rejected_lines()),
     "post_purchase_orders": ("W-2 A-14", lambda t: outcome(posting.purchase_orders(t).headers)),
     "new_purchase_orders": ("W-2 J-14", _new_purchase_orders),
     "post_purchase_order_lines": ("W-2 A-14", lambda t: posting.purchase_orders(t).lines()),
+    "post_purchase_order_lines_rejected": (
+        "W-2", lambda t: posting.purchase_orders(t).rejected_lines()),
     "post_journal_entries": (
         "W-3", lambda t: outcome(posting.journal_headers(posting.journal_entries(t)))
     ),
     "post_journal_lines": ("W-3", lambda t: posting.journal_lines(posting.journal_entries(t))),
+    "post_journal_lines_rejected": (
+        "W-3", lambda t: posting.journal_entries(t).rejected_lines()),
     "journal_balance": ("A-12", lambda t: posting.journal_balance(t.journal_line_feed)),
     "reverse_requests": ("W-4 J-22", lambda t: posting.reversals(t, AS_OF).requests),
     "reverse_entries": ("W-4 F-15", lambda t: posting.reversals(t, AS_OF).entries),

@@ -2,10 +2,10 @@
 
 A row that fails any other rule does not occupy its keys. Aggregates find the holders, so
 a key asked for by a third of the feed costs one partial row per task, never a window
-over the whole group. The feed is judged once and written; keys and verdicts are formed from
-the few columns they need, and what the feed is joined back to is written too: it is small as
-a rule and then broadcast by its known size; if it is not, both sides of the join are plain
-and a hot key is split.
+over the whole group. Keys and verdicts are formed from the few columns they need, in passes
+of their own, so the feed should be judged and written before. What it is joined back to is
+written too: it is small as a rule and then broadcast by its known size; if it is not, both
+sides of the join are plain and a hot key is split.
 """
 
 from __future__ import annotations
@@ -155,12 +155,11 @@ def mark_duplicates(
     df: DataFrame, columns: Sequence[str], table: DataFrame, eligible: Column, order: str
 ) -> DataFrame:
     """Add ``duplicate``: some key is stored already or held by an earlier valid row."""
-    df = materialise(df.withColumn("__eligible", eligible), "claims")
     if len(columns) == 1:
-        return _mark_one(df, columns[0], table, F.col("__eligible"), order).drop("__eligible")
+        return _mark_one(df, columns[0], table, eligible, order)
     stored = [_stored(df, column, table) for column in columns]
     crowded = [_crowded(df, column) for column in columns]
-    claims = df.filter("__eligible").select(order, *columns)
+    claims = df.filter(eligible).select(order, *columns)
     for i, column in enumerate(columns):
         claims = claims.join(stored[i], F.col(column) == F.col("__held"), "left_anti")
     # Only rows that ask for a value somebody else asks for can be late or make others late.
@@ -180,4 +179,4 @@ def mark_duplicates(
         df = df.join(keys, F.col(column) == F.col("__held"), "left").drop("__held")
         late.append(F.coalesce(F.col(f"__stored_{i}") | (F.col(f"__holder_{i}") < F.col(order)), F.lit(False)))
     gone = [f"{kind}_{i}" for i in range(len(columns)) for kind in ("__stored", "__holder")]
-    return df.withColumn("duplicate", _either(late)).drop("__eligible", *gone)
+    return df.withColumn("duplicate", _either(late)).drop(*gone)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.validate import (
-    REASON, Field, Rule, clean, first_reason, first_rule, flag_known, rules_of,
+    REASON, Field, Rule, clean, first_reason, first_rule, flag_known, rules_of, unknown_flags,
 )
 from tallyloom.session import materialise
 
@@ -24,10 +24,12 @@ KEY = "request_id"
 @dataclass(frozen=True)
 class Documents:
     """``headers``: every request with its totals and ``reject_reason``; ``lines()``: the
-    lines of accepted documents."""
+    lines of accepted documents; ``rejected_lines()``: all other lines that came in."""
 
     headers: DataFrame
     checked_lines: DataFrame
+    raw_lines: DataFrame
+    unknown: str
 
     def lines(self) -> DataFrame:
         """The accepted keys are written to the shared folder first. The line join then has
@@ -35,6 +37,18 @@ class Documents:
         good = self.headers.filter(F.col(REASON).isNull()).select(KEY)
         return self.checked_lines.join(materialise(good, "accepted"), KEY, "left_semi")
 
+    def rejected_lines(self) -> DataFrame:
+        """(request_id, line_no, reject_reason): lines of rejected documents with the reason of
+        their document, and lines that name no document that came in, or none at all.
+
+        One row per line, so accepted and rejected lines add up to those that came in. The
+        verdicts are written first, for the same reasons as the accepted keys."""
+        verdicts = materialise(self.headers.select(KEY, REASON, F.lit(True).alias("__sent")), "verdicts")
+        judged = self.raw_lines.select(KEY, "line_no").join(verdicts, KEY, "left")
+        return judged.filter(F.col("__sent").isNull() | F.col(REASON).isNotNull()).select(
+            KEY, "line_no",
+            F.when(F.col("__sent").isNull(), F.lit(self.unknown)).otherwise(F.col(REASON)).alias(REASON))
+
 
 def post_documents(
     headers: DataFrame,
@@ -45,6 +59,7 @@ def post_documents(
     line_values: dict[str, Column],
     totals: dict[str, Column],
     no_lines: str,
+    unknown: str,
     least: int = 1,
     document_rules: Sequence[Rule] = (),
     line_key: tuple[str, DataFrame, str] | None = None,
@@ -55,7 +70,9 @@ def post_documents(
     line by number), ``document_rules`` over the ``totals``, unknown references.
 
     ``line_values`` are derived per line, ``totals`` are aggregates over them. With
-    ``numbered`` a line's reason ends in its number.
+    ``numbered`` a line's reason ends in its number. ``unknown`` is the reason for lines of
+    documents that did not come in. Lines with a reference are judged once and written; the
+    unknown ids are then found from the distinct ids they name.
     """
     line_rules = rules_of(line_fields)
     checked = clean(
@@ -65,8 +82,8 @@ def post_documents(
     checked = checked.select("*", *[value.alias(name) for name, value in line_values.items()])
     known = F.lit(True)
     if line_key is not None:
-        checked = flag_known(checked, line_key[0], line_key[1], "__known")
-        known = F.col("__known") | F.col(line_key[0]).isNull()
+        checked, (stray,) = unknown_flags(materialise(checked, "lines"), [line_key[:2]])
+        known = ~stray
     # The first failing rule of the first bad line as one number: fixed-width buffers keep
     # this a hash aggregate, where a struct or a text would have all lines sorted first.
     step = len(line_rules)
@@ -101,4 +118,4 @@ def post_documents(
         KEY, *[each.name for each in header_fields], *totals, REASON
     )
     kept = checked.select(KEY, "line_no", *[each.name for each in line_fields], *line_values)
-    return Documents(result, kept)
+    return Documents(result, kept, lines, unknown)

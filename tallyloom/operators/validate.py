@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,60 @@ def flag_known(df: DataFrame, column: str, table: DataFrame, flag: str) -> DataF
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+# Unknown ids of one table up to this number become a literal set; their number is counted
+# first. More of them are joined back from a written table of known size.
+LITERAL_IDS = 1000
+
+
+def unknown_flags(
+    df: DataFrame, references: Sequence[tuple[str, DataFrame]]
+) -> tuple[DataFrame, list[Column]]:
+    """For each (column, table): is the column's value an id that ``table`` does not have?
+
+    ``df`` is read several times, so it should be written before. Every task reduces the ids it
+    asks for to distinct ones, a table is asked once for all columns that point at it, and only
+    unknown ids come back: as a rule few or none, so that ``df`` stays where it is, however
+    large the tables are. Returns ``df`` with columns added if it had to be joined, and the
+    conditions.
+    """
+    tables: list[DataFrame] = []
+    for _, table in references:
+        if not any(table is each for each in tables):
+            tables.append(table)
+    unknown = []
+    for table in tables:
+        asked = reduce(DataFrame.unionAll, [
+            df.select(F.col(column).cast("bigint").alias("__id"))
+            for column, target in references if target is table])
+        known = table.select(F.col("id").cast("bigint").alias("__id"))
+        unknown.append(materialise(
+            asked.filter(F.col("__id").isNotNull()).distinct().join(known, "__id", "left_anti"), "unknown"))
+    few = [[row["__id"] for row in each.limit(LITERAL_IDS + 1).collect()] for each in unknown]
+    flags = []
+    for i, (column, target) in enumerate(references):
+        place = next(n for n, each in enumerate(tables) if each is target)
+        if len(few[place]) <= LITERAL_IDS:
+            flags.append(F.coalesce(F.col(column).cast("bigint").isin(few[place]), F.lit(False)))
+            continue
+        ids = unknown[place].withColumn(f"__unknown_{i}", F.lit(True))
+        df = df.join(ids, F.col(column).cast("bigint") == F.col("__id"), "left").drop("__id")
+        flags.append(F.col(f"__unknown_{i}").isNotNull())
+    return df, flags
+
+
+def _reference_flags(
+    checked: DataFrame, references: Sequence[Reference]
+) -> tuple[DataFrame, list[Column]]:
+    if not checked.isStreaming:
+        return unknown_flags(checked, [(ref.column, ref.table) for ref in references])
+    # A micro-batch is one pass: it meets the tables themselves.
+    flags = []
+    for i, ref in enumerate(references):
+        checked = flag_known(checked, ref.column, ref.table, f"__known_{i}")
+        flags.append(F.col(ref.column).isNotNull() & ~F.col(f"__known_{i}"))
+    return checked, flags
+
+
 def validate(
     feed: DataFrame,
     fields: Sequence[Field],
@@ -125,13 +180,14 @@ def validate(
     references: Sequence[Reference] = (),
     unique: Unique | None = None,
 ) -> DataFrame:
+    """Judge a feed. With references or unique keys the field rules run once and their result
+    is written, as the keys are then gathered from it in passes of their own."""
     checked = clean(feed, fields, keep)
-    missing = []
-    for i, ref in enumerate(references):
-        flag = f"__known_{i}"
-        checked = flag_known(checked, ref.column, ref.table, flag)
-        missing.append(Rule(F.col(ref.column).isNotNull() & ~F.col(flag), ref.reason))
-    checked = checked.withColumn("__missing", first_reason(missing))
+    if (references or unique) and not feed.isStreaming:
+        checked = materialise(checked, "judged")
+    checked, flags = _reference_flags(checked, references)
+    missing = first_reason([Rule(flag, ref.reason) for flag, ref in zip(flags, references)])
+    checked = checked.withColumn("__missing", missing)
     if unique is not None:
         eligible = F.col(REASON).isNull() & F.col("__missing").isNull()
         checked = mark_duplicates(checked, unique.columns, unique.table, eligible, keep[0])

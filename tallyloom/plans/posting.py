@@ -47,6 +47,7 @@ def sales_orders(t, as_of: datetime.datetime, headers=None, lines=None) -> Docum
         line_values={"subtotal": subtotal.cast("decimal(28,6)")},
         totals={"total_amount": F.sum("subtotal").cast("decimal(28,6)")},
         no_lines=reasons.NO_ORDER_LINES,
+        unknown=reasons.not_found("Sales order"),
         line_key=("product_id", t.products, reasons.SALES_KEY),
         header_key=("customer_id", t.customers, reasons.SALES_KEY),
     )
@@ -73,6 +74,7 @@ def purchase_orders(t, headers=None, lines=None) -> Documents:
         line_values={"subtotal": subtotal},
         totals={"total_amount": F.sum("subtotal").cast(MONEY)},
         no_lines=reasons.NO_PURCHASE_LINES,
+        unknown=reasons.not_found("Purchase order"),
         numbered=True,
     )
 
@@ -106,6 +108,7 @@ def journal_entries(t, headers=None, lines=None) -> Documents:
             "__any_void": F.max("__void"),
         },
         no_lines=reasons.TWO_JOURNAL_LINES,
+        unknown=reasons.not_found("Journal entry"),
         least=2,
         document_rules=[
             Rule(differs | (F.col("total_debit") != F.col("total_credit")),

@@ -6,10 +6,12 @@ import os
 
 import pytest
 from conftest import DATA
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tallyloom.catalogue import ACCESS, EDITS, INTAKE, POSTING, REPORTS
+from tallyloom.operators import validate
 from tallyloom.operators.claims import mark_duplicates
 from tallyloom.operators.validate import flag_known
 from tallyloom.plans import bi, crm, finance, inventory, scm
@@ -93,6 +95,39 @@ def references(spark, bundle):
     return flag_known(hot(spark, "product_id"), "product_id", spark.range(5000), "known")
 
 
+@pytest.mark.parametrize("name, feed", [
+    ("intake_movements", "quantity"), ("post_journal_entries", "debit"), ("intake_invoices", "due_date")])
+def test_a_feed_meets_its_references_where_it_lies(large, monkeypatch, name, feed):
+    """With broadcasts off no job shuffles rows of a feed to look up ids: what is shuffled are
+    distinct ids, keys and sums, never a row with its other fields."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def record(self, *args, **options):
+        plans.append(plan(self._df))
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", record)
+    result = entry_points.queries()[name](large, DATA)
+    for text in plans:
+        for line in text.splitlines():
+            below = text.split(line, 1)[1].splitlines()[0] if "Exchange hashpartitioning" in line else ""
+            assert feed not in below, below
+    if name == "intake_movements":
+        assert "Exchange" not in plan(result)
+
+
+def test_unknown_ids_beyond_the_literal_set_are_joined(spark, make, monkeypatch):
+    monkeypatch.setattr(validate, "LITERAL_IDS", 3)
+    rows = [(i, i % 7, None if i % 5 == 0 else 100 + i % 3) for i in range(60)]
+    frame = make(rows, "request_id BIGINT, a BIGINT, b BIGINT")
+    known = [make([(0,), (1,)], "id BIGINT"), make([(100,)], "id BIGINT")]
+    judged, flags = validate.unknown_flags(frame, [("a", known[0]), ("b", known[1]), ("request_id", known[0])])
+    got = judged.select("request_id", *[flag.alias(f"f{i}") for i, flag in enumerate(flags)]).collect()
+    assert {tuple(r) for r in got} == {
+        (i, a not in (0, 1), b is not None and b != 100, i not in (0, 1)) for i, a, b in rows}
+    assert len(got) == 60
+
+
 def claims(spark, bundle):
     feed = hot(spark, "code")
     return mark_duplicates(

@@ -168,3 +168,35 @@ def test_access(spark, make, bundle):
     granted = {(r["user_id"], r["permission"]) for r in access.user_permissions(t).collect()}
     assert (1, "*") in granted and (1, "hr:write") in granted
     assert {p for u, p in granted if u == 2} == {"inventory:read", "inventory:write"}
+
+
+def test_no_line_is_lost(make, bundle):
+    """Accepted and rejected lines are the lines that came in, each once."""
+    heads = make([(0, "d", "2024-01-01", "1"), (1, " ", "2024-01-01", "1"), (2, "d", "2024-01-01", "1")],
+                 "request_id BIGINT, description STRING, entry_date STRING, created_by STRING")
+    sent = [(0, 1, "1", "5", "0"), (0, 2, "2", "0", "5"), (1, 1, "1", "5", "0"), (1, 2, "2", "0", "5"),
+            (2, 1, "1", "5", "0"), (2, None, "1", "5", "0"), (2, None, "1", "5", "0"),
+            (7, 1, "1", "1", "0"), (None, 1, "1", "1", "0"), (None, None, None, None, None)]
+    lines = make(sent, "request_id BIGINT, line_no INT, account_id STRING, debit STRING, credit STRING")
+    t = bundle(accounts=ids(make, 1, 2))
+    done = posting.journal_entries(t, heads, lines)
+    rejected = sorted((tuple(r) for r in done.rejected_lines().collect()), key=str)
+    assert posting.journal_lines(done).count() + len(rejected) == len(sent)
+    assert rejected == sorted([
+        (1, 1, "description is required"), (1, 2, "description is required"),
+        (2, 1, "Debits must equal Credits"), (2, None, "Debits must equal Credits"),
+        (2, None, "Debits must equal Credits"), (7, 1, "Journal entry not found"),
+        (None, 1, "Journal entry not found"), (None, None, "Journal entry not found")], key=str)
+
+
+@pytest.mark.parametrize("job", ["sales_orders", "purchase_orders", "journal_entries"])
+def test_posted_and_rejected_lines_add_up(tables, job):
+    feeds = {"sales_orders": "sales_order_line_feed", "purchase_orders": "purchase_order_line_feed",
+             "journal_entries": "journal_line_feed"}
+    args = (NOW,) if job == "sales_orders" else ()
+    done = getattr(posting, job)(tables, *args)
+    sent = getattr(tables, feeds[job])
+    good, bad = done.lines().select("request_id", "line_no"), done.rejected_lines().select("request_id", "line_no")
+    assert bad.count() > 0
+    assert sent.select("request_id", "line_no").exceptAll(good.unionAll(bad)).isEmpty()
+    assert good.count() + bad.count() == sent.count()
