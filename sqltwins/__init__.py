@@ -41,3 +41,16 @@ ORACLES["append_categories"] = (
     "SELECT name, description FROM "
     f"({ORACLES['intake_categories']}) x WHERE reject_reason IS NULL"
 )
+ORACLES["json_sales_orders"], ORACLES["json_sales_order_lines"] = posting.NESTED_SALES[:2]
+# Raw bodies: the whole ones are judged like any request, the others come out as they came in.
+ORACLES["json_bodies"] = intake.intake("read_bodies", intake.CUSTOMER_COLUMNS, intake.CUSTOMER_RULES)
+_BROKEN = " OR ".join(f"id % {m} = 0" for m in (31, 37, 41, 43, 47))
+ORACLES["json_bodies_quarantined"] = reports.statement(
+    f"""SELECT body, CASE WHEN {_BROKEN} THEN 'Malformed JSON body' ELSE 'Body has no request_id' END
+    AS reject_reason FROM customer_body_feed WHERE {_BROKEN} OR id % 53 = 0 OR id % 59 = 0""")
+ORACLES["stream_bodies_quarantined"] = ORACLES["json_bodies_quarantined"]
+ORACLES["upsert_roles"] = reports.statement(
+    f"""SELECT coalesce(c.id, s.id) AS id, coalesce(c.name, s.name) AS name,
+    array_to_string(coalesce(c.permissions, s.permissions), ',') AS permissions,
+    CASE WHEN c.id IS NULL THEN s.updated_at ELSE {intake.MOMENT} END AS updated_at
+    FROM stored_roles s FULL JOIN roles c ON c.id = s.id""")

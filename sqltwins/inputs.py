@@ -6,7 +6,24 @@ import re
 
 from tallyloom.sources import requests, roles, samples
 
-DEFINITIONS = {**samples.TABLES, **requests.FEEDS}
+# What the whole ones of the raw customer bodies say.
+READ_BODIES = """
+    SELECT CAST(id AS BIGINT) AS request_id, company_name, CAST(NULL AS VARCHAR) AS industry,
+           CAST(NULL AS VARCHAR) AS primary_contact_name, CAST(NULL AS VARCHAR) AS primary_email,
+           CAST(NULL AS VARCHAR) AS primary_phone, CAST(NULL AS VARCHAR) AS billing_address,
+           CAST(NULL AS VARCHAR) AS shipping_address, status
+    FROM {customers} WHERE id % 31 <> 0 AND id % 37 <> 0 AND id % 41 <> 0 AND id % 43 <> 0
+      AND id % 47 <> 0 AND id % 53 <> 0 AND id % 59 <> 0 AND id % 61 <> 0"""
+
+# Lines of nested order bodies: their number is their place in the body.
+NESTED_LINES = """
+    SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id
+               ORDER BY line_no, product_id, quantity, unit_price) AS INTEGER) AS line_no,
+           product_id, quantity, unit_price
+    FROM {sales_order_line_feed} WHERE request_id IS NOT NULL"""
+
+DEFINITIONS = {
+    **samples.TABLES, **requests.FEEDS, "read_bodies": READ_BODIES, "nested_line_feed": NESTED_LINES}
 
 _USES = re.compile(r"(?i)\b(?:from|join)\s+(\w+)")
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

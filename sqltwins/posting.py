@@ -60,27 +60,34 @@ def documents(headers, lines, columns, rules, line_columns, line_rules, totals,
 
 _PRICE = number("f.unit_price")
 _SALES_KEY = "Invalid customer_id or product_id reference"
-SALES = documents(
-    "sales_order_feed", "sales_order_line_feed",
-    {"customer_id": whole("f.customer_id"),
-     "order_date": f"CASE WHEN f.order_date IS NULL THEN {i.MOMENT} "
-                   f"ELSE {iso_moment('f.order_date')} END",
-     "status": f"coalesce({trim('f.status')}, 'Draft')"},
-    [i.not_positive("customer_id", "customer_id is required"),
-     (f"f.order_date IS NOT NULL AND ({iso_moment('f.order_date')}) IS NULL",
-      "order_date must be a valid datetime"),
-     (f"{trim('f.status')} = ''", "status must not be blank")],
-    {"product_id": whole("f.product_id"), "quantity": whole("f.quantity"),
-     "unit_price": f"CAST({_PRICE} AS DECIMAL(20,6))"},
-    [i.not_positive("product_id", "product_id is required"),
-     i.not_positive("quantity", "quantity must be at least 1"),
-     (f"{_PRICE} IS NULL OR {_PRICE} < 0", "unit_price must be 0 or greater")],
-    {"total_amount": "CAST(sum(subtotal) AS DECIMAL(28,6))"},
-    "order_lines must contain at least one item", unknown="Sales order not found",
-    line_key=("product_id", "products", _SALES_KEY),
-    header_key=("customer_id", "customers", _SALES_KEY),
-    derived={"subtotal": "CAST(CAST(quantity AS DECIMAL(10,0)) * unit_price AS DECIMAL(28,6))"},
-)
+
+
+def sales(lines):
+    return documents(
+        "sales_order_feed", lines,
+        {"customer_id": whole("f.customer_id"),
+         "order_date": f"CASE WHEN f.order_date IS NULL THEN {i.MOMENT} "
+                       f"ELSE {iso_moment('f.order_date')} END",
+         "status": f"coalesce({trim('f.status')}, 'Draft')"},
+        [i.not_positive("customer_id", "customer_id is required"),
+         (f"f.order_date IS NOT NULL AND ({iso_moment('f.order_date')}) IS NULL",
+          "order_date must be a valid datetime"),
+         (f"{trim('f.status')} = ''", "status must not be blank")],
+        {"product_id": whole("f.product_id"), "quantity": whole("f.quantity"),
+         "unit_price": f"CAST({_PRICE} AS DECIMAL(20,6))"},
+        [i.not_positive("product_id", "product_id is required"),
+         i.not_positive("quantity", "quantity must be at least 1"),
+         (f"{_PRICE} IS NULL OR {_PRICE} < 0", "unit_price must be 0 or greater")],
+        {"total_amount": "CAST(sum(subtotal) AS DECIMAL(28,6))"},
+        "order_lines must contain at least one item", unknown="Sales order not found",
+        line_key=("product_id", "products", _SALES_KEY),
+        header_key=("customer_id", "customers", _SALES_KEY),
+        derived={"subtotal": "CAST(CAST(quantity AS DECIMAL(10,0)) * unit_price AS DECIMAL(28,6))"},
+    )
+
+
+SALES = sales("sales_order_line_feed")
+NESTED_SALES = sales("nested_line_feed")
 
 PURCHASE = documents(
     "purchase_order_feed", "purchase_order_line_feed",

@@ -324,6 +324,46 @@ def _json_customers(t) -> DataFrame:
     return outcome(validate(bodies.read_bodies(t.spark, path, schema), intake.customer_fields()))
 
 
+def _written_bodies(t) -> str:
+    """Raw customer bodies, some of them damaged, as a folder of text files."""
+    path = scratch_path(t.spark, "raw-bodies")
+    t.customer_body_feed.select("body").write.text(path)
+    return path
+
+
+def _customer_bodies(t) -> DataFrame:
+    schema = bodies.body_schema([field.name for field in intake.customer_fields()])
+    return bodies.parse_bodies(bodies.read_lines(t.spark, _written_bodies(t)), schema)
+
+
+def _bodies_judged(t) -> DataFrame:
+    return outcome(validate(bodies.readable(_customer_bodies(t)), intake.customer_fields()))
+
+
+def _bodies_quarantined(t) -> DataFrame:
+    return bodies.unreadable(_customer_bodies(t))
+
+
+def _stream_bodies_quarantined(t) -> DataFrame:
+    """The damaged bodies of a stream of movement requests."""
+    path = scratch_path(t.spark, "body-log")
+    schema = bodies.body_schema([field.name for field in intake.movement_fields(NOW)])
+    movement_stream.ingest_bodies(t, bodies.stream_lines(t.spark, _written_bodies(t)), schema, path, NOW)
+    return movement_stream.quarantined(t, path)
+
+
+def _order_bodies(t) -> tuple[DataFrame, DataFrame]:
+    """Sales orders written and read as nested bodies: headers and lines."""
+    path = scratch_path(t.spark, "order-bodies")
+    lines = t.sales_order_line_feed.filter(F.col("request_id").isNotNull())
+    items = bodies.LINES["sales_order"][1]
+    nested = lines.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", *items))).alias("order_lines"))
+    sinks.write_documents(t.sales_order_feed.join(nested, "request_id", "left"), path)
+    read = bodies.read_bodies(t.spark, path, bodies.document_schema("sales_order"))
+    return bodies.split_documents(read, "sales_order")
+
+
 def _json_round_trip(t, documents: DataFrame) -> DataFrame:
     """Headers or lines of documents written as JSON and read back."""
     path = scratch_path(t.spark, "documents")
@@ -341,6 +381,12 @@ def _appended(t) -> DataFrame:
 
 FILES: dict[str, tuple[str, Callable]] = {
     "json_customers": ("S-2", _json_customers),
+    "json_bodies": ("S-2", _bodies_judged),
+    "json_bodies_quarantined": ("S-2", _bodies_quarantined),
+    "json_sales_orders": (
+        "S-2 W-1", lambda t: outcome(posting.sales_orders(t, NOW, *_order_bodies(t)).headers)),
+    "json_sales_order_lines": (
+        "S-2 W-1", lambda t: posting.sales_orders(t, NOW, *_order_bodies(t)).lines()),
     "json_order_documents": ("K-3 S-2", lambda t: _json_round_trip(t, _order_documents(t))),
     "json_order_document_lines": (
         "K-3 S-2", lambda t: _json_round_trip(t, sales.order_document_lines(t))),
@@ -350,6 +396,8 @@ FILES: dict[str, tuple[str, Callable]] = {
 ACCESS: dict[str, tuple[str, Callable]] = {
     "user_permissions": ("R-1 S-3", access.user_permissions),
     "access_audit": ("R-2", access.access_audit),
+    "upsert_roles": ("S-3 U-9", lambda t: edits.upsert_roles(t.stored_roles, t.roles, NOW).withColumn(
+        "permissions", F.array_join("permissions", ","))),
     "resolve_roles": ("R-3 F-7", lambda t: access.resolve_roles(t.role_feed)),
 }
 
@@ -358,8 +406,8 @@ ACCESS: dict[str, tuple[str, Callable]] = {
 def _moved(read: Callable) -> Callable:
     def run(t) -> DataFrame:
         arriving, path = StreamTables(t.spark, t.root), scratch_path(t.spark, "movements")
-        judged = movement_stream.ingest(t, arriving.movement_feed, path, NOW)
-        return read(t, path, judged)
+        movement_stream.ingest(t, arriving.movement_feed, path, NOW)
+        return read(t, path)
 
     return run
 
@@ -367,7 +415,8 @@ def _moved(read: Callable) -> Callable:
 def _received(read: Callable) -> Callable:
     def run(t) -> DataFrame:
         arriving, path = StreamTables(t.spark, t.root), scratch_path(t.spark, "receipts")
-        return read(t, path, edit_stream.log_receipts(t, arriving.receipt_feed, path))
+        edit_stream.log_receipts(t, arriving.receipt_feed, path)
+        return read(t, path)
 
     return run
 
@@ -375,13 +424,13 @@ def _received(read: Callable) -> Callable:
 def _order_status(read: Callable, *args) -> Callable:
     def run(t) -> DataFrame:
         arriving, path = StreamTables(t.spark, t.root), scratch_path(t.spark, "order-status")
-        judged = edit_stream.log_order_status(t, arriving.sales_order_status_feed, path)
-        return read(t, path, judged, *args)
+        edit_stream.log_order_status(t, arriving.sales_order_status_feed, path)
+        return read(t, path, *args)
 
     return run
 
 
-def _with_a_compaction(table: str, feed: str, log: Callable, current: Callable, *args) -> Callable:
+def _with_a_compaction(feed: str, log: Callable, compact: Callable, current: Callable, *args) -> Callable:
     """Half of the events arrive and go into a new base, then the others arrive."""
 
     def run(t) -> DataFrame:
@@ -391,13 +440,11 @@ def _with_a_compaction(table: str, feed: str, log: Callable, current: Callable,
         early = F.coalesce(F.col("event_id") <= middle // 2, F.lit(True))
         events.filter(early).write.parquet(arrived)
         arriving = StreamTables(t.spark, t.root, arrived)
-        judged = log(t, arriving.table(feed), path)
-        compacted = edit_stream.compact(
-            current(t, path, judged, *args), scratch_path(t.spark, f"{table}-base-1"))
+        log(t, arriving.table(feed), path)
+        compact(t, path, *args)
         events.filter(~early).write.mode("append").parquet(arrived)
-        later = t.replaced(**{table: compacted})
-        judged = log(later, arriving.table(feed), path, base=1)
-        return current(later, path, judged, *args, base=1)
+        log(t, arriving.table(feed), path)
+        return current(t, path, *args)
 
     return run
 
@@ -405,15 +452,16 @@ def _with_a_compaction(table: str, feed: str, log: Callable, current: Callable,
 STREAMS: dict[str, tuple[str, Callable]] = {
     "stream_movements": ("X-1 K-2", _moved(movement_stream.accepted)),
     "stream_movements_rejected": ("X-1", _moved(movement_stream.rejected)),
+    "stream_bodies_quarantined": ("X-1 S-2", _stream_bodies_quarantined),
     "stream_receipts": ("X-2 U-5", _received(edit_stream.stocked)),
     "stream_receipts_compacted": ("X-2 U-5", _with_a_compaction(
-        "products", "receipt_feed", edit_stream.log_receipts, edit_stream.stocked)),
-    "stream_receipts_rejected": ("X-2", _received(edit_stream.refused)),
+        "receipt_feed", edit_stream.log_receipts, edit_stream.compact_receipts, edit_stream.stocked)),
+    "stream_receipts_rejected": ("X-2", _received(edit_stream.refused_receipts)),
     "stream_order_status": ("X-2 U-1k", _order_status(edit_stream.current_orders, NOW)),
     "stream_order_status_compacted": ("X-2 U-1k", _with_a_compaction(
-        "sales_orders", "sales_order_status_feed", edit_stream.log_order_status,
-        edit_stream.current_orders, NOW)),
-    "stream_order_status_rejected": ("X-2", _order_status(edit_stream.refused)),
+        "sales_order_status_feed", edit_stream.log_order_status,
+        edit_stream.compact_order_status, edit_stream.current_orders, NOW)),
+    "stream_order_status_rejected": ("X-2", _order_status(edit_stream.refused_order_status)),
 }
 
 QUERIES = {**REPORTS, **INTAKE, **EDITS, **POSTING, **FILES, **ACCESS, **STREAMS}

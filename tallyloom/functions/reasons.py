@@ -116,3 +116,7 @@ ALLOWED = "allowed"
 NO_ROLE = "User role is missing"
 FORBIDDEN = "Forbidden: insufficient permissions"
 UNSUPPORTED_ROLE = "Unsupported role"
+
+# Bodies that cannot be judged at all.
+MALFORMED_BODY = "Malformed JSON body"
+NO_REQUEST_ID = "Body has no request_id"

@@ -281,7 +281,10 @@ def upsert_rows(base: DataFrame, feed: DataFrame) -> DataFrame:
     folded = materialise(
         feed.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new")), "upserts"
     )
-    new = {c: F.col(f"__new.{c}").cast(kinds[c]) for c in names}
+    # The same type but for NULLs inside an array needs no cast, and has none.
+    same = {each.name for each in feed.schema
+            if each.name in kinds and each.dataType.simpleString() == kinds[each.name].simpleString()}
+    new = {c: F.col(f"__new.{c}") if c in same else F.col(f"__new.{c}").cast(kinds[c]) for c in names}
     updated = base.join(folded, "id", "left").select(*[
         F.when(F.col("__new").isNotNull(), new[c]).otherwise(F.col(c)).alias(c)
         if c in new else F.col(c)

@@ -159,19 +159,6 @@ def unknown_flags(
     return df, flags
 
 
-def _reference_flags(
-    checked: DataFrame, references: Sequence[Reference]
-) -> tuple[DataFrame, list[Column]]:
-    if not checked.isStreaming:
-        return unknown_flags(checked, [(ref.column, ref.table) for ref in references])
-    # A micro-batch is one pass: it meets the tables themselves.
-    flags = []
-    for i, ref in enumerate(references):
-        checked = flag_known(checked, ref.column, ref.table, f"__known_{i}")
-        flags.append(F.col(ref.column).isNotNull() & ~F.col(f"__known_{i}"))
-    return checked, flags
-
-
 def validate(
     feed: DataFrame,
     fields: Sequence[Field],
@@ -183,9 +170,9 @@ def validate(
     """Judge a feed. With references or unique keys the field rules run once and their result
     is written, as the keys are then gathered from it in passes of their own."""
     checked = clean(feed, fields, keep)
-    if (references or unique) and not feed.isStreaming:
+    if references or unique:
         checked = materialise(checked, "judged")
-    checked, flags = _reference_flags(checked, references)
+    checked, flags = unknown_flags(checked, [(ref.column, ref.table) for ref in references])
     missing = first_reason([Rule(flag, ref.reason) for flag, ref in zip(flags, references)])
     checked = checked.withColumn("__missing", missing)
     if unique is not None:

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import reasons
+from tallyloom.operators.validate import REASON
+
+QUARANTINE = f"body STRING, {REASON} STRING"
+
 LINES = {
     "sales_order": ("order_lines", ["product_id", "quantity", "unit_price"]),
     "purchase_order": ("lines", ["product_id", "quantity_ordered", "unit_cost"]),
@@ -33,17 +38,43 @@ def document_schema(kind: str) -> str:
     return body_schema(HEADERS[kind], LINES[kind])
 
 
+def parse_bodies(lines: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` with ``body``, the line as it came, and ``reject_reason``.
+
+    A line is malformed unless it is one JSON object and nothing else; a body without a readable
+    request id cannot be answered. Blank lines are no bodies. Nothing is dropped but those.
+    """
+    # Wrapped as the only item of an array, since what follows a complete object is not looked at.
+    whole = F.json_array_length(F.concat(F.lit("["), F.col("body"), F.lit("]"))) == 1
+    proper = F.json_object_keys("body").isNotNull() & F.coalesce(whole, F.lit(False))
+    parsed = lines.filter(F.trim("body") != "").select("body", F.from_json("body", schema).alias("__read"), proper.alias("__proper"))
+    reason = F.when(~F.col("__proper"), F.lit(reasons.MALFORMED_BODY)).when(
+        F.col("__read.request_id").isNull(), F.lit(reasons.NO_REQUEST_ID))
+    return parsed.select("__read.*", "body", reason.alias(REASON))
+
+
+def readable(parsed: DataFrame) -> DataFrame:
+    """The bodies that can be judged, without their raw text."""
+    return parsed.filter(F.col(REASON).isNull()).drop("body", REASON)
+
+
+def unreadable(parsed: DataFrame) -> DataFrame:
+    """The others: raw text and reason."""
+    return parsed.filter(F.col(REASON).isNotNull()).select("body", REASON)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("value").alias("body"))
+
+
 def read_bodies(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return readable(parse_bodies(read_lines(spark, path), schema))
 
 
-def stream_bodies(
-    spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000
-) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Bodies as they arrive; a micro-batch takes a bounded number of files."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
-    )
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return lines.select(F.col("value").alias("body"))
 
 
 def split_documents(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:

@@ -494,3 +494,27 @@ FEEDS["role_feed"] = f"""
                 WHEN 3 THEN 'junior sales' WHEN 4 THEN 'Pilot' WHEN 5 THEN '' WHEN 6 THEN '-3'
                 WHEN 7 THEN 'HR Director' ELSE NULL END AS role
     FROM {{events}}"""
+# Customer bodies as raw text: cut off, an array, no JSON, text behind the object, two objects,
+# no request id, a request id that is no number, blank; all others are whole. Braces are written
+# as characters, since names of inputs stand in braces here.
+_ID, _OPEN, _CLOSE = "CAST(id AS STRING)", "chr(123)", "chr(125)"
+_START = f"{_OPEN} || '\"request_id\": ' || {_ID}"
+FEEDS["customer_body_feed"] = f"""
+    SELECT CAST(id AS BIGINT) AS id,
+           CASE WHEN id % 31 = 0 THEN {_START} || ', "company_name": "Cut'
+                WHEN id % 37 = 0 THEN '[' || {_START} || {_CLOSE} || ']'
+                WHEN id % 41 = 0 THEN 'company_name=' || {_ID}
+                WHEN id % 43 = 0 THEN {_START} || {_CLOSE} || ' tail'
+                WHEN id % 47 = 0 THEN {_START} || {_CLOSE} || ', ' || {_START} || {_CLOSE}
+                WHEN id % 53 = 0 THEN {_OPEN} || '"company_name": "No id ' || {_ID} || '"' || {_CLOSE}
+                WHEN id % 59 = 0 THEN {_OPEN} || '"request_id": "x' || {_ID} || '"' || {_CLOSE}
+                WHEN id % 61 = 0 THEN '  '
+                ELSE {_START} || ', "company_name": "' || company_name || '", "status": "' || status
+                     || '", "more": ' || {_OPEN} || '"deep": [1, 2]' || {_CLOSE} || {_CLOSE} END AS body
+    FROM {{customers}}"""
+# Stored roles: those of the catalogue with old permissions, and some of the house.
+FEEDS["stored_roles"] = """
+    SELECT CAST(id AS BIGINT) AS id, name,
+           split(CASE WHEN id % 2 = 0 THEN 'old:read' ELSE 'own:read,own:write' END, ',') AS permissions,
+           CAST(DATE '1997-01-01' AS {ntz}) AS updated_at
+    FROM (SELECT n_nationkey + 105 AS id, 'Role ' || n_name AS name FROM {nation}) AS s"""
