@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.session import materialise
@@ -45,13 +45,58 @@ def lookup(df: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
 
 
 def newest_matching(
-    log: DataFrame, dimension: DataFrame, key: str, order: Sequence[Column], rows: int
+    log: DataFrame, dimension: DataFrame, key: str, newest: str, rows: int
 ) -> DataFrame:
-    """The first ``rows`` rows, in ``order``, of the inner join of a long log with a dimension.
+    """The ``rows`` newest rows of the inner join of a long log with a dimension, by ``newest``
+    and then ``id``, both descending.
 
-    The limit makes the sort a top-k: each task keeps ``rows`` rows, and only those meet.
+    The winners are found from three narrow columns: rows with a known reference, of which each
+    task keeps the best ``rows``. Only their ids, at most ``rows``, come to the driver. The wide
+    log is then read for those ids and never shuffled, however few references are known.
     """
-    return log.join(dimension, key).orderBy(*order).limit(rows)
+    order = [down(newest), down("id")]
+    best = (
+        log.select("id", key, newest).join(dimension.select(key), key, "left_semi")
+        .orderBy(*order).limit(rows).collect()
+    )
+    people = dimension.filter(F.col(key).isin([row[key] for row in best]))
+    wide = log.filter(F.col("id").isin([row["id"] for row in best]))
+    return wide.join(people, key).orderBy(*order).limit(rows)
+
+
+def misplaced(df: DataFrame, order: Sequence[tuple[str, bool, bool]]) -> DataFrame:
+    """Neighbouring rows in the wrong order: (part, place) of the later one; none if sorted.
+
+    ``order``: column, descending, NULLs first, for each key. Every partition is compared row
+    by row on its own; of each partition only the first and the last row meet those of its
+    neighbours, so the proof is as distributed as the sort it checks.
+    """
+    keys = F.struct(*[
+        part for name, down, first in order
+        for part in (F.col(name).isNull().alias(f"{name}_gone"), F.col(name).alias(name))])
+    placed = df.select(F.spark_partition_id().alias("part"),
+                       F.monotonically_increasing_id().alias("place"), keys.alias("key"))
+    inside = Window.partitionBy("part").orderBy("place")
+    pairs = placed.withColumn("before", F.lag("key").over(inside))
+    ends = placed.groupBy("part").agg(
+        F.min("place").alias("place"), F.min_by("key", "place").alias("key"),
+        F.max_by("key", "place").alias("last"))
+    # One row per partition of the sort.
+    borders = ends.withColumn("before", F.lag("last").over(Window.orderBy("part")))
+    both = pairs.unionByName(borders.drop("last")).filter(F.col("before").isNotNull())
+    return both.filter(_after("before", "key", list(order))).select("part", "place")
+
+
+def _after(left: str, right: str, order: list[tuple[str, bool, bool]]) -> Column:
+    """Does the key ``left`` come after ``right``?"""
+    (name, down, first), rest = order[0], order[1:]
+    a, b = F.col(f"{left}.{name}"), F.col(f"{right}.{name}")
+    a_gone, b_gone = F.col(f"{left}.{name}_gone"), F.col(f"{right}.{name}_gone")
+    worse = F.when(a_gone | b_gone, (b_gone & ~a_gone) if first else (a_gone & ~b_gone)).otherwise(
+        a < b if down else a > b)
+    if not rest:
+        return worse
+    return worse | (a.eqNullSafe(b) & _after(left, right, rest))
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

@@ -54,9 +54,7 @@ def revenue_trend(t, as_of: datetime.date) -> DataFrame:
 def audit_trail(t, rows: int = 100) -> DataFrame:
     """The latest audit entries of known users."""
     people = t.users.select(F.col("id").alias("user_id"), "first_name", "last_name")
-    return newest_matching(
-        t.audit_logs, people, "user_id", [down("created_at"), down("id")], rows
-    )
+    return newest_matching(t.audit_logs, people, "user_id", "created_at", rows)
 
 
 def audit_joined(t) -> DataFrame:
@@ -83,9 +81,7 @@ def recent_sales(t, rows: int = 5) -> DataFrame:
         F.col("id").alias("customer_id"), F.col("company_name").alias("customer_name")
     )
     orders = t.sales_orders.select("id", "total_amount", "created_at", "customer_id")
-    newest = newest_matching(
-        orders, names, "customer_id", [down("created_at"), down("id")], rows
-    )
+    newest = newest_matching(orders, names, "customer_id", "created_at", rows)
     return newest.select("total_amount", "created_at", "customer_name")
 
 
