@@ -200,9 +200,15 @@ ORACLES = {
         'JournalReversal' AS reference_type, journal_entry_id AS reference_id, created_by
         {_GOOD}""", _REVERSED),
     "reverse_lines": statement(
-        """SELECT v.request_id AS journal_entry_id, l.account_id, l.credit AS debit,
-        l.debit AS credit FROM journal_entry_lines l JOIN verdict v
-        ON v.journal_entry_id = l.journal_entry_id WHERE v.reject_reason IS NULL""", _REVERSED),
+        """SELECT w.new_id AS journal_entry_id, l.account_id, l.credit AS debit, l.debit AS credit
+        FROM wanted w JOIN journal_entry_lines l ON l.journal_entry_id = w.journal_entry_id""",
+        {"undone": """SELECT e.id FROM journal_entries e LEFT JOIN (
+            SELECT DISTINCT reference_id FROM journal_entries
+            WHERE reference_type = 'JournalReversal') o ON o.reference_id = e.id
+            WHERE o.reference_id IS NULL""",
+         "wanted": """SELECT f.journal_entry_id, min(f.request_id) AS new_id
+            FROM reversal_feed f JOIN undone u ON u.id = f.journal_entry_id
+            GROUP BY f.journal_entry_id"""}),
     "payment_requests": statement("SELECT request_id, reject_reason FROM verdict", _PAY),
     "payment_rows": statement(
         f"""SELECT request_id AS id, invoice_id, payment_reference, amount_paid, payment_date,

@@ -29,7 +29,8 @@ def choice(name: str, members: list[str], *, default: str | None = None) -> Fiel
     raw = cleaning.or_default(F.col(name), default) if default else F.col(name)
     value = F.coalesce(cleaning.trimmed(raw), F.lit(""))
     return Field(
-        name, value, (Rule(~cleaned(name).isin(members), reasons.one_of(name, members)),)
+        name, value, (Rule(~cleaned(name).isin(members), reasons.one_of(name, members)),),
+        members=tuple(members),
     )
 
 
@@ -37,7 +38,7 @@ def exact_choice(name: str, members: list[str], *, default: str | None = None) -
     """Member of a vocabulary without trimming; absent takes the default when there is one."""
     value = F.coalesce(F.col(name), F.lit(default)) if default else F.col(name)
     bad = ~F.coalesce(cleaned(name), F.lit("")).isin(members)
-    return Field(name, value, (Rule(bad, reasons.one_of(name, members)),))
+    return Field(name, value, (Rule(bad, reasons.one_of(name, members)),), members=tuple(members))
 
 
 def amount(
@@ -132,5 +133,5 @@ def flag(
         value = F.when(F.col(name).isNull(), F.lit(default)).otherwise(value)
     return Field(
         name, value, (Rule(bad, reason or reasons.true_or_false(name)),),
-        parse=cleaning.boolean(F.col(name)),
+        parse=cleaning.boolean(F.col(name)), members=(False, True),
     )

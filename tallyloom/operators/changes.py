@@ -102,9 +102,65 @@ def replace_fields(
     stamp: dict[str, Column] | None = None,
 ) -> Changes:
     """The last valid change of an id sets all ``fields`` (one field: a status change)."""
+    names = [each.name for each in fields]
     checked = clean(feed, fields, keep=("seq", "id"))
-    done = apply_latest(base, checked, [each.name for each in fields], stamp)
-    return replace(done, make_rejected=lambda: _rejects(checked, base, not_found))
+    if len(fields) == 1 and fields[0].members:
+        done = apply_latest(base, checked, names, stamp, fields[0].members)
+        return replace(done, make_rejected=lambda: _rejects(checked, base, not_found))
+    # Judged once: the fold reads the changes twice, the rejections a third time.
+    judged = cache(lambda: materialise(checked, "judged"))
+    folded = cache(lambda: fold_latest(judged(), names))
+    new = _latest_values(base, names, stamp)
+    done = Changes(
+        lambda: _rewrite(base, folded(), new, "__new").table,
+        lambda: _rewrite(base, folded(), new, "__new").changed,
+        lambda: _rejects(judged(), base, not_found),
+    )
+    return done
+
+
+# A change's place as one number, which a hash aggregate holds in place: ``seq``, and below it
+# what settles ties, so that the result does not depend on the order of the rows.
+def _rank(seq: Column, tie: Column, span: int) -> Column:
+    return seq.cast("decimal(20,0)") * F.lit(span).cast("decimal(18,0)") + tie.cast("decimal(18,0)")
+
+
+def fold_latest(judged: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(id, __new): the values of the latest valid change of each id.
+
+    The latest change is found as the largest number per id; its values are then taken from the
+    rows themselves by id and number, so no task sorts its feed and a busy id is spread over all
+    tasks. Of different changes with the same ``seq`` the one with the larger hash counts.
+    """
+    tie = F.xxhash64(*names).bitwiseAND(2**48 - 1)
+    ranked = judged.withColumn("__rank", F.when(_valid(), _rank(F.col("seq"), tie, 2**48)))
+    last = materialise(
+        ranked.groupBy("id").agg(F.max("__rank").alias("__rank"))
+        .filter(F.col("id").isNotNull() & F.col("__rank").isNotNull()), "latest")
+    return ranked.join(last, ["id", "__rank"]).select("id", *names).distinct().select(
+        "id", F.struct(*names).alias("__new"))
+
+
+def fold_members(judged: DataFrame, name: str, members: Sequence) -> DataFrame:
+    """The same for one field with a fixed vocabulary: the number holds the value too, so one
+    aggregate is all there is. Of changes with the same ``seq`` the later member counts."""
+    known = F.array(*[F.lit(member) for member in members])
+    place = F.coalesce(F.array_position(known, F.col(name)), F.lit(0))
+    span = len(members) + 1
+    folded = judged.groupBy("id").agg(
+        F.max(F.when(_valid(), _rank(F.col("seq"), place, span))).alias("__rank"))
+    number = F.pmod("__rank", F.lit(span).cast("decimal(18,0)")).cast("int")
+    value = F.get(known, number - 1)
+    return folded.select("id", F.when(F.col("__rank").isNotNull(), F.struct(value.alias(name))).alias("__new"))
+
+
+def _latest_values(
+    base: DataFrame, names: Sequence[str], stamp: dict[str, Column] | None
+) -> dict[str, Column]:
+    return {
+        **{c: F.col(f"__new.{c}").cast(base.schema[c].dataType) for c in names},
+        **(stamp or {}),
+    }
 
 
 def apply_latest(
@@ -112,15 +168,12 @@ def apply_latest(
     judged: DataFrame,
     names: Sequence[str],
     stamp: dict[str, Column] | None = None,
+    members: Sequence = (),
 ) -> Changes:
-    """Set ``names`` to the values of the latest valid change of each id."""
-    latest = F.max_by(F.struct(*names), F.when(_valid(), F.col("seq")))
-    folded = judged.groupBy("id").agg(latest.alias("__new"))
-    new = {
-        **{c: F.col(f"__new.{c}").cast(base.schema[c].dataType) for c in names},
-        **(stamp or {}),
-    }
-    return _rewrite(base, folded, new, "__new")
+    """Set ``names`` to the values of the latest valid change of each id; ``members`` are all
+    values of a single field, if they are known."""
+    folded = fold_members(judged, names[0], members) if members else fold_latest(judged, names)
+    return _rewrite(base, folded, _latest_values(base, names, stamp), "__new")
 
 
 def given(field: str) -> Column:
@@ -272,15 +325,15 @@ def stamp_keys(
 
 def upsert_rows(base: DataFrame, feed: DataFrame) -> DataFrame:
     """Insert or overwrite by id; the last row of an id wins, other columns keep their value.
+    Rows without an id are left out.
 
     Two joins instead of one full outer join, which could never be a broadcast: a small
     feed then leaves the base table where it is.
     """
     names = [c for c in feed.columns if c not in ("seq", "id")]
     kinds = {each.name: each.dataType for each in base.schema}
-    folded = materialise(
-        feed.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("__new")), "upserts"
-    )
+    judged = feed.withColumn(REASON, F.lit(None).cast("string"))
+    folded = materialise(fold_latest(judged, names), "upserts")
     # The same type but for NULLs inside an array needs no cast, and has none.
     same = {each.name for each in feed.schema
             if each.name in kinds and each.dataType.simpleString() == kinds[each.name].simpleString()}

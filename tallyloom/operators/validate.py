@@ -51,6 +51,8 @@ class Field:
     rules: tuple[Rule, ...] = ()
     late: tuple[Rule, ...] = ()
     parse: Column | None = None
+    # All values a valid row can have, where they are a fixed vocabulary.
+    members: tuple = ()
 
 
 @dataclass(frozen=True)

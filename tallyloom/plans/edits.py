@@ -99,7 +99,7 @@ def employee_status(t, as_of: datetime.datetime) -> Changes:
     per_user = latest.join(links, "id").select(
         F.col("user_id").alias("id"), "seq", "is_active", F.lit(None).cast("string").alias(REASON)
     )
-    done = apply_latest(users, per_user, ["is_active"], stamped(as_of))
+    done = apply_latest(users, per_user, ["is_active"], stamped(as_of), (False, True))
 
     def profiles() -> DataFrame:
         touched = t.employees.join(latest.select("id"), "id", "left_semi")

@@ -107,7 +107,7 @@ def asset_category() -> Field:
 def asset_status() -> Field:
     return Field("status", b.asset_status(F.col("status")), (
         Rule(~cleaned("status").isin(b.ASSET_STATUSES), reasons.one_of("status", b.ASSET_STATUSES)),
-    ))
+    ), members=tuple(b.ASSET_STATUSES))
 
 
 def asset_fields() -> list[Field]:

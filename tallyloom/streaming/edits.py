@@ -71,7 +71,7 @@ def current_orders(t, path: str, as_of: datetime.datetime, state: State | None =
     state = state or read_state(t.spark, path)
     log = read_outcome(t.spark, path, ORDER_STATUS, "accepted", state.through, upto)
     base = base_table(t.spark, state, t.sales_orders)
-    return apply_latest(base, log, ["status"], stamped(as_of)).table
+    return apply_latest(base, log, ["status"], stamped(as_of), b.SALES_ORDER_STATUSES).table
 
 
 def compact_order_status(t, path: str, as_of: datetime.datetime) -> State:

@@ -146,3 +146,45 @@ def test_role_catalogue_upsert_is_idempotent(spark, make):
 def test_money_paid_in_full(tables):
     done = edits.invoices_paid(tables, NOW)
     assert done.changed.filter("status <> 'Paid' OR amount_paid <> total_amount").isEmpty()
+
+
+@pytest.mark.parametrize("order", range(3))
+def test_ties_do_not_depend_on_the_order_of_rows(make, items, order):
+    """Two different changes with one ``seq``: always the same one counts, as a whole."""
+    rows = [(5, 1, "p", "1"), (5, 1, "q", "2"), (5, 1, "q", "2"), (4, 1, "r", "3"), (5, 2, "s", "4")]
+    random.Random(order).shuffle(rows)
+    feed = make(rows, "seq BIGINT, id BIGINT, name STRING, note STRING").repartition(3)
+    fields = [f.required_text("name"), f.plain_text("note")]
+    done = table(changes.replace_fields(items, feed, fields, not_found="none").table)
+    assert done[1] in (("p", "1"), ("q", "2")) and done[2] == ("s", "4")
+    again = make(sorted(rows), "seq BIGINT, id BIGINT, name STRING, note STRING")
+    assert table(changes.replace_fields(items, again, fields, not_found="none").table) == done
+    single = make([(seq, i, n) for seq, i, n, _ in rows], "seq BIGINT, id BIGINT, name STRING")
+    member = [f.choice("name", ["q", "p", "r", "s"])]
+    assert table(changes.replace_fields(items, single, member, not_found="none").table)[1][0] == "p"
+
+
+def test_extreme_sequence_numbers(make, items):
+    big = 2**63 - 1
+    feed = make([(big, 1, "p"), (-big, 1, "q"), (-5, 2, "q"), (-6, 2, "p"), (None, 3, "p")],
+                "seq BIGINT, id BIGINT, name STRING")
+    for field in (f.required_text("name"), f.choice("name", ["p", "q"])):
+        done = changes.replace_fields(items, feed, [field], not_found="none")
+        assert {k: v[0] for k, v in table(done.table).items()} == {1: "p", 2: "q", 3: "c"}
+
+
+@pytest.mark.parametrize("name", ["status_sales_order", "replace_customer"])
+def test_the_latest_change_is_found_without_sorting(spark, tables, name, monkeypatch):
+    """Hash aggregates only, in every frame that is written and in the result."""
+    texts, plain = [], changes.materialise
+
+    def record(df, label):
+        texts.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(changes, "materialise", record)
+    job = edits.status_changes()["sales_order"] if name.startswith("status") else edits.REPLACEMENTS["customer"]
+    result = job(tables, NOW).table
+    texts.append(result._jdf.queryExecution().executedPlan().toString())
+    assert any("HashAggregate" in text for text in texts)
+    assert not any("SortAggregate" in text for text in texts)
