@@ -23,18 +23,15 @@ def _either(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _stored(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
-    """The asked values that are stored already."""
-    asked = df.select(F.col(column).alias("__held")).distinct()
-    stored = table.select(F.col(column).alias("__held")).join(asked, "__held", "left_semi")
-    return materialise(stored.distinct(), "taken")
-
-
-def _crowded(df: DataFrame, column: str) -> DataFrame:
-    """Values that more than one row asks for."""
+def _contested(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """(__held, __stored): asked values that are stored already or asked for more than once."""
+    stored = table.select(F.col(column).alias("__held"), F.lit(1).alias("__stored"), F.lit(0).alias("__asked"))
+    asked = df.select(F.col(column).alias("__held"), F.lit(0).alias("__stored"), F.lit(1).alias("__asked"))
+    keys = stored.unionByName(asked).filter(F.col("__held").isNotNull()).groupBy("__held").agg(
+        F.max("__stored").alias("__stored"), F.sum("__asked").alias("__asked"))
     return materialise(
-        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__held")).count()
-        .filter("count > 1").drop("count"), "claims-crowded")
+        keys.filter("(__stored = 1 and __asked > 0) or __asked > 1")
+        .select("__held", (F.col("__stored") == 1).alias("__stored")), "contested")
 
 
 def _ranked(claims: DataFrame, names: Sequence[str], order: str) -> DataFrame:
@@ -157,26 +154,25 @@ def mark_duplicates(
     """Add ``duplicate``: some key is stored already or held by an earlier valid row."""
     if len(columns) == 1:
         return _mark_one(df, columns[0], table, eligible, order)
-    stored = [_stored(df, column, table) for column in columns]
-    crowded = [_crowded(df, column) for column in columns]
-    claims = df.filter(eligible).select(order, *columns)
-    for i, column in enumerate(columns):
-        claims = claims.join(stored[i], F.col(column) == F.col("__held"), "left_anti")
+    contested = [_contested(df, column, table) for column in columns]
     # Only rows that ask for a value somebody else asks for can be late or make others late.
+    claims = df.filter(eligible).select(order, *columns)
     for i, column in enumerate(columns):
-        rivals = crowded[i].withColumn(f"__crowded_{i}", F.lit(True))
-        claims = claims.join(rivals, F.col(column) == F.col("__held"), "left").drop("__held")
-    crowd = _either([F.col(f"__crowded_{i}").isNotNull() for i in range(len(columns))])
-    winners = _winners(claims.filter(crowd), columns, order)
+        keys = contested[i].withColumnRenamed("__stored", f"__stored_{i}")
+        claims = claims.join(keys, F.col(column) == F.col("__held"), "left").drop("__held")
+    known = [F.col(f"__stored_{i}") for i in range(len(columns))]
+    free = ~_either([F.coalesce(stored, F.lit(False)) for stored in known])
+    winners = _winners(
+        claims.filter(free & _either([stored.isNotNull() for stored in known])), columns, order)
     late = []
     for i, column in enumerate(columns):
-        taken = stored[i].select("__held", F.lit(True).alias("__stored"),
-                                 F.lit(None).cast(df.schema[order].dataType).alias("__holder"))
+        taken = contested[i].filter("__stored").select(
+            "__held", F.lit(True).alias(f"__stored_{i}"),
+            F.lit(None).cast(df.schema[order].dataType).alias(f"__holder_{i}"))
         held = winners.filter(F.col(column).isNotNull()).select(
-            F.col(column).alias("__held"), F.lit(False).alias("__stored"), F.col(order).alias("__holder"))
-        keys = materialise(taken.unionByName(held), "claims-held").withColumnsRenamed(
-            {"__stored": f"__stored_{i}", "__holder": f"__holder_{i}"})
-        df = df.join(keys, F.col(column) == F.col("__held"), "left").drop("__held")
+            F.col(column).alias("__held"), F.lit(False).alias(f"__stored_{i}"),
+            F.col(order).alias(f"__holder_{i}"))
+        df = df.join(taken.unionByName(held), F.col(column) == F.col("__held"), "left").drop("__held")
         late.append(F.coalesce(F.col(f"__stored_{i}") | (F.col(f"__holder_{i}") < F.col(order)), F.lit(False)))
     gone = [f"{kind}_{i}" for i in range(len(columns)) for kind in ("__stored", "__holder")]
     return df.withColumn("duplicate", _either(late)).drop(*gone)

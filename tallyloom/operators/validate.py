@@ -120,7 +120,7 @@ def flag_known(df: DataFrame, column: str, table: DataFrame, flag: str) -> DataF
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-# Unknown ids of one table up to this number become a literal set; their number is counted
+# Unknown ids up to this number in all become literal sets; their number is counted
 # first. More of them are joined back from a written table of known size.
 LITERAL_IDS = 1000
 
@@ -140,22 +140,27 @@ def unknown_flags(
     for _, table in references:
         if not any(table is each for each in tables):
             tables.append(table)
-    unknown = []
-    for table in tables:
+    missing = []
+    for place, table in enumerate(tables):
         asked = reduce(DataFrame.unionAll, [
             df.select(F.col(column).cast("bigint").alias("__id"))
             for column, target in references if target is table])
         known = table.select(F.col("id").cast("bigint").alias("__id"))
-        unknown.append(materialise(
-            asked.filter(F.col("__id").isNotNull()).distinct().join(known, "__id", "left_anti"), "unknown"))
-    few = [[row["__id"] for row in each.limit(LITERAL_IDS + 1).collect()] for each in unknown]
+        missing.append(
+            asked.filter(F.col("__id").isNotNull()).distinct().join(known, "__id", "left_anti")
+            .select("__id", F.lit(place).alias("__table")))
+    if not missing:
+        return df, []
+    unknown = materialise(reduce(DataFrame.unionAll, missing), "unknown")
+    few = unknown.limit(LITERAL_IDS + 1).collect()
     flags = []
     for i, (column, target) in enumerate(references):
         place = next(n for n, each in enumerate(tables) if each is target)
-        if len(few[place]) <= LITERAL_IDS:
-            flags.append(F.coalesce(F.col(column).cast("bigint").isin(few[place]), F.lit(False)))
+        if len(few) <= LITERAL_IDS:
+            ids = [row["__id"] for row in few if row["__table"] == place]
+            flags.append(F.coalesce(F.col(column).cast("bigint").isin(ids), F.lit(False)))
             continue
-        ids = unknown[place].withColumn(f"__unknown_{i}", F.lit(True))
+        ids = unknown.filter(F.col("__table") == place).select("__id", F.lit(True).alias(f"__unknown_{i}"))
         df = df.join(ids, F.col(column).cast("bigint") == F.col("__id"), "left").drop("__id")
         flags.append(F.col(f"__unknown_{i}").isNotNull())
     return df, flags
