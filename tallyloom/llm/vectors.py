@@ -1,4 +1,4 @@
-"""Embedding near-dedup: sorted projection passes, bounded windows, exact links per component."""
+"""Embedding near-dedup: sorted projection passes, windows, blocks for long runs, exact links per component."""
 
 from __future__ import annotations
 
@@ -20,32 +20,28 @@ WINDOW = 48          # neighbours compared with each vector of a pass
 BITS = 62            # random hashes concatenated into a sort key
 MISS = 0.001         # share of links at the threshold that all passes may miss
 BLOCK = 256          # vectors of a component compared with each other at once
-EXACT_BLOCK = 2048   # vectors of a label compared with each other at once
+RUN_BLOCK = 2048     # vectors of a long run compared with each other at once
 STRIP = 512          # rows of such a comparison held at once
 SEED = 7
 
 
-def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW,
+def depth_for(rows: int, window: int = WINDOW) -> int:
+    """Leading hash bits that cut ``rows`` vectors of even spread into runs below the window."""
+    return min(BITS, max(1, ceil(log2(max(2, rows / window))) + 1))
+
+
+def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW,
                miss: float = MISS) -> int:
     """Passes that leave at most ``miss`` of the links between vectors at the threshold.
 
-    Two vectors at cosine t agree on one hash with probability p = 1 - acos(t) / pi. In a
-    label of n vectors they come within the window if they agree on about log2(n / window)
-    hashes, so one pass fails with 1 - p ** that.
+    Two vectors at cosine t agree on one hash with probability p = 1 - acos(t) / pi, however
+    the other vectors lie. In a pass they are compared if they agree on all leading bits, so a
+    pass fails with 1 - p ** depth.
     """
-    depth = max(1.0, ceil(log2(max(2, largest / window))) + 1)
-    found = (1 - acos(threshold) / pi) ** depth
+    found = (1 - acos(threshold) / pi) ** depth_for(rows, window)
     return max(4, ceil(log(miss) / log(1 - found)))
 
 
-def exact_rows(threshold: float, window: int, block: int) -> int:
-    """Largest label for which all pairs of blocks deal out no more copies than the passes."""
-    blocks = 0
-    while block and blocks + 1 <= passes_for((blocks + 1) * block, threshold, window):
-        blocks += 1
-    return blocks * block
-
-
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that squares cannot overflow."""
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -55,7 +51,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def vector_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                  label: str = "label", threshold: float = THRESHOLD,
-                 window: int = WINDOW, exact_block: int = EXACT_BLOCK) -> DataFrame:
+                 window: int = WINDOW, block: int = RUN_BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors of the same label and dimension link at a cosine of ``threshold`` or more, in
@@ -64,11 +60,14 @@ def vector_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Identical rows and vectors link like any others. An empty table gives no rows. Other
     columns are not read.
 
-    Equal vectors are one class. A label of up to ``exact_rows`` classes is compared exactly,
-    block against block. In a larger one, in every pass, the classes are range-sorted by
-    random hash bits, and each is compared with its next ``window`` neighbours; a task hands on
-    one edge per linked class, not the pairs. Components of those verified links are then
-    compared within themselves, block by block, which counts links that no window holds.
+    Equal vectors are one class. In every pass the classes of a label are ordered by random hash
+    bits, and each is compared with its next ``window`` neighbours; a task hands on one edge per
+    linked class, not the pairs. Runs of classes that share all leading bits and are longer than
+    the window, as vectors with a common direction make them, are compared block against block.
+    So two vectors that agree on the leading bits of any pass are compared, wherever the others
+    lie and however many tasks there are, and the chance that a link at the threshold is missed
+    in all passes is below ``MISS``. Components of the verified links are then compared within
+    themselves, block by block, which counts links that no pass holds.
     """
     numbers = field(embedding).cast("array<double>")
     proper = (F.size(numbers) > 0) & ~F.exists(
@@ -87,12 +86,7 @@ def vector_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x")),
         "classes")
     sizes = materialise(classes.groupBy("label", "dim").agg(F.count("*").alias("rows")), "sizes")
-    largest, limit = sizes.agg(F.max("rows")).first()[0] or 0, exact_rows(threshold, window, exact_block)
-    sized = classes.join(sizes, ["label", "dim"])
-    edges = _block_edges(sized.where(F.col("rows") <= limit), threshold, exact_block)
-    if largest > limit:
-        edges = edges.unionAll(_window_edges(
-            sized.where(F.col("rows") > limit), passes_for(largest, threshold, window), threshold, window))
+    edges = _pass_edges(classes.join(sizes, ["label", "dim"]), threshold, window, block)
     roots = materialise(components(edges), "roots")
     counted = materialise(_component_links(classes, roots, threshold), "links")
     per_class = materialise(
@@ -106,18 +100,81 @@ def vector_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _block_edges(sized: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Edges (a, b) that join all linked classes of a label, by every two of its blocks."""
-    blocks = F.ceil(F.col("rows") / max(1, block)).cast("int")
-    keys = ["label", "dim", "i", "j"]
-    own = sized.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+RUN = ["pass", "label", "dim", "prefix"]
+KEYS = "pass int, label string, dim int, prefix long, code long, rep long"
+
+
+def _coded(classes: DataFrame, threshold: float, window: int, with_x: bool) -> DataFrame:
+    """Every class once for each pass of its label: the hash bits as one number, and those
+    leading ones that make it a run."""
+
+    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            kinds = list(zip(batch.column("dim").to_pylist(), batch.column("rows").to_pylist()))
+            for dim, rows in set(kinds):
+                part = batch.filter(pa.array([kind == (dim, rows) for kind in kinds], pa.bool_()))
+                x, depth = matrix(part.column("x"), dim), depth_for(rows, window)
+                for p in range(passes_for(rows, threshold, window)):
+                    if (dim, p) not in planes:
+                        planes[dim, p] = np.random.default_rng([SEED, dim, p]).standard_normal((dim, BITS))
+                    codes = (x @ planes[dim, p] > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    columns = [pa.array([p] * part.num_rows, pa.int32()), part.column("label"),
+                               part.column("dim"), pa.array(codes >> (BITS - depth)), pa.array(codes),
+                               part.column("rep")]
+                    names = ["pass", "label", "dim", "prefix", "code", "rep"]
+                    if with_x:
+                        columns, names = [*columns, part.column("x")], [*names, "x"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    needed = classes.select("label", "dim", "rep", "x", "rows")
+    return needed.mapInArrow(code, KEYS + ", x array<double>" * with_x)
+
+
+def _pass_edges(classes: DataFrame, threshold: float, window: int, block: int) -> DataFrame:
+    """Edges (a, b) of verified links between class representatives, one chain per group."""
+    long_runs = materialise(
+        _coded(classes, threshold, window, False).groupBy(*RUN).agg(F.count("*").alias("length"))
+        .where(F.col("length") > window + 1), "long-runs")
+    full = _coded(classes, threshold, window, True)
+    short = full.join(long_runs.select(*RUN), RUN, "left_anti")
+    edges = _window_edges(short, threshold, window)
+    if long_runs.isEmpty():
+        return edges
+    return edges.unionAll(_block_edges(full.join(long_runs, RUN), threshold, block))
+
+
+def _window_edges(coded: DataFrame, threshold: float, window: int) -> DataFrame:
+    """Each vector against its next ``window`` neighbours in the order of the codes of its run."""
+
+    def slide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains = Chains()
+        for (_, _, dim, _), table in _groups(batches, RUN):
+            x, ids = matrix(table.column("x").combine_chunks(), dim), table.column("rep").to_numpy()
+            for offset in range(1, min(window, len(ids) - 1) + 1):
+                near = np.flatnonzero(np.einsum("ij,ij->i", x[:-offset], x[offset:]) >= threshold)
+                for i in near.tolist():
+                    chains.join(int(ids[i]), int(ids[i + offset]))
+        a, b = chains.edges()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                             ["a", "b"])
+
+    return coded.repartition(shuffle_partitions(coded.sparkSession), *RUN).sortWithinPartitions(
+        *RUN, "code", "rep").mapInArrow(slide, "a long, b long")
+
+
+def _block_edges(coded: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Edges that join all linked classes of a long run, by every two of its blocks."""
+    blocks = F.ceil(F.col("length") / block).cast("int")
+    keys = [*RUN, "i", "j"]
+    own = coded.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "rep", "x")
-    dealt = pairs.repartition(shuffle_partitions(sized.sparkSession), *keys).sortWithinPartitions(*keys)
+        *RUN, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "x")
+    dealt = pairs.repartition(shuffle_partitions(coded.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, dim, _, _), table in _groups(batches, keys):
+        for (_, _, dim, _, _, _), table in _groups(batches, keys):
             x, ids = matrix(table.column("x").combine_chunks(), dim), table.column("rep").to_numpy()
             chain = np.arange(len(ids))
             for at in range(0, len(ids), STRIP):
@@ -131,60 +188,6 @@ def _block_edges(sized: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _window_edges(classes: DataFrame, passes: int, threshold: float, window: int) -> DataFrame:
-    """Edges (a, b) of verified links between class representatives, one chain per task."""
-
-    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for dim in set(batch.column("dim").to_pylist()):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal(
-                        (dim, passes * BITS))
-                part = batch.filter(pa.array(
-                    [d == dim for d in batch.column("dim").to_pylist()], pa.bool_()))
-                bits = (matrix(part.column("x"), dim) @ planes[dim] > 0).reshape(-1, passes, BITS)
-                codes = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p] * part.num_rows, pa.int32()), part.column("label"),
-                         part.column("dim"), pa.array(codes[:, p]), part.column("rep"),
-                         part.column("x")], ["pass", "label", "dim", "code", "rep", "x"])
-
-    def slide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains = Chains()
-        group, ids, rows = None, np.empty(0, np.int64), None
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("pass", "label", "dim"))))
-            starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
-            for low, high in zip(starts, [*starts[1:], len(keys)]):
-                part = batch.slice(low, high - low)
-                new_ids = part.column("rep").to_numpy()
-                new = matrix(part.column("x"), keys[low][2])
-                if keys[low] != group:
-                    group, ids, rows = keys[low], new_ids[:0], new[:0]
-                carried = len(ids)
-                ids, rows = np.concatenate([ids, new_ids]), np.concatenate([rows, new])
-                for offset in range(1, min(window, len(ids) - 1) + 1):
-                    first = max(0, carried - offset)  # pairs of carried rows were compared before
-                    a, b = rows[first:-offset], rows[first + offset:]
-                    near = np.flatnonzero(np.einsum("ij,ij->i", a, b) >= threshold) + first
-                    for i in near.tolist():
-                        chains.join(int(ids[i]), int(ids[i + offset]))
-                ids, rows = ids[-window:], rows[-window:]
-        a, b = chains.edges()
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             ["a", "b"])
-
-    coded = classes.select("label", "dim", "rep", "x").mapInArrow(
-        code, "pass int, label string, dim int, code long, rep long, x array<double>")
-    order = ["pass", "label", "dim", "code", "rep"]
-    return coded.repartitionByRange(
-        shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(
-        slide, "a long, b long")
-
-
 class Chains:
     """Union-find over the linked ids of one task."""
 
