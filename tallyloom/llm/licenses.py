@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -70,40 +73,58 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
 
-    def spans(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of every verified place, in characters."""
-        regions: dict[int, list[list[int]]] = {}
+    def spans(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """(label, start, end, edits, phrase length) of every verified place, in characters.
+
+        A place is at most a phrase and its edits long, so every seed has a window of its own
+        and the work is in proportion to the number of seeds, however close they stand.
+        """
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (length, uses) in self.automaton.iter(text):
             for n, at in uses:
                 notice = self.notices[n]
-                low = max(0, end + 1 - length - at - notice.edits)
-                high = min(len(text), low + len(notice.phrase) + 2 * notice.edits + 1)
-                own = regions.setdefault(n, [])
-                if own and low <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(low, own[-1][0]), max(high, own[-1][1])
-                else:
-                    own.append([low, high])
-        found = []
-        for n, own in regions.items():
-            notice = self.notices[n]
-            for low, high in own:
-                for match in best_first(notice.pattern, text, low, high):
-                    found.append((notice.label, match.start(), match.end(),
-                                  sum(match.fuzzy_counts), len(notice.phrase)))
-        return found
-
-
-def best_first(pattern: regex.Pattern, text: str, low: int, high: int) -> list[regex.Match]:
-    """The best match of the stretch, then those of what lies before and behind it, in order."""
-    found, todo = [], [(low, high)]
-    while todo:
-        low, high = todo.pop()
-        match = pattern.search(text, low, high) if low < high else None
-        if match:
-            found.append(match)
-            # the blank before a match stays out, so that the stretch ends with a word
-            todo += [(low, match.start() - 1), (match.end(), high)]
-    return sorted(found, key=lambda m: m.start())
+                low = end + 1 - length - at - notice.edits
+                high = low + len(notice.phrase) + 2 * notice.edits + 1
+                windows.setdefault(n, set()).add((max(0, low), min(len(text), high)))
+        return [(self.notices[n].label, start, end, edits, len(self.notices[n].phrase))
+                for n, own in windows.items()
+                for start, end, edits in best_places(self.notices[n].pattern, text, own)]
+
+
+def best_places(pattern: regex.Pattern, text: str, windows: Iterable[tuple[int, int]]
+                ) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of places that do not overlap: the best of all windows first, and
+    again the best of what the places taken so far leave of each window."""
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def look(low: int, high: int) -> None:
+        while low < high:
+            match = pattern.search(text, low, high)
+            if not match:
+                return
+            end = match.end()
+            if end == len(text) or text[end] == " ":
+                heapq.heappush(heap, (sum(match.fuzzy_counts), match.start(), end, low, high))
+                return
+            high = end - 1  # the window, not a word, ended there
+
+    for low, high in windows:
+        look(low, high)
+    taken: list[tuple[int, int, int]] = []
+    while heap:
+        edits, start, end, low, high = heapq.heappop(heap)
+        # what is taken does not overlap, so starts and ends are in the same order
+        first = bisect.bisect_right(taken, low, key=lambda place: place[1])
+        last = bisect.bisect_left(taken, high, key=lambda place: place[0])
+        if all(b <= start or a > end for a, b, _ in taken[first:last + 1]):
+            bisect.insort(taken, (start, end, edits))
+            continue
+        for a, b, _ in taken[first:last + 1]:
+            # the blank before a place stays out, so that the stretch ends with a word
+            look(low, min(high, a - 1))
+            low = max(low, b)
+        look(low, high)
+    return taken
 
 
 def pigeonhole_pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
@@ -139,6 +160,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     places of notices within their allowed edits, in words; ``labels`` joins both. ``score``
     is the best share of a found phrase that needed no edit, 0 without a find. NULL text is
     empty: no words, empty labels, NULL first and last word. Repeated rows are scanned each;
+    a very long text, also one of a notice repeated, takes time in proportion to its length;
     an empty table gives no rows. Other columns are not read.
     """
 
@@ -153,11 +175,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             own = {label for label, _ in exact}
             best = max([1.0] * bool(exact) + [1 - e / size for _, _, _, e, size in spans],
                        default=0.0)
+            blanks = [m.start() for m in re.finditer(" ", joined)] if spans else []
             row = (len(words), len(exact), min(starts, default=None), max(starts, default=None),
                    ",".join(sorted(own)), ",".join(sorted(own | {s[0] for s in spans})),
                    max(0.0, best), [
-                       {"label": label, "first_word": (first := joined.count(" ", 0, a)),
-                        "last_word": first + joined.count(" ", a, b), "edits": e}
+                       {"label": label, "first_word": bisect.bisect_left(blanks, a),
+                        "last_word": bisect.bisect_left(blanks, b), "edits": e}
                        for label, a, b, e, _ in spans])
             for column, value in zip(out, row):
                 column.append(value)
