@@ -18,12 +18,25 @@ from tallyloom.session import materialise
 
 MIN_KEY = 10
 
-# Bits of each filter. The twice-seen filter is broadcast: 2**27 bits are 16 MB, whatever the
-# input. A fuller filter only makes more lines suspects, it never changes a result.
-FILTER_BITS = 27
+# Bits of each filter: about sixteen for a line of forty bytes, up to 2**FILTER_BITS. The
+# twice-seen filter is broadcast, 64 MB at most. A fuller filter (beyond about 100 million
+# distinct lines) only makes more lines suspects, it never changes a result.
+LEAST_BITS = 22
+FILTER_BITS = 29
+LINE_BYTES = 40
+
+
+def bits_for(size: int, most: int = FILTER_BITS) -> int:
+    """Filter bits for so many bytes of text."""
+    return min(most, max(LEAST_BITS, (16 * size // LINE_BYTES).bit_length()))
+
+
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
 
+# Filter positions a task gathers before it sorts them into those it has seen.
+MERGE_AT = 1 << 20
+
 
 def line_key(line: bytes) -> bytes | None:
     """The key of a line, or None if it is too short to count."""
@@ -45,7 +58,7 @@ def positions(keys: Iterable[bytes], bits: int) -> np.ndarray:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                filter_bits: int = FILTER_BITS) -> DataFrame:
+                filter_bits: int | None = None) -> DataFrame:
     """(row, doc_id, text, n_lines, n_dropped), one row per input row.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least ten
@@ -56,7 +69,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Pass one: every task sends the filter positions of its documents' keys, marked once or
     twice seen, as sparse blocks; merged, they leave the twice-seen filter, which is broadcast
-    and of fixed size. Pass two: only lines it knows (suspects) shuffle, as 16-byte hashes,
+    and of bounded size. Pass two: only lines it knows (suspects) shuffle, as 16-byte hashes,
     and are confirmed exactly. Pass three: documents without a suspect go straight through;
     the others meet their own list of lines to drop. Lists go by id and text, so that rows
     without an id, however many, share none.
@@ -66,6 +79,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                  doc_id=number_id(doc_id), text=field(text).cast("string"))
     # rows of one id drop the same keys, so equal versions of different texts do no harm
     document = ["id", "version"]
+    if filter_bits is None:
+        filter_bits = bits_for(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     twice = _twice_seen(base, filter_bits)
     suspects = materialise(
         map_batches(base.select(*document, "text"), _suspects(twice, filter_bits),
@@ -100,13 +115,23 @@ def _twice_seen(base: DataFrame, bits: int) -> Broadcast:
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            # one entry per document and position: a count of two means two documents
+            seen, counts = np.unique(np.concatenate([once, *held]), return_counts=True)
+            return seen, np.union1d(twice, seen[counts > 1])
+
         for batch in batches:
             own = [np.unique(positions({k for k in line_keys(t) if k is not None}, bits))
                    for t in utf8(batch)]
-            # one entry per document and position: a count of two means two documents
-            seen, counts = np.unique(np.concatenate([once, *own]), return_counts=True)
-            twice = np.union1d(twice, seen[counts > 1])
-            once = seen
+            held += own
+            size += sum(map(len, own))
+            # as much again as is there already, so that every position is sorted a few times
+            if size >= max(MERGE_AT, len(once)):
+                once, twice = merged()
+                held, size = [], 0
+        once, twice = merged()
         if not len(once):
             return
         blocks, starts = np.unique(once >> BLOCK_BITS, return_index=True)
