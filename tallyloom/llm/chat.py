@@ -173,7 +173,10 @@ class _Expression:
 def _fold(work: Callable, *nodes: tuple) -> tuple:
     """A constant if all parts are, else a closure over the parts."""
     if all(kind == "const" for kind, _ in nodes):
-        return ("const", work(*[v for _, v in nodes]))
+        try:
+            return ("const", work(*[v for _, v in nodes]))
+        except (TypeError, ValueError, ArithmeticError) as error:
+            raise TemplateError(f"bad constant: {error}") from error
     parts = [_closure(n) for n in nodes]
     if len(parts) == 1:
         return ("code", lambda scope, a=parts[0]: work(a(scope)))
@@ -187,22 +190,30 @@ def _closure(node: tuple) -> Callable[[Scope], Any]:
 
 # ---------------------------------------------------------------- templates
 
-_TAGS = re.compile(r"\{\{-?(?P<value>.*?)-?\}\}|\{%-?(?P<tag>.*?)-?%\}|\{#.*?#\}", re.DOTALL)
+# A hyphen inside a brace takes away the blanks and line ends on that side of the tag.
+_TAGS = re.compile(
+    r"\{\{(-?)(?P<value>.*?)(-?)\}\}|\{%(-?)(?P<tag>.*?)(-?)%\}|\{#(-?).*?(-?)#\}", re.DOTALL)
 
 
 def _syntax(source: str) -> list[tuple]:
     """The tree: ('text', s), ('value', expr), ('if', [(expr, body)...]), ('for', name, expr,
     body), ('generation', body), ('set', name, expr)."""
     parts: list[tuple[str, str]] = []
-    at = 0
+    at, trim = 0, False
+
+    def text(end: int, trim_end: bool) -> tuple[str, str]:
+        found = source[at:end]
+        found = found.lstrip() if trim else found
+        return "text", found.rstrip() if trim_end else found
+
     for m in _TAGS.finditer(source):
-        parts.append(("text", source[at:m.start()]))
+        parts.append(text(m.start(), "-" in (m[1], m[4], m[7])))
         if m["value"] is not None:
             parts.append(("value", m["value"].strip()))
         elif m["tag"] is not None:
             parts.append(("tag", m["tag"].strip()))
-        at = m.end()
-    parts.append(("text", source[at:]))
+        at, trim = m.end(), "-" in (m[3], m[6], m[8])
+    parts.append(text(len(source), False))
     todo = iter([p for p in parts if p != ("text", "")])
 
     def block(*ends: str) -> tuple[list[tuple], str]:
