@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import boxed, number_id, field
 from tallyloom.session import materialise
 
-# Bits of the filter. The second pass broadcasts its repeated bits as at most
-# 2**FILTER_BITS / 64 words of 16 bytes, 16 MB with this setting whatever the input. A fuller
-# filter lets more rows through to the exact comparison; it never changes a result.
-FILTER_BITS = 26
+# The filter has eight slots a row, so that about one unique row in eight passes it, up to
+# 2**FILTER_BITS. The second pass broadcasts its repeated bits as at most 2**FILTER_BITS / 64
+# words of 16 bytes, 64 MB with this setting. A fuller filter (beyond about 30 million distinct
+# texts) lets more rows through to the exact comparison; it never changes a result.
+LEAST_BITS = 20
+FILTER_BITS = 28
+
+
+def bits_for(rows: int, most: int = FILTER_BITS) -> int:
+    return min(most, max(LEAST_BITS, (8 * rows).bit_length()))
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                     filter_bits: int = FILTER_BITS) -> DataFrame:
+                     filter_bits: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Texts are equal when identical; NULL counts as empty. Of equal texts the row with the
@@ -31,6 +37,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     rows = materialise(
         boxed(docs, doc_id=number_id(doc_id), text_sha256=digest).select(
             "doc_id", "text_sha256", F.monotonically_increasing_id().alias("rid")), "digests")
+    filter_bits = filter_bits or bits_for(rows.count())
     slot = F.xxhash64("text_sha256").bitwiseAND(2**filter_bits - 1)
     repeated = materialise(
         rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("hits")).where("hits > 1")
