@@ -179,8 +179,9 @@ def pack(docs: DataFrame, group_pieces: int = GROUP_PIECES, capacity: int = CAPA
     """(rid, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece.
 
     Pieces shorter than a sequence are dealt to random groups by a hash and packed there by
-    first-fit decreasing, longest first and ties by id and start, so reruns agree. A piece of
-    full length is a sequence by itself. ``sequence_id`` is unique over all groups and
+    first-fit decreasing, longest first and ties by id and start. The hash includes the row's
+    place in its partition, which tells repeated rows apart: reruns over the same files agree,
+    while other partitions of the same rows may give other sequences. A piece of full length is a sequence by itself. ``sequence_id`` is unique over all groups and
     offsets run from 0 without a gap. Documents of equal id are packed one by one; NULL ids
     and NULL texts are packed like others; an empty table gives no rows.
 
