@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -338,6 +339,45 @@ def test_a_damaged_notice_before_a_better_one_is_found(text, want):
     assert [s[1:4] for s in licenses.scanner(licenses.NOTICES).spans(text)] == want
 
 
+@pytest.mark.parametrize("notice", ["mit licens ", "mit license ", "gnu generl public license ", "xmit licenses "])
+def test_a_repeated_notice_takes_time_in_proportion(notice):
+    scan, times = licenses.scanner(licenses.NOTICES), []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        spans = scan.spans(notice * n)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * times[0] + 1 and times[1] < 20
+    if not notice.startswith("x"):
+        assert len([s for s in spans if s[0] in ("mit", "gpl")]) == 40_000
+
+
+@given(st.integers(0, 2), st.randoms(use_true_random=False))
+@settings(max_examples=60, deadline=None)
+def test_every_place_of_a_notice_is_found(which, rng):
+    """Each run of words within the edits of the phrase overlaps a place that was found, and
+    the places found are such runs, with the edits they say."""
+    phrase, label, edits = (("mit license", "mit", 1), ("cc by sa", "cc", 2), ("gnu public license", "gpl", 3))[which]
+    words = []
+    for _ in range(rng.randint(1, 6)):
+        chars = list(phrase)
+        for _ in range(rng.randint(0, edits + 1)):
+            at = rng.randrange(len(chars))
+            chars[at:at + 1] = rng.choice([[], [rng.choice("abe ")], [chars[at], rng.choice("xi")]])
+        words += "".join(chars).split() + rng.choice([[], ["foo"], ["license"], ["mit"]])
+    text = " ".join(words)
+    found = licenses.Scanner(((phrase, label, edits),)).spans(text)
+    starts = [0] + [i + 1 for i, c in enumerate(text) if c == " "]
+    ends = [i for i, c in enumerate(text) if c == " "] + [len(text)]
+    close = {(a, b): edits_between(text[a:b], phrase) for a in starts for b in ends
+             if a < b and abs(b - a - len(phrase)) <= edits}
+    for _, a, b, e, _ in found:
+        assert close[a, b] <= e <= edits
+    assert all(b <= c for (_, _, b, _, _), (_, c, _, _, _) in zip(found, found[1:]))
+    for (a, b), e in close.items():
+        if e <= edits:
+            assert any(a < d and c < b for _, c, d, _, _ in found), (text, text[a:b])
+
+
 def test_licences_on_odd_rows(odd, no_documents):
     rows = licenses.scan_licenses(odd).collect()
     assert len(rows) == 9 and all(r["labels"] == "" and r["score"] == 0 for r in rows)
@@ -525,6 +565,20 @@ def test_long_and_odd_conversations(spark):
     assert chat.read_back(chat.format_conversations(empty)).count() == 0
 
 
+@pytest.mark.parametrize("source, want", [
+    ("a  {%- if true -%}  b  {%- endif %} c", "ab c"), ("x \n {{- 'y' -}} \t z", "xyz"),
+    ("p {#- note -#} q", "pq"), ("p {# note #} q", "p  q"), ("a {{ '-' }} b", "a - b"),
+    ("{% for m in messages -%}\n {{ m.text }} {%- endfor %}.", "hi."), ("  {{- 'a' }}", "a")])
+def test_trim_marks(source, want):
+    render = chat.compile_template(source)
+    assert "".join(piece for piece, _ in render({"messages": [{"text": "hi"}]})) == want
+
+
+def test_a_bad_constant_is_a_template_error():
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template("{{ 1 | length }}")
+
+
 # ---------------------------------------------------------------- 7 vectors
 
 
@@ -579,12 +633,61 @@ def test_links_of_vectors_with_a_common_direction(spark, partitions, block):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        got = {r["vec_id"]: r["n_links"] for r in vectors.vector_links(frame, exact_block=block).collect()}
+        got = {r["vec_id"]: r["n_links"] for r in vectors.vector_links(frame, block=block).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert [got[i] for i in range(1200)] == linked.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.88])
+def test_recall_of_the_passes(spark, mean):
+    """Planted links in a cone of the given mean cosine; found whatever the partitions."""
+    rng, n, dim = np.random.default_rng(int(100 * mean)), 4000, 64
+    axis = rng.normal(size=dim)
+    axis /= np.linalg.norm(axis)
+    noise = rng.normal(size=(n, dim))
+    noise -= np.outer(noise @ axis, axis)
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.sqrt(mean) * axis + np.sqrt(1 - mean) * noise
+    for i in range(0, 800, 2):  # pairs from just above the threshold up
+        t = 0.931 + 0.06 * rng.random()
+        other = rng.normal(size=dim)
+        other -= (other @ x[i]) * x[i]
+        x[i + 1] = t * x[i] + np.sqrt(1 - t * t) * other / np.linalg.norm(other)
+    linked = np.triu(x @ x.T >= 0.93, 1)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(linked))))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "rep long, x array<double>, label string").selectExpr(
+        "label", "64 AS dim", "rep", "x", f"{n}L AS rows")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("8", "400"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        edges = vectors._pass_edges(frame.repartition(6), 0.93, vectors.WINDOW, 512)
+        roots = {r["id"]: r["root"] for r in graph.components(edges).collect()}
+        seen.append(roots)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1]
+    found = {(a, b) for a, b in want if seen[0].get(a, a) == seen[0].get(b, b)}
+    print(mean, len(found), len(want))
+    assert len(want) >= 400 and len(found) >= 0.995 * len(want)
+
+
+def test_long_and_short_runs_are_both_there(spark, monkeypatch):
+    """Even vectors are compared in windows, a narrow cone in blocks."""
+    rng, calls = np.random.default_rng(2), []
+    for name in ("_window_edges", "_block_edges"):
+        plain = getattr(vectors, name)
+        monkeypatch.setattr(vectors, name, lambda frame, *args, plain=plain, name=name: (
+            calls.append((name, frame.count())), plain(frame, *args))[1])
+    even = rng.normal(size=(1500, 16))
+    cone = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.02
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(even)] + [(5000 + i, v.tolist(), 1) for i, v in enumerate(cone)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.vector_links(frame).collect()}
+    assert all(got[5000 + i] >= 299 for i in range(300))
+    assert [name for name, _ in calls] == ["_window_edges", "_block_edges"] and min(n for _, n in calls) > 1000
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.vector_links(empty).count() == 0
