@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import boxed, chunks, field, shuffle_partitions
@@ -24,13 +23,17 @@ TOP = 2000
 
 # Shards of the corpus. A phrase may become active after each of them, and is counted from
 # there until every shard has been scanned once.
-SHARDS = 3
+SHARDS = 2
 
 # Slots of the activity table of one length, which is broadcast: a byte each, 16 MB whatever the
 # input. Phrases that share a slot only make one another active early; the last pass counts
 # what is left by its words.
 SLOT_BITS = 24
 
+# Bytes of text for each block of keys, which one task merges; blocks follow the input.
+BLOCK_TEXT = 1 << 23
+LEAST_BLOCKS = 64
+
 CHUNK_BYTES = 4 << 20
 
 # Parts a language's phrases are dealt to before its best are taken.
@@ -43,8 +46,8 @@ _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-COUNTED = "k int, key long, n long"
-PHRASES = "lang string, phrase string, n long"
+COUNTED = "k int, block int, rests binary, counts binary"
+SPELLED = "name string, n long"  # phrase, tab, language: no phrase holds a tab
 
 
 class Words(Cut):
@@ -100,9 +103,9 @@ def _active(words: Words, since: list[np.ndarray], longest: int) -> Iterator[tup
             reached = np.where((active > 0) & (reached > 0), np.maximum(reached, active), 0)
 
 
-def _count(since: Broadcast, step: int, shards: int, longest: int):
+def _count(since: Broadcast, step: int, shards: int, longest: int, blocks: int, least: int):
     """Sum up what is active in this step: every word in the first cycle, longer phrases for one
-    cycle from the step that activates them."""
+    cycle from the step that activates them. Keys are dealt to blocks by their first bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in by_language(batches):
@@ -115,10 +118,60 @@ def _count(since: Broadcast, step: int, shards: int, longest: int):
                         found[k].append(keys[(active > 0) & (step < active.astype(np.int64) + shards)])
             for k in range(1, longest + 1):
                 keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found[k]]), return_counts=True)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)),
-                         pa.array(n.astype(np.int64))], ["k", "key", "n"])
+                bounds = np.searchsorted(keys, _first_keys(blocks))
+                yield _block_rows(k, range(blocks), [*bounds.tolist(), len(keys)], keys, n, least)
+
+    return run
+
+
+def _first_keys(blocks: int) -> np.ndarray:
+    """The first key of every block; ``blocks`` is a power of two."""
+    return np.arange(blocks, dtype=np.uint64) << np.uint64(64 - (blocks.bit_length() - 1)) if blocks > 1 else (
+        np.zeros(1, np.uint64))
+
+
+def _block_rows(k: int, blocks: Iterable[int], bounds: list[int], keys: np.ndarray, n: np.ndarray,
+                least: int) -> pa.RecordBatch:
+    """One row a block: the last 32 bits of its keys, and counts, as far as they matter."""
+    rests, counts = keys.astype(np.uint32), np.minimum(n, least).astype(_count_type(least))
+    rows = [(block, rests[low:high].tobytes(), counts[low:high].tobytes())
+            for block, low, high in zip(blocks, bounds, bounds[1:]) if high > low]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
+         pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+        ["k", "block", "rests", "counts"])
+
+
+def _count_type(least: int) -> type:
+    return np.uint8 if least < 256 else np.uint32
+
+
+def _merge(least: int, slot_bits: int):
+    """Sum up the counts of a block. Keys that reach the threshold leave it as marked slots."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            for k, rest, n in zip(*(batch.column(c).to_pylist() for c in ("k", "rests", "counts"))):
+                rests, counts = parts.setdefault(k, ([], []))
+                rests.append(np.frombuffer(rest, np.uint32))
+                counts.append(np.frombuffer(n, _count_type(least)))
+        rows = []
+        for k, (rests, counts) in parts.items():
+            rest, n = np.concatenate(rests), np.concatenate(counts)
+            order = np.argsort(rest, kind="stable")
+            rest = rest[order]
+            first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]][:len(rest)])
+            total = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else first
+            rest, high = rest[first], total >= least
+            slots = np.unique(rest[high] & np.uint32(2**slot_bits - 1)).astype(np.int32)
+            rows.append((k, rest[~high].tobytes(), total[~high].astype(_count_type(least)).tobytes(), slots))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()),
+             pa.array([key[0].as_py()] * len(rows), pa.int32()),
+             pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()),
+             pa.array([r[3] for r in rows], pa.list_(pa.int32()))],
+            ["k", "block", "rests", "counts", "slots"])
 
     return run
 
@@ -130,19 +183,19 @@ def _spell(reached: Broadcast, longest: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in by_language(batches):
             for words in parts:
-                yield _rows(words.lang, [""], [len(words.codes)])
+                yield _rows(words.lang, pa.array([b""], pa.binary()), [len(words.codes)])
                 size = max(1, len(words.names))
                 mask = np.uint64(len(reached.value[0]) - 1)
                 single = words.hashes()[words.codes]
                 keys = single
                 ids, spelled = words.codes, words.names
-                hit = reached.value[0][single & mask] > 0
+                hit = reached.value[0][single & mask]
                 for k in range(1, longest + 1):
                     if k > 1:
                         if len(keys) < 2:
                             break
                         keys = _extend(keys[:-1], single[k - 1:])
-                        hit = hit[:-1] & hit[1:] & (reached.value[k - 1][keys & mask] > 0)
+                        hit = hit[:-1] & hit[1:] & reached.value[k - 1][keys & mask]
                         if k == 2:
                             hit &= words.joined
                         # one number for the shorter phrase and the word behind it, exact
@@ -156,52 +209,43 @@ def _spell(reached: Broadcast, longest: int):
                     n = np.bincount(ids[hit], minlength=len(spelled))
                     some = np.flatnonzero(n)
                     if len(some):
-                        yield _rows(words.lang, spelled.take(pa.array(some)).cast(pa.string()), n[some])
+                        yield _rows(words.lang, spelled.take(pa.array(some)), n[some])
 
     return run
 
 
-def _rows(lang: str, phrases, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))),
-         pa.array(phrases, pa.string()) if isinstance(phrases, list) else phrases,
-         pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+def _rows(lang: str, phrases: pa.Array, n) -> pa.RecordBatch:
+    named = pc.binary_join_element_wise(
+        phrases, pa.scalar(lang.encode(), pa.binary()), pa.scalar(b"\t", pa.binary()))
+    return pa.RecordBatch.from_arrays([named.cast(pa.string()), pa.array(n, pa.int64())], ["name", "n"])
 
 
 class _Tally:
-    """What has been counted so far, as a table bucketed by key: every step adds its files, and
-    the sums of all steps are formed bucket by bucket without another shuffle."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.name = f"phrase_counts_{uuid.uuid4().hex}"
-        self.path = scratch_path(spark, "phrase-counts")
-        self.buckets = shuffle_partitions(spark)
-
-    def add(self, counted: DataFrame) -> None:
-        (counted.groupBy("key", "k").agg(F.sum("n").alias("n"))
-         .write.bucketBy(self.buckets, "key").option("path", self.path)
-         .mode("append").saveAsTable(self.name))
-
-    def reached(self, least: int, bits: int, longest: int) -> list[np.ndarray]:
-        """For each length a flag per slot: has a phrase there been counted ``least`` times?"""
-        slot = F.col("key").bitwiseAND(2**bits - 1)
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
-        packed = (
-            self.spark.table(self.name).where(F.col("k") <= longest)
-            .groupBy("key", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            .groupBy("k", F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")))
-        table = packed.toArrow()  # at most longest * 2**bits / 64 rows, whatever the input
-        k, word = table.column("k").to_numpy(), table.column("word").to_numpy()
-        flags = []
-        for length in range(1, longest + 1):
-            words = np.zeros(2**bits // 64, np.int64)
-            words[word[k == length]] = table.column("bits").to_numpy()[k == length]
-            flags.append(np.unpackbits(words.view(np.uint8), bitorder="little"))
-        return flags
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+    """What has been counted so far: per length and block the keys below the threshold, and per
+    length a flag for each slot in which a phrase has reached it."""
+
+    def __init__(self, longest: int, least: int, slot_bits: int):
+        self.least, self.slot_bits = least, slot_bits
+        self.flags = [np.zeros(2**slot_bits, bool) for _ in range(longest)]
+        self.held: DataFrame | None = None
+
+    def add(self, counted: DataFrame, lengths: list[int]) -> None:
+        """Merge the counts of a step; ``lengths`` are those that it counted."""
+        if self.held is not None:
+            kept = self.held.where(F.col("k").isin(lengths)).select(*counted.columns)
+            counted = counted.unionAll(kept)
+        shape = f"{COUNTED}, slots array<int>"
+        self.held = materialise(
+            counted.groupBy("block").applyInArrow(_merge(self.least, self.slot_bits), shape), "phrase-counts")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63))
+        bits = self.held.select("k", F.explode("slots").alias("slot")).groupBy(
+            "k", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+        marked = bits.toArrow()  # at most 2**slot_bits / 64 rows a length, whatever the input
+        k, word, found = (marked.column(c).to_numpy() for c in ("k", "word", "bits"))
+        for length, flags in enumerate(self.flags, 1):
+            words = np.zeros(max(1, len(flags) // 64), np.int64)
+            words[word[k == length]] = found[k == length]
+            flags |= np.unpackbits(words.view(np.uint8), bitorder="little")[:len(flags)].astype(bool)
 
 
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS,
@@ -217,8 +261,9 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     inside its cycle. A phrase is counted under a 64-bit key; a last scan counts what reached
     the threshold by its words, so that equal keys leave no trace in the result.
 
-    No step gathers anything but the marks, whose size is fixed; keys are summed up in every
-    task before they shuffle, so a word or phrase with a third of all places is a few rows.
+    No step gathers anything but the marks, whose size is fixed. Keys are summed up in every
+    task and shuffle as blocks of hash ranges, so a word or phrase with a third of all places is
+    a few entries and every block has its share; the number of blocks follows the input.
     """
     spark = docs.sparkSession
     base = boxed(docs, lang=F.coalesce(field(lang).cast("string"), F.lit("und")),
@@ -227,30 +272,38 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     path = scratch_path(spark, "phrase-shards")
     base.select("lang", "text", dealt.alias("shard")).write.partitionBy("shard").parquet(path)
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
-
-    tally = _Tally(spark)
-    marked = max(1, max_words - 1)
-    since = [np.zeros(2**slot_bits, np.uint8) for _ in range(marked)]
-    step, last = 0, 0
-    try:
-        while step < max(shards, last + shards):
-            shard = corpus.where(F.col("shard") == step % shards).select("lang", "text")
-            known = spark.sparkContext.broadcast(since)
-            tally.add(shard.mapInArrow(_count(known, step, shards, max_words), COUNTED))
-            known.destroy()
-            step += 1
-            if max_words > 1:
-                for table, flags in zip(since, tally.reached(least, slot_bits, marked)):
-                    new = (flags > 0) & (table == 0)
-                    table[new] = step
-                    last = max(last, step * bool(new.any()))
-        reached = spark.sparkContext.broadcast(tally.reached(least, slot_bits, max_words))
-    finally:
-        tally.drop()
-    spelled = corpus.select("lang", "text").mapInArrow(_spell(reached, max_words), PHRASES)
-    return materialise(
-        spelled.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 << max(LEAST_BLOCKS - 1, shuffle_partitions(spark) - 1, size // BLOCK_TEXT).bit_length()
+
+    tally = _Tally(max_words, least, slot_bits)
+    # since[k]: from which step on the marks of length k + 1 count; last[k]: the newest of those
+    since = [np.zeros(2**slot_bits, np.uint8) for _ in range(max(1, max_words - 1))]
+    last = [0] * max_words
+    step = 0
+    while True:
+        # a length is counted until a cycle after the last mark of the length below
+        lengths = [k for k in range(1, max_words + 1)
+                   if (step < shards if k == 1 else 0 < last[k - 2] and step < last[k - 2] + shards)]
+        if not lengths:
+            break
+        shard = corpus.where(F.col("shard") == step % shards).select("lang", "text")
+        known = spark.sparkContext.broadcast(since)
+        tally.add(shard.mapInArrow(_count(known, step, shards, max_words, blocks, least), COUNTED), lengths)
+        known.destroy()
+        step += 1
+        for k, table in enumerate(since):
+            new = tally.flags[k] & (table == 0)
+            table[new] = step
+            last[k] = step if new.any() else last[k]
+    reached = spark.sparkContext.broadcast(tally.flags)
+    # Fewer, longer tasks: the more text a task has seen, the fewer rows a phrase is afterwards.
+    tasks = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 4)
+    spelled = corpus.select("lang", "text").coalesce(tasks).mapInArrow(_spell(reached, max_words), SPELLED)
+    counts = spelled.groupBy("name").agg(F.sum("n").alias("n")).where(
+        (F.col("n") >= least) | F.col("name").startswith("\t"))
+    return materialise(counts.select(
+        F.expr("substring(name, instr(name, '\t') + 1)").alias("lang"),
+        F.substring_index("name", "\t", 1).alias("phrase"), "n"), "phrases")
 
 
 def mine_collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST,
