@@ -25,6 +25,34 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# What one task takes at most. A task that sums or sorts rows by a key holds many bytes for each
+# row it reads, so its memory goes with these sizes, whatever the tables' size.
+TASK_SIZES = {
+    "spark.sql.files.maxPartitionBytes": 32 << 20,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+}
+# Enough partitions that those of a large shuffle can be that small; few rows are coalesced.
+LEAST_PARTITIONS = 200
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+
+
+def bound_tasks(spark: SparkSession) -> SparkSession:
+    """For jobs that hold their rows by key: cut them into tasks of bounded size.
+
+    The settings stay, as results are computed when they are asked for. A session whose tasks
+    are smaller already keeps its own sizes.
+    """
+    for key, most in TASK_SIZES.items():
+        if _bytes(spark, spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < LEAST_PARTITIONS:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(LEAST_PARTITIONS))
+    return spark
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, *, work: str) -> SparkSession:
     """A session for tests and the benchmark, with its work folder; clusters bring their own."""
     spark = (

@@ -1,11 +1,13 @@
 """Posting jobs: documents as a whole, balance, reversals, payments."""
 
 import datetime
+import os
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import session
 from tallyloom.plans import access, posting
 from tallyloom.sources.roles import role_table
 
@@ -200,3 +202,25 @@ def test_posted_and_rejected_lines_add_up(tables, job):
     assert bad.count() > 0
     assert sent.select("request_id", "line_no").exceptAll(good.unionAll(bad)).isEmpty()
     assert good.count() + bad.count() == sent.count()
+
+
+def test_tasks_over_the_lines_are_bounded(spark, tables, monkeypatch):
+    """However few cores or partitions a session has, its tasks take no more than the sizes set."""
+    known = {key: spark.conf.get(key) for key in session.TASK_SIZES}
+    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(session, "TASK_SIZES", {key: 20000 for key in known})
+    try:
+        for key in known:
+            spark.conf.set(key, "64m")
+        posted = posting.journal_entries(tables)
+        assert {spark.conf.get(key) for key in known} == {"20000"}
+        assert int(spark.conf.get(parts)) == session.LEAST_PARTITIONS
+        size = sum(os.path.getsize(name.removeprefix("file://")) for name in posted.checked_lines.inputFiles())
+        assert posted.checked_lines.rdd.getNumPartitions() >= size / 20000
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+        session.bound_tasks(spark)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "10k"
+    finally:
+        for key, value in known.items():
+            spark.conf.set(key, value)
+        spark.conf.unset(parts)
