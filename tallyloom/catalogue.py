@@ -13,7 +13,7 @@ from tallyloom.operators.validate import outcome, split, validate
 from tallyloom.plans import (
     access, bi, crm, edits, finance, hr, intake, inventory, posting, sales, scm,
 )
-from tallyloom.session import scratch_path
+from tallyloom.session import bound_tasks, scratch_path
 from tallyloom.sources import bodies, sinks
 from tallyloom.sources.tables import StreamTables
 from tallyloom.streaming import edits as edit_stream
@@ -354,6 +354,7 @@ def _stream_bodies_quarantined(t) -> DataFrame:
 
 def _order_bodies(t) -> tuple[DataFrame, DataFrame]:
     """Sales orders written and read as nested bodies: headers and lines."""
+    bound_tasks(t.spark)
     path = scratch_path(t.spark, "order-bodies")
     lines = t.sales_order_line_feed.filter(F.col("request_id").isNotNull())
     items = bodies.LINES["sales_order"][1]

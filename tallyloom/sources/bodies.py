@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import reasons
 from tallyloom.operators.validate import REASON
+from tallyloom.session import materialise
 
 QUARANTINE = f"body STRING, {REASON} STRING"
 
@@ -46,7 +47,8 @@ def parse_bodies(lines: DataFrame, schema: str) -> DataFrame:
     """
     # Wrapped as the only item of an array, since what follows a complete object is not looked at.
     whole = F.json_array_length(F.concat(F.lit("["), F.col("body"), F.lit("]"))) == 1
-    proper = F.json_object_keys("body").isNotNull() & F.coalesce(whole, F.lit(False))
+    # A single value that begins with a brace is an object.
+    proper = F.ltrim("body", F.lit(" \t\r\n")).startswith("{") & F.coalesce(whole, F.lit(False))
     parsed = lines.filter(F.trim("body") != "").select("body", F.from_json("body", schema).alias("__read"), proper.alias("__proper"))
     reason = F.when(~F.col("__proper"), F.lit(reasons.MALFORMED_BODY)).when(
         F.col("__read.request_id").isNull(), F.lit(reasons.NO_REQUEST_ID))
@@ -68,7 +70,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bodies(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return readable(parse_bodies(read_lines(spark, path), schema))
+    """The readable bodies, parsed once: they are written with their reasons and picked from there.
+
+    A filter by the reason would otherwise be moved below the parsed columns and parse every
+    body again, and so would each further use of the bodies."""
+    parsed = parse_bodies(read_lines(spark, path), schema).drop("body")
+    return readable(materialise(parsed, "bodies"))
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:

@@ -6,8 +6,10 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from tallyloom import catalogue
 from tallyloom.catalogue import REPORTS
 from tallyloom.plans import access, bi, posting, sales
 from tallyloom.sources import bodies, schemas, sinks
@@ -53,6 +55,29 @@ def test_documents_as_json(spark, tables, tmp_path):
     assert back.exceptAll(documents).isEmpty() and documents.exceptAll(back).isEmpty()
 
 
+@pytest.mark.parametrize("text, proper", [
+    ('{"request_id": 1}', True), (' \t{"request_id": 1} ', True), ('{"request_id": 1} x', False),
+    ('{"request_id": 1}{}', False), ('{"request_id": 1},', False), ('[{"request_id": 1}]', False),
+    ('\u00a0{"request_id": 1}', False), ('"{"', False), ("7", False), ("null", False), ("{", False),
+    ('{"request_id": 1, "a": [1, {"b": null}]}', True), (',{"request_id": 1}', False)])
+def test_a_body_is_one_object(make, text, proper):
+    row = bodies.parse_bodies(make([(text,)], "body STRING"), "request_id BIGINT").first()
+    assert (row["reject_reason"] is None) == proper and row["body"] == text
+
+
+def test_bodies_are_parsed_once(spark, tables, monkeypatch):
+    """Headers and lines, filtered or not, come from the written bodies and parse no text again."""
+    plans = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, write=DataFrameWriter.parquet: (
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path))[1])
+    headers, lines = catalogue._order_bodies(tables)
+    text = "".join(plans)
+    assert text.count("from_json(") == 1 and headers.count() and lines.count()
+    for frame in (headers, lines):
+        read = frame._jdf.queryExecution().executedPlan().toString()
+        assert "from_json(" not in read and "FileScan text" not in read
+
+
 def test_nested_order_bodies(spark, tables, tmp_path):
     path = tmp_path / "orders.json"
     requests = [
