@@ -366,9 +366,10 @@ def _order_bodies(t) -> tuple[DataFrame, DataFrame]:
 
 
 def _json_round_trip(t, documents: DataFrame) -> DataFrame:
-    """Headers or lines of documents written as JSON and read back."""
+    """Headers or lines of documents written as compressed JSON and read back."""
     path = scratch_path(t.spark, "documents")
-    sinks.write_documents(documents, path)
+    sinks.write_documents(documents, path, "snappy")
+    bound_tasks(t.spark)
     return t.spark.read.schema(documents.schema).json(path)
 
 

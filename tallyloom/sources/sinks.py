@@ -17,6 +17,9 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# Rows of a compressed JSON file at most.
+COMPRESSED_ROWS = 500_000
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a sorted export as CSV part files, in order, without passing the driver."""
@@ -34,6 +37,11 @@ def append_rows(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("append").parquet(path)
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """Nested documents, one JSON object per line."""
-    df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+def write_documents(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Nested documents, one JSON object per line.
+
+    Their text repeats every field name in every row. Compressed files, which one task reads from
+    start to end, are cut at a number of rows.
+    """
+    options = {"compression": compression, "maxRecordsPerFile": COMPRESSED_ROWS} if compression else {}
+    df.write.mode("errorifexists").options(ignoreNullFields="false", **options).json(path)

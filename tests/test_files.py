@@ -4,13 +4,14 @@ import csv
 import datetime
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tallyloom import catalogue
-from tallyloom.catalogue import REPORTS
+from tallyloom.catalogue import FILES, REPORTS
 from tallyloom.plans import access, bi, posting, sales
 from tallyloom.sources import bodies, schemas, sinks
 from tallyloom.sources.tables import ParquetTables
@@ -55,6 +56,18 @@ def test_documents_as_json(spark, tables, tmp_path):
     assert back.exceptAll(documents).isEmpty() and documents.exceptAll(back).isEmpty()
 
 
+def test_documents_come_back_from_small_files(spark, tables, monkeypatch):
+    """Compressed text takes far less than plain text, in files of a bounded number of rows."""
+    monkeypatch.setattr(sinks, "COMPRESSED_ROWS", 1000)
+    back = FILES["json_order_document_lines"][1](tables)
+    documents = sales.order_document_lines(tables)
+    assert back.exceptAll(documents).isEmpty() and documents.exceptAll(back).isEmpty()
+    files = back.inputFiles()
+    assert len(files) >= documents.count() / 1000 and all(name.endswith(".json.snappy") for name in files)
+    size = sum(os.path.getsize(name.removeprefix("file://")) for name in files)
+    assert size < documents.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] / 2
+
+
 @pytest.mark.parametrize("text, proper", [
     ('{"request_id": 1}', True), (' \t{"request_id": 1} ', True), ('{"request_id": 1} x', False),
     ('{"request_id": 1}{}', False), ('{"request_id": 1},', False), ('[{"request_id": 1}]', False),
